@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mutprox.llm import langid, packing, pieces, simhash, suffix
+from mutprox.llm import chat, langid, lines, packing, pieces, quality, simhash, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -51,3 +51,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.page_lines(table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL |= {"op1_chat_format": chat.ORACLE, "op2_quality_rules": quality.ORACLE, "op5_line_dedup": lines.ORACLE}
