@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mutprox.llm import chat, langid, lines, packing, pieces, quality, simhash, suffix
+from mutprox.llm import chat, langid, lines, packing, pieces, quality, simhash, suffix, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -69,3 +69,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL |= {"op1_chat_format": chat.ORACLE, "op2_quality_rules": quality.ORACLE, "op5_line_dedup": lines.ORACLE}
+
+
+@query
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.drill(table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL |= {"op4_embedding_dedup": vectors.ORACLE, "op8_warc_audit": warc.ORACLE}

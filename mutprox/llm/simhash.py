@@ -209,7 +209,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near-duplicate class; columns as given."""
-    first = simhash_components(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(first, docs[id_col] == first["__kept"], "left_semi")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = 3) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its near-duplicate class; columns as given.
+
+    Rows with a null id stay (they cannot be told apart); of rows that repeat the kept id, all stay.
+    """
+    gone = simhash_components(docs, id_col, text_col, shingle, most).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
