@@ -130,7 +130,8 @@ def verdicts(docs: DataFrame, policy: str = CURRENT, id_col: str = "doc_id", tex
 
 def keep_good(docs: DataFrame, policy: str = CURRENT, text_col: str = "text") -> DataFrame:
     """The rows that pass the base rules and the policy, columns as given."""
-    return ledger(docs.withColumn("__text", F.col(text_col)), "__text", tuple(docs.columns)).filter(passes("base-1") & passes(policy)).select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("body"))
+    return ledger(whole, "body", ("row",)).filter(passes("base-1") & passes(policy)).select("row.*")
 
 
 ORACLE = r"""
