@@ -40,6 +40,8 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
+    # shuffle files go when the driver collects the finished plan; with a small heap that may otherwise take half an hour
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
