@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mutprox.functions import columns as C
+from mutprox.session import cut
 
 
 def cluster_mutations(maf: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def restrict_to_lists(pairs: DataFrame, genes: DataFrame | None = None, structur
         for k in ("gene1", "gene2"):
             pairs = pairs.join(genes.select(F.col("name").alias(k)).distinct(), k, "left_semi")
     if structures is not None:
-        keyed = pairs.withColumn("__row", F.monotonically_increasing_id())
+        keyed = cut(pairs.withColumn("__row", F.monotonically_increasing_id()))  # row ids must not change between the two reads
         each = keyed.select("__row", F.posexplode("info").alias("k", "x")).join(structures.select(F.col("name").alias("pdb")).distinct(), F.col("x.pdb") == F.col("pdb"), "left_semi")
         kept = each.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("info"))
         pairs = keyed.drop("info").join(kept, "__row").select(*pairs.columns)

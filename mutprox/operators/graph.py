@@ -20,12 +20,12 @@ DENSE = 4000
 
 
 def mutation_weights(maf: DataFrame, vertex_type: str = "recurrence") -> DataFrame:
-    """``mutation_key, ref_alt, protein_key, gene, weight``: rows counted, or the last weight by ``line_no`` for type ``weight``."""
+    """``mutation_key, ref_alt, protein_key, gene, weight``: rows counted, or the last weight by ``line_no`` (of equals the largest) for type ``weight``."""
     keyed = maf.select(
         C.mutation_key(F.col("gene"), F.col("chromosome"), F.col("start_pos"), F.col("stop_pos")).alias("mutation_key"), C.ref_alt_key(F.col("ref"), F.col("alt")).alias("ref_alt"),
         C.protein_key(F.col("transcript"), F.col("aa_change")).alias("protein_key"), "gene", "weight", "line_no",
     )
-    w = F.max_by("weight", "line_no") if vertex_type == "weight" else F.count(F.lit(1)).cast("double")
+    w = F.max_by("weight", F.struct("line_no", "weight")) if vertex_type == "weight" else F.count(F.lit(1)).cast("double")
     return keyed.groupBy("mutation_key", "ref_alt", "protein_key", "gene").agg(w.alias("weight"))
 
 

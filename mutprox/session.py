@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -36,15 +37,20 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     returned frame as ``.cut_path`` so that a loop can drop what it no longer needs.
     """
     spark = df.sparkSession
+    _forget(spark)
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
-    # shuffle files go when the driver collects the finished plan; with a small heap that may otherwise take half an hour
-    spark.sparkContext._jvm.System.gc()
     return out
 
 
+def _forget(spark: SparkSession) -> None:
+    """Shuffle files go when the driver collects the plans that made them, which may otherwise take half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`cut`; nothing may read that frame afterwards."""
     spark = df.sparkSession
