@@ -201,6 +201,7 @@ def radius_clusters(scores: DataFrame, geo: DataFrame, max_radius: float = 10.0)
     ship(scores.sparkSession)
     by = ["structure", "super_id"]
     out = "structure string, super_id int, sub_id int, centroid string, key string, geodesic double"
+    scores = scores.toDF(*[f"_{c}" for c in scores.columns]).toDF(*scores.columns)  # columns of their own: both sides come from one table
     return geo.groupBy(*by).cogroup(scores.groupBy(*by)).applyInPandas(lambda g, s: _greedy_radius(g, s, max_radius), out)
 
 
