@@ -95,3 +95,19 @@ def aligned_segments(alignments: DataFrame, min_identity: float = 0.9) -> DataFr
     placed = each.select("*", (F.col("u_start") + n(F.col("u") != "-").over(upto) - 1).alias("ua"), (F.col("t_start") + n(F.col("t") != "-").over(upto) - 1).alias("ta"), n(gap).over(upto).alias("island"), share.alias("identity"), gap.alias("gap"))
     sound = placed.filter(~F.col("gap") & (F.col("identity") >= min_identity))
     return sound.groupBy("row", "transcript", "uniprot", "island").agg(F.min("ta").alias("t_begin"), F.max("ta").alias("t_end"), F.min("ua").alias("u_begin"), F.max("ua").alias("u_end")).drop("row", "island")
+
+
+def features_at(features: DataFrame, positions: DataFrame) -> DataFrame:
+    """Features that hold any of the given places. ``positions``: uniprot, position."""
+    p = positions.select(F.col("uniprot").alias("__u"), "position").distinct()
+    return features.join(p, (features["uniprot"] == p["__u"]) & p["position"].between(features["start_pos"], features["end_pos"]), "left_semi")
+
+
+def features_between(features: DataFrame, start: int, stop: int) -> DataFrame:
+    """Features that overlap a range."""
+    return features.filter((F.col("start_pos") <= stop) & (F.col("end_pos") >= start))
+
+
+def features_after(features: DataFrame, position: int) -> DataFrame:
+    """Features that end after a place."""
+    return features.filter(F.col("end_pos") > position)

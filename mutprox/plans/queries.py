@@ -572,3 +572,102 @@ def mutation_frequencies(spark: SparkSession, d: str) -> DataFrame:
     rows = m.select("gene", F.col("start_pos").cast("string").alias("start"), "ref", "alt").distinct()
     lengths = m.select("gene", "transcript", F.lit(1).alias("length")).distinct()
     return report.annotate_mutations(rows, m, lengths).groupBy("gene").agg(F.count(F.lit(1)).alias("frequency_rows"), F.sum("frequency").alias("frequency"))
+
+
+@job(f"WITH {_MEMBERS}, {_PE}, t AS (SELECT m.cluster, pdb, m.gene, count(DISTINCT mu) AS nm, count(DISTINCT c) AS nr, sum(weight) AS rec FROM e JOIN m ON m.gene = g AND m.mutation = mu GROUP BY 1, 2, 3) SELECT cluster, pdb, count(*) AS n_chains, count(DISTINCT gene) AS n_genes, sum(nm) AS n_mutations, sum(nr) AS n_residues, sum(rec) AS recurrence, array_to_string(list_sort(list(DISTINCT 'A:' || gene)), '|') AS chains FROM t GROUP BY 1, 2", "maf", "pairs")
+def complex_presence(spark: SparkSession, d: str) -> DataFrame:
+    return report.complex_presence(structure_presence(spark, d))
+
+
+@job("SELECT c.* FROM features c WHERE EXISTS (SELECT 1 FROM spots s WHERE s.uniprot = c.uniprot AND s.u_pos BETWEEN c.start_pos AND c.end_pos)", "features", "spots")
+def features_at_sites(spark: SparkSession, d: str) -> DataFrame:
+    s = Steps(spark, d)
+    return annotate.features_at(s.view("features"), s.placed_sites().select("uniprot", F.col("u_pos").alias("position")))
+
+
+@job("SELECT * FROM features WHERE start_pos <= 9 AND end_pos >= 5", "features")
+def features_between(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.features_between(view(spark, d, "features"), 5, 9)
+
+
+@job("SELECT * FROM features WHERE end_pos > 15", "features")
+def features_after(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.features_after(view(spark, d, "features"), 15)
+
+
+@job("SELECT uniprot, spot AS \"at\", description FROM points", "points")
+def feature_points(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.feature_points(view(spark, d, "features"))
+
+
+@job("SELECT uniprot, u_pos, known FROM known", "known")
+def cosmic_points(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.cosmic_points(view(spark, d, "cosmic"), view(spark, d, "segments"))
+
+
+_FEATS = "c AS (SELECT DISTINCT gene, aa_change AS mutation, CAST(regexp_extract(aa_change, '(\\d+)', 1) AS INT) AS pos FROM maf), f AS (SELECT gene, mutation, description FROM c JOIN features x ON x.uniprot = 'U' || substr(gene, 2) AND x.start_pos = pos)"
+
+
+@job(f"WITH {_FEATS}, l AS (SELECT gene, mutation, array_to_string(list_sort(list(DISTINCT split_part(description, ' {{ECO', 1))), '|') AS domains FROM f GROUP BY 1, 2) SELECT c.gene, c.mutation, coalesce(domains, 'NULL') AS domains FROM c LEFT JOIN l ON l.gene = c.gene AND l.mutation = c.mutation", "maf", "features")
+def annotate_domains(spark: SparkSession, d: str) -> DataFrame:
+    c = view(spark, d, "maf").select("gene", F.col("aa_change").alias("mutation"), C.aa_position(F.col("aa_change")).alias("start_pos"), F.concat(F.lit("U"), F.substring("gene", 2, 9)).alias("uniprot")).distinct()
+    f = c.join(view(spark, d, "features"), ["uniprot", "start_pos"]).select("gene", "mutation", F.col("description").alias("feature"))
+    return report.annotate_domains(c.select("gene", "mutation"), f)
+
+
+@job("WITH c AS (SELECT DISTINCT gene FROM maf UNION ALL SELECT DISTINCT drug FROM drugs), l AS (SELECT drug, array_to_string(list_sort(list(DISTINCT het)), '|') AS k FROM drugs WHERE is_target GROUP BY 1) SELECT c.gene, CASE WHEN c.gene LIKE 'G_' THEN 'NA' ELSE coalesce(k, 'Unclassified') END AS drug_class FROM c LEFT JOIN l ON l.drug = c.gene", "maf", "drugs")
+def annotate_drug_class(spark: SparkSession, d: str) -> DataFrame:
+    drugs = view(spark, d, "drugs")
+    rows = view(spark, d, "maf").select("gene", F.lit(False).alias("is_drug")).distinct().unionByName(drugs.select(F.col("drug").alias("gene"), F.lit(True).alias("is_drug")).distinct())
+    return report.annotate_drug_class(rows, drugs.filter("is_target").select("drug", F.col("het").alias("class"))).select("gene", "drug_class")
+
+
+@job("WITH c AS (SELECT DISTINCT gene FROM maf), l AS (SELECT 'G' || substr(uniprot, 2) AS gene, array_to_string(list_sort(list(DISTINCT type)), '|') AS families FROM features WHERE uniprot < 'U5' GROUP BY 1) SELECT c.gene, coalesce(families, 'Unclassified') AS families FROM c LEFT JOIN l USING (gene)", "maf", "features")
+def annotate_families(spark: SparkSession, d: str) -> DataFrame:
+    fam = view(spark, d, "features").filter("uniprot < 'U5'").select(F.concat(F.lit("G"), F.substring("uniprot", 2, 9)).alias("gene"), F.col("type").alias("family"))
+    return report.annotate_families(view(spark, d, "maf").select("gene", F.lit(False).alias("is_drug")).distinct(), fam).select("gene", "families")
+
+
+@job("WITH a AS (SELECT 'G' || substr(uniprot, 2) AS gene, list_distinct(list(type)) AS f FROM features GROUP BY 1), e AS (SELECT unnest(f) AS family FROM a) SELECT family, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM a), 6) AS percent FROM e GROUP BY 1", "features")
+def family_totals(spark: SparkSession, d: str) -> DataFrame:
+    a = view(spark, d, "features").groupBy("uniprot").agg(F.collect_set("type").alias("families"))
+    return report.family_totals(a).withColumn("percent", F.round("percent", 6))
+
+
+@job("SELECT gene, chromosome, arg_min(transcript, printf('%012d', 1000000000 - n) || transcript) AS transcript, max(n) AS length FROM (SELECT gene, chromosome, transcript, count(DISTINCT start_pos) AS n FROM maf GROUP BY 1, 2, 3) GROUP BY 1, 2", "maf")
+def longest_transcript(spark: SparkSession, d: str) -> DataFrame:
+    exons = view(spark, d, "maf").select("gene", "chromosome", "transcript", F.col("start_pos").alias("exon_no"), F.lit(1).alias("length"))
+    long = report.longest_transcript(report.transcript_lengths(exons))
+    return long.join(exons.select("gene", "chromosome").distinct(), "gene").select("gene", "chromosome", "transcript", "length")
+
+
+@job("WITH s AS (SELECT transcript, uniprot, repeat(substr('ACDEFGHIKL', CAST(substr(uniprot, 2) AS INT) + 1, 1), CAST(t_end AS INT)) AS q FROM segments) SELECT transcript, uniprot, CAST(1 AS BIGINT) AS t_begin, CAST(length(q) AS BIGINT) AS t_end, CAST(1 AS BIGINT) AS u_begin, CAST(length(q) AS BIGINT) AS u_end FROM s WHERE length(q) = 30", "segments")
+def exact_transcript_map(spark: SparkSession, d: str) -> DataFrame:
+    s = view(spark, d, "segments").withColumn("sequence", F.expr("repeat(substr('ACDEFGHIKL', cast(substr(uniprot, 2) as int) + 1, 1), cast(t_end as int))"))
+    return annotate.exact_transcript_map(s.select("uniprot", "transcript", F.rpad(F.substring("sequence", 1, 30), 30, "X").alias("sequence")), s.select(F.concat("transcript", F.lit(".2")).alias("transcript"), "sequence"))
+
+
+@job("SELECT pdb, uniprot, count(*) FILTER (WHERE residue_name <> 'ALA') AS n_wrong, count(*) AS n_residues, round(count(*) FILTER (WHERE residue_name <> 'ALA') / count(*), 6) AS fraction FROM placed WHERE residue_no + offset_no <= 20 GROUP BY 1, 2", "placed")
+def offset_errors(spark: SparkSession, d: str) -> DataFrame:
+    s = Steps(spark, d)
+    sequences = s.view("chains").select("uniprot", F.lit("A" * 20).alias("sequence")).distinct()
+    return structures.offset_errors(structures.residue_offsets(s.residues(), s.view("chains")), sequences).withColumn("fraction", F.round("fraction", 6))
+
+
+@job(f"WITH w AS (SELECT * FROM atoms WHERE chain = 'B' AND residue_no = 3) SELECT pdb, chain1, residue_no1, chain2, residue_no2, round(min({_ATOM}), 6) AS distance FROM (SELECT a.pdb, a.chain AS chain1, a.residue_no AS residue_no1, b.chain AS chain2, b.residue_no AS residue_no2, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS q FROM w a JOIN atoms b ON a.pdb = b.pdb AND NOT (a.chain = b.chain AND a.residue_no = b.residue_no)) GROUP BY 1,2,3,4,5 HAVING min({_ATOM}) <= 12", "atoms")
+def residues_near(spark: SparkSession, d: str) -> DataFrame:
+    a = view(spark, d, "atoms")
+    return structures.residues_near(a.filter("chain = 'B' and residue_no = 3"), a, 12.0).withColumn("distance", F.round("distance", 6))
+
+
+@job("SELECT d.drug, d.pdb, d.chain, d.residue_name AS het, h.location FROM (SELECT drug, pdb, chain, substr('ALAARGASNASPCYSGLUGLNGLYHISILE', (residue_no % 10) * 3 + 1, 3) AS residue_name FROM drugs) d LEFT JOIN (SELECT pdb, chain, residue_name, min(residue_no) AS location FROM atoms GROUP BY 1, 2, 3) h ON h.pdb = d.pdb AND h.chain = d.chain AND h.residue_name = d.residue_name", "drugs", "atoms")
+def drug_locations(spark: SparkSession, d: str) -> DataFrame:
+    targets = view(spark, d, "drugs").select("drug", "pdb", "chain", F.expr("substr('ALAARGASNASPCYSGLUGLNGLYHISILE', (residue_no % 10) * 3 + 1, 3)").alias("het"))
+    return genes.drug_locations(targets, view(spark, d, "atoms").withColumn("line_no", F.col("residue_no"))).select("drug", "pdb", "chain", "het", "location")
+
+
+@job(f"WITH {_MEMBERS}, x AS ({_drug('true').replace('WITH each_info', 'WITH each_info')}) SELECT m.cluster, x.pdb, x.drug, count(DISTINCT (x.gene, x.aa_change)) AS n_mutations, count(DISTINCT (x.chain, x.pos)) AS n_residues, array_to_string(list_sort(list(DISTINCT x.gene || ':' || x.aa_change)), '|') AS mutations FROM x JOIN m ON m.gene = x.gene AND m.mutation = x.aa_change GROUP BY 1, 2, 3", "maf", "pairs", "near", "drugs", "mut")
+def drug_structure_presence(spark: SparkSession, d: str) -> DataFrame:
+    s = Steps(spark, d)
+    pairs = search.drug_pairs(s.mutations(), s.prior(), s.view("drugs"), True).withColumnRenamed("aa_change", "mutation")
+    return report.drug_structure_presence(_gene_clusters(s), pairs)
