@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import array
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,11 +26,15 @@ from mutprox.session import cut, ship
 
 BATCH_ROWS = 512
 #: Distinct words that one worker remembers; only speed depends on it.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 900_000
 #: Pieces of one bin.
 BIN_ROWS = 40_000
 
 
+#: Plain letters, then signs: the pre-tokenizer always cuts between the two, and case does not matter to the vocabulary.
+PLAIN = re.compile(r"([A-Za-z]+)([^A-Za-z0-9\s\x80-\U0010FFFF]*)")
+
+
 class WordTokenizer:
     """Ids of a text, put together from its words: the vocabulary's pre-tokenizer never joins across a space or line end."""
 
@@ -49,10 +54,14 @@ class WordTokenizer:
             known.clear()
             known[""] = b""
             new = list(dict.fromkeys(w for words in split for w in words if w))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = array.array("I", e.ids).tobytes()
+        parts = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else (w,) for w in new]
+        ask = list(dict.fromkeys(p for word in parts for p in word if p not in known))
+        for at in range(0, len(ask), 10_000):
+            some = ask[at : at + 10_000]
+            for p, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
+                known[p] = array.array("I", e.ids).tobytes()
+        for w, word in zip(new, parts):
+            known[w] = b"".join([known[p] for p in word])
         return [b"".join([known[w] for w in words]) for words in split]
 
 

@@ -9,7 +9,7 @@ from mutprox.llm import packing
 public = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
 PATH = public.path("word_bpe_49k.json")
-PARTS = ["It's", "don't", " ", "  ", "\n", "É", "é", "́", "漢字", "1234", "...", "\t", "\x1c", " ", "İ", "Σ", "ΑΣ", "<|endoftext|>", "the", "THE ", "\r\n", "ﬁ", "&&&"]
+PARTS = ["It's", "don't", " ", "  ", "\n", "É", "é", "́", "漢字", "1234", "...", "\t", "\x1c", " ", "İ", "Σ", "ΑΣ", "<|endoftext|>", "the", "THE ", "\r\n", "ﬁ", "&&&", "word.", "Word,", "'S", "end's.", "x$$$", "<|endoftext|>."]
 
 
 def texts():
