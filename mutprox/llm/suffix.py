@@ -4,9 +4,10 @@ A string of ``window`` bytes is removed wherever an equal string starts earlier
 earlier start). Steps:
 
 1. Every window is dealt to its anchor, the smallest of its hashed 32-byte strings. Equal windows have equal anchors.
-   Only (anchor hash, document, first window, count) is shuffled; anchors seen once end here.
-2. Documents that hold a repeated anchor are met once with their text, which gives each anchor its context: the bytes
-   of its own windows. Contexts that are equal inside a task are settled there; only the earliest travels.
+   Only (anchor hash, hash of its windows' bytes, document, first window, count) is shuffled. Anchors seen once end here;
+   where the bytes are the same, all but the earliest are settled here.
+2. Documents that lose something or hold an anchor in differing contexts are met with their text, which gives each such
+   anchor its context: the bytes of its own windows.
 3. Contexts of one anchor meet in one partition. There the suffix order of all windows, cut at the window length with
    ties in text order, gives a Burrows-Wheeler transform, which is kept as runs with sampled run ends. Matching
    statistics against earlier text are streamed backwards over it: inside a run the match of the next window extends by
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mutprox.session import cut, ship
+from mutprox.session import cut, drop_cut, ship
 
 WINDOW = 100
 ANCHOR = 32
@@ -35,6 +36,9 @@ BLOCK = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
 _RANDOM = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
 _NO_ID = 2**63 - 1
+_FACTOR = 0xA0761D6478BD642F
+with np.errstate(over="ignore"):
+    _POWER, _INVERSE = (np.cumprod(np.r_[np.uint64(1), np.full(BLOCK + WINDOW * 8, np.uint64(f), np.uint64)], dtype=np.uint64) for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64)))
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +76,7 @@ def _smallest(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(text: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Anchor hash, row, first window (offset in its row) and number of neighbouring windows, for all windows of all rows."""
+    """Anchor hash, row, first window (offset in its row), number of neighbouring windows and hash of their bytes, for all windows of all rows."""
     n = len(text)
     inside = np.zeros(n + 1, np.int32)
     last = np.maximum(offsets[1:] - window + 1, offsets[:-1])
@@ -80,7 +84,7 @@ def anchors(text: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tupl
     np.add.at(inside, last, -1)
     inside = np.cumsum(inside[:-1]) > 0
     span = window - ANCHOR + 1
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, ...]] = []
     for at in range(0, n - window + 1, BLOCK):
         part = text[at : at + BLOCK + window - 1]
         h = _anchor_hash(part)
@@ -90,41 +94,95 @@ def anchors(text: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tupl
         if len(mine):
             where = where[mine]
             heads = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (np.diff(mine) != 1)])
-            found.append((h[where[heads].astype(np.int64)], mine[heads] + at, np.diff(np.r_[heads, len(mine)])))
+            count = np.diff(np.r_[heads, len(mine)])
+            found.append((h[where[heads].astype(np.int64)], mine[heads] + at, count, _context_hash(part, mine[heads], mine[heads] + count + window - 1)))
     if not found:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    h, first, count = (np.concatenate(x) for x in zip(*found))
-    # a run of windows may cross from one row to the next without a gap when a row ends exactly there: cut it
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64)
+    h, first, count, context = (np.concatenate(x) for x in zip(*found))
     row = np.searchsorted(offsets, first, "right") - 1
-    return h, row, first - offsets[row], count
+    return h, row, first - offsets[row], count, context
+
+
+def _context_hash(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each stretch, from sums of prefixes; the powers of an odd factor can be divided out."""
+    with np.errstate(over="ignore"):
+        sums = np.r_[np.uint64(0), np.cumsum(_RANDOM[text] * _POWER[: len(text)], dtype=np.uint64)]
+        return (sums[stop] - sums[start]) * _INVERSE[start]
 
 
 def _pack(mark: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """24 bits of text mark, 31 of first window, 8 of count; sorts by text mark, then place."""
+    """24 bits of text mark, 31 of first window, a bit for settled, 7 of count; sorts by text mark, then place."""
     return (mark << 39) | (first << 8) | count
 
 
+def _first(pack: np.ndarray) -> np.ndarray:
+    return (pack >> 8) & 0x7FFFFFFF
+
+
+def _count(pack: np.ndarray) -> np.ndarray:
+    return pack & 0x7F
+
+
+#: All windows of the row are known to start earlier elsewhere.
+SETTLED = 0x80
+
+
+def _later_copies(h: np.ndarray, context: np.ndarray, count: np.ndarray, doc: np.ndarray, pack: np.ndarray) -> np.ndarray:
+    """Which rows repeat the context of an earlier row among these."""
+    order = np.lexsort((pack, doc, context, h))
+    h, context, count, doc, pack = h[order], context[order], count[order], doc[order], pack[order]
+    fresh = np.r_[True, (h[1:] != h[:-1]) | (context[1:] != context[:-1]) | (count[1:] != count[:-1])]
+    lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    out = np.zeros(len(h), bool)
+    out[order] = (doc != doc[lead]) | (pack != pack[lead])
+    return out
+
+
+def _spread(doc: np.ndarray, pack: np.ndarray) -> np.ndarray:
+    return doc * 1_000_003 + (pack >> 8) * 7919
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``h, c, doc, pack``: anchor, context hash, document and place. What an earlier row of the batch settles gets a place of its own for its anchor: hot anchors stay small."""
     for b in batches:
-        h, row, first, count = anchors(*_bytes_of(b.column("text")), window)
-        doc, mark = b.column("doc").to_numpy(), b.column("mark").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[row]), pa.array(_pack(mark[row], first, count))], ["h", "doc", "pack"])
+        h, row, first, count, context = anchors(*_bytes_of(b.column("text")), window)
+        doc, mark = b.column("doc").to_numpy()[row], b.column("mark").to_numpy()[row]
+        pack, h = _pack(mark, first, count), h.view(np.int64)
+        if not len(h):
+            continue
+        later = _later_copies(h, context, count, doc, pack)
+        cols = (np.where(later, _spread(doc, pack), h), context.view(np.int64), doc, np.where(later, pack | SETTLED, pack))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "c", "doc", "pack"])
 
 
 def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Settled rows, and rows whose anchor stands in different contexts; of equal contexts all but the earliest are settled here."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
     t = pa.Table.from_batches(parts)
-    h = t.column("h").to_numpy()
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    same = s[1:] == s[:-1]
-    yield from t.take(pa.array(np.sort(order[np.r_[False, same] | np.r_[same, False]]))).combine_chunks().to_batches(1 << 16)
+    h, c, doc, pack = (t.column(k).to_numpy() for k in ("h", "c", "doc", "pack"))
+    settled = pack & SETTLED != 0
+    own = np.flatnonzero(~settled)
+    later = _later_copies(h[own], c[own], _count(pack[own]), doc[own], pack[own]) if len(own) else np.zeros(0, bool)
+    pack = pack.copy()
+    pack[own[later]] |= SETTLED
+    settled[own[later]] = True
+    first = own[~later]
+    first = first[np.lexsort((_count(pack[first]), c[first], h[first]))]
+    s = h[first]
+    new = np.r_[True, (s[1:] != s[:-1]) | (c[first][1:] != c[first][:-1]) | (_count(pack[first])[1:] != _count(pack[first])[:-1])][: len(s)]
+    kinds = np.zeros(len(s), np.int64)
+    if len(s):
+        start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        kinds = np.repeat(np.add.reduceat(new.astype(np.int64), start), np.diff(np.r_[start, len(s)]))
+    rows = np.sort(np.r_[np.flatnonzero(settled), first[kinds > 1]])
+    out = pa.Table.from_arrays([pa.array(h[rows]), pa.array(doc[rows]), pa.array(pack[rows])], ["h", "doc", "pack"])
+    yield from out.to_batches(1 << 16)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Contexts of repeated anchors; within the batch, equal contexts that come later are settled (null context)."""
+    """Contexts of rows that are not settled; equal contexts that come later in the batch have a null one."""
     for b in batches:
         text, offsets = _bytes_of(b.column("text"))
         lists = b.column("found")
@@ -132,17 +190,23 @@ def _contexts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
         h, pack = flat.field("h").to_numpy(), flat.field("pack").to_numpy()
         doc = np.repeat(b.column("doc").to_numpy(), lists.value_lengths().to_numpy())
         row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
-        start = offsets[row] + ((pack >> 8) & 0x7FFFFFFF)
-        stop = start + (pack & 0xFF) + window - 1
+        start = offsets[row] + _first(pack)
+        stop = start + _count(pack) + window - 1
         raw = text.tobytes()
         earliest: dict[bytes, tuple[int, int]] = {}
-        found = [raw[a:z] for a, z in zip(start.tolist(), stop.tolist())]
-        keys = list(zip(doc.tolist(), pack.tolist()))
-        for c, k in zip(found, keys):
+        sent: list[bytes | None] = [None] * len(h)
+        asked = np.flatnonzero(pack & SETTLED == 0).tolist()
+        for i, a, z, k in zip(asked, start[asked].tolist(), stop[asked].tolist(), zip(doc[asked].tolist(), pack[asked].tolist())):
+            c = sent[i] = raw[a:z]
             if k < earliest.setdefault(c, k):
                 earliest[c] = k
-        sent = [c if earliest[c] == k else None for c, k in zip(found, keys)]
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(pack), pa.array(sent, pa.binary())], ["h", "doc", "pack", "context"])
+        for i, k in zip(asked, zip(doc[asked].tolist(), pack[asked].tolist())):
+            if earliest[sent[i]] != k:
+                sent[i] = None
+        if asked:
+            h, doc, pack, sent = h[asked], doc[asked], pack[asked], [sent[i] for i in asked]
+            h = np.where([c is None for c in sent], _spread(doc, pack), h)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(pack), pa.array(sent, pa.binary())], ["h", "doc", "pack", "context"])
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
@@ -211,8 +275,7 @@ def _marked(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
     def whole(rows: list[tuple[int, int]]) -> None:
         if rows:
             doc, pack = (np.array(x, np.int64) for x in zip(*rows))
-            first = (pack >> 8) & 0x7FFFFFFF
-            out(doc, pack, first, first + (pack & 0xFF) + window - 1)
+            out(doc, pack, _first(pack), _first(pack) + _count(pack) + window - 1)
 
     for b in batches:
         gone = []
@@ -236,7 +299,7 @@ def _marked(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         text = np.frombuffer(b"".join(c for _, c in rows), np.uint8)
         sizes = np.array([len(c) for _, c in rows])
         doc, pack = (np.array(x, np.int64) for x in zip(*(k for k, _ in rows)))
-        count, base = pack & 0xFF, np.cumsum(sizes) - sizes
+        count, base = _count(pack), np.cumsum(sizes) - sizes
         own = np.repeat(np.arange(len(rows)), count)
         place = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
         at = base[own] + place
@@ -246,21 +309,24 @@ def _marked(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         if len(own):
             heads = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (np.diff(place) != 1)])
             tails = np.r_[heads[1:], len(own)] - 1
-            first = ((pack >> 8) & 0x7FFFFFFF)[own[heads]]
+            first = _first(pack)[own[heads]]
             out(doc[own[heads]], pack[own[heads]], first + place[heads], first + place[tails] + window)
     if docs:
         names = ["doc", "mark", "start", "stop"]
         yield from pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in (docs, packs, starts, stops)], names).to_batches(1 << 16)
 
 
-def _rest(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    """What is left of each document."""
+def _rest(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
+    """What is left of each document, without its settled windows and the stretches found in step 3."""
     for b in batches:
         rows = []
-        for text, cuts in zip(b.column("text").to_pylist(), b.column("cuts").to_pylist()):
+        for text, found, cuts in zip(b.column("text").to_pylist(), b.column("found"), b.column("cuts").to_pylist()):
             raw, at, removed, spans, left = text.encode(), 0, 0, 0, []
             end = -1
-            for c in sorted((c["start"], c["stop"]) for c in cuts):
+            pack = found.values.field("pack").to_numpy()
+            pack = pack[pack & SETTLED != 0]
+            whole = zip(_first(pack).tolist(), (_first(pack) + _count(pack) + window - 1).tolist())
+            for c in sorted([*whole, *((c["start"], c["stop"]) for c in cuts or [])]):
                 if c[0] > end:
                     left.append(raw[max(at, 0) : c[0]])
                     spans += 1
@@ -285,15 +351,16 @@ def _touched(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     spark = ship(docs.sparkSession)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    every = docs.mapInArrow(lambda it: _anchor_rows(it, window), "h long, doc long, pack long")
+    every = docs.mapInArrow(lambda it: _anchor_rows(it, window), "h long, c long, doc long, pack long")
     repeated = cut(every.repartition(n, "h").mapInArrow(_repeated_rows, "h long, doc long, pack long"))
     lists = repeated.groupBy("doc", F.shiftright("pack", 39).alias("mark")).agg(F.collect_list(F.struct("h", "pack")).alias("found"))
     held = cut(docs.join(lists, ["doc", "mark"]))
+    drop_cut(repeated)
     met = held.mapInArrow(lambda it: _contexts(it, window), "h long, doc long, pack long, context binary")
     cuts = met.repartition(n, "h").mapInArrow(lambda it: _marked(it, window), "doc long, mark long, start long, stop long")
     cuts = cut(cuts.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")))
-    return held.drop("found").join(cuts, ["doc", "mark"]).mapInArrow(
-        lambda it: _rest(it, with_text), "doc long, mark long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    return held.join(cuts, ["doc", "mark"], "left").mapInArrow(
+        lambda it: _rest(it, window, with_text), "doc long, mark long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     ).dropDuplicates(["doc", "mark"])
 
 

@@ -69,7 +69,7 @@ def test_blocks_and_rows_do_not_hide_windows(monkeypatch):
     want = {(r, p) for r in range(6) for p in range(offsets[r + 1] - offsets[r] - 99)}
     for block in (1 << 19, 700):
         monkeypatch.setattr(suffix, "BLOCK", block)
-        h, row, first, count = suffix.anchors(text, offsets)
+        _, row, first, count, _ = suffix.anchors(text, offsets)
         got = [(int(r), int(f + k)) for r, f, c in zip(row, first, count) for k in range(c)]
         assert len(got) == len(set(got)) and set(got) == want
 
