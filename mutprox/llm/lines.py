@@ -4,7 +4,8 @@ A line is boilerplate of a site when the pages of the site that contain it, divi
 Lines are counted by a 128-bit hash, each once per page, and summed before they are shuffled; lines on too few pages
 drop out before site totals are joined. A site keeps at most (lines per page / ratio) boilerplate lines, so its list
 stays small however many pages it has, and meets the pages in one join that adaptive execution can split for a hot site.
-Built-in functions only.
+Documents of a source are counted once for each distinct text, so that copies of a whole document do not make its lines
+boilerplate; pages of a site are counted as they stand, as the checking SQL does. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -41,22 +42,30 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit("line"), bare).alias("b"))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``site, common``: the hashes of each site's boilerplate lines. ``pages``: site, lines."""
+def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
+    """``site, common``: the hashes of each site's boilerplate lines. ``pages``: site, lines.
+
+    Without ``copies`` pages of a site with equal lines are one page, in the counts of lines and in the total.
+    """
     sound = pages.filter(F.col("site").isNotNull())
+    sound = sound.withColumn("keys", F.array_distinct(F.transform(F.filter("lines", lambda x: F.trim(x) != ""), _key)))
+    if not copies:
+        page = F.struct(F.xxhash64("lines").alias("a"), F.xxhash64(F.lit("page"), "lines").alias("b"), F.size("lines").alias("n"))
+        sound = sound.groupBy("site", page.alias("page")).agg(F.first("keys").alias("keys"))
     totals = sound.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages"))
-    each = sound.select("site", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: F.trim(x) != ""), _key))).alias("line"))
+    each = sound.select("site", F.explode("keys").alias("line"))
     counts = each.groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     common = counts.join(totals, "site").filter(F.col("n") > F.col("n_pages") * F.lit(ratio))
     return common.groupBy("site").agg(F.collect_set("line").alias("common"))
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """``pages`` (with ``site`` and ``lines``) and ``kept_lines``: the lines that are not boilerplate of their site.
 
-    Pages without a site, or whose lines are null, keep what they have. Blank lines stay. A repeated page counts as a page.
+    Pages without a site, or whose lines are null, keep what they have. Blank lines stay. A repeated page counts as a page
+    with ``copies`` only.
     """
-    common = boilerplate(pages.select("site", "lines"), ratio, min_pages).withColumnRenamed("site", "__site")
+    common = boilerplate(pages.select("site", "lines"), ratio, min_pages, copies).withColumnRenamed("site", "__site")
     met = pages.join(common, pages["site"] == F.col("__site"), "left")
     rest = F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("common"), _key(x)))
     return met.withColumn("kept_lines", F.when(F.col("common").isNull(), F.col("lines")).otherwise(rest)).drop("__site", "common")
@@ -72,9 +81,12 @@ def page_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
 
 
 def drop_site_lines(docs: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` without the boilerplate lines of their source; columns as given, ``n_chars`` (if there) counted again where lines went."""
+    """``docs`` without the boilerplate lines of their source; columns as given, ``n_chars`` (if there) counted again where lines went.
+
+    A text that a source repeats counts once: which of the copies stays is for the near-duplicate stage to say.
+    """
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col(site_col).alias("site"), text_lines(F.col(text_col)).alias("lines"))
-    rest = drop_boilerplate(own, ratio, min_pages).withColumn("text", F.when(F.size("kept_lines") < F.size("lines"), F.array_join("kept_lines", "\n")))
+    rest = drop_boilerplate(own, ratio, min_pages, copies=False).withColumn("text", F.when(F.size("kept_lines") < F.size("lines"), F.array_join("kept_lines", "\n")))
     cols = [F.coalesce("text", f"row.{c}").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns]
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

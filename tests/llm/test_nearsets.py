@@ -63,3 +63,14 @@ def test_one_large_group_and_odd_rows(spark):
 
 def test_empty(spark):
     assert nearsets.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copies_outlive_line_dedup(spark):
+    from mutprox.llm import lines
+
+    text = "first line of the copy\nsecond line of the copy"
+    rows = [(i, text, "s") for i in range(30)] + [(100 + i, f"foot\nown line {i}", "s") for i in range(60)]
+    out = lines.drop_site_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert all(got[i] == text for i in range(30)) and all(got[100 + i] == f"own line {i}" for i in range(60))
+    assert {r["text"] for r in nearsets.keep_one(out).collect() if r["doc_id"] < 100} == {text}
