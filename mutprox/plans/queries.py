@@ -430,7 +430,7 @@ def reachability_islands(spark: SparkSession, d: str) -> DataFrame:
 
 @job()
 def membership_probability(spark: SparkSession, d: str) -> DataFrame:
-    n = Density(spark, d, runs=4)
+    n = Density(spark, d, runs=10)
     return density.membership_probability(n.order, density.density_clusters(n.order.filter("run = 0")))
 
 
@@ -474,7 +474,7 @@ def cluster_significance(spark: SparkSession, d: str) -> DataFrame:
     prox = cut(s.prox())
     proteins = prox.select(F.concat(F.lit("G"), F.substring("uniprot1", 2, 9)).alias("cluster"), F.col("uniprot1").alias("uniprot"), F.lit(True).alias("is_first")).distinct()
     best = prox.groupBy(F.concat(F.lit("G"), F.substring("uniprot1", 2, 9)).alias("cluster")).agg(F.min("pdb").alias("pdb"))
-    return stats.cluster_significance(stats.within_cluster_distance(_gene_clusters(s).withColumn("weight", F.lit(1.0)), _pair_rows(s), best), stats.background_distances(prox, proteins, best), 2000, 500)
+    return stats.cluster_significance(stats.within_cluster_distance(_gene_clusters(s), _pair_rows(s), best), stats.background_distances(prox, proteins, best))
 
 
 @job()
