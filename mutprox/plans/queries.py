@@ -29,16 +29,20 @@ def job(body: str | None = None, *names: str) -> Callable:
 
 
 class Steps:
-    """The chain from views to pairs; each step is declared once and planned by whoever asks for it."""
+    """The chain from views to pairs; each step is declared once and planned by whoever asks for it.
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    The checking SQL cuts distances at 20, so this is the default; the reference ranks them up to 100.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, max_distance: float = 20.0) -> None:
         self.view = lambda name: view(spark, sf_dir, name)
+        self.max_distance = max_distance
 
     def residues(self) -> DataFrame:
         return structures.residue_centroids(self.view("atoms"))
 
     def prox(self) -> DataFrame:
-        return structures.residue_distances(self.residues(), self.view("chains"), max_distance=20.0)
+        return structures.residue_distances(self.residues(), self.view("chains"), max_distance=self.max_distance)
 
     def prox_p(self) -> DataFrame:
         return annotate.empirical_p_values(self.prox())
@@ -470,7 +474,7 @@ def background_distances(spark: SparkSession, d: str) -> DataFrame:
 def cluster_significance(spark: SparkSession, d: str) -> DataFrame:
     from mutprox.session import cut
 
-    s = Steps(spark, d)
+    s = Steps(spark, d, 100.0)
     prox = cut(s.prox())
     proteins = prox.select(F.concat(F.lit("G"), F.substring("uniprot1", 2, 9)).alias("cluster"), F.col("uniprot1").alias("uniprot"), F.lit(True).alias("is_first")).distinct()
     best = prox.groupBy(F.concat(F.lit("G"), F.substring("uniprot1", 2, 9)).alias("cluster")).agg(F.min("pdb").alias("pdb"))

@@ -23,12 +23,14 @@ def test_query_keeps_weights_and_simulations(spark, monkeypatch):
 
     def watch(observed, background, *args, **kwargs):
         seen["mass"] = observed.select("cluster", "mass").collect()
+        seen["far"] = background.filter("distance > 20").count()
         return plain(observed, background, *args, **kwargs)
 
     monkeypatch.setattr(stats, "cluster_significance", watch)
     found = queries.QUERIES["cluster_significance"](spark, SMALL).collect()
     calls = queries.view(spark, SMALL, "maf").filter("classification <> 'Silent'").groupBy("gene").count().collect()
     assert {r["cluster"]: r["mass"] for r in seen["mass"]} == {r["gene"]: r["count"] for r in calls}
+    assert seen["far"] > 0  # the background holds all distances of the structure
     assert {r["n_sims"] for r in found if r["p_value"] is not None} == {1_000_000}
 
 
