@@ -1,8 +1,8 @@
 """Quality rules as a bitmask ledger.
 
-Every rule is evaluated once for each document: the ledger keeps the measurements and one long of failure bits. Policies
-are versioned sets of rules; applying one, or asking what it would keep without one of its rules, only reads the bits.
-Built-in functions only; nothing is shuffled but the one-row ablation counts.
+Every rule is evaluated once for each document: the ledger, a written table, keeps the measurements and one long of
+failure bits. Policies are versioned sets of rules; applying one, or asking what it would keep without one of its rules,
+only reads the stored bits. Built-in functions only; nothing is shuffled but the one-row ablation counts.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mutprox.session import cut
+
 #: Words are what lies between space, tab, line feed, vertical tab, form feed and carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -81,26 +83,36 @@ def repeat_words(words: Column, width: int = REPEAT) -> Column:
     return F.when(n < 2, F.lit(0).cast("long")).otherwise(some)
 
 
+def measurements(text: Column) -> Column:
+    """A struct of everything the rules look at. Words and lines are cut out once and used inside one lambda, so that no rewriting of the plan can repeat that."""
+    t = F.coalesce(text, F.lit(""))
+    words = F.array_remove(F.split(t, SPACES), "")
+    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != "")
+    return _once(
+        F.struct(t.alias("t"), words.alias("w"), lines.alias("l")),
+        lambda s: F.struct(
+            F.size(s["w"]).cast("long").alias("n_words"),
+            F.length(F.translate(s["t"], " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
+            (F.length(s["t"]) - F.length(F.translate(s["t"], SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            (F.size(s["l"]) - F.size(F.array_distinct(s["l"]))).cast("long").alias("n_dup_lines"),
+            repeat_words(s["w"]).alias("n_repeat_words"),
+            F.size(s["l"]).cast("long").alias("n_lines"),
+            F.regexp_count(s["t"], F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+            F.regexp_count(s["t"], F.lit(r"\p{L}")).cast("long").alias("n_letters"),
+        ),
+    )
+
+
 def ledger(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, every measurement, and ``failed``: the bits of the rules that the row fails.
+    """The columns ``keep``, every measurement, and ``failed``: the bits of the rules that the row fails. Written once, read from then on.
 
-    A null text has no words, symbols or lines. Rows are judged one by one: ties, repeated rows and null ids change nothing.
+    A null text has no words, symbols or lines. Rows are judged one by one: ties, repeated rows and null ids change
+    nothing, an empty table gives an empty ledger, and a text of any length is one cell.
     """
-    body = docs.select(*[F.col(c).alias(f"__{c}") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    parts = body.withColumn("w", F.array_remove(F.split("t", SPACES), "")).withColumn("l", F.filter(F.split("t", "\n"), lambda x: F.translate(x, " \t\n\x0b\f\r", "") != ""))
-    measured = parts.select(
-        *[F.col(f"__{c}").alias(c) for c in keep],
-        F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate("t", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("w")).alias("n_repeat_words"),
-        F.size("l").cast("long").alias("n_lines"),
-        F.regexp_count("t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        F.regexp_count("t", F.lit(r"\p{L}")).cast("long").alias("n_letters"),
-    )
-    bits = sum((F.when(F.expr(r.fails), F.lit(r.mask)).otherwise(F.lit(0)).cast("long") for r in RULES[1:]), F.when(F.expr(RULES[0].fails), F.lit(RULES[0].mask)).otherwise(F.lit(0)).cast("long"))
-    return measured.withColumn("failed", bits)
+    measured = docs.select(*[F.col(c).alias(f"__{c}") for c in keep], measurements(F.col(text_col)).alias("m"))
+    measured = measured.select(*[F.col(f"__{c}").alias(c) for c in keep], "m.*")
+    bits = [F.when(F.expr(r.fails), F.lit(r.mask)).otherwise(F.lit(0)).cast("long") for r in RULES]
+    return cut(measured.withColumn("failed", sum(bits[1:], bits[0])))
 
 
 def passes(policy: str = CURRENT, failed: Column | str = "failed") -> Column:
@@ -129,7 +141,11 @@ def verdicts(docs: DataFrame, policy: str = CURRENT, id_col: str = "doc_id", tex
 
 
 def keep_good(docs: DataFrame, policy: str = CURRENT, text_col: str = "text") -> DataFrame:
-    """The rows that pass the base rules and the policy, columns as given."""
+    """The rows that pass the base rules and the policy, columns as given.
+
+    The ledger holds each row beside its bits. A null or empty text fails; null ids, ties and repeated rows are judged one
+    by one; an empty table gives none.
+    """
     whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("body"))
     return ledger(whole, "body", ("row",)).filter(passes("base-1") & passes(policy)).select("row.*")
 
@@ -163,3 +179,13 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failed = 0 AS kept, failed FROM b
 """
+
+ABLATIONS = f"""
+WITH entries AS ({ORACLE}), asked AS (
+  SELECT * FROM (VALUES {", ".join(f"('{p}', '{r.name}', {mask}, {r.mask})" for p, mask in POLICIES.items() for r in RULES if r.mask & mask)}) AS v(policy, rule, policy_bits, rule_bit)
+)
+SELECT policy, rule, CAST(count(*) FILTER (WHERE failed & rule_bit = rule_bit) AS BIGINT) AS n_failed,
+       CAST(count(*) FILTER (WHERE failed & policy_bits = rule_bit) AS BIGINT) AS n_only,
+       CAST(count(*) FILTER (WHERE failed & policy_bits = 0) AS BIGINT) AS n_kept
+FROM asked LEFT JOIN entries ON true GROUP BY policy, rule
+"""

@@ -63,12 +63,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+@query
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy keeps out, alone and at all, from the stored bits."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.page_lines(table(spark, sf_dir, "pages"))
 
 
 ORACLE_SQL |= {"op1_chat_format": chat.ORACLE, "op2_quality_rules": quality.ORACLE, "op5_line_dedup": lines.ORACLE}
+ORACLE_SQL["quality_ablations"] = quality.ABLATIONS
 
 
 @query

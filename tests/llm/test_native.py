@@ -1,5 +1,8 @@
 """Chat collapse, quality ledger and line dedup on small tables with the awkward cases, against their SQL or by hand."""
 
+import random
+import time
+
 import duckdb
 import pandas as pd
 
@@ -54,6 +57,27 @@ def test_ablations(spark):
     assert {r["n_kept"] for r in quality.ablations(entries.limit(0)).collect()} == {0}
 
 
+def test_ledger_is_written_once(spark):
+    """No plan behind the ledger splits a text again, and a long text costs no more than its length."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(100_000)]
+    df = spark.createDataFrame([(1, " ".join(words), "en", 5, "clash"), (2, "again and " * 50_000, "en", 5, "clash")], DOCS)
+    began = time.time()
+    kept = quality.keep_good(df)
+    assert [r["doc_id"] for r in kept.collect()] == [1]
+    assert time.time() - began < 60
+    assert "split(" not in kept._jdf.queryExecution().toString()
+    assert {r["doc_id"]: r["n_repeat_words"] for r in quality.verdicts(df).collect()}[2] == 100_000
+
+
+def test_ablation_sql(spark):
+    rows = [(i, t) for i, t in enumerate(TEXTS)]
+    df = spark.createDataFrame([(*r, "en", 5, "clash") for r in rows], DOCS)
+    kinds = [("doc_id", "BIGINT"), ("text", "VARCHAR")]
+    same(quality.ablations(quality.ledger(df)), sql(quality.ABLATIONS, documents=(rows, kinds)))
+    same(quality.ablations(quality.ledger(df.limit(0))), sql(quality.ABLATIONS, documents=([], kinds)))
+
+
 def page_rows():
     foot = "<footer>&copy; us &amp; them</footer>"
     rows = [(i, f"https://A.example.org/{i}", f"<p>unique {i}</p><script>x()</script><br>{foot}<!-- c --><p> </p>") for i in range(8)]
