@@ -56,6 +56,7 @@ def test_one_large_group_and_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     assert {r["id"]: r["keep"] for r in nearsets.near_classes(docs).collect()} == want
+    assert {r["id"]: r["keep"] for r in nearsets.near_classes(docs, tile=7).collect()} == want
     more = docs.unionByName(spark.createDataFrame([(None, "one two"), (100, "one two")], docs.schema))
     kept = [r["doc_id"] for r in nearsets.keep_one(more).collect()]
     assert kept.count(None) == 1 and kept.count(100) == 2  # the other text of id 100 is no copy
