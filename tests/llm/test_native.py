@@ -104,6 +104,23 @@ def test_document_lines(spark):
     assert got[50]["text"] is None and got[51]["text"] == ""
 
 
+def test_lists_beyond_the_broadcast(spark):
+    """With no room for a broadcast, and one site that holds most pages, the result is the same."""
+    rows = page_rows() + [(100 + i, "https://hot.example/", f"<p>own {i}</p><p>all of us</p>") for i in range(60)]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], PAGES)
+    near, far = lines.page_lines(df), lines.page_lines(df, broadcast=0)
+    assert sorted(map(str, far.collect())) == sorted(map(str, near.collect()))
+    assert "__salt" in far._jdf.queryExecution().toString() and {r["n_dropped"] for r in far.collect() if r["page_id"] >= 100} == {1}
+
+
+def test_long_page_and_document(spark):
+    long = "\n".join(f"line {i % 1000}" for i in range(50_000))
+    df = spark.createDataFrame([(i, None, f"<p>{long}</p>", "", "") for i in range(2)], PAGES)
+    assert [r["n_lines"] for r in lines.page_lines(df).collect()] == [50_000] * 2
+    docs = spark.createDataFrame([(1, long, "s"), (2, None, None)], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["text"] for r in lines.drop_site_lines(docs).collect()} == {1: long, 2: None}
+
+
 def turn_rows():
     base = [("system", "be kind"), ("user", "hi"), ("assistant", "hello"), ("user", None), (None, "odd <|im_end|> text")]
     rows = []
