@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mutprox.llm.simhash import merge
+from mutprox.llm.tokens import slices
 from mutprox.operators.components import connected_components
 from mutprox.session import cut, ship
 
@@ -56,7 +57,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def _slabs(batches, least: float, blocks: int):  # noqa: ANN001, ANN202
     """The slab of each row in each block; rows of one batch may differ in length."""
-    for b in batches:
+    for b in slices(batches, 4096):
         sizes = b.column("dim").to_numpy()
         out: list[list[int]] = [[]] * b.num_rows
         for dim in np.unique(sizes):
@@ -71,10 +72,11 @@ def _slabs(batches, least: float, blocks: int):  # noqa: ANN001, ANN202
 
 
 def _tile_links(table: pa.Table, least: float, blocks: int) -> pa.Table:
-    """Links of one pair of tiles: rows ``(a, null, links)`` and forest edges ``(a, b, 0)``."""
+    """Links of one pair of tiles: rows ``(h1, h2, a, null, links)`` and forest edges ``(h1, h2, a, b, 0)``; h1, h2 name the vector, a its id."""
     side, block = table.column("side").to_numpy(), table.column("block")[0].as_py()
     alone = table.column("kind")[0].as_py() == 0 and table.column("i")[0].as_py() == table.column("j")[0].as_py()
     rep, weight, raw = table.column("rep").to_numpy(), table.column("cnt").to_numpy(), _matrix(table.column("vec"))
+    keys = [table.column(c).to_numpy() for c in ("h1", "h2")]
     left = np.flatnonzero(side == 0)
     right = left if alone else np.flatnonzero(side == 1)
     links, parent = np.zeros(len(rep), np.int64), np.arange(len(rep))
@@ -104,9 +106,10 @@ def _tile_links(table: pa.Table, least: float, blocks: int) -> pa.Table:
                 np.add.at(links, b, weight[a])
                 merge(parent, a, b)
     hit, moved = np.flatnonzero(links), np.flatnonzero(parent != np.arange(len(rep)))
-    a = np.r_[rep[hit], rep[moved]]
+    a, both = np.r_[rep[hit], rep[moved]], np.r_[hit, moved]
     b = pa.array([None] * len(hit) + rep[parent[moved]].tolist(), pa.int64())
-    return pa.table([pa.array(a, pa.int64()), b, pa.array(np.r_[links[hit], np.zeros(len(moved), np.int64)])], ["a", "b", "n"])
+    counts = pa.array(np.r_[links[hit], np.zeros(len(moved), np.int64)])
+    return pa.table([*(pa.array(k[both]) for k in keys), pa.array(a, pa.int64()), b, counts], ["h1", "h2", "a", "b", "n"])
 
 
 def sound(vec: Column) -> Column:
@@ -116,20 +119,19 @@ def sound(vec: Column) -> Column:
 
 
 def links(reps: DataFrame, least: float, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
-    """``reps``: rep, grp, vec, dim, cnt with distinct vectors. ``(a, null, n)`` link counts and ``(a, b, 0)`` edges."""
-    spark = ship(reps.sparkSession)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    """``reps``: h1, h2, rep, grp, vec, dim, cnt with distinct vectors. Rows as from :func:`_tile_links`."""
+    ship(reps.sparkSession)
     kind = reps.schema["vec"].dataType.simpleString()
-    cols = f"rep long, grp {reps.schema['grp'].dataType.simpleString()}, vec {kind}, dim int, cnt long"
-    placed = cut(reps.select("rep", "grp", "vec", "dim", "cnt").mapInArrow(lambda it: _slabs(it, least, blocks), f"{cols}, slabs array<long>"))
-    wide = placed.select("rep", "grp", "vec", "dim", "cnt", F.posexplode("slabs").alias("block", "slab"))
+    cols = f"h1 long, h2 long, rep long, grp {reps.schema['grp'].dataType.simpleString()}, vec {kind}, dim int, cnt long"
+    placed = cut(reps.select("h1", "h2", "rep", "grp", "vec", "dim", "cnt").mapInArrow(lambda it: _slabs(it, least, blocks), f"{cols}, slabs array<long>"))
+    wide = placed.select("h1", "h2", "rep", "grp", "vec", "dim", "cnt", F.posexplode("slabs").alias("block", "slab"))
     tiles = wide.groupBy("grp", "dim", "block", "slab").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("g"))
     at = ["grp", "dim", "block", "slab"]
     around = (
         tiles.join(tiles.withColumn("slab", F.col("slab") - 1).withColumnRenamed("g", "g_next"), at, "left")
         .join(tiles.withColumn("slab", F.col("slab") + 1).withColumnRenamed("g", "g_prev"), at, "left")
     )
-    own = wide.join(around, at).withColumn("t", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+    own = wide.join(around, at).withColumn("t", F.pmod(F.xxhash64("h1", "h2"), F.col("g")).cast("int"))
     upto = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
     zero, one = F.lit(0), F.lit(1)
     place = lambda slab, kind, i, j, side: F.struct(slab.alias("slab"), kind.alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
@@ -137,8 +139,8 @@ def links(reps: DataFrame, least: float, blocks: int = BLOCKS, tile: int = TILE)
     inside = F.transform(upto(F.col("g")), lambda j: place(s, zero, F.least(t, j), F.greatest(t, j), F.when(t <= j, zero).otherwise(one)))
     ahead = F.transform(upto(F.col("g_next")), lambda j: place(s, one, t, j, zero))
     behind = F.transform(upto(F.col("g_prev")), lambda j: place(s - 1, one, j, t, one))
-    dealt = own.select("rep", "grp", "vec", "dim", "cnt", "block", F.explode(F.concat(inside, ahead, behind)).alias("x")).select("rep", "grp", "vec", "dim", "cnt", "block", "x.*")
-    return dealt.groupBy("grp", "dim", "block", "slab", "kind", "i", "j").applyInArrow(lambda t: _tile_links(t, least, blocks), "a long, b long, n long")
+    dealt = own.select("h1", "h2", "rep", "grp", "vec", "dim", "cnt", "block", F.explode(F.concat(inside, ahead, behind)).alias("x")).select("h1", "h2", "rep", "grp", "vec", "dim", "cnt", "block", "x.*")
+    return dealt.groupBy("grp", "dim", "block", "slab", "kind", "i", "j").applyInArrow(lambda t: _tile_links(t, least, blocks), "h1 long, h2 long, a long, b long, n long")
 
 
 def near_vectors(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", tile: int = TILE) -> DataFrame:
@@ -146,7 +148,7 @@ def near_vectors(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec
 
     Vectors link when their labels are equal and not null and their cosine is ``least`` or more. Null, zero and broken
     vectors, and rows without an id, link with nothing; vectors of different length do not link. Rows that repeat an id
-    count as vectors of their own. An empty table gives an empty result.
+    count as vectors of their own (they share a component, as their id is one vertex). An empty table gives an empty result.
     """
     vec = F.col(vec_col)
     own = df.select(
@@ -156,9 +158,9 @@ def near_vectors(df: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec
     reps = own.filter("ok").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("cnt"), F.first("grp").alias("grp"), F.first("vec").alias("vec"))
     reps = cut(reps.withColumn("dim", F.size("vec")))
     found = cut(links(reps, least, tile=tile))
-    counts = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("n"))
+    counts = found.filter("b is null").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
     classes = connected_components(found.filter("b is not null").select("a", "b"))
-    named = reps.join(counts, reps["rep"] == counts["a"], "left").join(classes, reps["rep"] == classes["node"], "left")
+    named = reps.join(counts, ["h1", "h2"], "left").join(classes, reps["rep"] == classes["node"], "left")
     named = named.select("h1", "h2", (F.col("cnt") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = own.filter("ok").select("id", "h1", "h2").join(named, ["h1", "h2"]).select("id", "n_links", "component_id")
     rest = own.filter("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"))

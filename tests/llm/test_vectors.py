@@ -44,6 +44,12 @@ def test_matches_brute_force(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_different_vectors_under_one_id(spark):
+    near = [(i, [1.0, 0.01 * i, 0.0], 0, "") for i in (7, 8, 9)]
+    df = spark.createDataFrame([*near, (7, [0.0, 0.0, 1.0], 0, "")], SCHEMA)
+    assert sorted((r["vec_id"], r["n_links"]) for r in vectors.near_vectors(df).collect()) == [(7, 0), (7, 2), (8, 2), (9, 2)]
+
+
 def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, [1.0, 1.0], 0, ""), (1, [1.0, 1.0], 0, ""), (None, [1.0, 1.0], 0, ""), (5, [2.0, 2.0], 0, "")], SCHEMA)
     got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in vectors.near_vectors(df).collect())
