@@ -7,24 +7,29 @@ windows of fixed width, laid side by side, so that one step of the recurrence se
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mutprox.llm.suffix import _bytes_of
+from mutprox.llm.tokens import slices
 from mutprox.session import ship
 
 UNKNOWN = "und"
 BATCH_ROWS = 512
 #: Bytes of a window in prediction, windows laid side by side.
 WIDTH, LANES = 128, 2048
-LETTER = re.compile(r"[^\W\d_]")
+#: Shares of a language that are ranked apart before its sample is drawn.
+SHARES = 64
+#: Unicode letters (category L); other word characters, such as superscript digits or Roman numerals, are none.
+LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
@@ -142,29 +147,38 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 == 1
 
 
-def train(docs: DataFrame, learn: Column, how: Training = Training(), text_col: str = "text", lang_col: str = "lang") -> Network | None:
+def _first_rows(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows of each ``lang`` with the smallest ``x``: first inside each hashed share of a language, then over the shares."""
+    best = lambda by: F.row_number().over(W.partitionBy(*by).orderBy("x"))
+    shares = rows.withColumn("share", F.pmod(F.xxhash64("x.draw"), F.lit(SHARES)))
+    some = shares.withColumn("r", best(["lang", "share"])).filter(F.col("r") <= most)
+    return some.withColumn("r", best(["lang"])).filter(F.col("r") <= most).select("lang", "x")
+
+
+def train(docs: DataFrame, learn: Column, how: Training = Training(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Fit a network on a bounded sample of the rows where ``learn`` holds and language and text are there; None if there is none.
 
-    The sample is spread over all such rows by a hash of the text; of each row some windows are drawn, anywhere in it.
+    Of each language the ``rows_per_language`` rows with the smallest hash of id and text are taken, however many there
+    are, so that neither copies nor the order of the table can push others out; of each row some windows are drawn,
+    anywhere in it.
     """
-    sound = docs.filter(learn).filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["count"] for r in sound.groupBy("lang").count().collect()}
-    if not counts:
-        return None
-    labels = sorted(counts)
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(1_000_000 * min(1.0, how.rows_per_language / n)))])
+    sound = docs.filter(learn).filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("draw"))
     place = lambda k: F.substring("text", (F.pmod(F.xxhash64("text", F.lit(k)), F.greatest(F.lit(1), F.length("text") - how.width)) + 1).cast("int"), F.lit(how.width))
-    sample = sound.filter(draw < share[F.col("lang")]).select("lang", F.array(*[place(k) for k in range(how.windows_per_row)]).alias("parts"))
-    rows = sample.limit(2 * how.rows_per_language * len(labels)).collect()
-    if not rows:
-        rows = sound.select("lang", F.array(place(0)).alias("parts")).limit(how.rows_per_language).collect()
+    windows_of = F.array(*[place(k) for k in range(how.windows_per_row)])
+    # the first rows of each language in the order of a hash of id and text; tasks keep no more than that many themselves
+    order = F.struct("draw", windows_of.alias("parts"))
+    rows = []
+    labels = sorted(r["lang"] for r in sound.groupBy("lang").count().collect())
+    if not labels:
+        return None
+    for k, found in _first_rows(sound.select("lang", order.alias("x")), how.rows_per_language).collect():
+        rows.append((k, found["parts"]))
     windows = []
-    for r in rows:
-        for part in r["parts"]:
+    for lang, parts in rows:
+        for part in parts:
             raw = part.encode()[: how.width]
             raw = (raw * -(-how.width // len(raw)))[: how.width]
-            windows.append((np.frombuffer(raw, np.uint8), labels.index(r["lang"])))
+            windows.append((np.frombuffer(raw, np.uint8), labels.index(lang)))
     windows.sort(key=lambda x: (x[1], zlib.crc32(x[0].tobytes()), x[0].tobytes()))
     net = Network(labels, how.hidden, how.seed)
     net.fit(windows, how)
@@ -195,7 +209,7 @@ def pooled(net: Network, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _predict(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, BATCH_ROWS):
         texts = b.column("text")
         if net is None:
             lang, score = [UNKNOWN] * b.num_rows, [0.0] * b.num_rows
@@ -213,9 +227,8 @@ def identify(docs: DataFrame, how: Training = Training(), id_col: str = "doc_id"
 
     Null text and text without a letter give ``und`` with score 0, as does everything where nothing could be learned.
     """
-    spark = ship(docs.sparkSession)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    net = train(docs, ~held_out(id_col), how, text_col, lang_col)
+    ship(docs.sparkSession)
+    net = train(docs, ~held_out(id_col), how, id_col, text_col, lang_col)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(lambda it: _predict(it, net), f"id {kind}, held_out boolean, lang_pred string, score double")

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from mutprox.llm import langid
 
@@ -62,3 +63,20 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(r["lang_pred"], r["score"]) for r in langid.identify(df).collect()] == [("und", 0.0)]
     assert langid.identify(df.limit(0)).count() == 0
+
+
+def test_letters_are_category_l(spark):
+    known = [(10 + i, f"the and of {i} " * 30, "en") for i in range(9)] + [(30 + i, f"der die und {i} " * 30, "de") for i in range(9)]
+    df = spark.createDataFrame([(1, "½ ² Ⅷ ①", None), (2, "é", None), *known], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, langid.Training(steps=2)).collect()}
+    assert got[1] == "und" and got[2] != "und"
+
+
+def test_sample_is_bounded_by_language_not_by_order(spark):
+    """Copies of one text and the order of the table do not push the other language out."""
+    rows = [(i, "one and the same text " * 5, "en") for i in range(400)] + [(1000 + i, f"zeile {i} und mehr " * 5, "de") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    keyed = df.select("lang", F.struct(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("draw"), "text").alias("x"))
+    for parts in (1, 7):
+        found = langid._first_rows(keyed.repartition(parts), 20)
+        assert {r["lang"]: r["count"] for r in found.groupBy("lang").count().collect()} == {"en": 20, "de": 20}
