@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mutprox.llm.tokens import slices
 from mutprox.session import cut, drop_cut, ship
 
 WINDOW = 100
@@ -110,13 +111,13 @@ def _context_hash(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.n
         return (sums[stop] - sums[start]) * _INVERSE[start]
 
 
-def _pack(mark: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """24 bits of text mark, 31 of first window, a bit for settled, 7 of count; sorts by text mark, then place."""
-    return (mark << 39) | (first << 8) | count
+def _pack(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """First window, a bit for settled, 7 bits of count; sorts by place."""
+    return (first << 8) | count
 
 
 def _first(pack: np.ndarray) -> np.ndarray:
-    return (pack >> 8) & 0x7FFFFFFF
+    return pack >> 8
 
 
 def _count(pack: np.ndarray) -> np.ndarray:
@@ -127,14 +128,14 @@ def _count(pack: np.ndarray) -> np.ndarray:
 SETTLED = 0x80
 
 
-def _later_copies(h: np.ndarray, context: np.ndarray, count: np.ndarray, doc: np.ndarray, pack: np.ndarray) -> np.ndarray:
+def _later_copies(h: np.ndarray, context: np.ndarray, count: np.ndarray, doc: np.ndarray, mark: np.ndarray, pack: np.ndarray) -> np.ndarray:
     """Which rows repeat the context of an earlier row among these."""
-    order = np.lexsort((pack, doc, context, h))
-    h, context, count, doc, pack = h[order], context[order], count[order], doc[order], pack[order]
+    order = np.lexsort((pack, mark, doc, context, h))
+    h, context, count, doc, mark, pack = (x[order] for x in (h, context, count, doc, mark, pack))
     fresh = np.r_[True, (h[1:] != h[:-1]) | (context[1:] != context[:-1]) | (count[1:] != count[:-1])]
     lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
     out = np.zeros(len(h), bool)
-    out[order] = (doc != doc[lead]) | (pack != pack[lead])
+    out[order] = (doc != doc[lead]) | (mark != mark[lead]) | (pack != pack[lead])
     return out
 
 
@@ -143,16 +144,16 @@ def _spread(doc: np.ndarray, pack: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``h, c, doc, pack``: anchor, context hash, document and place. What an earlier row of the batch settles gets a place of its own for its anchor: hot anchors stay small."""
-    for b in batches:
+    """Rows ``h, c, doc, mark, pack``: anchor, context hash, document (order key and mark of its text) and place. What an earlier row of the batch settles gets a place of its own for its anchor: hot anchors stay small."""
+    for b in slices(batches, BATCH_ROWS):
         h, row, first, count, context = anchors(*_bytes_of(b.column("text")), window)
         doc, mark = b.column("doc").to_numpy()[row], b.column("mark").to_numpy()[row]
-        pack, h = _pack(mark, first, count), h.view(np.int64)
+        pack, h = _pack(first, count), h.view(np.int64)
         if not len(h):
             continue
-        later = _later_copies(h, context, count, doc, pack)
-        cols = (np.where(later, _spread(doc, pack), h), context.view(np.int64), doc, np.where(later, pack | SETTLED, pack))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "c", "doc", "pack"])
+        later = _later_copies(h, context, count, doc, mark, pack)
+        cols = (np.where(later, _spread(doc, pack), h), context.view(np.int64), doc, mark, np.where(later, pack | SETTLED, pack))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "c", "doc", "mark", "pack"])
 
 
 def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,10 +162,10 @@ def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     if not parts:
         return
     t = pa.Table.from_batches(parts)
-    h, c, doc, pack = (t.column(k).to_numpy() for k in ("h", "c", "doc", "pack"))
+    h, c, doc, mark, pack = (t.column(k).to_numpy() for k in ("h", "c", "doc", "mark", "pack"))
     settled = pack & SETTLED != 0
     own = np.flatnonzero(~settled)
-    later = _later_copies(h[own], c[own], _count(pack[own]), doc[own], pack[own]) if len(own) else np.zeros(0, bool)
+    later = _later_copies(h[own], c[own], _count(pack[own]), doc[own], mark[own], pack[own]) if len(own) else np.zeros(0, bool)
     pack = pack.copy()
     pack[own[later]] |= SETTLED
     settled[own[later]] = True
@@ -177,36 +178,36 @@ def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         kinds = np.repeat(np.add.reduceat(new.astype(np.int64), start), np.diff(np.r_[start, len(s)]))
     rows = np.sort(np.r_[np.flatnonzero(settled), first[kinds > 1]])
-    out = pa.Table.from_arrays([pa.array(h[rows]), pa.array(doc[rows]), pa.array(pack[rows])], ["h", "doc", "pack"])
+    out = pa.Table.from_arrays([pa.array(h[rows]), pa.array(doc[rows]), pa.array(mark[rows]), pa.array(pack[rows])], ["h", "doc", "mark", "pack"])
     yield from out.to_batches(1 << 16)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Contexts of rows that are not settled; equal contexts that come later in the batch have a null one."""
-    for b in batches:
+    for b in slices(batches, BATCH_ROWS):
         text, offsets = _bytes_of(b.column("text"))
         lists = b.column("found")
         flat = lists.flatten()
         h, pack = flat.field("h").to_numpy(), flat.field("pack").to_numpy()
-        doc = np.repeat(b.column("doc").to_numpy(), lists.value_lengths().to_numpy())
+        doc, mark = (np.repeat(b.column(c).to_numpy(), lists.value_lengths().to_numpy()) for c in ("doc", "mark"))
         row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
         start = offsets[row] + _first(pack)
         stop = start + _count(pack) + window - 1
         raw = text.tobytes()
-        earliest: dict[bytes, tuple[int, int]] = {}
+        earliest: dict[bytes, tuple[int, int, int]] = {}
         sent: list[bytes | None] = [None] * len(h)
         asked = np.flatnonzero(pack & SETTLED == 0).tolist()
-        for i, a, z, k in zip(asked, start[asked].tolist(), stop[asked].tolist(), zip(doc[asked].tolist(), pack[asked].tolist())):
+        for i, a, z, k in zip(asked, start[asked].tolist(), stop[asked].tolist(), zip(doc[asked].tolist(), mark[asked].tolist(), pack[asked].tolist())):
             c = sent[i] = raw[a:z]
             if k < earliest.setdefault(c, k):
                 earliest[c] = k
-        for i, k in zip(asked, zip(doc[asked].tolist(), pack[asked].tolist())):
+        for i, k in zip(asked, zip(doc[asked].tolist(), mark[asked].tolist(), pack[asked].tolist())):
             if earliest[sent[i]] != k:
                 sent[i] = None
         if asked:
-            h, doc, pack, sent = h[asked], doc[asked], pack[asked], [sent[i] for i in asked]
+            h, doc, mark, pack, sent = h[asked], doc[asked], mark[asked], pack[asked], [sent[i] for i in asked]
             h = np.where([c is None for c in sent], _spread(doc, pack), h)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(pack), pa.array(sent, pa.binary())], ["h", "doc", "pack", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(mark), pa.array(pack), pa.array(sent, pa.binary())], ["h", "doc", "mark", "pack", "context"])
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
@@ -263,23 +264,23 @@ class RunIndex:
 def _marked(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Byte stretches to remove, from all contexts of one partition."""
     docs: list[np.ndarray] = []
-    packs: list[np.ndarray] = []
+    marks: list[np.ndarray] = []
     starts: list[np.ndarray] = []
     stops: list[np.ndarray] = []
 
-    def out(doc: np.ndarray, pack: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
-        docs.append(doc), packs.append(pack >> 39), starts.append(start), stops.append(stop)
+    def out(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+        docs.append(doc), marks.append(mark), starts.append(start), stops.append(stop)
 
-    kept: dict[tuple[int, bytes], tuple[int, int]] = {}
+    kept: dict[tuple[int, bytes], tuple[int, int, int]] = {}
 
-    def whole(rows: list[tuple[int, int]]) -> None:
+    def whole(rows: list[tuple[int, int, int]]) -> None:
         if rows:
-            doc, pack = (np.array(x, np.int64) for x in zip(*rows))
-            out(doc, pack, _first(pack), _first(pack) + _count(pack) + window - 1)
+            doc, mark, pack = (np.array(x, np.int64) for x in zip(*rows))
+            out(doc, mark, _first(pack), _first(pack) + _count(pack) + window - 1)
 
     for b in batches:
         gone = []
-        for h, k, c in zip(b.column("h").to_pylist(), zip(b.column("doc").to_pylist(), b.column("pack").to_pylist()), b.column("context").to_pylist()):
+        for h, k, c in zip(b.column("h").to_pylist(), zip(b.column("doc").to_pylist(), b.column("mark").to_pylist(), b.column("pack").to_pylist()), b.column("context").to_pylist()):
             if c is None:
                 gone.append(k)
                 continue
@@ -298,7 +299,7 @@ def _marked(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
     if rows:
         text = np.frombuffer(b"".join(c for _, c in rows), np.uint8)
         sizes = np.array([len(c) for _, c in rows])
-        doc, pack = (np.array(x, np.int64) for x in zip(*(k for k, _ in rows)))
+        doc, mark, pack = (np.array(x, np.int64) for x in zip(*(k for k, _ in rows)))
         count, base = _count(pack), np.cumsum(sizes) - sizes
         own = np.repeat(np.arange(len(rows)), count)
         place = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
@@ -310,20 +311,20 @@ def _marked(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             heads = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (np.diff(place) != 1)])
             tails = np.r_[heads[1:], len(own)] - 1
             first = _first(pack)[own[heads]]
-            out(doc[own[heads]], pack[own[heads]], first + place[heads], first + place[tails] + window)
+            out(doc[own[heads]], mark[own[heads]], first + place[heads], first + place[tails] + window)
     if docs:
         names = ["doc", "mark", "start", "stop"]
-        yield from pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in (docs, packs, starts, stops)], names).to_batches(1 << 16)
+        yield from pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in (docs, marks, starts, stops)], names).to_batches(1 << 16)
 
 
 def _rest(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     """What is left of each document, without its settled windows and the stretches found in step 3."""
-    for b in batches:
+    for b in slices(batches, BATCH_ROWS):
         rows = []
         for text, found, cuts in zip(b.column("text").to_pylist(), b.column("found"), b.column("cuts").to_pylist()):
             raw, at, removed, spans, left = text.encode(), 0, 0, 0, []
             end = -1
-            pack = found.values.field("pack").to_numpy()
+            pack = found.values.field("pack").to_numpy()  # the values of this row alone
             pack = pack[pack & SETTLED != 0]
             whole = zip(_first(pack).tolist(), (_first(pack) + _count(pack) + window - 1).tolist())
             for c in sorted([*whole, *((c["start"], c["stop"]) for c in cuts or [])]):
@@ -349,14 +350,13 @@ def _rest(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> It
 def _touched(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     """``docs``: doc, mark, text. A row for each document that loses bytes."""
     spark = ship(docs.sparkSession)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    every = docs.mapInArrow(lambda it: _anchor_rows(it, window), "h long, c long, doc long, pack long")
-    repeated = cut(every.repartition(n, "h").mapInArrow(_repeated_rows, "h long, doc long, pack long"))
-    lists = repeated.groupBy("doc", F.shiftright("pack", 39).alias("mark")).agg(F.collect_list(F.struct("h", "pack")).alias("found"))
+    every = docs.mapInArrow(lambda it: _anchor_rows(it, window), "h long, c long, doc long, mark long, pack long")
+    repeated = cut(every.repartition(n, "h").mapInArrow(_repeated_rows, "h long, doc long, mark long, pack long"))
+    lists = repeated.groupBy("doc", "mark").agg(F.collect_list(F.struct("h", "pack")).alias("found"))
     held = cut(docs.join(lists, ["doc", "mark"]))
     drop_cut(repeated)
-    met = held.mapInArrow(lambda it: _contexts(it, window), "h long, doc long, pack long, context binary")
+    met = held.mapInArrow(lambda it: _contexts(it, window), "h long, doc long, mark long, pack long, context binary")
     cuts = met.repartition(n, "h").mapInArrow(lambda it: _marked(it, window), "doc long, mark long, start long, stop long")
     cuts = cut(cuts.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")))
     return held.join(cuts, ["doc", "mark"], "left").mapInArrow(
@@ -366,7 +366,7 @@ def _touched(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[F.Column, F.Column]:
     """Order key of a row and a mark of its text, which tells rows apart that repeat an id."""
-    return F.coalesce(F.col(id_col), F.lit(_NO_ID)), F.xxhash64(text_col).bitwiseAND(F.lit((1 << 24) - 1))
+    return F.coalesce(F.col(id_col), F.lit(_NO_ID)), F.xxhash64(text_col)
 
 
 def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -388,13 +388,14 @@ def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with the removed bytes gone from its text; columns as given, ``n_chars`` (if there) counted again.
 
-    A character of which some bytes were removed goes as a whole. Rows whose text becomes empty stay; a null text stays null.
+    A character of which some bytes were removed goes as a whole. Rows whose text becomes empty stay; a null text stays
+    null; null and repeated ids are as in :func:`repeat_digest`; an empty table stays empty.
     """
     doc, mark = _keyed(docs, id_col, text_col)
     keyed = docs.select("*", doc.alias("__doc"), mark.alias("__mark"))
     touched = _touched(docs.select(doc.alias("doc"), mark.alias("mark"), F.coalesce(text_col, F.lit("")).alias("text")), window, True)
-    touched = touched.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), "kept_text")
-    out = keyed.join(touched, ["__doc", "__mark"], "left").withColumn(text_col, F.coalesce("kept_text", text_col))
+    touched = touched.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("kept_text").alias("__kept"))
+    out = keyed.join(touched, ["__doc", "__mark"], "left").withColumn(text_col, F.coalesce("__kept", text_col))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

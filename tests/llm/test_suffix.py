@@ -80,3 +80,29 @@ def test_repeated_rows_empty_table_null_ids(spark):
     df = spark.createDataFrame([(1, t, None, None, None), (1, t, "a", "b", 1), (None, t, "a", "b", 1), (2, "x" + t, "a", "b", 1)], SCHEMA)
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_removed"]) for r in suffix.repeat_digest(df).collect())
     assert got == [(False, 1, 0), (False, 1, 0), (False, 2, len(t)), (True, 0, len(t))]
+
+
+def test_many_rows_without_an_id_and_clashing_names(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 130))) for _ in range(5000)]
+    texts[17] = texts[4000] = "q" * 60 + "shared by two rows " * 6
+    df = spark.createDataFrame([(None, t, "x", "y") for t in texts], "doc_id long, text string, kept_text string, mark string")
+    out = suffix.remove_repeats(df)
+    assert out.columns == df.columns and out.count() == 5000
+    got = suffix.repeat_digest(df)
+    assert got.count() == 5000
+    key = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    left = sorted(r["kept_sha256"] for r in got.collect())
+    # equal texts without an id are one document; inside a text of a short period later windows still go
+    want = suffix.repeat_digest(spark.createDataFrame([(i, t) for i, t in enumerate(texts) if i != 4000], "doc_id long, text string"))
+    want = {r["doc_id"]: r["kept_sha256"] for r in want.collect()}
+    assert left == sorted([*want.values(), want[17]])
+    assert sum(v == key(t) for v, t in ((want[i], texts[i]) for i in want)) >= 4990
+
+
+def test_long_text(spark):
+    rng = random.Random(13)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(100_000))
+    df = spark.createDataFrame([(1, long), (2, "x" * 300), (3, long[5000:5400] + "tail")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix.repeat_digest(df).collect()}
+    assert got == {1: (0, 0), 2: (299, 1), 3: (400, 1)}
