@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mutprox.llm.tokens import slices
 from mutprox.session import cut, ship
 
 BATCH_ROWS = 512
-#: Distinct words that one worker remembers; only speed depends on it.
-MEMO_WORDS = 900_000
+#: Distinct words that one worker remembers, and the longest word that it does; only speed depends on them.
+MEMO_WORDS, WORD_CHARS = 900_000, 64
 #: Pieces of one bin.
 BIN_ROWS = 40_000
 
@@ -44,6 +45,10 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {"": b""}
+        one = lambda t: self.model.encode(t, add_special_tokens=False).ids
+        signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+        if one("ABCxyz") != one("abcxyz") or any(one(f"ab{s}") != one("ab") + one(s) for s in signs) or one("ab cd\nef") != one("ab") + one("cd") + one("ef"):
+            raise ValueError("a vocabulary without case that cuts words at blanks, line ends and signs is expected")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
@@ -62,7 +67,11 @@ class WordTokenizer:
                 known[p] = array.array("I", e.ids).tobytes()
         for w, word in zip(new, parts):
             known[w] = b"".join([known[p] for p in word])
-        return [b"".join([known[w] for w in words]) for words in split]
+        out = [b"".join([known[w] for w in words]) for words in split]
+        for w in (*new, *ask):
+            if len(w) > WORD_CHARS:
+                known.pop(w, None)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -72,7 +81,7 @@ def tokenizer(path: str) -> WordTokenizer:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     end, step = end_id.to_bytes(4, "little"), 4 * window
-    for b in batches:
+    for b in slices(batches, BATCH_ROWS):
         who, start, length, crc, total, ids = [], [], [], [], [], []
         for i, raw in enumerate(tokenizer(path).encode(b.column("text").to_pylist())):
             raw += end
@@ -159,13 +168,13 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, with_i
     ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked for, ``ids``. Null text is empty: its
     one piece holds the end id. Rows with null or repeated ids are packed one by one. An empty table has no pieces.
     """
-    spark = ship(docs.sparkSession)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     cols = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     made = cut(made.mapInArrow(lambda it: _pieces(it, path, window, end_id, with_ids), cols))
+    # the place in the written table spreads pieces that are equal in everything, such as those of null texts without an id
     bins = max(1, -(-made.count() // BIN_ROWS))
-    dealt = made.withColumn("bin", F.pmod(F.xxhash64("id", "start", "ids_crc32", "doc_tokens"), F.lit(bins)))
+    dealt = made.withColumn("bin", F.pmod(F.xxhash64("id", "start", "ids_crc32", "doc_tokens", F.monotonically_increasing_id()), F.lit(bins)))
     packed = dealt.groupBy("bin").applyInPandas(lambda rows: _bin(rows, window), f"{cols}, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)
