@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from mutprox.llm.tokens import Memo
+from mutprox.llm.tokens import Memo, slices
 from mutprox.session import ship
 
 BATCH_ROWS = 512
-#: Distinct stretches and token pairs that one worker remembers; only speed depends on them.
-MEMO_UNITS = 250_000
-MEMO_PAIRS = 400_000
+#: Distinct units and token pairs that one worker remembers, and the longest unit that it does; only speed depends on them.
+MEMO_UNITS = 200_000
+MEMO_PAIRS = 1_000_000
+UNIT_CHARS = 48
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
 
@@ -56,15 +57,21 @@ class PieceTable:
         #: what stands alone: characters that no longer piece holds (line ends among them)
         alone = "".join(re.escape(c) for c in "\n\r\t" if c not in inner)
         self.unit = re.compile(f"[{alone}]| *[^ {alone}]+| +" if alone else " *[^ ]+| +")
-        self.automaton = ahocorasick.Automaton()
-        for p in longer:
-            self.automaton.add_word(p, p)
-        self.automaton.make_automaton()
-        self.pairs = Memo(lambda k: self.compatible(*k), MEMO_PAIRS)
+        self.size = [len(p) for p in self.pieces]
+        self.surface = [p.replace(SPACE, " ") for p in self.pieces]
+        self.number = [str(i) for i in range(len(self.pieces))]
+        #: ids of single characters; one outside the vocabulary stands for itself, as the negative of its code point less one
+        self.single = {p: i for p, i in self.id.items() if len(p) == 1}
         #: the last merge of each piece that encodes to itself; None if it does not, or a part scores below the whole
         self.split = Memo(self._split, len(self.pieces) + 1)
-        self.whole = Memo(lambda p: self.merge(p) == [p], len(self.pieces) + 1)
-        self.units = Memo(self._unit, MEMO_UNITS)
+        #: for each piece that may end a prefix: whether it fits after the token of an id, as far as that was asked
+        self.fits: dict[str, dict[int, bool]] = {p: {} for p in longer if self.merge(p) == [p]}
+        self.asked = 0
+        self.automaton = ahocorasick.Automaton()
+        for p, known in self.fits.items():
+            self.automaton.add_word(p, (len(p), self.id[p], known))
+        self.automaton.make_automaton()
+        self.units = Memo(self._unit, MEMO_UNITS, UNIT_CHARS)
 
     def merge(self, text: str) -> list[str]:
         """The merges in full: again and again the best-scored pair, the leftmost of equals. Used on token pairs only."""
@@ -113,35 +120,46 @@ class PieceTable:
                     return False
         return True
 
-    def tokens(self, text: str) -> list[str]:
-        """The encoding of one unit, with spaces escaped, as pieces; a character outside the vocabulary is its own token."""
-        ends: list[list[str]] = [[] for _ in text]
-        for end, piece in self.automaton.iter(text):
-            ends[end].append(piece)
-        last: list[str | None] = []
-        for i, c in enumerate(text):
-            token = None
-            for t in ends[i]:  # longest first
-                if self.whole[t]:
-                    start = i - len(t)
-                    if start < 0 or last[start] is not None and self.pairs[last[start], t]:
-                        token = t
-                        break
-            last.append(token if token is not None else c)
-        out, i = [], len(text) - 1
-        while i >= 0:
-            out.append(last[i])
-            i -= len(last[i])
-        return out[::-1]
+    def ask(self, left: int, right: int) -> bool:
+        """:meth:`compatible` by ids, remembered; a character outside the vocabulary is in no merge."""
+        if self.asked >= MEMO_PAIRS:
+            self.asked = 0
+            for known in self.fits.values():
+                known.clear()
+        self.asked += 1
+        answer = self.fits[self.pieces[right]][left] = left < 0 or self.compatible(self.pieces[left], self.pieces[right])
+        return answer
+
+    def last_tokens(self, text: str) -> list[int]:
+        """The last token of every prefix of one unit with spaces escaped: the longest piece that ends there and fits what it starts after."""
+        last = list(map(self.single.get, text))
+        if None in last:
+            last = [-1 - ord(c) if i is None else i for i, c in zip(last, text)]
+        settled = -1
+        for end, (size, piece, known) in self.automaton.iter(text):  # ends in order, the longest piece of an end first
+            if end != settled:
+                if end >= size:
+                    left = last[end - size]
+                    fits = known.get(left)
+                    if not (self.ask(left, piece) if fits is None else fits):
+                        continue
+                last[end] = piece
+                settled = end
+        return last
 
     def ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        for t in self.tokens(text):
-            i = self.id.get(t)
-            if i is None:
-                out += [self.byte_id[b] for b in t.encode()]
+        """The encoding of one unit with spaces escaped: last tokens from the end backwards."""
+        last, size = self.last_tokens(text), self.size
+        out, i = [], len(text) - 1
+        while i >= 0:
+            t = last[i]
+            if t >= 0:
+                out.append(t)
+                i -= size[t]
             else:
-                out.append(i)
+                out += [self.byte_id[b] for b in reversed(chr(-1 - t).encode())]
+                i -= 1
+        out.reverse()
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -149,6 +167,8 @@ class PieceTable:
         return self._surface(ids)[1:] if ids and self.pieces[ids[0]].startswith(SPACE) else self._surface(ids)
 
     def _surface(self, ids: list[int]) -> str:
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.surface[i] for i in ids])
         out, run = [], bytearray()
         for i in [*ids, -1]:
             if i in self.byte_of:
@@ -158,12 +178,13 @@ class PieceTable:
                 out.append(_read(bytes(run)))
                 run.clear()
             if i >= 0:
-                out.append(self.pieces[i].replace(SPACE, " "))
+                out.append(self.surface[i])
         return "".join(out)
 
     def _unit(self, unit: str) -> tuple[str, int, str]:
         ids = self.ids(unit.replace(" ", SPACE))
-        return ",".join(map(str, ids)), len(ids), self._surface(ids)
+        number = self.number
+        return ",".join([number[i] for i in ids]), len(ids), self._surface(ids)
 
     def cut(self, text: str) -> list[str]:
         """Units of a text with its dummy prefix; every one starts with a space or stands alone."""
@@ -194,33 +215,32 @@ def piece_table(path: str) -> PieceTable:
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     table = piece_table(path)
-    for b in batches:
-        rows = []
+    units = table.units
+    for b in slices(batches, BATCH_ROWS):
+        n, ids_sha, decoded_sha = [], [], []
         for text in b.column("text").to_pylist():
-            found = [table.units[u] for u in table.cut(text or "")]
-            ids = ",".join([x[0] for x in found])
-            decoded = "".join([x[2] for x in found])[1:]
-            rows.append((sum([x[1] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-        n, a, d = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids, count, decoded = zip(*[units[u] for u in table.cut(text)]) if text else ((), (), ())
+            n.append(sum(count))
+            ids_sha.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+            decoded_sha.append(hashlib.sha256("".join(decoded)[1:].encode()).hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     table = piece_table(path)
-    for b in batches:
+    for b in slices(batches, BATCH_ROWS):
         ids = [[int(i) for u in table.cut(t or "") for i in table.units[u][0].split(",")] for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     table = piece_table(path)
-    for b in batches:
+    for b in slices(batches, BATCH_ROWS):
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([table.decode(i or []) for i in b.column("ids").to_pylist()], pa.string())], ["id", "text"])
 
 
 def _map(df: DataFrame, columns: list[F.Column], run, path: str, out: str) -> DataFrame:  # noqa: ANN001
-    spark = ship(df.sparkSession)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    ship(df.sparkSession)
     return df.select(*columns).mapInArrow(lambda it: run(it, path), out)
 
 

@@ -32,7 +32,7 @@ def test_pair_test_equals_full_merges():
     runs = [p for p in names if set(p) == {pieces.SPACE}]
     pairs = [(rng.choice(names), rng.choice(names)) for _ in range(4000)] + [(rng.choice(runs), rng.choice(runs)) for _ in range(200)]
     for s, t in pairs:
-        if own.whole[s] and own.whole[t]:
+        if all(len(x) == 1 or x in own.fits for x in (s, t)):
             assert own.compatible(s, t) == (own.merge(s + t) == [s, t]), (s, t)
 
 
@@ -55,3 +55,24 @@ def test_operator(spark):
     back = pieces.decode(pieces.encode(df, PATH), PATH)
     assert sorted((str(r["doc_id"]), r["text"]) for r in back.collect()) == sorted((str(i), (t or "").replace("▁", " ")) for i, t in rows)
     assert pieces.piece_digest(df.limit(0), PATH).count() == 0
+
+
+def test_memory_does_not_change_ids(monkeypatch):
+    lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    monkeypatch.setattr(pieces, "MEMO_PAIRS", 7)
+    monkeypatch.setattr(pieces, "MEMO_UNITS", 3)
+    own = pieces.PieceTable(PATH)
+    for t in texts()[:300]:
+        found = [own.units[u] for u in own.cut(t)]
+        assert ",".join(x[0] for x in found) == ",".join(map(str, lib.encode(t)))
+        assert "".join(x[2] for x in found)[1:] == lib.decode(lib.encode(t))
+    assert len(own.units) <= 3 and all(len(u) <= pieces.UNIT_CHARS for u in own.units)
+
+
+def test_long_texts_and_clashing_names(spark):
+    lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    rng = random.Random(9)
+    long = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(100_000)), "x" * 200_000, "漢" * 50_000]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(long)], "doc_id long, text string, id long, n_tokens string")
+    got = {r["doc_id"]: r["n_tokens"] for r in pieces.piece_digest(df, PATH).collect()}
+    assert got == {i: len(lib.encode(t)) for i, t in enumerate(long)}
