@@ -11,17 +11,16 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mutprox.session import cut, shared_dir, ship
+from mutprox.session import cut, drop_cut, new_path, remove, ship
 
-#: Page ids of one file; children of one node, as a power of two; leaves that a file may have, as a power of that.
-FILE_IDS, FAN_BITS, FILE_BITS = 512, 4, 20
+#: Page ids of one file; children of one node, as a power of two.
+FILE_IDS, FAN_BITS = 512, 4
 CRLF = "\r\n"
 _LENGTH = re.compile(rb"(?im)^Content-Length:\s*(\d+)\s*$")
 _ID = re.compile(rb"(?im)^WARC-Record-ID:\s*<urn:page:(-?\d*)>\s*$")
@@ -38,8 +37,13 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def write_archive(pages: DataFrame, path: str) -> str:
-    """Write ``pages`` (page_id, url, html) as gzip-compressed WARC files, one for each range of ids; ties go by url and html."""
-    file = F.coalesce(F.floor(F.col("page_id") / FILE_IDS), F.lit(-1)).cast("long")
+    """Write ``pages`` (page_id, url, html) as gzip-compressed WARC files, one for each range of ids; ties go by url and html.
+
+    Pages without an id are dealt by a hash of their URL to files of their own, numbered -1, -2, ... of about as many
+    pages as a range has ids. An empty table makes no file.
+    """
+    nameless = -(-pages.filter("page_id is null").count() // FILE_IDS) or 1
+    file = F.coalesce(F.floor(F.col("page_id") / FILE_IDS), -1 - F.pmod(F.xxhash64("url"), F.lit(nameless))).cast("long")
     rows = pages.select(file.alias("file"), "page_id", "url", "html")
     n = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = rows.repartition(n, "file").sortWithinPartitions("file", "page_id", "url", "html")
@@ -66,67 +70,98 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """``file, seq, offset, length, page_id, digest`` of every record; a file of a bounded number of records is one task's unit."""
-    ship(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    """``file, seq, offset, length, page_id, digest`` of every record.
+
+    A file is one cell, whatever it holds; null ids read as null, records that repeat an id are rows of their own, and a
+    folder without files gives an empty table.
+    """
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt*").load(path).select("path", "content")
     return cut(files.mapInArrow(_parse, "file long, seq long, offset long, length long, page_id long, digest string"))
 
 
-def merkle_tree(records: DataFrame) -> list[DataFrame]:
-    """Levels of the tree, leaves first: ``node, first, last, digest``; first and last are the (file, offset) range covered."""
-    place = (F.col("file") + 1) * F.lit(1 << FILE_BITS) + F.col("seq")
+def _leaf(records: DataFrame) -> DataFrame:
+    """Leaves: file and place in it, both counted from 0 (files without ids lie between the others), with the range covered."""
+    number = F.when(F.col("file") >= 0, F.col("file") * 2).otherwise(F.col("file") * -2 - 1)
     spot = F.struct("file", "offset")
-    level = records.select(place.alias("node"), spot.alias("first"), spot.alias("last"), "digest")
-    levels, top = [level], level.agg(F.max("node")).head()[0] or 0
-    while top:
-        top >>= FAN_BITS
-        level = level.groupBy(F.shiftright("node", FAN_BITS).alias("up")).agg(
-            F.min("first").alias("first"), F.max("last").alias("last"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda x: F.concat(x["node"].cast("string"), F.lit(":"), x["digest"])), ","), 256).alias("digest"),
-        ).withColumnRenamed("up", "node")
-        level = cut(level)
-        levels.append(level)
+    return records.select(number.alias("f"), F.col("seq").alias("n"), spot.alias("first"), spot.alias("last"), "digest")
+
+
+def heights(*archives: DataFrame) -> tuple[int, int]:
+    """Levels that bring the longest file of the archives to one node, and the files to one root."""
+    tops = [_leaf(records).agg(F.max("n"), F.max("f")).head() for records in archives]
+    return tuple(-(-max((t[k] or 0).bit_length() for t in tops) // FAN_BITS) for k in (0, 1))
+
+
+def _up(level: int, inside: int) -> list[Column]:
+    """The parent of a node of ``level``: first inside its file, then over the files."""
+    if level < inside:
+        return [F.col("f"), F.shiftright("n", FAN_BITS).alias("n")]
+    return [F.shiftright("f", FAN_BITS).alias("f"), F.col("n")]
+
+
+def merkle_tree(records: DataFrame, high: tuple[int, int] | None = None) -> list[DataFrame]:
+    """Levels of the tree, leaves first: ``f, n, first, last, digest``; first and last are the (file, offset) range covered.
+
+    A file may have any number of records, an archive any number of files. ``high``: as from :func:`heights`.
+    """
+    inside, above = high or heights(records)
+    levels = [_leaf(records)]
+    for k in range(inside + above):
+        below = F.array_sort(F.collect_list(F.struct("cf", "cn", "digest")))
+        line = F.array_join(F.transform(below, lambda x: F.concat_ws(":", x["cf"], x["cn"], x["digest"])), ",")
+        child = levels[-1].select(*_up(k, inside), F.col("f").alias("cf"), F.col("n").alias("cn"), "first", "last", "digest")
+        up = child.groupBy("f", "n").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sha2(line, 256).alias("digest"))
+        levels.append(cut(up))
     return levels
 
 
-def differing(ours: list[DataFrame], theirs: list[DataFrame]) -> DataFrame:
-    """``node, ours, theirs``: leaves whose digests differ or that one side lacks, found from the roots down."""
-    while len(ours) < len(theirs):
-        ours = [*ours, ours[-1].select(F.shiftright("node", FAN_BITS).alias("node"), "first", "last", "digest")]
-    while len(theirs) < len(ours):
-        theirs = [*theirs, theirs[-1].select(F.shiftright("node", FAN_BITS).alias("node"), "first", "last", "digest")]
+def differing(ours: list[DataFrame], theirs: list[DataFrame], inside: int) -> DataFrame:
+    """``f, n, ours, theirs``: leaves whose digests differ or that one side lacks, found from the roots down. Both trees are equally high."""
     suspects = None
-    for a, b in zip(reversed(ours), reversed(theirs)):
+    for k in range(len(ours) - 1, -1, -1):
+        a, b = ours[k], theirs[k]
         if suspects is not None:
-            up = suspects.select(F.col("node").alias("up"))
-            a = a.join(up, F.shiftright(a["node"], FAN_BITS) == up["up"], "left_semi")
-            b = b.join(up, F.shiftright(b["node"], FAN_BITS) == up["up"], "left_semi")
-        met = a.select("node", F.col("digest").alias("ours")).join(b.select("node", F.col("digest").alias("theirs")), "node", "full")
-        suspects = cut(met.filter(~F.col("ours").eqNullSafe(F.col("theirs"))))
+            up = suspects.select(F.col("f").alias("uf"), F.col("n").alias("un"))
+            pf, pn = _up(k, inside)
+            a, b = (x.join(up, (pf == F.col("uf")) & (pn == F.col("un")), "left_semi") for x in (a, b))
+        met = a.select("f", "n", F.col("digest").alias("ours")).join(b.select("f", "n", F.col("digest").alias("theirs")), ["f", "n"], "full")
+        last, suspects = suspects, cut(met.filter(~F.col("ours").eqNullSafe(F.col("theirs"))))
+        if last is not None:
+            drop_cut(last)
     return suspects
 
 
 def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Every record of ``ours`` with ``status``: ``ok``, ``damaged`` (the replica has other bytes there) or ``missing``.
 
-    Both as from :func:`read_archive`; records only the replica has come last, as ``extra``.
+    Both as from :func:`read_archive`; records only the replica has come last, as ``extra``. Records without an id and
+    repeated ids are told apart by their place; two empty archives give an empty result.
     """
-    bad = differing(merkle_tree(ours), merkle_tree(theirs)).withColumnRenamed("node", "__node")
-    place = (F.col("file") + 1) * F.lit(1 << FILE_BITS) + F.col("seq")
-    status = F.when(F.col("__node").isNull(), "ok").when(F.col("theirs").isNull(), "missing").otherwise("damaged")
-    own = ours.join(bad, place == F.col("__node"), "left").select(*ours.columns, status.alias("status"))
-    more = theirs.join(bad.filter("ours is null"), place == F.col("__node")).select(*theirs.columns, F.lit("extra").alias("status"))
+    high = heights(ours, theirs)
+    trees = [merkle_tree(x, high) for x in (ours, theirs)]
+    bad = differing(*trees, high[0]).withColumnsRenamed({"f": "__f", "n": "__n"})
+    drop_cut(*(level for tree in trees for level in tree[1:]))
+    number = F.when(F.col("file") >= 0, F.col("file") * 2).otherwise(F.col("file") * -2 - 1)
+    here = (number == F.col("__f")) & (F.col("seq") == F.col("__n"))
+    status = F.when(F.col("__n").isNull(), "ok").when(F.col("theirs").isNull(), "missing").otherwise("damaged")
+    own = ours.join(bad, here, "left").select(*ours.columns, status.alias("status"))
+    more = theirs.join(bad.filter("ours is null"), here).select(*theirs.columns, F.lit("extra").alias("status"))
     return own.unionByName(more)
 
 
 def drill(pages: DataFrame, every: int = 500, at: int = 7) -> DataFrame:
     """Fixity drill: archive ``pages`` twice, the second time with the last byte of each page whose id leaves ``at`` changed, and audit.
 
-    ``page_id, file, offset, length, digest, status`` for every page. Repeated pages are records of their own.
+    ``page_id, file, offset, length, digest, status`` for every page. Repeated pages are records of their own; null pages have
+    an empty body; an empty table gives none.
     """
-    spark, base = pages.sparkSession, f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    spark = pages.sparkSession
+    base = new_path(spark, "warc")
     worn = F.when(F.pmod("page_id", F.lit(every)) == at, F.concat(F.substring("html", F.lit(1), F.length("html") - 1), F.lit("~"))).otherwise(F.col("html"))
     first = read_archive(spark, write_archive(pages.select("page_id", "url", "html"), f"{base}/a"))
     second = read_archive(spark, write_archive(pages.select("page_id", "url", worn.alias("html")), f"{base}/b"))
+    remove(spark, base)  # both were read to the end
     return audit(first, second).select("page_id", "file", "offset", "length", "digest", "status")
 
 

@@ -36,13 +36,30 @@ def test_tree_by_hand(spark):
     digests = [hashlib.sha256(bytes([k])).hexdigest() for k in range(20)]
     records = spark.createDataFrame([(0, k, 10 * k, 6, k, d) for k, d in enumerate(digests)], "file long, seq long, offset long, length long, page_id long, digest string")
     levels = warc.merkle_tree(records)
-    up = {r["node"]: (r["first"]["offset"], r["last"]["offset"], r["digest"]) for r in levels[1].collect()}
-    base = 1 << warc.FILE_BITS
-    node = lambda ks: hashlib.sha256(",".join(f"{base + k}:{digests[k]}" for k in ks).encode()).hexdigest()
-    assert up == {base >> 4: (0, 150, node(range(16))), (base >> 4) + 1: (160, 190, node(range(16, 20)))}
+    up = {r["n"]: (r["first"]["offset"], r["last"]["offset"], r["digest"]) for r in levels[1].collect()}
+    node = lambda ks: hashlib.sha256(",".join(f"0:{k}:{digests[k]}" for k in ks).encode()).hexdigest()
+    assert up == {0: (0, 150, node(range(16))), 1: (160, 190, node(range(16, 20)))}
     assert levels[-1].count() == 1
 
 
+def test_any_number_of_records_and_files(spark):
+    """Places beyond 2^20 in one file, and files far apart or without ids, stay apart."""
+    kinds = "file long, seq long, offset long, length long, page_id long, digest string"
+    places = [(0, 5), (0, (1 << 20) + 5), (1, 5), (-1, 5), (-3, 0), (10**9, 2)]
+    ours = spark.createDataFrame([(f, q, q, 1, None, "a") for f, q in places], kinds)
+    for hit in places:
+        theirs = spark.createDataFrame([(f, q, q, 1, None, "b" if (f, q) == hit else "a") for f, q in places], kinds)
+        assert [(r["file"], r["seq"]) for r in warc.audit(ours, theirs).filter("status = 'damaged'").collect()] == [hit]
+    assert warc.merkle_tree(ours)[-1].count() == 1
+
+
+def test_pages_without_an_id_and_a_long_page(spark, tmp_path):
+    df = spark.createDataFrame([(None, f"http://n/{i}", "x", "") for i in range(1500)] + [(1, "u", "y" * 3_000_000, "")], PAGES)
+    got = warc.read_archive(spark, warc.write_archive(df, f"{tmp_path}/n"))
+    assert {r["file"] for r in got.select("file").distinct().collect()} == {-3, -2, -1, 0} and got.count() == 1501
+    assert warc.audit(got, got).filter("status <> 'ok'").count() == 0 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 def test_drill(spark):
     got = warc.drill(spark.createDataFrame(rows(), PAGES)).filter("status = 'damaged'").collect()
     assert {r["page_id"] for r in got} == {i for i in range(0, 1600, 3) if i % 500 == 7}
