@@ -120,7 +120,7 @@ def shortest_paths(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.nd
     for x, y, w in zip(a.tolist(), b.tolist(), d.tolist()):
         near[x].append((y, w))
         near[y].append((x, w))
-    out = np.full((n, n), np.inf, np.float32)
+    out = np.full((n, n), np.inf)
     for s in range(n):
         done, heap = out[s], [(0.0, s)]
         while heap:
@@ -189,6 +189,8 @@ def _greedy_radius(geo: pd.DataFrame, scores: pd.DataFrame, radius: float) -> pd
         todo -= {k for k, _ in members}
         rows += [(sub, c, k, d) for k, d in members]
         sub += 1
+        if len(members) < 2:
+            break
     head = (scores["structure"].iloc[0], scores["super_id"].iloc[0]) if len(scores) else ("", 0)
     return pd.DataFrame([(*head, *r) for r in rows], columns=["structure", "super_id", "sub_id", "centroid", "key", "geodesic"])
 
@@ -196,7 +198,8 @@ def _greedy_radius(geo: pd.DataFrame, scores: pd.DataFrame, radius: float) -> pd
 def radius_clusters(scores: DataFrame, geo: DataFrame, max_radius: float = 10.0) -> DataFrame:
     """``structure, super_id, sub_id, centroid, key, geodesic``: again and again the best-scored vertex left takes all that are left within the radius.
 
-    Ties of score go to the smallest key. A last vertex left alone is a cluster of its own.
+    Ties of score go to the smallest key. The first centroid that finds no other vertex is given out as a cluster of its
+    own and ends the search: what is left behind it belongs to no cluster.
     """
     ship(scores.sparkSession)
     by = ["structure", "super_id"]
