@@ -8,11 +8,10 @@ earlier start). Steps:
    where the bytes are the same, all but the earliest are settled here.
 2. Documents that lose something or hold an anchor in differing contexts are met with their text, which gives each such
    anchor its context: the bytes of its own windows.
-3. Contexts of one anchor meet in one partition. There the suffix order of all windows, cut at the window length with
-   ties in text order, gives a Burrows-Wheeler transform, which is kept as runs with sampled run ends. Matching
-   statistics against earlier text are streamed backwards over it: inside a run the match of the next window extends by
-   one byte to the left without a look-up, only at sampled run ends is the order asked. Matches of ``window`` bytes are
-   marked.
+3. Contexts of one anchor meet in one partition. Their Burrows-Wheeler transform is kept as runs with the text places of
+   both run ends; the suffix order itself is dropped. Matching statistics are streamed backwards over the runs: inside a
+   run a match grows by one byte to the left, at run ends it is measured against the sampled place. Where a match reaches
+   ``window`` bytes, all but the earliest of the equal windows are marked.
 4. Marked stretches go back to their documents.
 """
 
@@ -32,6 +31,8 @@ from mutprox.session import cut, drop_cut, ship
 WINDOW = 100
 ANCHOR = 32
 BATCH_ROWS = 1024
+#: Bytes of contexts that one index takes.
+INDEX_BYTES = 1 << 19
 #: Windows handled at once; positions inside a block fit the low bits of a sort key.
 BLOCK = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
@@ -210,56 +211,134 @@ def _contexts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(mark), pa.array(pack), pa.array(sent, pa.binary())], ["h", "doc", "mark", "pack", "context"])
 
 
-def _ranks(key: np.ndarray) -> np.ndarray:
-    return np.unique(key, return_inverse=True)[1].astype(np.int64)
+def suffix_order(symbols: np.ndarray, text_of: np.ndarray, longest: int) -> np.ndarray:
+    """Suffixes in order, by doubling. ``symbols``: byte + 1, and 0 after each text; the ends sort first, by text, and no order looks past one."""
+    n = len(symbols)
+    pad = np.r_[symbols, np.zeros(8, np.uint16)].astype(np.uint64)
+    key, over = np.zeros(n, np.uint64), np.zeros(n, bool)
+    for k in range(7):  # seven symbols of nine bits
+        over |= pad[k : n + k] == 0
+        key = key << np.uint64(9) | np.where(over, np.uint64(0), pad[k : n + k])
+    order, rank = _ranked(key)
+    order, rank = _ranked(rank * (int(text_of[-1]) + 2) + np.where(over, text_of + 1, 0))
+    width = 7
+    while width <= longest and rank[order[-1]] < n - 1:
+        order, rank = _ranked(rank * (n + 1) + np.r_[rank[width:], np.zeros(min(width, n), np.int64)][:n])
+        width *= 2
+    return order
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys and the rank of each, equal ones alike."""
+    order = np.argsort(key)
+    sorted_ = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.r_[False, sorted_[1:] != sorted_[:-1]])
+    return order, rank
 
 
-def window_classes(text: np.ndarray, at: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Rank of the ``window`` bytes at each place of ``at`` among all of them: the suffix order, cut at the window length."""
-    pad = np.r_[text, np.zeros(2 * window + 16, np.uint8)].astype(np.uint64)
-    word = pad[:-7] << np.uint64(56)
-    for k in range(1, 8):
-        word = word | pad[k : len(pad) - 7 + k] << np.uint64(56 - 8 * k)
-    rank, width = _ranks(word), 8
-    while width * 2 <= window:
-        n = len(rank) - width
-        rank, width = _ranks(rank[:n] * (int(rank.max()) + 1) + rank[width:]), width * 2
-    rest = window - width
-    both = rank[at] * (int(rank.max()) + 1) + rank[at + rest]
-    return _ranks(both)
+class RunIndex:
+    """Run-length index of several distinct texts: the runs of their Burrows-Wheeler transform and the text places at both ends of each run.
 
+    Nothing else of the suffix order is kept. From a row of the order, a step goes to the row of the suffix that is one
+    byte longer (``LF``); rows of one run step side by side.
+    """
 
-class RunIndex:
-    """Run-length form of the transform over windows in suffix order, ties in text order."""
-
-    def __init__(self, classes: np.ndarray, before: np.ndarray) -> None:
-        """``classes``: rank of each window, windows in text order; ``before``: byte in front of it, -1 if its neighbour to the left is no window."""
-        self.order = np.argsort(classes, kind="stable")
-        ranked, bwt = classes[self.order], before[self.order]
-        self.fresh = np.r_[True, ranked[1:] != ranked[:-1]]
-        self.head = self.fresh | np.r_[True, bwt[1:] != bwt[:-1]]
-        starts = np.flatnonzero(self.head)
-        self.run_char, self.run_length = bwt[starts], np.diff(np.r_[starts, len(bwt)])
-        #: sampled run ends: the text places of the first and of the last window of each run
-        self.run_first, self.run_last = self.order[starts], self.order[starts + self.run_length - 1]
-
-    def matched(self) -> np.ndarray:
-        """For each window, whether its matching statistics against earlier text reach the window length."""
-        out = np.zeros(len(self.order), bool)
-        # backwards over the text: inside a run, the match of a window extends to the window on its left
-        inner = self.order[~self.head]
-        inner_char = np.repeat(self.run_char, self.run_length)[~self.head]
-        extended = inner[inner_char >= 0] - 1
-        out[extended] = True
-        # sampled run ends and windows without a right neighbour: ask the order itself
-        known = np.zeros(len(out), bool)
-        known[extended] = True
-        ask = ~known
-        first_of_class = np.zeros(len(out), bool)
-        first_of_class[self.order[self.fresh]] = True
-        out[ask] = ~first_of_class[ask]
+    def __init__(self, texts: list[bytes]) -> None:
+        self.n, sizes = len(texts), np.array([len(t) for t in texts])
+        raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+        #: place of each text's end, and of its start
+        self.end = np.cumsum(sizes + 1) - 1
+        self.start = self.end - sizes
+        self.text_of = np.repeat(np.arange(self.n), sizes + 1)
+        symbols = raw.astype(np.uint16) + 1
+        symbols[self.end] = 0
+        order = suffix_order(symbols, self.text_of, int(sizes.max(initial=0)) + 1)
+        bwt = np.where(np.isin(order, self.start, assume_unique=True), 0, symbols[order - 1])
+        self.row = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
+        self.char, length = bwt[self.row], np.diff(np.r_[self.row, len(bwt)])
+        self.last_row = self.row + length - 1
+        #: sampled run ends: text places of the first and of the last row of each run
+        self.first, self.last = order[self.row], order[self.last_row]
+        by = np.argsort(self.char, kind="stable")
+        self.lf = np.empty(len(by), np.int64)
+        self.lf[by] = np.cumsum(length[by]) - length[by]
+        #: the run whose last row steps to the row before, or whose first row steps to the row behind, what a run steps to
+        self.before, self.behind = np.full(len(by), -1), np.full(len(by), -1)
+        self.before[by[1:]], self.behind[by[:-1]] = by[:-1], by[1:]
+        self.before[self.char == 0] = -1
+        self.before[np.isin(self.before, np.flatnonzero(self.char == 0))] = -1
+        self.first_byte = int(order[self.n]) if len(order) > self.n else -1
+        #: eight bytes from each place, to compare by
+        wide = np.r_[raw, np.zeros(8, np.uint8)].astype(np.uint64)
+        self.words = wide[: len(raw)] << np.uint64(56)
+        for k in range(1, 8):
+            self.words |= wide[k : len(raw) + k] << np.uint64(56 - 8 * k)
+
+    def common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Bytes that the texts at places ``p`` and ``q`` have in common from there on, compared byte by byte; none where ``q`` is negative."""
+        room = np.where(q < 0, 0, np.minimum(self.end[self.text_of[p]] - p, self.end[self.text_of[q]] - q))
+        out, on = np.zeros(len(p), np.int64), np.flatnonzero(room > 0)
+        while len(on):
+            x = self.words[p[on] + out[on]] ^ self.words[q[on] + out[on]]
+            same = np.full(len(on), 8)
+            differ = x != 0
+            # the place of the highest bit set, by halves
+            top, bits = x[differ], np.zeros(int(differ.sum()), np.int64)
+            for shift in (32, 16, 8):
+                high = top >> np.uint64(shift) != 0
+                bits += np.where(high, shift, 0)
+                top = np.where(high, top >> np.uint64(shift), top)
+            same[differ] = 7 - bits // 8
+            out[on] = np.minimum(out[on] + same, room[on])
+            on = on[(same == 8) & (out[on] < room[on])]
         return out
 
+    def statistics(self) -> tuple[np.ndarray, ...]:
+        """Matching statistics of every text, streamed backwards over the runs, all texts abreast.
+
+        For each place: its row, and the length it has in common with the suffix before it and behind it in the order; the
+        longer of the two is the longest match of what starts there with anything that starts elsewhere. Inside a run both
+        neighbours step along and a match grows by one byte; at a run's end the neighbour is the sampled end of another
+        run, and the match is measured.
+        """
+        total = int(self.end[-1]) + 1
+        row, above, below = (np.zeros(total, np.int64) for _ in range(3))
+        text = np.arange(self.n)
+        at, now = self.end.copy(), text.copy()
+        row[at] = now
+        src_a, len_a = np.where(text > 0, self.end[text - 1], -1), np.zeros(self.n, np.int64)
+        src_b, len_b = np.r_[self.end[1:], self.first_byte], np.zeros(self.n, np.int64)
+        while True:
+            live = np.flatnonzero(at > self.start[text])
+            text, at, now, src_a, len_a, src_b, len_b = (x[live] for x in (text, at, now, src_a, len_a, src_b, len_b))
+            if not len(text):
+                return row, above, below
+            run = np.searchsorted(self.row, now, "right") - 1
+            head, tail = now == self.row[run], now == self.last_row[run]
+            now, at = self.lf[run] + now - self.row[run], at - 1
+            src_a, len_a, src_b, len_b = src_a - 1, len_a + 1, src_b - 1, len_b + 1
+            hop = np.flatnonzero(head)
+            near = self.before[run[hop]]
+            src_a[hop] = np.where(near >= 0, self.last[near] - 1, self.end[-1])
+            len_a[hop] = self.common(at[hop], src_a[hop])
+            hop = np.flatnonzero(tail)
+            near = self.behind[run[hop]]
+            src_b[hop] = np.where(near >= 0, self.first[near] - 1, -1)
+            len_b[hop] = self.common(at[hop], src_b[hop])
+            row[at], above[at], below[at] = now, len_a, len_b
+
+    def repeated(self, window: int) -> np.ndarray:
+        """Places whose ``window`` bytes also start at an earlier place: where a match reaches the window, all but the earliest of equal ones."""
+        row, above, below = self.statistics()
+        held = np.flatnonzero(np.maximum(above, below) >= window)
+        held = held[np.argsort(row[held], kind="stable")]
+        if not len(held):
+            return held
+        heads = np.flatnonzero(above[held] < window)
+        earliest = np.minimum.reduceat(held, heads)
+        return np.sort(held[held != np.repeat(earliest, np.diff(np.r_[heads, len(held)]))])
+
 
 def _marked(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Byte stretches to remove, from all contexts of one partition."""
@@ -278,6 +357,19 @@ def _marked(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             doc, mark, pack = (np.array(x, np.int64) for x in zip(*rows))
             out(doc, mark, _first(pack), _first(pack) + _count(pack) + window - 1)
 
+    def found(rows: list[tuple[tuple[int, int, int], bytes]]) -> None:
+        """Marks from one index over the contexts ``rows``, in the order of their documents."""
+        doc, mark, pack = (np.array(x, np.int64) for x in zip(*(k for k, _ in rows)))
+        index = RunIndex([c for _, c in rows])
+        hit = index.repeated(window)
+        own = index.text_of[hit]
+        place = hit - index.start[own]
+        if len(own):
+            heads = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (np.diff(place) != 1)])
+            tails = np.r_[heads[1:], len(own)] - 1
+            first = _first(pack)[own[heads]]
+            out(doc[own[heads]], mark[own[heads]], first + place[heads], first + place[tails] + window)
+
     for b in batches:
         gone = []
         for h, k, c in zip(b.column("h").to_pylist(), zip(b.column("doc").to_pylist(), b.column("mark").to_pylist(), b.column("pack").to_pylist()), b.column("context").to_pylist()):
@@ -294,24 +386,15 @@ def _marked(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
     per: dict[int, int] = {}
     for h, _ in kept:
         per[h] = per.get(h, 0) + 1
-    rows = sorted((k, c) for (h, c), k in kept.items() if per[h] > 1)
+    rows = sorted((h, k, c) for (h, c), k in kept.items() if per[h] > 1)
     kept.clear()
-    if rows:
-        text = np.frombuffer(b"".join(c for _, c in rows), np.uint8)
-        sizes = np.array([len(c) for _, c in rows])
-        doc, mark, pack = (np.array(x, np.int64) for x in zip(*(k for k, _ in rows)))
-        count, base = _count(pack), np.cumsum(sizes) - sizes
-        own = np.repeat(np.arange(len(rows)), count)
-        place = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-        at = base[own] + place
-        before = np.where(place > 0, text[at - 1].astype(np.int64), -1)
-        hit = RunIndex(window_classes(text, at, window), before).matched()
-        own, place = own[hit], place[hit]
-        if len(own):
-            heads = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (np.diff(place) != 1)])
-            tails = np.r_[heads[1:], len(own)] - 1
-            first = _first(pack)[own[heads]]
-            out(doc[own[heads]], mark[own[heads]], first + place[heads], first + place[tails] + window)
+    # contexts of one anchor stay together; an index takes whole anchors up to a bound of bytes
+    size, at = 0, 0
+    for i, (h, _, c) in enumerate(rows):
+        size += len(c)
+        if i + 1 == len(rows) or size >= INDEX_BYTES and rows[i + 1][0] != h:
+            found(sorted((k, c) for _, k, c in rows[at : i + 1]))
+            size, at = 0, i + 1
     if docs:
         names = ["doc", "mark", "start", "stop"]
         yield from pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in (docs, marks, starts, stops)], names).to_batches(1 << 16)

@@ -106,3 +106,69 @@ def test_long_text(spark):
     df = spark.createDataFrame([(1, long), (2, "x" * 300), (3, long[5000:5400] + "tail")], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix.repeat_digest(df).collect()}
     assert got == {1: (0, 0), 2: (299, 1), 3: (400, 1)}
+
+
+def _distinct_texts(rng):
+    alphabet = rng.choice([b"ab", b"a", b"abcdefgh", bytes(range(4)), b"\xff\x00a"])
+    draw = lambda n: bytes(rng.choice(alphabet) for _ in range(n))
+    base = draw(40)
+    texts = sorted({draw(rng.randint(1, 12)) + base[rng.randint(0, 20) : rng.randint(20, 40)] + draw(rng.randint(0, 12)) for _ in range(rng.randint(1, 12))})
+    rng.shuffle(texts)
+    return texts
+
+
+def _common(a, b):
+    return next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_matching_statistics_by_brute_force():
+    """Rows and lengths of every place, from the runs alone, are those of the suffixes in order."""
+    rng = random.Random(1)
+    for _ in range(150):
+        texts = _distinct_texts(rng)
+        index = suffix.RunIndex(texts)
+        row, above, below = index.statistics()
+        rest = {(i, p): t[p:] for i, t in enumerate(texts) for p in range(len(t) + 1)}
+        order = sorted(rest, key=lambda k: ([x + 1 for x in rest[k]] + [0], k[0]))
+        for k, (i, p) in enumerate(order):
+            at = index.start[i] + p
+            before = _common(rest[order[k - 1]], rest[i, p]) if k else 0
+            behind = _common(rest[order[k + 1]], rest[i, p]) if k + 1 < len(order) else 0
+            assert (row[at], above[at], below[at]) == (k, before, behind)
+
+
+def test_repeats_by_the_lengths():
+    rng = random.Random(2)
+    for _ in range(150):
+        texts, window = _distinct_texts(rng), rng.choice([1, 3, 10])
+        seen, want = set(), []
+        for i, t in enumerate(texts):
+            for p in range(len(t) - window + 1):
+                if t[p : p + window] in seen:
+                    want.append((i, p))
+                seen.add(t[p : p + window])
+        index = suffix.RunIndex(texts)
+        hit = index.repeated(window)
+        assert [(int(index.text_of[x]), int(x - index.start[index.text_of[x]])) for x in hit] == want
+
+
+def test_index_keeps_runs_only():
+    """Of the order nothing as long as the text is kept but the text's own bytes; a repetitive text has few runs."""
+    rng = random.Random(3)
+    base = bytes(rng.choice(b"abcdefgh") for _ in range(4000))
+    texts = [base[:k] + b"!" + base[k:] for k in range(1, 60)]
+    index = suffix.RunIndex(texts)
+    assert len(index.row) < sum(map(len, texts)) / 20 and len(index.first) == len(index.last) == len(index.row)
+    index.last = np.zeros_like(index.last)  # the statistics stand on the sampled run ends
+    assert (index.statistics()[1] != suffix.RunIndex(texts).statistics()[1]).any()
+
+
+def test_index_size_changes_nothing(spark, monkeypatch):
+    rng = random.Random(4)
+    part = ["".join(rng.choice("abcd") for _ in range(150)) for _ in range(5)]
+    rows = [(i, "".join(rng.choice("abcd") for _ in range(rng.randint(0, 50))) + rng.choice(part) + rng.choice(part)) for i in range(120)]
+    want = plain(rows)
+    for size in (1, 1 << 19):
+        monkeypatch.setattr(suffix, "INDEX_BYTES", size)
+        got = suffix.repeat_digest(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()} == want
