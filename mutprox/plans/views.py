@@ -51,6 +51,10 @@ SELECT 'G' || CAST(c_nationkey % 8 AS STRING) AS gene, 'ENST' || lpad(CAST(2 * (
 SELECT s_name AS drug, 'DB' || lpad(CAST(s_suppkey AS STRING), 5, '0') AS drug_id, 'H' || CAST(s_suppkey % 10 AS STRING) AS het,
        'P' || lpad(CAST(s_suppkey % 5 AS STRING), 4, '0') AS pdb, substr('ABCD', CAST(s_suppkey % 4 AS INT) + 1, 1) AS chain,
        CAST(s_nationkey % 25 + 1 AS INT) AS residue_no, s_acctbal > 0 AS is_target FROM supplier""",
+    "symbols": """
+SELECT CAST(c_custkey AS BIGINT) AS k, 'S' || CAST(c_custkey AS STRING) || CASE WHEN c_custkey % 9 = 0 THEN '~withdrawn' ELSE '' END AS symbol, c_name AS name, CAST(c_nationkey % 8 + 1 AS STRING) || 'q21' AS chromosome,
+       'O' || CAST(c_custkey + 8 - c_custkey % 16 AS STRING) || ', O' || CAST(c_custkey % 7 AS STRING) AS previous, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'A' || CAST(c_custkey % 40 AS STRING) END AS aliases,
+       CASE WHEN c_custkey % 4 > 0 THEN 'ENSG' || CAST(c_custkey % 100 AS STRING) END AS ensembl, 'U' || CAST(c_custkey % 30 AS STRING) AS uniprot FROM customer""",
 }
 #: Views that a view reads.
 READS = {"chains": ("atoms",)}
