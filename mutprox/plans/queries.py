@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mutprox.functions import columns as C
 from mutprox.operators import annotate, density, filters, genes, graph, report, search, stats, structures
 from mutprox.plans.views import oracle, view
+from mutprox.session import cut
 from mutprox.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,20 +30,16 @@ def job(body: str | None = None, *names: str) -> Callable:
 
 
 class Steps:
-    """The chain from views to pairs; each step is declared once and planned by whoever asks for it.
+    """The chain from views to pairs; each step is declared once and planned by whoever asks for it."""
 
-    The checking SQL cuts distances at 20, so this is the default; the reference ranks them up to 100.
-    """
-
-    def __init__(self, spark: SparkSession, sf_dir: str, max_distance: float = 20.0) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.view = lambda name: view(spark, sf_dir, name)
-        self.max_distance = max_distance
 
     def residues(self) -> DataFrame:
         return structures.residue_centroids(self.view("atoms"))
 
     def prox(self) -> DataFrame:
-        return structures.residue_distances(self.residues(), self.view("chains"), max_distance=self.max_distance)
+        return structures.residue_distances(self.residues(), self.view("chains"))
 
     def prox_p(self) -> DataFrame:
         return annotate.empirical_p_values(self.prox())
@@ -106,24 +103,24 @@ def gene_counts(spark: SparkSession, d: str) -> DataFrame:
 # --- filters -----------------------------------------------------------------------------------------------------
 
 
-@job("SELECT classification, count(*) AS n FROM maf WHERE classification <> 'Silent' GROUP BY 1", "maf")
+@job("SELECT line_no, gene, aa_change, classification FROM maf WHERE classification <> 'Silent'", "maf")
 def cluster_mutation_filter(spark: SparkSession, d: str) -> DataFrame:
-    return filters.cluster_mutations(view(spark, d, "maf")).groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
+    return filters.cluster_mutations(view(spark, d, "maf")).select("line_no", "gene", "aa_change", "classification")
 
 
-@job("SELECT classification, count(*) AS n FROM maf WHERE classification = 'Missense_Mutation' GROUP BY 1", "maf")
+@job("SELECT line_no, gene, aa_change, classification FROM maf WHERE classification = 'Missense_Mutation'", "maf")
 def search_mutation_filter(spark: SparkSession, d: str) -> DataFrame:
-    return filters.search_mutations(view(spark, d, "maf"), missense_only=True).groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
+    return filters.search_mutations(view(spark, d, "maf"), missense_only=True).select("line_no", "gene", "aa_change", "classification")
 
 
 def _kind(sql: str) -> str:
-    return f"SELECT uniprot1, chain1, uniprot2, chain2, count(*) AS n FROM prox WHERE {sql} GROUP BY ALL"
+    return f"SELECT pdb, uniprot1, chain1, pos1, uniprot2, chain2, pos2, distance FROM prox WHERE {sql}"
 
 
 def _meric(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = Steps(spark, d).prox().withColumn("gene1", F.col("uniprot1")).withColumn("gene2", F.col("uniprot2"))
-        return filters.meric_filter(rows, kind).groupBy("uniprot1", "chain1", "uniprot2", "chain2").agg(F.count(F.lit(1)).alias("n"))
+        return filters.meric_filter(rows, kind).select("pdb", "uniprot1", "chain1", "pos1", "uniprot2", "chain2", "pos2", "distance")
 
     run.__name__ = f"meric_{kind}"
     return run
@@ -352,8 +349,6 @@ class Network:
     """Clusters of the whole chain; edges are cut once because four steps read them."""
 
     def __init__(self, spark: SparkSession, d: str) -> None:
-        from mutprox.session import cut
-
         s = Steps(spark, d)
         self.edges, self.weights = cut(s.edges()), cut(s.weights())
         self.components = cut(graph.super_clusters(self.edges))
@@ -400,8 +395,6 @@ def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
 
 class Density:
     def __init__(self, spark: SparkSession, d: str, runs: int = 1) -> None:
-        from mutprox.session import cut
-
         s = Steps(spark, d)
         self.edges = cut(s.edges())
         self.weights = graph.vertices(s.weights()).groupBy(F.col("mutation_key").alias("key")).agg(F.sum("weight").alias("weight"))
@@ -453,28 +446,29 @@ def _gene_clusters(s: Steps) -> DataFrame:
 _MEMBERS = "m AS (SELECT gene AS cluster, gene, aa_change AS mutation, CAST(count(*) AS DOUBLE) AS weight FROM maf WHERE classification <> 'Silent' GROUP BY gene, aa_change), p AS (SELECT a.gene AS gene1, a.aa_change AS mutation1, b.gene AS gene2, b.aa_change AS mutation2, unnest(info) AS i FROM pairs)"
 
 
-@job(f"WITH {_MEMBERS} SELECT m1.cluster, round(sum(m1.weight * m2.weight * i.distance), 4) AS distance_sum FROM p JOIN m m1 ON m1.gene = gene1 AND m1.mutation = mutation1 JOIN m m2 ON m2.gene = gene2 AND m2.mutation = mutation2 AND m1.cluster = m2.cluster WHERE i.pdb = 'P0000' GROUP BY 1", "maf", "pairs")
+@job(f"""WITH {_MEMBERS}, best AS (SELECT gene1 AS cluster, min(i.pdb) AS pdb FROM p GROUP BY 1), t AS (SELECT cluster, CAST(sum(floor(weight)) AS BIGINT) AS mass FROM m GROUP BY 1),
+s AS (SELECT m1.cluster, sum(m1.weight * m2.weight * i.distance) AS d FROM p JOIN m m1 ON m1.gene = gene1 AND m1.mutation = mutation1 JOIN m m2 ON m2.gene = gene2 AND m2.mutation = mutation2 AND m1.cluster = m2.cluster JOIN best b ON b.cluster = m1.cluster AND b.pdb = i.pdb GROUP BY 1)
+SELECT cluster, round(coalesce(d, 0), 4) AS distance_sum, mass, mass * (mass - 1) / 2 AS n_pairs FROM t LEFT JOIN s USING (cluster)""", "maf", "pairs")
 def within_cluster_distance(spark: SparkSession, d: str) -> DataFrame:
     s = Steps(spark, d)
     m = _gene_clusters(s)
-    best = m.select("cluster").distinct().withColumn("pdb", F.lit("P0000"))
-    return stats.within_cluster_distance(m, _pair_rows(s), best).filter("distance_sum > 0").select("cluster", F.round("distance_sum", 4).alias("distance_sum"))
+    pairs = cut(_pair_rows(s))
+    best = pairs.select(F.col("gene1").alias("cluster"), F.explode("info.pdb").alias("pdb")).groupBy("cluster").agg(F.min("pdb").alias("pdb"))
+    return stats.within_cluster_distance(m, pairs, best).withColumn("distance_sum", F.round("distance_sum", 4))
 
 
-@job("""WITH r AS (SELECT uniprot1 AS cluster, CASE WHEN (chain1, pos1) <= (chain2, pos2) THEN chain1 || ':' || pos1 || '/' || chain2 || ':' || pos2 ELSE chain2 || ':' || pos2 || '/' || chain1 || ':' || pos1 END AS k, chain1, pos1, distance FROM prox WHERE uniprot1 = uniprot2 AND pdb IN ('P0000', 'P0001', 'P0002', 'P0003') AND pdb = CASE uniprot1 WHEN 'U0' THEN 'P0000' WHEN 'U1' THEN 'P0001' ELSE 'P0002' END)
+@job("""WITH r AS (SELECT uniprot1 AS cluster, CASE WHEN (chain1, pos1) <= (chain2, pos2) THEN chain1 || ':' || pos1 || '/' || chain2 || ':' || pos2 ELSE chain2 || ':' || pos2 || '/' || chain1 || ':' || pos1 END AS k, chain1, pos1, distance FROM prox p WHERE uniprot1 = uniprot2 AND pdb = (SELECT min(pdb) FROM prox q WHERE q.uniprot1 = p.uniprot1))
 SELECT cluster, count(*) AS n, round(sum(distance), 4) AS total FROM (SELECT DISTINCT cluster, k, distance FROM r UNION ALL SELECT cluster, chain1 || ':' || pos1, 0.0 FROM (SELECT DISTINCT cluster, chain1, pos1 FROM r)) GROUP BY cluster""", "prox")
 def background_distances(spark: SparkSession, d: str) -> DataFrame:
-    prox = Steps(spark, d).prox()
+    prox = cut(Steps(spark, d).prox())
     proteins = prox.select(F.col("uniprot1").alias("cluster"), F.col("uniprot1").alias("uniprot"), F.lit(True).alias("is_first")).distinct()
-    best = proteins.select("cluster", F.when(F.col("cluster") == "U0", "P0000").when(F.col("cluster") == "U1", "P0001").otherwise("P0002").alias("pdb"))
+    best = prox.groupBy(F.col("uniprot1").alias("cluster")).agg(F.min("pdb").alias("pdb"))
     return stats.background_distances(prox, proteins, best).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("distance"), 4).alias("total"))
 
 
 @job()
 def cluster_significance(spark: SparkSession, d: str) -> DataFrame:
-    from mutprox.session import cut
-
-    s = Steps(spark, d, 100.0)
+    s = Steps(spark, d)
     prox = cut(s.prox())
     proteins = prox.select(F.concat(F.lit("G"), F.substring("uniprot1", 2, 9)).alias("cluster"), F.col("uniprot1").alias("uniprot"), F.lit(True).alias("is_first")).distinct()
     best = prox.groupBy(F.concat(F.lit("G"), F.substring("uniprot1", 2, 9)).alias("cluster")).agg(F.min("pdb").alias("pdb"))
@@ -552,11 +546,11 @@ def protein_linkage(spark: SparkSession, d: str) -> DataFrame:
     return genes.protein_linkage(view(spark, d, "chains"))
 
 
-@job("SELECT DISTINCT uniprot FROM chains c WHERE NOT EXISTS (SELECT 1 FROM drugs d WHERE d.pdb = c.pdb) OR uniprot IN ('U6', 'U7')", "chains", "drugs")
+@job("SELECT DISTINCT uniprot FROM chains c WHERE (uniprot, pdb) NOT IN (SELECT uniprot, pdb FROM chains x WHERE chain >= 'C') OR uniprot IN ('U2', 'U7')", "chains")
 def proteins_to_refresh(spark: SparkSession, d: str) -> DataFrame:
     c = view(spark, d, "chains").select("uniprot", "pdb").distinct()
-    known = c.join(view(spark, d, "drugs").select("pdb").distinct(), "pdb", "left_semi")
-    return genes.proteins_to_refresh(c, known, c.select("uniprot").distinct().filter("uniprot not in ('U6', 'U7')"))
+    known = view(spark, d, "chains").filter("chain >= 'C'").select("uniprot", "pdb").distinct()
+    return genes.proteins_to_refresh(c, known, c.select("uniprot").distinct().filter("uniprot not in ('U2', 'U7')"))
 
 
 @job("SELECT gene1, mutation1, gene2, mutation2, samples1, samples2, \"both\" FROM (WITH n AS (SELECT gene, aa_change AS mutation, sample AS s, count(*) AS n FROM maf GROUP BY 1, 2, 3), l AS (SELECT gene, mutation, list_sort(list(s)) AS names, array_to_string(list_sort(list(s || ':' || n)), '|') AS samples FROM n GROUP BY 1, 2), p AS (SELECT DISTINCT a.gene AS gene1, a.aa_change AS mutation1, b.gene AS gene2, b.aa_change AS mutation2 FROM pairs) SELECT p.*, x.samples AS samples1, y.samples AS samples2, array_to_string(list_sort(list_intersect(x.names, y.names)), '|') AS \"both\" FROM p LEFT JOIN l x ON x.gene = gene1 AND x.mutation = mutation1 LEFT JOIN l y ON y.gene = gene2 AND y.mutation = mutation2)", "maf", "pairs")
@@ -626,10 +620,11 @@ def annotate_drug_class(spark: SparkSession, d: str) -> DataFrame:
     return report.annotate_drug_class(rows, drugs.filter("is_target").select("drug", F.col("het").alias("class"))).select("gene", "drug_class")
 
 
-@job("WITH c AS (SELECT DISTINCT gene FROM maf), l AS (SELECT 'G' || substr(uniprot, 2) AS gene, array_to_string(list_sort(list(DISTINCT type)), '|') AS families FROM features WHERE uniprot < 'U5' GROUP BY 1) SELECT c.gene, coalesce(families, 'Unclassified') AS families FROM c LEFT JOIN l USING (gene)", "maf", "features")
+@job("WITH c AS (SELECT DISTINCT gene, false AS is_drug FROM maf UNION ALL SELECT DISTINCT drug, is_target FROM drugs), l AS (SELECT 'G' || substr(uniprot, 2) AS gene, array_to_string(list_sort(list(DISTINCT type)), '|') AS families FROM features GROUP BY 1) SELECT c.gene, CASE WHEN is_drug THEN 'NA' ELSE coalesce(families, 'Unclassified') END AS families FROM c LEFT JOIN l USING (gene)", "maf", "features", "drugs")
 def annotate_families(spark: SparkSession, d: str) -> DataFrame:
-    fam = view(spark, d, "features").filter("uniprot < 'U5'").select(F.concat(F.lit("G"), F.substring("uniprot", 2, 9)).alias("gene"), F.col("type").alias("family"))
-    return report.annotate_families(view(spark, d, "maf").select("gene", F.lit(False).alias("is_drug")).distinct(), fam).select("gene", "families")
+    fam = view(spark, d, "features").select(F.concat(F.lit("G"), F.substring("uniprot", 2, 9)).alias("gene"), F.col("type").alias("family"))
+    rows = view(spark, d, "maf").select("gene", F.lit(False).alias("is_drug")).distinct().unionByName(view(spark, d, "drugs").select(F.col("drug").alias("gene"), F.col("is_target").alias("is_drug")).distinct())
+    return report.annotate_families(rows, fam).select("gene", "families")
 
 
 @job("WITH a AS (SELECT 'G' || substr(uniprot, 2) AS gene, list_distinct(list(type)) AS f FROM features GROUP BY 1), e AS (SELECT unnest(f) AS family FROM a) SELECT family, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM a), 6) AS percent FROM e GROUP BY 1", "features")
@@ -651,10 +646,10 @@ def exact_transcript_map(spark: SparkSession, d: str) -> DataFrame:
     return annotate.exact_transcript_map(s.select("uniprot", "transcript", F.rpad(F.substring("sequence", 1, 30), 30, "X").alias("sequence")), s.select(F.concat("transcript", F.lit(".2")).alias("transcript"), "sequence"))
 
 
-@job("SELECT pdb, uniprot, count(*) FILTER (WHERE residue_name <> 'ALA') AS n_wrong, count(*) AS n_residues, round(count(*) FILTER (WHERE residue_name <> 'ALA') / count(*), 6) AS fraction FROM placed WHERE residue_no + offset_no <= 20 GROUP BY 1, 2", "placed")
+@job("SELECT pdb, uniprot, count(*) FILTER (WHERE residue_name <> 'ALA') AS n_wrong, count(*) AS n_residues, round(count(*) FILTER (WHERE residue_name <> 'ALA') / count(*), 6) AS fraction FROM placed GROUP BY 1, 2", "placed")
 def offset_errors(spark: SparkSession, d: str) -> DataFrame:
     s = Steps(spark, d)
-    sequences = s.view("chains").select("uniprot", F.lit("A" * 20).alias("sequence")).distinct()
+    sequences = s.view("chains").select("uniprot", F.lit("A" * 30).alias("sequence")).distinct()
     return structures.offset_errors(structures.residue_offsets(s.residues(), s.view("chains")), sequences).withColumn("fraction", F.round("fraction", 6))
 
 

@@ -89,7 +89,7 @@ STEPS = {
     "base": "SELECT pdb, uniprot, min(chain) AS chain FROM chains GROUP BY pdb, uniprot",
     "prox": f"""SELECT * FROM (SELECT a.uniprot AS uniprot1, a.chain AS chain1, a.residue_no AS pos1, a.offset_no AS off1, a.residue_name AS name1, b.uniprot AS uniprot2, b.chain AS chain2,
        b.residue_no AS pos2, b.offset_no AS off2, b.residue_name AS name2, {_DISTANCE} AS distance, a.pdb FROM placed a
-       JOIN base ON base.pdb = a.pdb AND base.uniprot = a.uniprot AND base.chain = a.chain JOIN placed b ON a.pdb = b.pdb AND (a.chain <> b.chain OR a.residue_no <> b.residue_no)) WHERE distance <= 20""",
+       JOIN base ON base.pdb = a.pdb AND base.uniprot = a.uniprot AND base.chain = a.chain JOIN placed b ON a.pdb = b.pdb AND (a.chain <> b.chain OR a.residue_no <> b.residue_no)) WHERE distance <= 100""",
     "grid": "SELECT uniprot1, distance, round((row_number() OVER (PARTITION BY uniprot1 ORDER BY distance) - 1) / count(*) OVER (PARTITION BY uniprot1), 6) AS p_value FROM (SELECT DISTINCT uniprot1, distance FROM prox)",
     "prox_p": "SELECT prox.*, p_value FROM prox JOIN grid USING (uniprot1, distance)",
     "points": """SELECT uniprot, spot, arg_max(description, line_no) AS description FROM (
