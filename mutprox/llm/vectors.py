@@ -23,8 +23,11 @@ from mutprox.llm.tokens import slices
 from mutprox.operators.components import connected_components
 from mutprox.session import cut, ship
 
-BLOCKS, TILE, STEP = 8, 4096, 512
+#: Fewer blocks mean fewer copies of a row and fewer comparisons: a slab is hardly narrower than the spread of an axis in any case.
+BLOCKS, TILE, STEP = 4, 4096, 512
 SLACK = 1e-9
+#: Far above the error of a single-precision product of two parts of unit vectors.
+LOOSE = np.float32(1e-5)
 #: Candidates verified at once.
 CHUNK = 1 << 17
 
@@ -85,10 +88,11 @@ def _tile_links(table: pa.Table, least: float, blocks: int) -> pa.Table:
         parts = axes(raw.shape[1], blocks)
         share = (2 - 2 * least) / len(parts) + SLACK
         own = r[:, parts[block]]
-        square = (own * own).sum(axis=1)
+        # in single precision and loosely; what passes is checked again in double precision
+        half, single = ((own * own).sum(axis=1) / 2 - share / 4).astype(np.float32), own.astype(np.float32)
         for at in range(0, len(left), STEP):
             rows = left[at : at + STEP]
-            near = square[rows][:, None] + square[right][None, :] - 2 * own[rows] @ own[right].T <= share + 1e-7
+            near = single[rows] @ single[right].T >= (half[rows] - LOOSE)[:, None] + half[right][None, :]
             if alone:
                 near &= rows[:, None] < right[None, :]
             u, v = np.nonzero(near)
