@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mutprox.operators.components import connected_components
 from mutprox.session import cut, ship
 
 
@@ -31,17 +32,43 @@ def core_vertices(edges: DataFrame, weights: DataFrame, eps: float = 10.0, min_p
     return reached.groupBy("structure", F.col("key1").alias("key")).agg(F.min("distance").alias("core_distance"))
 
 
+def _expand(start: str, near: dict, core: dict, site: dict, eps: float, done: dict[str, float]) -> None:
+    """Put all that ``start`` reaches into ``done`` in order. Of equal reachabilities a vertex at the last one's site comes first, then a core, then the smallest key."""
+    reach, heap, last = {start: eps}, [(eps, False, start)], None
+    while heap:
+        r, edge, k = heapq.heappop(heap)
+        if k in done or r > reach[k]:
+            continue
+        same = min(((o not in core, o) for o in site.get(last, ()) if o not in done and reach.get(o) == r), default=None)
+        if same is not None and same[1] != k:
+            heapq.heappush(heap, (r, edge, k))
+            k = same[1]
+        done[k], last = r, k
+        if k in core:
+            for b, d in near[k]:
+                far = max(core[k], d)
+                if b not in done and far < reach.get(b, np.inf):
+                    reach[b] = far
+                    heapq.heappush(heap, (far, b not in core, b))
+
+
 def _optics(rows: pd.DataFrame, eps: float, min_pts: float, seed: int) -> pd.DataFrame:
-    """One run: cores in shuffled order are expanded by reachability, then what is left follows."""
-    run, structure = int(rows["run"].iloc[0]), rows["structure"].iloc[0]
+    """One run over one component: cores in shuffled order are expanded by reachability, then what is left follows."""
+    run, structure, component = int(rows["run"].iloc[0]), rows["structure"].iloc[0], rows["component"].iloc[0]
     near: dict[str, list[tuple[str, float]]] = {}
+    site: dict[str, set[str]] = {}
     weight: dict[str, float] = {}
-    for a, b, d, wa, wb in zip(rows["key1"], rows["key2"], rows["distance"], rows["w1"], rows["w2"]):
-        weight[a], weight[b] = wa, wb
-        near.setdefault(a, []), near.setdefault(b, [])
-        if d <= eps:
+    for kind, a, b, d, wa, wb in zip(rows["kind"], rows["key1"], rows["key2"], rows["distance"], rows["w1"], rows["w2"]):
+        if kind == "site":
+            site.setdefault(a, set()).add(b)
+            site.setdefault(b, set()).add(a)
+            continue
+        weight[a] = wa
+        near.setdefault(a, [])
+        if kind == "edge":
+            weight[b] = wb
             near[a].append((b, d))
-            near[b].append((a, d))
+            near.setdefault(b, []).append((a, d))
     core: dict[str, float] = {}
     for k, others in near.items():
         total = weight[k]
@@ -53,42 +80,66 @@ def _optics(rows: pd.DataFrame, eps: float, min_pts: float, seed: int) -> pd.Dat
             total += weight[b]
             if total >= min_pts:
                 core[k] = d
-    rng = random.Random(f"{seed}/{structure}/{run}")
+    rng = random.Random(f"{seed}/{structure}/{component}/{run}")
     heads, rest = sorted(core), sorted(set(near) - set(core))
     rng.shuffle(heads)
     rng.shuffle(rest)
     done: dict[str, float] = {}
     for start in [*heads, *rest]:
-        heap = [(eps, 0 if start in core else 1, start)]
-        while heap:
-            r, _, k = heapq.heappop(heap)
-            if k in done:
-                continue
-            done[k] = r
-            if k in core:
-                for b, d in near[k]:
-                    if b not in done:
-                        heapq.heappush(heap, (max(core[k], d), 0 if b in core else 1, b))
+        if start not in done:
+            _expand(start, near, core, site, eps, done)
     keys = list(done)
-    return pd.DataFrame({"structure": structure, "run": run, "ord": np.arange(len(keys)), "key": keys, "rd": list(done.values()), "cd": [core.get(k, eps) for k in keys], "weight": [weight[k] for k in keys]})
+    return pd.DataFrame({"structure": structure, "run": run, "component": component, "ord": np.arange(len(keys)), "key": keys, "rd": list(done.values()), "cd": [core.get(k, eps) for k in keys], "weight": [weight[k] for k in keys]})
+
 
+ORDER = "structure string, run int, component string, ord long, key string, rd double, cd double, weight double"
 
-ORDER = "structure string, run int, ord long, key string, rd double, cd double, weight double"
 
+def neighbourhoods(edges: DataFrame) -> DataFrame:
+    """``structure, key, component``: what edges join, named by its smallest key. No order goes from one to another."""
+    node = lambda k: F.struct(F.col("structure").alias("s"), F.col(k).alias("k"))
+    found = connected_components(edges.select(node("key1").alias("a"), node("key2").alias("b")))
+    return found.select(F.col("node.s").alias("structure"), F.col("node.k").alias("key"), F.col("component.k").alias("component"))
 
-def optics_order(edges: DataFrame, weights: DataFrame, eps: float = 10.0, min_pts: float = 4.0, runs: int = 1, seed: int = 1) -> DataFrame:
-    """``structure, run, ord, key, rd, cd, weight``: reachability order of each structure, once for each run with its own shuffle."""
+
+def optics_order(edges: DataFrame, weights: DataFrame, eps: float = 10.0, min_pts: float = 4.0, runs: int = 1, seed: int = 1, same_site: DataFrame | None = None) -> DataFrame:
+    """``structure, run, component, ord, key, rd, cd, weight``: reachability order of each component, once for each run with its own shuffle.
+
+    Components are what edges of ``eps`` or less join; ``ord`` counts from 0 in each, and each starts at ``eps``, so that an
+    order of all of them is any sequence of theirs. A vertex with longer edges only is a component of its own. Vertices
+    without a weight are left out. ``same_site``: key1, key2 of vertices at one protein place, which decide ties.
+    """
     spark = ship(edges.sparkSession)
     w = lambda n: weights.select(F.col("key").alias(f"key{n}"), F.col("weight").alias(f"w{n}"))
-    met = edges.join(w(1), "key1").join(w(2), "key2").crossJoin(F.broadcast(spark.range(runs).select(F.col("id").cast("int").alias("run"))))
-    return met.groupBy("structure", "run").applyInPandas(lambda rows: _optics(rows, eps, min_pts, seed), ORDER)
+    met = cut(edges.join(w(1), "key1").join(w(2), "key2").select("structure", "key1", "key2", "distance", "w1", "w2"))
+    close = met.filter(F.col("distance") <= eps)
+    own = cut(neighbourhoods(close))
+    one = own.withColumnRenamed("key", "key1")
+    none = F.lit(None)
+    cols = ["structure", "component", "kind", "key1", "key2", "distance", "w1", "w2"]
+    rows = close.join(one, ["structure", "key1"]).withColumn("kind", F.lit("edge")).select(*cols)
+    ends = met.select("structure", "key1", "w1").unionByName(met.select("structure", F.col("key2").alias("key1"), F.col("w2").alias("w1"))).distinct()
+    alone = ends.join(one, ["structure", "key1"], "left_anti").select("structure", F.col("key1").alias("component"), F.lit("alone").alias("kind"), "key1", none.cast("string").alias("key2"), none.cast("double").alias("distance"), "w1", none.cast("double").alias("w2"))
+    rows = rows.unionByName(alone)
+    if same_site is not None:
+        two = own.withColumnRenamed("key", "key2")
+        pairs = same_site.select("key1", "key2").join(one, "key1").join(two, ["structure", "component", "key2"])
+        rows = rows.unionByName(pairs.select("structure", "component", F.lit("site").alias("kind"), "key1", "key2", *[none.cast("double").alias(c) for c in ("distance", "w1", "w2")]))
+    rows = rows.crossJoin(F.broadcast(spark.range(runs).select(F.col("id").cast("int").alias("run"))))
+    return rows.groupBy("structure", "component", "run").applyInPandas(lambda rows: _optics(rows, eps, min_pts, seed), ORDER)
+
+
+def _parts(order: DataFrame) -> list[str]:
+    """What an order is counted in; one without components is one stretch a structure and run."""
+    return [c for c in ("structure", "run", "component") if c in order.columns]
 
 
 def reachability_islands(order: DataFrame, cut_at: float, min_pts: float = 4.0) -> DataFrame:
-    """``structure, run, island, first, last, n, weight``: stretches below the cut with the bar before them, heavy enough to stay."""
-    upto = W.partitionBy("structure", "run").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    """``structure, run, component, island, first, last, n, weight``: stretches below the cut with the bar before them, heavy enough to stay."""
+    by = _parts(order)
+    upto = W.partitionBy(*by).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     rows = order.withColumn("island", F.sum(F.when(F.col("rd") >= cut_at, 1).otherwise(0)).over(upto))
-    found = rows.groupBy("structure", "run", "island").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    found = rows.groupBy(*by, "island").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
     return found.filter((F.col("n") > 1) & (F.col("weight") >= min_pts))
 
 
@@ -117,43 +168,46 @@ def _levels(rows: pd.DataFrame, eps: float, min_pts: float) -> pd.DataFrame:
                     out.append((sup, level, sub, a + x, a + y, float(at), float((y - x + 1) / max(inner.mean(), 1e-9))))
                 known, level = now, level + 1
     cols = ["super_id", "level", "sub_id", "first", "last", "cut", "density"]
-    return pd.DataFrame(out, columns=cols).assign(structure=rows["structure"].iloc[0], run=int(rows["run"].iloc[0]))[["structure", "run", *cols]]
+    return pd.DataFrame(out, columns=cols).assign(structure=rows["structure"].iloc[0], run=int(rows["run"].iloc[0]), component=rows["component"].iloc[0])[["structure", "run", "component", *cols]]
 
 
 def density_clusters(order: DataFrame, eps: float = 10.0, min_pts: float = 4.0) -> DataFrame:
-    """``structure, run, super_id, level, sub_id, first, last, cut, density``: nested clusters found by lowering the cut in steps of 0.1.
+    """``structure, run, component, super_id, level, sub_id, first, last, cut, density``: nested clusters found by lowering the cut in steps of 0.1.
 
     Cuts come from an integer index, so that steps do not drift; a level is kept when the number of clusters changes or a
-    new or twice as long one appears. The last stretch of an order is closed like any other.
+    new or twice as long one appears. The last stretch of an order is closed like any other. Super clusters are numbered in
+    their component.
     """
     ship(order.sparkSession)
-    out = "structure string, run int, super_id int, level int, sub_id int, first long, last long, cut double, density double"
-    return order.groupBy("structure", "run").applyInPandas(lambda rows: _levels(rows, eps, min_pts), out)
+    out = "structure string, run int, component string, super_id int, level int, sub_id int, first long, last long, cut double, density double"
+    return order.groupBy("structure", "run", "component").applyInPandas(lambda rows: _levels(rows, eps, min_pts), out)
 
 
 def membership_probability(order: DataFrame, clusters: DataFrame, min_pts: float = 4.0) -> DataFrame:
-    """``structure, super_id, level, sub_id, key, hits, runs, probability``: how often a vertex falls into the stretch that matches each cluster of run 0.
+    """``structure, component, super_id, level, sub_id, key, hits, runs, probability``: how often a vertex falls into the stretch that matches each cluster of run 0.
 
     Every other run is cut where run 0 was; of its stretches the one that shares most vertices with a cluster is its match.
     """
-    order, base = cut(order), clusters.filter("run = 0").select("structure", "super_id", "level", "sub_id", "cut", "first", "last")
-    own = order.filter("run = 0").join(base, "structure").filter(F.col("ord").between(F.col("first"), F.col("last"))).select("structure", "super_id", "level", "sub_id", "key")
-    cuts = base.select("structure", "cut").distinct()
-    upto = W.partitionBy("structure", "run", "cut").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    others = order.filter("run > 0").join(cuts, "structure").withColumn("island", F.sum(F.when(F.col("rd") >= F.col("cut"), 1).otherwise(0)).over(upto))
-    heavy = others.groupBy("structure", "run", "cut", "island").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("w") >= min_pts)).select("structure", "run", "cut", "island")
-    members = others.join(heavy, ["structure", "run", "cut", "island"]).select("structure", "run", "cut", "island", "key")
-    ids = ["structure", "super_id", "level", "sub_id"]
-    shared = own.join(base.select(*ids, "cut"), ids).join(members, ["structure", "cut", "key"]).groupBy(*ids, "cut", "run", "island").agg(F.count(F.lit(1)).alias("n"))
+    order, part = cut(order), ["structure", "component"]
+    ids = [*part, "super_id", "level", "sub_id"]
+    base = clusters.filter("run = 0").select(*ids, "cut", "first", "last")
+    own = order.filter("run = 0").join(base, part).filter(F.col("ord").between(F.col("first"), F.col("last"))).select(*ids, "key")
+    cuts = base.select(*part, "cut").distinct()
+    upto = W.partitionBy(*part, "run", "cut").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    others = order.filter("run > 0").join(cuts, part).withColumn("island", F.sum(F.when(F.col("rd") >= F.col("cut"), 1).otherwise(0)).over(upto))
+    stretch = [*part, "run", "cut", "island"]
+    heavy = others.groupBy(*stretch).agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("w") >= min_pts)).select(*stretch)
+    members = others.join(heavy, stretch).select(*stretch, "key")
+    shared = own.join(base.select(*ids, "cut"), ids).join(members, [*part, "cut", "key"]).groupBy(*ids, "cut", "run", "island").agg(F.count(F.lit(1)).alias("n"))
     match = shared.groupBy(*ids, "cut", "run").agg(F.max_by("island", F.struct("n", -F.col("island"))).alias("island"))
-    hits = match.join(members, ["structure", "run", "cut", "island"]).groupBy(*ids, "key").agg(F.count(F.lit(1)).alias("hits"))
+    hits = match.join(members, stretch).groupBy(*ids, "key").agg(F.count(F.lit(1)).alias("hits"))
     runs = order.filter("run > 0").agg(F.countDistinct("run").alias("runs"))
     return hits.crossJoin(F.broadcast(runs)).withColumn("probability", F.col("hits") / F.col("runs"))
 
 
 def probable_clusters(probabilities: DataFrame, same_site: DataFrame, percent: float = 50.0) -> DataFrame:
     """Members that fall in often enough, widened to all members of their site."""
-    ids = ["structure", "super_id", "level", "sub_id"]
+    ids = [c for c in ("structure", "component", "super_id", "level", "sub_id") if c in probabilities.columns]
     kept = probabilities.filter(F.col("hits") * 100 >= F.col("runs") * percent).select(*ids, "key")
     both = same_site.select(F.col("key1").alias("key"), F.col("key2").alias("other")).unionByName(same_site.select(F.col("key2").alias("key"), F.col("key1").alias("other")))
     return kept.unionByName(kept.join(both, "key").select(*ids, F.col("other").alias("key"))).distinct()

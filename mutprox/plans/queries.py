@@ -398,7 +398,7 @@ class Density:
         s = Steps(spark, d)
         self.edges = cut(s.edges())
         self.weights = graph.vertices(s.weights()).groupBy(F.col("mutation_key").alias("key")).agg(F.sum("weight").alias("weight"))
-        self.order = cut(density.optics_order(self.edges, self.weights, runs=runs))
+        self.order = cut(density.optics_order(self.edges, self.weights, runs=runs, same_site=graph.same_site_pairs(s.weights())))
 
 
 @job("""WITH v AS (SELECT mutation_key, ref_alt, arg_min(weight, protein_key) AS weight FROM weights GROUP BY 1, 2), w AS (SELECT mutation_key AS key, sum(weight) AS weight FROM v GROUP BY 1), b AS (SELECT key1, key2, distance FROM edges UNION ALL SELECT key2, key1, distance FROM edges), s AS (SELECT * FROM b UNION ALL SELECT DISTINCT key1, key1, 0.0 FROM b),
