@@ -13,31 +13,43 @@ def _names(c: Column) -> Column:
     return F.array_join(F.sort_array(F.collect_set(c)), "|")
 
 
-def _tally(df: DataFrame, by: str, column: str, weight: Column, out: str) -> DataFrame:
-    """``name(count)`` lists, sorted by name."""
-    each = df.filter(F.col(column).isNotNull()).groupBy(by, column).agg(F.sum(weight).cast("long").alias("n"))
+def _tally(df: DataFrame, by: str, column: str, out: str) -> DataFrame:
+    """``name(rows)`` lists, sorted by name."""
+    each = df.filter(F.col(column).isNotNull()).groupBy(by, column).agg(F.count(F.lit(1)).alias("n"))
     item = F.concat(F.col(column).cast("string"), F.lit("("), F.col("n").cast("string"), F.lit(")"))
-    return each.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(column).alias("k"), item.alias("v")))), lambda x: x["v"]), "|").alias(out))
+    return each.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(column).alias("k"), item.alias("v")))), lambda x: x["v"]), ",").alias(out))
 
 
 def cluster_summary(clusters: DataFrame) -> DataFrame:
     """One row for each cluster, from its rows (cluster, gene, mutation, degree, score, geodesic, weight, chromosome, start, stop, ref, alt, transcript, weight_is_recurrence, line_no).
 
-    Sums and means of score, mean degree and geodesic, mass, distinct genes, genomic and protein mutations, positions, and
-    the lists of each with counts; the centroid is the last row at geodesic 0.
+    22 columns: the centroid (the last row at geodesic 0), the sum of scores, mass and mean mass of the mutations, means of
+    score, degree and geodesic over the vertices, numbers and lists of genes, mutations, sites, positions and drugs. A row
+    whose ``mutation`` holds no ``p.`` is a drug (its name in ``gene``); one whose ``alt`` is ``ptm`` is a site. A vertex
+    counts as its weight where that is a recurrence, else and for drugs as one. What a cluster lacks is null.
     """
-    rows = clusters.withColumn("genomic", F.concat_ws(":", "gene", "chromosome", "start", "stop", "ref", "alt")).withColumn("protein", F.concat_ws(":", "gene", "mutation"))
-    rows = rows.withColumn("place", F.concat_ws(":", "gene", C.aa_position(F.col("mutation")).cast("string"))).withColumn("mass", F.when(F.col("weight_is_recurrence"), F.col("weight")).otherwise(1.0))
-    centroid = F.max_by("protein", F.when(F.col("geodesic") == 0, F.col("line_no")))
+    protein_row = F.coalesce(F.col("mutation").contains("p."), F.lit(False))
+    site = F.col("alt").eqNullSafe("ptm")
+    rows = clusters.withColumn("kind", F.when(~protein_row, "drug").when(site, "site").otherwise("mutation"))
+    only = lambda c, *kinds: F.when(F.col("kind").isin(*kinds), c)
+    protein = F.concat_ws(":", "gene", "mutation")
+    rows = rows.select(
+        "cluster", "transcript", "degree", "score", "geodesic", "line_no", "kind", only(F.col("gene"), "mutation", "site").alias("own_gene"), only(F.col("gene"), "drug").alias("drug"),
+        only(F.concat_ws(":", "gene", "chromosome", "start", "stop", "ref", "alt"), "mutation").alias("genomic"), only(protein, "mutation").alias("protein"), only(protein, "site").alias("site"),
+        only(F.nullif(F.regexp_extract("mutation", r"p\.\D*(\d+)", 1), F.lit("")), "mutation", "site").alias("place"), F.coalesce(only(protein, "mutation", "site"), F.col("gene")).alias("name"),
+        F.when(F.col("weight_is_recurrence") & (F.col("kind") != "drug"), F.col("weight")).otherwise(1.0).alias("mass"),
+    )
+    n = lambda c: F.nullif(F.countDistinct(c), F.lit(0))
+    names = lambda c: F.nullif(F.array_join(F.sort_array(F.collect_set(c)), ","), F.lit(""))
+    mutation_mass = F.sum(only(F.col("mass"), "mutation"))
+    mean = lambda c: F.sum(c) / F.sum("mass")
     one = rows.groupBy("cluster").agg(
-        centroid.alias("centroid"), F.avg("degree").alias("mean_degree"), F.sum("score").alias("score_sum"), F.avg("score").alias("score_mean"), F.avg("geodesic").alias("mean_geodesic"),
-        F.sum("mass").alias("recurrence_mass"), F.countDistinct("gene").alias("n_genes"), F.countDistinct("genomic").alias("n_genomic"), F.countDistinct("protein").alias("n_protein"),
-        F.countDistinct("place").alias("n_positions"), F.count(F.lit(1)).alias("n_vertices"), _names(F.col("transcript")).alias("transcripts"), _names(F.col("genomic")).alias("genomic_mutations"),
+        F.max_by("name", F.when(F.col("geodesic") == 0, F.col("line_no"))).alias("centroid"), F.sum("score").alias("score_sum"), mutation_mass.alias("recurrence_mass"), mean("score").alias("score_mean"),
+        (mutation_mass / F.count(only(F.lit(1), "mutation"))).alias("mean_recurrence"), mean("degree").alias("mean_degree"), mean("geodesic").alias("mean_geodesic"), n("own_gene").alias("n_genes"),
+        F.sum("mass").alias("n_vertices"), n("genomic").alias("n_genomic"), n("protein").alias("n_protein"), n("site").alias("n_sites"), n("place").alias("n_positions"), n("drug").alias("n_drugs"),
+        names("genomic").alias("genomic_mutations"), names("protein").alias("protein_mutations"), names("site").alias("protein_sites"), names("place").alias("positions"), names("drug").alias("drugs"),
     )
-    out = one
-    for column, name in (("gene", "genes"), ("protein", "protein_mutations"), ("place", "positions")):
-        out = out.join(_tally(rows, "cluster", column, F.col("mass"), name), "cluster", "left")
-    return out
+    return one.join(_tally(rows, "cluster", "own_gene", "genes"), "cluster", "left").join(_tally(rows, "cluster", "transcript", "transcripts"), "cluster", "left")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:

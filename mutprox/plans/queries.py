@@ -382,7 +382,7 @@ def network_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
-    return Network(spark, d).rows().withColumn("weight_is_recurrence", F.lit(True)).withColumn("line_no", F.xxhash64("cluster", "key", "ref", "alt"))
+    return cut(Network(spark, d).rows()).withColumn("weight_is_recurrence", F.lit(True)).withColumn("line_no", F.xxhash64("cluster", "key", "ref", "alt"))
 
 
 @job()
@@ -390,6 +390,35 @@ def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
     return report.cluster_summary(_clusters(spark, d))
 
 
+@job("""WITH r AS (SELECT gene AS cluster, gene, aa_change AS mutation, start_pos % 7 + 1 AS degree, 1.0 / (1 + start_pos % 11) AS score, start_pos % 13 AS geodesic, CAST(count(*) AS DOUBLE) AS weight, chromosome, start_pos AS start, stop_pos AS stop, ref, alt, transcript FROM maf WHERE classification <> 'Silent' GROUP BY ALL
+UNION ALL SELECT gene, gene, 'p.' || letter || position, 2, 0.25, 3, 1, NULL, position, position, '-', 'ptm', transcript FROM sites WHERE letter IS NOT NULL
+UNION ALL SELECT 'G' || residue_no % 10, drug, 'G' || residue_no % 10, 3, 0.5, 5, 1, NULL, residue_no, residue_no, NULL, NULL, NULL FROM drugs),
+k AS (SELECT *, CASE WHEN mutation NOT LIKE '%p.%' THEN 'drug' WHEN alt = 'ptm' THEN 'site' ELSE 'mutation' END AS kind FROM r),
+c AS (SELECT *, gene || ':' || mutation AS protein, concat_ws(':', gene, chromosome, start, stop, ref, alt) AS genomic, regexp_extract(mutation, 'p\\.\\D*(\\d+)', 1) AS place, concat_ws(':', gene, mutation, transcript) AS line_no FROM k),
+g AS (SELECT cluster, string_agg(gene || '(' || n || ')', ',' ORDER BY gene) AS genes FROM (SELECT cluster, gene, count(*) AS n FROM c WHERE kind <> 'drug' GROUP BY 1, 2) GROUP BY 1),
+t AS (SELECT cluster, string_agg(transcript || '(' || n || ')', ',' ORDER BY transcript) AS transcripts FROM (SELECT cluster, transcript, count(*) AS n FROM c WHERE transcript IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT cluster, arg_max(CASE kind WHEN 'drug' THEN gene ELSE protein END, line_no) FILTER (geodesic = 0) AS centroid, round(sum(score), 6) AS score_sum, sum(weight) FILTER (kind = 'mutation') AS recurrence_mass, round(sum(score) / sum(weight), 6) AS score_mean,
+round(avg(weight) FILTER (kind = 'mutation'), 6) AS mean_recurrence, round(sum(degree) / sum(weight), 6) AS mean_degree, round(sum(geodesic) / sum(weight), 6) AS mean_geodesic, nullif(count(DISTINCT gene) FILTER (kind <> 'drug'), 0) AS n_genes, sum(weight) AS n_vertices,
+nullif(count(DISTINCT genomic) FILTER (kind = 'mutation'), 0) AS n_genomic, nullif(count(DISTINCT protein) FILTER (kind = 'mutation'), 0) AS n_protein, nullif(count(DISTINCT protein) FILTER (kind = 'site'), 0) AS n_sites, nullif(count(DISTINCT place) FILTER (kind <> 'drug'), 0) AS n_positions, nullif(count(DISTINCT gene) FILTER (kind = 'drug'), 0) AS n_drugs,
+string_agg(DISTINCT genomic, ',' ORDER BY genomic) FILTER (kind = 'mutation') AS genomic_mutations, string_agg(DISTINCT protein, ',' ORDER BY protein) FILTER (kind = 'mutation') AS protein_mutations, string_agg(DISTINCT protein, ',' ORDER BY protein) FILTER (kind = 'site') AS protein_sites,
+string_agg(DISTINCT place, ',' ORDER BY place) FILTER (kind <> 'drug') AS positions, string_agg(DISTINCT gene, ',' ORDER BY gene) FILTER (kind = 'drug') AS drugs FROM c GROUP BY cluster)
+SELECT s.*, genes, transcripts FROM s LEFT JOIN g USING (cluster) LEFT JOIN t USING (cluster)""", "maf", "sites", "drugs")
+def gene_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The summary over genes as clusters, with mutations, sites and drugs in them, so that SQL can build its rows too."""
+    s, none = Steps(spark, d), F.lit(None).cast("string")
+    cols = "cluster gene mutation degree score geodesic weight chromosome start stop ref alt transcript".split()
+    at = lambda m: F.pmod("start_pos", F.lit(m))
+    calls = s.view("maf").filter("classification <> 'Silent'").groupBy("gene", "aa_change", "chromosome", "start_pos", "stop_pos", "ref", "alt", "transcript").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    calls = calls.select("gene", "gene", "aa_change", at(7) + 1, 1.0 / (1 + at(11)), at(13), "weight", "chromosome", "start_pos", "stop_pos", "ref", "alt", "transcript").toDF(*cols)
+    spot, one = F.col("position").cast("long"), F.lit(1.0)
+    sites = s.view("sites").filter("letter is not null").select("gene", "gene", F.concat(F.lit("p."), "letter", "position"), F.lit(2).cast("long"), F.lit(0.25), F.lit(3).cast("long"), one, none, spot, spot, F.lit("-"), F.lit("ptm"), "transcript").toDF(*cols)
+    of, spot = F.concat(F.lit("G"), F.pmod("residue_no", F.lit(10)).cast("string")), F.col("residue_no").cast("long")
+    drugs = s.view("drugs").select(of, "drug", of, F.lit(3).cast("long"), F.lit(0.5), F.lit(5).cast("long"), one, none, spot, spot, none, none, none).toDF(*cols)
+    rows = calls.unionByName(sites).unionByName(drugs).withColumn("weight_is_recurrence", F.lit(True)).withColumn("line_no", F.concat_ws(":", "gene", "mutation", "transcript"))
+    out = report.cluster_summary(rows)
+    return out.select(*[F.round(c, 6).alias(c) if c.startswith("mean_") or c.startswith("score_") else F.col(c) for c in out.columns])
+
+
 # --- density -----------------------------------------------------------------------------------------------------
 
 
