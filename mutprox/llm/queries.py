@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mutprox.llm import chat, langid, lines, packing, pieces, quality, simhash, suffix, vectors, warc
+from mutprox.llm import chat, codes, fim, langid, lines, packing, pieces, quality, shards, simhash, suffix, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,3 +89,24 @@ def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL |= {"op4_embedding_dedup": vectors.ORACLE, "op8_warc_audit": warc.ORACLE}
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a vector without null or non-finite components; see :func:`codes.code_digest`."""
+    return codes.code_digest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document; see :func:`shards.shard_table`."""
+    return shards.shard_table(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document; see :func:`fim.transform_digest`."""
+    return fim.transform_digest(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL |= {"op11_vector_codes": codes.ORACLE, "op12_hilbert_shards": shards.ORACLE, "op13_fill_in_middle": fim.ORACLE}
