@@ -7,13 +7,19 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mutprox.operators.components import connected_components
+from mutprox.operators.forest import forest_order
+from mutprox.operators.scan import running
 from mutprox.session import cut, ship
 
+PARTS = ["structure", "run", "component"]
+#: Vertices of a component that one task may walk.
+FITS = 20_000
+
 
 def symmetric(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select("structure", F.col("key2").alias("key1"), F.col("key1").alias("key2"), "distance"))
@@ -27,9 +33,9 @@ def core_vertices(edges: DataFrame, weights: DataFrame, eps: float = 10.0, min_p
     both = symmetric(edges).filter(F.col("distance") <= eps)
     self_ = both.select("structure", "key1", F.col("key1").alias("key2"), F.lit(0.0).alias("distance")).distinct()
     met = both.unionByName(self_).join(weights.select(F.col("key").alias("key2"), "weight"), "key2")
-    upto = W.partitionBy("structure", "key1").orderBy("distance").rangeBetween(W.unboundedPreceding, 0)
-    reached = met.withColumn("sum", F.sum("weight").over(upto)).filter(F.col("sum") >= min_pts)
-    return reached.groupBy("structure", F.col("key1").alias("key")).agg(F.min("distance").alias("core_distance"))
+    summed = running(met, ["structure", "key1"], ["distance", "key2"], sums={"sum": F.col("weight")})
+    # of equal distances the last one has the whole sum, and the first that reaches the mark is as far away as it
+    return summed.filter(F.col("sum") >= min_pts).groupBy("structure", F.col("key1").alias("key")).agg(F.min("distance").alias("core_distance"))
 
 
 def _expand(start: str, near: dict, core: dict, site: dict, eps: float, done: dict[str, float]) -> None:
@@ -88,11 +94,40 @@ def _optics(rows: pd.DataFrame, eps: float, min_pts: float, seed: int) -> pd.Dat
     for start in [*heads, *rest]:
         if start not in done:
             _expand(start, near, core, site, eps, done)
-    keys = list(done)
-    return pd.DataFrame({"structure": structure, "run": run, "component": component, "ord": np.arange(len(keys)), "key": keys, "rd": list(done.values()), "cd": [core.get(k, eps) for k in keys], "weight": [weight[k] for k in keys]})
+    keys, rd = list(done), list(done.values())
+    up, until = tree_of(rd)
+    return pd.DataFrame({"structure": structure, "run": run, "component": component, "ord": np.arange(len(keys)), "key": keys, "rd": rd, "cd": [core.get(k, eps) for k in keys], "weight": [weight[k] for k in keys], "up": pd.array(up, "Int64"), "until": until})
+
+
+def tree_of(rd: list[float]) -> tuple[list[int | None], list[int]]:
+    """The merge tree of an order of bars: the last bar before each that is higher, and the last place before the next one as high."""
+    up: list[int | None] = [None] * len(rd)
+    until, open_ = [len(rd) - 1] * len(rd), []
+    for k, r in enumerate(rd):
+        while open_ and rd[open_[-1]] <= r:
+            until[open_.pop()] = k - 1
+        up[k] = open_[-1] if open_ else None
+        open_.append(k)
+    return up, until
+
+
+ORDER = "structure string, run int, component string, ord long, key string, rd double, cd double, weight double, up long, until long"
 
 
-ORDER = "structure string, run int, component string, ord long, key string, rd double, cd double, weight double"
+def with_tree(order: DataFrame) -> DataFrame:
+    """An order that lacks them gets ``up`` and ``until``, one stretch a structure, run and component."""
+    if {"up", "until"} <= set(order.columns):
+        return order
+    ship(order.sparkSession)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ord")
+        up, until = tree_of(rows["rd"].tolist())
+        at = rows["ord"].tolist()
+        return rows.assign(up=pd.array([None if u is None else at[u] for u in up], "Int64"), until=[at[u] for u in until])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in order.schema.fields)
+    return order.groupBy(*_parts(order)).applyInPandas(run, f"{schema}, up long, until long")
 
 
 def neighbourhoods(edges: DataFrame) -> DataFrame:
@@ -102,106 +137,199 @@ def neighbourhoods(edges: DataFrame) -> DataFrame:
     return found.select(F.col("node.s").alias("structure"), F.col("node.k").alias("key"), F.col("component.k").alias("component"))
 
 
-def optics_order(edges: DataFrame, weights: DataFrame, eps: float = 10.0, min_pts: float = 4.0, runs: int = 1, seed: int = 1, same_site: DataFrame | None = None) -> DataFrame:
-    """``structure, run, component, ord, key, rd, cd, weight``: reachability order of each component, once for each run with its own shuffle.
+def optics_order(edges: DataFrame, weights: DataFrame, eps: float = 10.0, min_pts: float = 4.0, runs: int = 1, seed: int = 1, same_site: DataFrame | None = None, fits: int = FITS) -> DataFrame:
+    """``structure, run, component, ord, key, rd, cd, weight, up, until``: reachability order of each component, once for each run with its own shuffle.
 
     Components are what edges of ``eps`` or less join; ``ord`` counts from 0 in each, and each starts at ``eps``, so that an
     order of all of them is any sequence of theirs. A vertex with longer edges only is a component of its own. Vertices
     without a weight are left out. ``same_site``: key1, key2 of vertices at one protein place, which decide ties.
+
+    Components of up to ``fits`` vertices are walked in one task each; larger ones get the order of :mod:`forest`, whose
+    islands of cores are the same at any cut but whose ties go by the shuffle.
     """
     spark = ship(edges.sparkSession)
     w = lambda n: weights.select(F.col("key").alias(f"key{n}"), F.col("weight").alias(f"w{n}"))
     met = cut(edges.join(w(1), "key1").join(w(2), "key2").select("structure", "key1", "key2", "distance", "w1", "w2"))
     close = met.filter(F.col("distance") <= eps)
-    own = cut(neighbourhoods(close))
+    every = neighbourhoods(close)
+    sizes = every.groupBy("structure", "component").agg(F.count(F.lit(1)).alias("n"))
+    every = cut(every.join(sizes, ["structure", "component"]).select("structure", "key", "component", (F.col("n") > fits).alias("large")))
+    wide, own = every.filter("large").drop("large"), every.filter("not large").drop("large")
     one = own.withColumnRenamed("key", "key1")
     none = F.lit(None)
     cols = ["structure", "component", "kind", "key1", "key2", "distance", "w1", "w2"]
     rows = close.join(one, ["structure", "key1"]).withColumn("kind", F.lit("edge")).select(*cols)
     ends = met.select("structure", "key1", "w1").unionByName(met.select("structure", F.col("key2").alias("key1"), F.col("w2").alias("w1"))).distinct()
-    alone = ends.join(one, ["structure", "key1"], "left_anti").select("structure", F.col("key1").alias("component"), F.lit("alone").alias("kind"), "key1", none.cast("string").alias("key2"), none.cast("double").alias("distance"), "w1", none.cast("double").alias("w2"))
+    alone = ends.join(every, [ends["structure"] == every["structure"], ends["key1"] == every["key"]], "left_anti").select("structure", F.col("key1").alias("component"), F.lit("alone").alias("kind"), "key1", none.cast("string").alias("key2"), none.cast("double").alias("distance"), "w1", none.cast("double").alias("w2"))
     rows = rows.unionByName(alone)
     if same_site is not None:
         two = own.withColumnRenamed("key", "key2")
         pairs = same_site.select("key1", "key2").join(one, "key1").join(two, ["structure", "component", "key2"])
         rows = rows.unionByName(pairs.select("structure", "component", F.lit("site").alias("kind"), "key1", "key2", *[none.cast("double").alias(c) for c in ("distance", "w1", "w2")]))
     rows = rows.crossJoin(F.broadcast(spark.range(runs).select(F.col("id").cast("int").alias("run"))))
-    return rows.groupBy("structure", "component", "run").applyInPandas(lambda rows: _optics(rows, eps, min_pts, seed), ORDER)
+    walked = rows.groupBy("structure", "component", "run").applyInPandas(lambda rows: _optics(rows, eps, min_pts, seed), ORDER)
+    if wide.isEmpty():
+        return walked
+    inside = close.join(wide.select("structure", F.col("key").alias("key1")), ["structure", "key1"]).select("structure", "key1", "key2", "distance")
+    members = wide.join(weights.select("key", "weight"), "key").select("structure", "component", "key", "weight")
+    return walked.unionByName(forest_order(inside, members, cut(core_vertices(inside, weights, eps, min_pts)), runs, seed, eps))
 
 
 def _parts(order: DataFrame) -> list[str]:
     """What an order is counted in; one without components is one stretch a structure and run."""
-    return [c for c in ("structure", "run", "component") if c in order.columns]
+    return [c for c in PARTS if c in order.columns]
 
 
 def reachability_islands(order: DataFrame, cut_at: float, min_pts: float = 4.0) -> DataFrame:
     """``structure, run, component, island, first, last, n, weight``: stretches below the cut with the bar before them, heavy enough to stay."""
     by = _parts(order)
-    upto = W.partitionBy(*by).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    rows = order.withColumn("island", F.sum(F.when(F.col("rd") >= cut_at, 1).otherwise(0)).over(upto))
+    rows = running(order, by, ["ord"], sums={"island": F.when(F.col("rd") >= cut_at, 1).otherwise(0)})
     found = rows.groupBy(*by, "island").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
     return found.filter((F.col("n") > 1) & (F.col("weight") >= min_pts))
 
 
-def _islands(rd: np.ndarray, weight: np.ndarray, cut_at: float, min_pts: float) -> list[tuple[int, int]]:
-    heads = np.flatnonzero(rd >= cut_at)
-    heads = heads if len(heads) and heads[0] == 0 else np.r_[0, heads]
-    tails = np.r_[heads[1:], len(rd)] - 1
-    return [(int(a), int(z)) for a, z in zip(heads, tails) if z > a and weight[a : z + 1].sum() >= min_pts]
-
-
-def _levels(rows: pd.DataFrame, eps: float, min_pts: float) -> pd.DataFrame:
-    rows = rows.sort_values("ord")
-    rd, weight = rows["rd"].to_numpy(), rows["weight"].to_numpy()
-    out = []
-    for sup, (a, z) in enumerate(_islands(rd, weight, eps, min_pts)):
-        part, w = rd[a : z + 1].copy(), weight[a : z + 1]
-        part[0] = eps
-        low, known, level = part[1:].min(), [], 0
-        for i in range(int(np.ceil((eps - low) / 0.1)) + 1, -1, -1):
-            at = min(eps, low + 0.1 * i)
-            now = _islands(part, w, at, min_pts)
-            grown = any(all(y < p or x > q for p, q in known) or any(x <= p and q <= y and y - x + 1 >= 2 * (q - p + 1) for p, q in known) for x, y in now)
-            if now and (len(now) != len(known) or grown):
-                for sub, (x, y) in enumerate(now):
-                    inner = part[x + 1 : y + 1]
-                    out.append((sup, level, sub, a + x, a + y, float(at), float((y - x + 1) / max(inner.mean(), 1e-9))))
-                known, level = now, level + 1
-    cols = ["super_id", "level", "sub_id", "first", "last", "cut", "density"]
-    return pd.DataFrame(out, columns=cols).assign(structure=rows["structure"].iloc[0], run=int(rows["run"].iloc[0]), component=rows["component"].iloc[0])[["structure", "run", "component", *cols]]
+STEP = 0.1
 
 
-def density_clusters(order: DataFrame, eps: float = 10.0, min_pts: float = 4.0) -> DataFrame:
-    """``structure, run, component, super_id, level, sub_id, first, last, cut, density``: nested clusters found by lowering the cut in steps of 0.1.
+def _first_above(low: Column, x: Column) -> Column:
+    """The smallest i >= 0 for which low + i * STEP is above x."""
+    near = F.greatest(F.floor((x - low) / STEP).cast("int") - 1, F.lit(0))
+    return F.filter(F.sequence(near, near + 3), lambda i: low + i * F.lit(STEP) > x)[0]
 
-    Cuts come from an integer index, so that steps do not drift; a level is kept when the number of clusters changes or a
-    new or twice as long one appears. The last stretch of an order is closed like any other. Super clusters are numbered in
-    their component.
+
+def _levels(rows: pd.DataFrame) -> pd.DataFrame:
+    """Levels of one super cluster from its merge tree: ``lo`` to ``hi`` are the cuts at which a stretch stands."""
+    rows = rows.sort_values(["first", "last"])
+    first, last, lo, hi, density = (rows[c].to_numpy() for c in ("first", "last", "lo", "hi", "density"))
+    low, sup, out, known, before = rows["low"].iloc[0], int(rows["super_id"].iloc[0]), [], None, 0
+    level = 1
+    for i in range(int(hi.max()) + 1):
+        now = np.flatnonzero((lo <= i) & (i <= hi))
+        if not len(now):
+            continue
+        new = len(now) != before
+        if not new:
+            old = known[last[known] > first[known]]
+            for x in now[last[now] > first[now]] if len(old) else ():
+                inside = old[(first[old] >= first[x]) & (last[old] <= last[x])]
+                new = new or not len(inside) or last[x] - first[x] >= 2 * (last[inside] - first[inside]).min()
+        if new:
+            for sub, x in enumerate(now, 1):
+                covers = "1" if level == 1 else ":".join(f"{sup}.{level - 1}.{k}" for k, p in enumerate(known, 1) if first[p] >= first[x] and last[p] <= last[x]) or "2"
+                out.append((level, sub, first[x], last[x], float(low + STEP * i), density[x], covers))
+            known, before, level = now, len(now), level + 1
+    cols = ["level", "sub_id", "first", "last", "cut", "density", "covering"]
+    found = pd.DataFrame(out, columns=cols)
+    return found.assign(**{c: rows[c].iloc[0] for c in ("structure", "run", "component", "super_id")})[["structure", "run", "component", "super_id", *cols]]
+
+
+CLUSTERS = "structure string, run int, component string, super_id int, level int, sub_id int, first long, last long, cut double, density double, covering string"
+
+
+def density_clusters(order: DataFrame, eps: float = 10.0, min_pts: float = 4.0) -> DataFrame:
+    """``structure, run, component, super_id, level, sub_id, first, last, cut, density, covering``: nested clusters of a reachability order.
+
+    Super clusters (level 0, sub 0, cut ``eps`` - 0.1) are the stretches between bars of ``eps`` that weigh ``min_pts``, numbered in
+    their component; their density is the sum of their bars but the first over their weight (0.1 where that sum is 0). Inside
+    one, cuts rise in steps of 0.1 from its lowest bar to half above its last (above ``eps`` if it has fewer than three): a
+    stretch below the cut, the bar before it included, is a cluster when it weighs ``min_pts``; at the lowest cut heavy
+    single vertices are. A level is given out when the number of clusters differs from the level before, or a cluster holds none of
+    that level's or is twice as long as one it holds (single vertices apart). Density is the weighted mean of the bars behind the
+    first (0.1 for single vertices); ``covering`` names the clusters of the level before inside ("0" for super
+    clusters, "1" on the first level, "2" for none). Cuts come from an integer index, so that steps do not drift. The
+    last stretch of an order is closed like any other.
+
+    Stretches of all cuts are read from the merge tree that the order carries; what one task gets of a super
+    cluster are the heavy stretches that stand at some cut, never its vertices.
     """
     ship(order.sparkSession)
-    out = "structure string, run int, component string, super_id int, level int, sub_id int, first long, last long, cut double, density double"
-    return order.groupBy("structure", "run", "component").applyInPandas(lambda rows: _levels(rows, eps, min_pts), out)
+    by = [*PARTS, "part"]
+    rows = with_tree(order).select(*PARTS, "ord", "rd", "weight", "up", "until")
+    rows = cut(running(rows, PARTS, ["ord"], sums={"part": F.when(F.col("rd") >= eps, 1).otherwise(0), "ws": F.col("weight"), "rws": F.col("rd") * F.col("weight")}))
+    head = F.col("rd") >= eps
+    found = rows.groupBy(*by).agg(
+        F.min("ord").alias("s"), F.max("ord").alias("e"), F.count(F.lit(1)).alias("n"), F.coalesce(F.min(F.when(~head, F.col("rd"))), F.lit(eps)).alias("low"), F.max_by("rd", "ord").alias("end_rd"),
+        F.sum("weight").alias("total"), F.coalesce(F.sum(F.when(~head, F.col("rd"))), F.lit(0.0)).alias("bars"),
+    ).filter(F.col("total") >= min_pts)
+    found = running(found, PARTS, ["s"], number="super_id").withColumn("super_id", F.col("super_id").cast("int"))
+    top = F.when(F.col("n") >= 3, F.col("end_rd")).otherwise(F.lit(eps)) + 0.5
+    found = cut(found.withColumn("most", _first_above(F.col("low"), top) - 1))
+    supers = found.select(
+        *PARTS, "super_id", F.lit(0).alias("level"), F.lit(0).alias("sub_id"), F.col("s").alias("first"), F.col("e").alias("last"), F.lit(eps - STEP).alias("cut"),
+        F.when(F.col("bars") == 0, 0.1).otherwise(F.col("bars") / F.col("total")).alias("density"), F.lit("0").alias("covering"),
+    )
+    one = found.select(*by, "super_id", "s", "low", "most")
+    inner = rows.join(one, by)
+    singles = inner.filter(F.col("weight") >= min_pts).select(*PARTS, "super_id", "low", F.col("ord").alias("first"), F.col("ord").alias("last"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0.1).alias("density"))
+    # merges under one head within one step stand at no cut but for the last of them
+    merges = inner.filter(~head).groupBy(*by, "super_id", "s", "low", "most", F.col("up").alias("first"), _first_above(F.col("low"), F.col("rd")).alias("lo")).agg(F.max("until").alias("last"))
+    later = F.lead("lo").over(W.partitionBy(*PARTS, "first").orderBy("lo"))  # at most a row a step
+    at = lambda name, *cols: rows.select(*PARTS, F.col("ord").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
+    merges = merges.withColumn("later", later).join(at("first", "rd", "ws", "rws", "weight"), [*PARTS, "first"]).join(at("last", "ws", "rws"), [*PARTS, "last"])
+    own = F.when(F.col("first") == F.col("s"), F.col("most")).otherwise(_first_above(F.col("low"), F.col("first_rd")) - 1)
+    behind = F.col("last_ws") - F.col("first_ws")
+    merges = merges.withColumn("hi", F.least("most", own, F.col("later") - 1)).filter((F.col("hi") >= F.col("lo")) & (behind + F.col("first_weight") >= min_pts))
+    stretches = merges.select(*PARTS, "super_id", "low", "first", "last", "lo", "hi", ((F.col("last_rws") - F.col("first_rws")) / behind).alias("density"))
+    return supers.unionByName(singles.unionByName(stretches).groupBy(*PARTS, "super_id").applyInPandas(_levels, CLUSTERS))
+
+
+def _stretches(order: DataFrame, cuts: DataFrame, ids: list[str], min_pts: float) -> DataFrame:
+    """``*ids, run, stretch, ord, key``: members of the heavy stretches of an order (run, component, super cluster) at the cut of each level.
+
+    ``order`` has the columns of ``ids`` but the level; single vertices make a stretch on level 1 only.
+    """
+    rows = order.join(cuts, [c for c in ids if c in order.columns])
+    rows = running(rows, [*ids, "run"], ["ord"], sums={"stretch": F.when(F.col("rd") >= F.col("cut"), 1).otherwise(0)})
+    rows = cut(rows.select(*ids, "run", "stretch", "ord", "key", "weight"))
+    by = [*ids, "run", "stretch"]
+    heavy = rows.groupBy(*by).agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).filter((F.col("w") >= min_pts) & ((F.col("n") > 1) | (F.col("level") == 1)))
+    return rows.join(heavy.select(*by), by).select(*by, "ord", "key")
+
+
+def _best(hits: DataFrame, by: list[str], pick: str, order: str) -> DataFrame:
+    """Of each group the ``pick`` with most rows in common; of equals the smallest by ``order``."""
+    return hits.groupBy(*by).agg(F.max_by(pick, F.struct(F.col("n"), -F.col(order))).alias(pick))
 
 
-def membership_probability(order: DataFrame, clusters: DataFrame, min_pts: float = 4.0) -> DataFrame:
-    """``structure, component, super_id, level, sub_id, key, hits, runs, probability``: how often a vertex falls into the stretch that matches each cluster of run 0.
+def membership_probability(order: DataFrame, clusters: DataFrame, min_pts: float = 4.0, eps: float = 10.0) -> DataFrame:
+    """``structure, component, super_id, level, sub_id, key, hits, runs, probability``: how often a vertex falls into each cluster of run 0.
 
-    Every other run is cut where run 0 was; of its stretches the one that shares most vertices with a cluster is its match.
+    Run 0 itself counts. Every other run is parted at ``eps``; its super clusters go to the one of run 0 with which they share
+    most vertices, and of several the one that shares most stands for it. That one is cut where the levels of run 0 were; its
+    stretches go to the cluster of the level with which they share most, of several again the one that shares most, and all
+    its members score. Ties go to the smallest id or the first stretch.
     """
-    order, part = cut(order), ["structure", "component"]
-    ids = [*part, "super_id", "level", "sub_id"]
-    base = clusters.filter("run = 0").select(*ids, "cut", "first", "last")
-    own = order.filter("run = 0").join(base, part).filter(F.col("ord").between(F.col("first"), F.col("last"))).select(*ids, "key")
-    cuts = base.select(*part, "cut").distinct()
-    upto = W.partitionBy(*part, "run", "cut").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    others = order.filter("run > 0").join(cuts, part).withColumn("island", F.sum(F.when(F.col("rd") >= F.col("cut"), 1).otherwise(0)).over(upto))
-    stretch = [*part, "run", "cut", "island"]
-    heavy = others.groupBy(*stretch).agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("w") >= min_pts)).select(*stretch)
-    members = others.join(heavy, stretch).select(*stretch, "key")
-    shared = own.join(base.select(*ids, "cut"), ids).join(members, [*part, "cut", "key"]).groupBy(*ids, "cut", "run", "island").agg(F.count(F.lit(1)).alias("n"))
-    match = shared.groupBy(*ids, "cut", "run").agg(F.max_by("island", F.struct("n", -F.col("island"))).alias("island"))
-    hits = match.join(members, stretch).groupBy(*ids, "key").agg(F.count(F.lit(1)).alias("hits"))
-    runs = order.filter("run > 0").agg(F.countDistinct("run").alias("runs"))
+    order, part = cut(order.select("structure", "run", "component", "ord", "key", "rd", "weight")), ["structure", "component"]
+    base = cut(clusters.filter("run = 0").select(*part, "super_id", "level", "sub_id", "cut", "first", "last"))
+    # members of run 0: the last cluster of the level that begins at or before a place, if it reaches it
+    own = order.filter("run = 0")
+    levels = base.select(*part, "super_id", "level").distinct()
+    place = own.select(*part, "ord", "key").join(levels, part)
+    start = base.select(*part, "super_id", "level", F.col("first").alias("ord"), F.lit(None).cast("string").alias("key"), "sub_id", "last")
+    events = place.withColumn("sub_id", F.lit(None).cast("int")).withColumn("last", F.lit(None).cast("long")).unionByName(start)
+    ids = [*part, "super_id", "level"]
+    begun = running(events, ids, ["ord", F.col("key").isNotNull()], sums={"nth": F.when(F.col("key").isNull(), 1).otherwise(0)})
+    begun = cut(begun)
+    opened = begun.filter("key is null").select(*ids, "nth", F.col("sub_id").alias("sub"), F.col("last").alias("till"))
+    own = cut(begun.filter("key is not null").join(opened, [*ids, "nth"]).filter("ord <= till").select(*ids, F.col("sub").alias("sub_id"), "key"))
+    # super clusters of the other runs and what they stand for
+    others = running(order.filter("run > 0"), ["structure", "run", "component"], ["ord"], sums={"part": F.when(F.col("rd") >= eps, 1).otherwise(0)})
+    others = cut(others)
+    whole = [*part, "run", "part"]
+    heavy = others.groupBy(*whole).agg(F.sum("weight").alias("w")).filter(F.col("w") >= min_pts).select(*whole)
+    shared = others.join(heavy, whole).join(own.filter("level = 0").select(*part, "super_id", "key"), [*part, "key"]).groupBy(*whole, "super_id").agg(F.count(F.lit(1)).alias("n"))
+    goes = _best(shared, whole, "super_id", "super_id").join(shared, [*whole, "super_id"])
+    stands = _best(goes, [*part, "run", "super_id"], "part", "part")
+    inside = others.join(stands, whole).select(*part, "run", "super_id", "ord", "key", "rd", "weight")
+    cuts = base.select(*ids, F.when(F.col("level") == 0, F.lit(eps)).otherwise(F.col("cut")).alias("cut")).distinct()
+    members = cut(_stretches(inside, cuts, ids, min_pts))
+    by = [*ids, "run", "stretch"]
+    shared = members.join(own, [*ids, "key"]).groupBy(*by, "sub_id").agg(F.count(F.lit(1)).alias("n"))
+    goes = _best(shared, by, "sub_id", "sub_id").join(shared, [*by, "sub_id"])
+    match = _best(goes, [*ids, "run", "sub_id"], "stretch", "stretch")
+    scored = match.join(members, by).select(*ids, "sub_id", "key").unionByName(own)
+    runs = order.agg(F.countDistinct("run").alias("runs"))
+    hits = scored.groupBy(*ids, "sub_id", "key").agg(F.count(F.lit(1)).alias("hits"))
     return hits.crossJoin(F.broadcast(runs)).withColumn("probability", F.col("hits") / F.col("runs"))
 
 

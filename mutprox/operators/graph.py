@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mutprox.functions import columns as C
 from mutprox.operators.components import connected_components
 from mutprox.operators.filters import within_cutoff
-from mutprox.session import ship
-
-#: Vertices up to which all paths of a component are worked out in one matrix; beyond, source by source.
-DENSE = 4000
+from mutprox.operators.scan import running
+from mutprox.session import cut, drop_cut, ship
 
 
 def mutation_weights(maf: DataFrame, vertex_type: str = "recurrence") -> DataFrame:
@@ -102,55 +96,41 @@ def super_clusters(edges: DataFrame) -> DataFrame:
     node = lambda k: F.struct(F.col("structure").alias("s"), F.col(k).alias("k"))
     found = connected_components(edges.select(node("key1").alias("a"), node("key2").alias("b")))
     found = found.select(F.col("node.s").alias("structure"), F.col("node.k").alias("key"), F.col("component.k").alias("low"))
-    ids = found.select("structure", "low").distinct().withColumn("super_id", F.row_number().over(W.partitionBy("structure").orderBy("low")) - 1)
-    return found.join(ids, ["structure", "low"]).select("structure", "key", "super_id")
-
-
-def shortest_paths(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """All-pairs shortest paths of an undirected graph; infinity where there is none."""
-    if n <= DENSE:
-        m = np.full((n, n), np.inf)
-        np.fill_diagonal(m, 0)
-        np.minimum.at(m, (a, b), d)
-        np.minimum.at(m, (b, a), d)
-        for k in range(n):
-            np.minimum(m, m[:, k : k + 1] + m[k : k + 1, :], out=m)
-        return m
-    near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-    for x, y, w in zip(a.tolist(), b.tolist(), d.tolist()):
-        near[x].append((y, w))
-        near[y].append((x, w))
-    out = np.full((n, n), np.inf)
-    for s in range(n):
-        done, heap = out[s], [(0.0, s)]
-        while heap:
-            w, x = heapq.heappop(heap)
-            if w >= done[x]:
-                continue
-            done[x] = w
-            for y, v in near[x]:
-                if w + v < done[y]:
-                    heapq.heappush(heap, (w + v, y))
-    return out
-
+    found = cut(found)
+    ids = running(found.select("structure", "low").distinct(), ["structure"], ["low"], number="super_id")
+    return found.join(ids, ["structure", "low"]).select("structure", "key", F.col("super_id").cast("int").alias("super_id"))
 
-def _geodesics(rows: pd.DataFrame) -> pd.DataFrame:
-    names = np.unique(np.r_[rows["key1"], rows["key2"]].astype(str))
-    a, b = (np.searchsorted(names, rows[k].astype(str)) for k in ("key1", "key2"))
-    m = shortest_paths(len(names), a, b, rows["distance"].to_numpy(float))
-    i, j = np.nonzero(np.isfinite(m))
-    return pd.DataFrame({"structure": rows["structure"].iloc[0], "super_id": rows["super_id"].iloc[0], "key1": names[i], "key2": names[j], "geodesic": m[i, j].astype(float)})
 
+def geodesics(edges: DataFrame, same_site: DataFrame, components: DataFrame, max_distance: float | None = None, step: float | None = None) -> DataFrame:
+    """``structure, super_id, key1, key2, geodesic``: shortest paths between the vertices of a component, both ways, each vertex to itself included.
 
-def geodesics(edges: DataFrame, same_site: DataFrame, components: DataFrame) -> DataFrame:
-    """``structure, super_id, key1, key2, geodesic`` for all ordered pairs of a component, itself included; same-site pairs are 0 apart."""
-    ship(edges.sparkSession)
-    own = edges.join(components.withColumnRenamed("key", "key1"), ["structure", "key1"])
-    one = components.withColumnRenamed("key", "key1")
-    two = components.select("structure", F.col("key").alias("key2"), F.col("super_id").alias("other"))
-    zero = same_site.join(one, "key1").join(two, ["structure", "key2"]).filter("super_id = other").select("structure", "super_id", "key1", "key2", F.lit(0.0).alias("distance"))
-    rows = own.select("structure", "super_id", "key1", "key2", "distance").unionByName(zero)
-    return rows.groupBy("structure", "super_id").applyInPandas(_geodesics, "structure string, super_id int, key1 string, key2 string, geodesic double")
+    Same-site pairs are 0 apart. Paths above ``max_distance`` are left out; without it all pairs of a component are in
+    reach. Distances are relaxed in rounds of joins from all vertices at once, nearest first: a round goes on from what
+    was bettered below the end of the nearest open stretch of ``step`` (default: all that was bettered). Each
+    round is written, so nothing is worked out twice and no component meets in one place.
+    """
+    one = components.select("structure", "super_id", F.col("key").alias("key1"))
+    two = components.select("structure", F.col("super_id").alias("other"), F.col("key").alias("key2"))
+    zero = same_site.select("key1", "key2").join(one, "key1").join(two, ["structure", "key2"]).filter("super_id = other")
+    links = edges.select("structure", "key1", "key2", "distance").unionByName(zero.select("structure", "key1", "key2", F.lit(0.0).alias("distance")))
+    if max_distance is not None:
+        links = links.filter(F.col("distance") <= max_distance)
+    both = links.unionByName(links.select("structure", F.col("key2").alias("key1"), F.col("key1").alias("key2"), "distance")).filter("key1 <> key2")
+    arcs = cut(both.groupBy("structure", F.col("key1").alias("mid"), F.col("key2").alias("next")).agg(F.min("distance").alias("w")))
+    start = components.select("structure", "super_id", F.col("key").alias("key1"), F.col("key").alias("key2"), F.lit(0.0).alias("d"), F.lit(True).alias("open"))
+    known = cut(start)
+    while (near := known.filter("open").agg(F.min("d").alias("d")).head()["d"]) is not None:
+        due = F.col("open") if step is None else F.col("open") & (F.col("d") < (near // step + 1) * step)
+        met = known.filter(due).join(arcs, (known["structure"] == arcs["structure"]) & (known["key2"] == arcs["mid"]))
+        far = met.select(known["structure"], "super_id", "key1", F.col("next").alias("key2"), (F.col("d") + F.col("w")).alias("d"), F.lit(True).alias("open"))
+        if max_distance is not None:
+            far = far.filter(F.col("d") <= max_distance)
+        # of equal distances the one that has been gone on from stays
+        best = known.withColumn("open", F.col("open") & ~due).unionByName(far).groupBy("structure", "super_id", "key1", "key2").agg(F.min(F.struct("d", "open")).alias("m"))
+        last, known = known, cut(best.select("structure", "super_id", "key1", "key2", "m.d", "m.open"))
+        drop_cut(last)
+    drop_cut(arcs)
+    return known.select("structure", "super_id", "key1", "key2", F.col("d").alias("geodesic"))
 
 
 def vertices(weights: DataFrame) -> DataFrame:
@@ -174,38 +154,40 @@ def vertex_scores(geo: DataFrame, verts: DataFrame, vertex_type: str = "recurren
     return met.groupBy("structure", "super_id", F.col("key1").alias("key"), F.col("ra1").alias("ref_alt")).agg(F.sum(term).alias("score"))
 
 
-def _greedy_radius(geo: pd.DataFrame, scores: pd.DataFrame, radius: float) -> pd.DataFrame:
-    best = scores.assign(s=scores["score"].abs()).groupby("key")["s"].max()
-    keys = sorted(best.index, key=lambda k: (-round(best[k], 9), k))
-    near: dict[str, dict[str, float]] = {}
-    for a, b, d in zip(geo["key1"], geo["key2"], geo["geodesic"]):
-        if d <= radius:
-            near.setdefault(a, {})[b] = d
-    todo, rows, sub = set(keys), [], 0
-    for c in keys:
-        if c not in todo:
-            continue
-        members = [(k, d) for k, d in sorted(near.get(c, {c: 0.0}).items()) if k in todo]
-        todo -= {k for k, _ in members}
-        rows += [(sub, c, k, d) for k, d in members]
-        sub += 1
-        if len(members) < 2:
-            break
-    head = (scores["structure"].iloc[0], scores["super_id"].iloc[0]) if len(scores) else ("", 0)
-    return pd.DataFrame([(*head, *r) for r in rows], columns=["structure", "super_id", "sub_id", "centroid", "key", "geodesic"])
-
-
 def radius_clusters(scores: DataFrame, geo: DataFrame, max_radius: float = 10.0) -> DataFrame:
     """``structure, super_id, sub_id, centroid, key, geodesic``: again and again the best-scored vertex left takes all that are left within the radius.
 
     Ties of score go to the smallest key. The first centroid that finds no other vertex is given out as a cluster of its
-    own and ends the search: what is left behind it belongs to no cluster.
+    own and ends the search: what is left behind it belongs to no cluster. ``geo`` needs the paths up to the radius.
+
+    The search is done in rounds. A vertex is a centroid once none of the better ones within its radius is left to decide
+    and none is a centroid; it is taken as soon as one of them is. The best of these has it, whatever the order of the rounds.
     """
-    ship(scores.sparkSession)
-    by = ["structure", "super_id"]
-    out = "structure string, super_id int, sub_id int, centroid string, key string, geodesic double"
-    scores = scores.toDF(*[f"_{c}" for c in scores.columns]).toDF(*scores.columns)  # columns of their own: both sides come from one table
-    return geo.groupBy(*by).cogroup(scores.groupBy(*by)).applyInPandas(lambda g, s: _greedy_radius(g, s, max_radius), out)
+    at = ["structure", "super_id", "key"]
+    # rank: best first, so the smallest
+    ranks = cut(scores.groupBy(*at).agg(F.struct((-F.round(F.max(F.abs("score")), 9)).alias("s"), F.col("key").alias("k")).alias("rank")))
+    other = lambda n: ranks.select("structure", "super_id", F.col("key").alias(f"key{n}"), F.col("rank").alias(f"rank{n}"))
+    near = geo.filter((F.col("geodesic") <= max_radius) & (F.col("key1") != F.col("key2"))).select("structure", "super_id", "key1", "key2", "geodesic")
+    near = near.join(other(1), ["structure", "super_id", "key1"]).join(other(2), ["structure", "super_id", "key2"]).filter("rank1 < rank2")
+    near = cut(near.select("structure", "super_id", F.col("key1").alias("better"), "rank1", F.col("key2").alias("key"), "geodesic"))
+    state = cut(ranks.select(*at, F.lit(None).cast("boolean").alias("centroid")))  # null: to be decided
+    while not state.filter("centroid is null").isEmpty():
+        seen = state.select("structure", "super_id", F.col("key").alias("better"), F.col("centroid").alias("c"))
+        todo = near.join(state.filter("centroid is null").select(*at), at, "left_semi").join(seen, ["structure", "super_id", "better"])
+        told = todo.groupBy(*at).agg(F.bool_or(F.coalesce("c", F.lit(False))).alias("taken"), F.bool_or(F.col("c").isNull()).alias("waits"))
+        now = F.when(F.col("centroid").isNotNull(), F.col("centroid")).when(F.col("taken"), False).when(F.col("waits"), F.lit(None)).otherwise(True)
+        last, state = state, cut(state.join(told, at, "left").select(*at, now.alias("centroid")))
+        drop_cut(last)
+    heads = state.filter("centroid").select(*at)
+    mine = near.join(heads.withColumnRenamed("key", "better"), ["structure", "super_id", "better"]).groupBy(*at).agg(F.min(F.struct("rank1", "better", "geodesic")).alias("m"))
+    members = mine.select("structure", "super_id", F.col("m.better").alias("centroid"), "key", "m.geodesic")
+    own = heads.select("structure", "super_id", F.col("key").alias("centroid"), "key", F.lit(0.0).alias("geodesic"))
+    members = cut(own.unionByName(members))
+    found = members.groupBy("structure", "super_id", "centroid").agg(F.count(F.lit(1)).alias("n")).join(ranks.withColumnRenamed("key", "centroid"), ["structure", "super_id", "centroid"])
+    ends = found.filter("n = 1").groupBy("structure", "super_id").agg(F.min("rank").alias("end"))
+    kept = found.join(ends, ["structure", "super_id"], "left").filter("end is null or rank <= end").select("structure", "super_id", "centroid", "rank")
+    numbered = running(kept, ["structure", "super_id"], ["rank"], number="sub_id").select("structure", "super_id", F.col("sub_id").cast("int").alias("sub_id"), "centroid")
+    return numbered.join(members, ["structure", "super_id", "centroid"]).select("structure", "super_id", "sub_id", "centroid", "key", "geodesic")
 
 
 def degree(geo: DataFrame, verts: DataFrame, cutoff: float = 10.0) -> DataFrame:
@@ -228,4 +210,5 @@ def cluster_rows(clusters: DataFrame, scores: DataFrame, degrees: DataFrame, ver
 
 
 def sort_clusters(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("super_id", "sub_id", "structure", "gene", "mutation", "ref", "alt")
+    """Rows in the order in which they are written: by cluster, then by what a line holds; rows that agree in that go by key."""
+    return rows.orderBy("super_id", "sub_id", "structure", "gene", "mutation", "ref", "alt", "key")

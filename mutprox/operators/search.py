@@ -129,8 +129,8 @@ def gather_pairwise(pairs: DataFrame) -> DataFrame:
 
 
 def sort_pairs_by_p(pairs: DataFrame) -> DataFrame:
-    """Most unlikely pairs first; for writing."""
-    return pairs.orderBy(F.array_min(F.transform("info", lambda x: x["p_value"])))
+    """Most unlikely pairs first, of equals by both mutations; for writing."""
+    return pairs.orderBy(F.array_min(F.transform("info", lambda x: x["p_value"])), *[f"{c}{n}" for n in (1, 2) for c in MUTATION])
 
 
 def search_stats(maf: DataFrame, segments: DataFrame) -> DataFrame:

@@ -30,10 +30,16 @@ def job(body: str | None = None, *names: str) -> Callable:
 
 
 class Steps:
-    """The chain from views to pairs; each step is declared once and planned by whoever asks for it."""
+    """The chain from views to pairs; what several later steps read (residue pairs, prioritised pairs, placed mutations) is written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.view = lambda name: view(spark, sf_dir, name)
+        self._written: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._written:
+            self._written[name] = cut(make())
+        return self._written[name]
 
     def residues(self) -> DataFrame:
         return structures.residue_centroids(self.view("atoms"))
@@ -42,7 +48,7 @@ class Steps:
         return structures.residue_distances(self.residues(), self.view("chains"))
 
     def prox_p(self) -> DataFrame:
-        return annotate.empirical_p_values(self.prox())
+        return annotate.empirical_p_values(self.once("prox", self.prox))
 
     def noted(self, rows: DataFrame | None = None) -> DataFrame:
         rows = annotate.annotate_features(self.prox_p() if rows is None else rows, self.view("features"))
@@ -50,10 +56,10 @@ class Steps:
 
     def prior(self) -> DataFrame:
         # the filter reads no annotation, so it goes first
-        return annotate.collapse_pairs(self.noted(filters.prioritise_filter(self.prox_p())), ("feature", "cosmic"))
+        return self.once("prior", lambda: annotate.collapse_pairs(self.noted(filters.prioritise_filter(self.prox_p())), ("feature", "cosmic")))
 
     def mutations(self) -> DataFrame:
-        return search.place_mutations(filters.search_mutations(self.view("maf")), self.view("segments"))
+        return self.once("mutations", lambda: search.place_mutations(filters.search_mutations(self.view("maf")), self.view("segments")))
 
     def placed_sites(self) -> DataFrame:
         return search.place_sites(self.view("sites"), self.view("segments"))
@@ -345,44 +351,89 @@ def super_clusters(spark: SparkSession, d: str) -> DataFrame:
     return graph.super_clusters(Steps(spark, d).edges())
 
 
+#: Paths this long add less than the last bit of a double to a closeness score that a weight of one is part of.
+FADED = 60.0
+
+
 class Network:
-    """Clusters of the whole chain; edges are cut once because four steps read them."""
+    """Clusters of the whole chain; edges are cut once because four steps read them. ``reach``: longest path, none for all."""
 
-    def __init__(self, spark: SparkSession, d: str) -> None:
+    def __init__(self, spark: SparkSession, d: str, reach: float | None = None) -> None:
         s = Steps(spark, d)
         self.edges, self.weights = cut(s.edges()), cut(s.weights())
         self.components = cut(graph.super_clusters(self.edges))
         self.verts = graph.vertices(self.weights)
-        self.geo = cut(graph.geodesics(self.edges, graph.same_site_pairs(self.weights), self.components))
+        self.geo = cut(graph.geodesics(self.edges, graph.same_site_pairs(self.weights), self.components, reach))
         self.scores = cut(graph.vertex_scores(self.geo, self.verts))
 
     def rows(self) -> DataFrame:
         return graph.cluster_rows(graph.radius_clusters(self.scores, self.geo), self.scores, graph.degree(self.geo, self.verts), self.verts)
 
 
-@job()
+#: Shortest paths by recursion: a pair is bettered as long as a further edge makes it shorter.
+_GEO = """WITH RECURSIVE link AS (SELECT key1 AS x, key2 AS y, distance AS w FROM edges), b AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach(x, y) AS (SELECT x, y FROM b UNION SELECT reach.x, b.y FROM reach JOIN b ON reach.y = b.x), low AS (SELECT x AS key, least(x, min(y)) AS low FROM reach GROUP BY x),
+comp AS MATERIALIZED (SELECT key, CAST(dense_rank() OVER (ORDER BY low) - 1 AS INT) AS super_id FROM low),
+place AS (SELECT DISTINCT mutation_key AS key, split_part(protein_key, ':', 1) AS t, regexp_extract(protein_key, 'p\\.\\D\\D*(\\d+)', 1) AS pos FROM weights),
+zero AS (SELECT DISTINCT p.key AS x, q.key AS y, 0.0 AS w FROM place p JOIN place q ON p.t = q.t AND p.pos = q.pos AND p.key <> q.key JOIN comp c ON c.key = p.key JOIN comp e ON e.key = q.key AND e.super_id = c.super_id WHERE p.pos <> ''),
+arc AS MATERIALIZED (SELECT x, y, min(w) AS w FROM (SELECT x, y, w FROM link UNION ALL SELECT y, x, w FROM link UNION ALL SELECT x, y, w FROM zero) GROUP BY x, y),
+path(a, b, d) USING KEY (a, b) AS (SELECT key, key, CAST(0 AS DOUBLE) FROM comp UNION
+  SELECT p.a, arc.y, min(p.d + arc.w) FROM path p JOIN arc ON p.b = arc.x LEFT JOIN recurring.path o ON o.a = p.a AND o.b = arc.y WHERE o.d IS NULL OR p.d + arc.w < o.d GROUP BY p.a, arc.y),
+geo AS MATERIALIZED (SELECT super_id, a AS key1, b AS key2, d AS geodesic FROM path JOIN comp ON key = a),
+vert AS MATERIALIZED (SELECT mutation_key AS key, ref_alt, arg_min(weight, protein_key) AS weight, arg_min(gene, protein_key) AS gene, min(protein_key) AS protein_key, array_to_string(list_sort(list(DISTINCT protein_key))[2:], '|') AS alternatives FROM weights GROUP BY 1, 2)"""
+_SCORE = """score AS MATERIALIZED (SELECT super_id, key1 AS key, a.ref_alt, sum(CASE WHEN key1 <> key2 THEN b.weight / pow(2, geodesic) WHEN a.ref_alt = b.ref_alt THEN b.weight - 1 ELSE b.weight END) AS score
+FROM geo JOIN vert a ON a.key = key1 JOIN vert b ON b.key = key2 GROUP BY ALL),
+degree AS (SELECT key1 AS key, count(*) AS degree FROM geo JOIN vert b ON b.key = key2 WHERE geodesic < 10 GROUP BY 1)"""
+#: The best vertex left takes all that are left within 10, until one finds none.
+_SEARCH = """best AS (SELECT super_id, key, -round(max(abs(score)), 9) AS r FROM score GROUP BY 1, 2),
+ball AS MATERIALIZED (SELECT key1 AS key, list(key2) AS keys FROM geo JOIN best ON best.key = key2 WHERE geodesic <= 10 GROUP BY 1),
+search(super_id, step, centroid, members, rest) AS (SELECT super_id, 0, CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]), list(key ORDER BY r, key) FROM best GROUP BY super_id UNION ALL
+  SELECT super_id, step + 1, rest[1], list_filter(rest, lambda x: list_contains(keys, x)), list_filter(rest, lambda x: NOT list_contains(keys, x)) FROM search JOIN ball ON ball.key = rest[1] WHERE step = 0 OR len(members) > 1),
+found AS (SELECT super_id, CAST(step - 1 AS INT) AS sub_id, centroid, unnest(members) AS key FROM search WHERE step > 0)"""
+
+
+@job(f"{_GEO} SELECT 'any' AS structure, super_id, key1, key2, round(geodesic, 6) AS geodesic FROM geo", "edges", "weights")
 def geodesics(spark: SparkSession, d: str) -> DataFrame:
     return Network(spark, d).geo.withColumn("geodesic", F.round("geodesic", 6))
 
 
-@job()
+@job(f"{_GEO} SELECT 'any' AS structure, super_id, key1, key2, round(geodesic, 6) AS geodesic FROM geo WHERE geodesic <= 12", "edges", "weights")
+def near_geodesics(spark: SparkSession, d: str) -> DataFrame:
+    """Paths up to 12, relaxed in stretches of 6: what radius clusters and degrees of a large component need."""
+    s = Steps(spark, d)
+    edges, weights = cut(s.edges()), cut(s.weights())
+    found = graph.geodesics(edges, graph.same_site_pairs(weights), graph.super_clusters(edges), 12.0, 6.0)
+    return found.withColumn("geodesic", F.round("geodesic", 6))
+
+
+@job(f"{_GEO}, {_SCORE} SELECT 'any' AS structure, super_id, key, ref_alt, round(score, 6) AS score FROM score", "edges", "weights")
 def vertex_scores(spark: SparkSession, d: str) -> DataFrame:
-    return Network(spark, d).scores.withColumn("score", F.round("score", 6))
+    return Network(spark, d, FADED).scores.withColumn("score", F.round("score", 6))
 
 
-@job()
+@job(f"{_GEO} SELECT 'any' AS structure, super_id, key1 AS key, a.ref_alt, round(sum(b.weight * exp(abs(b.weight / 20) - geodesic / 10)), 6) AS score FROM geo JOIN vert a ON a.key = key1 JOIN vert b ON b.key = key2 GROUP BY ALL", "edges", "weights")
 def exponential_scores(spark: SparkSession, d: str) -> DataFrame:
     n = Network(spark, d)
     return graph.vertex_scores(n.geo, n.verts, score="exponentials").withColumn("score", F.round("score", 6))
 
 
-@job()
+@job(f"""{_GEO}, {_SCORE}, {_SEARCH} SELECT f.super_id || '.' || sub_id AS cluster, 'any' AS structure, f.super_id, sub_id, v.gene, split_part(v.protein_key, ':', 2) AS mutation, degree, round(score, 6) AS score, round(geodesic, 6) AS geodesic, v.weight,
+split_part(f.key, ':', 2) AS chromosome, split_part(f.key, ':', 3) AS start, split_part(f.key, ':', 4) AS stop, split_part(v.ref_alt, ':', 1) AS ref, split_part(v.ref_alt, ':', 2) AS alt, split_part(v.protein_key, ':', 1) AS transcript, alternatives, f.key
+FROM found f JOIN geo ON key1 = centroid AND key2 = f.key JOIN vert v ON v.key = f.key JOIN score s ON s.key = f.key AND s.ref_alt = v.ref_alt JOIN degree g ON g.key = f.key""", "edges", "weights")
 def network_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return Network(spark, d).rows().withColumn("score", F.round("score", 6)).withColumn("geodesic", F.round("geodesic", 6))
+    return Network(spark, d, FADED).rows().withColumn("score", F.round("score", 6)).withColumn("geodesic", F.round("geodesic", 6))
+
+
+@job(f"""{_GEO}, {_SCORE}, {_SEARCH}, line AS (SELECT f.super_id, sub_id, v.gene, split_part(v.protein_key, ':', 2) AS mutation, v.ref_alt, f.key FROM found f JOIN vert v ON v.key = f.key)
+SELECT CAST(row_number() OVER (ORDER BY super_id, sub_id, gene, mutation, split_part(ref_alt, ':', 1), split_part(ref_alt, ':', 2), key) AS BIGINT) AS line, super_id, sub_id, gene, mutation, ref_alt, key FROM line""", "edges", "weights")
+def sorted_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The written order of cluster rows: numbers are taken from the sorted rows as they come, file by file and line by line."""
+    rows = graph.sort_clusters(Network(spark, d, FADED).rows())
+    return readers.line_numbers(rows).select("line", "super_id", "sub_id", "gene", "mutation", F.concat_ws(":", "ref", "alt").alias("ref_alt"), "key")
 
 
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
-    return cut(Network(spark, d).rows()).withColumn("weight_is_recurrence", F.lit(True)).withColumn("line_no", F.xxhash64("cluster", "key", "ref", "alt"))
+    return cut(Network(spark, d, FADED).rows()).withColumn("weight_is_recurrence", F.lit(True)).withColumn("line_no", F.xxhash64("cluster", "key", "ref", "alt"))
 
 
 @job()

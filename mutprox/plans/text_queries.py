@@ -311,9 +311,14 @@ def edge_union(spark: SparkSession, d: str) -> DataFrame:
     return graph.edge_union(rows.filter("uniprot1 = uniprot2"), rows.filter("uniprot1 <> uniprot2")).withColumn("info", info_text())
 
 
-@job(f"SELECT a.gene AS gene1, a.aa_change AS mutation1, b.gene AS gene2, b.aa_change AS mutation2, a.start_pos AS start1, b.start_pos AS start2, {INFO} AS info FROM pairs", "pairs")
+_ENDS = ", ".join(f"{e}.{c}" for e in "ab" for c in ("gene", "chromosome", "start_pos", "stop_pos", "aa_change"))
+
+
+@job(f"SELECT a.gene AS gene1, a.aa_change AS mutation1, b.gene AS gene2, b.aa_change AS mutation2, a.start_pos AS start1, b.start_pos AS start2, {INFO} AS info, row_number() OVER (ORDER BY info[1].p_value, {_ENDS}) AS line FROM pairs", "pairs")
 def pairs_by_p(spark: SparkSession, d: str) -> DataFrame:
-    return search.sort_pairs_by_p(Steps(spark, d).pairs()).select("gene1", F.col("aa_change1").alias("mutation1"), "gene2", F.col("aa_change2").alias("mutation2"), F.col("start_pos1").alias("start1"), F.col("start_pos2").alias("start2"), info_text().alias("info"))
+    """Pairs with their line in the written order."""
+    rows = readers.line_numbers(search.sort_pairs_by_p(Steps(spark, d).pairs()))
+    return rows.select("gene1", F.col("aa_change1").alias("mutation1"), "gene2", F.col("aa_change2").alias("mutation2"), F.col("start_pos1").alias("start1"), F.col("start_pos2").alias("start2"), info_text().alias("info"), "line")
 
 
 _BEST = """best AS (SELECT * FROM (SELECT a.gene AS gene1, a.aa_change AS mutation1, b.gene AS gene2, b.aa_change AS mutation2, linear_distance, info, a.start_pos AS s1, b.start_pos AS s2,

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mutprox.functions import columns as C
+from mutprox.session import cut
 
 #: Required headers of the text formats and the names used here.
 MAF = {
@@ -203,6 +205,16 @@ def distinct_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def line_numbers(ordered: DataFrame, name: str = "line") -> DataFrame:
+    """The rows of a sorted frame with their place in it, from 1: numbers of a file follow on those of the files before it."""
+    rows = cut(ordered.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a file
+    starts = sizes.select("__part", before.alias("__before"))
+    return rows.join(starts, part == F.col("__part")).withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__at", "__part", "__before")
+
+
 def write_table(df: DataFrame, path: str, format: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
     """Parquet by default; ``tsv`` has a header, nulls as ``N/A`` and arrays encoded."""
     if format == "parquet":

@@ -1,7 +1,12 @@
+import random
+
 import numpy as np
-import pandas as pd
+import pytest
 
 from mutprox.operators import graph
+from mutprox.operators.scan import running
+
+EDGES = "structure string, key1 string, key2 string, distance double"
 
 
 def brute_paths(n, edges):
@@ -10,9 +15,7 @@ def brute_paths(n, edges):
     for a, b, d in edges:
         m[a, b] = m[b, a] = min(m[a, b], d)
     for k in range(n):
-        for i in range(n):
-            for j in range(n):
-                m[i, j] = min(m[i, j], m[i, k] + m[k, j])
+        np.minimum(m, m[:, k : k + 1] + m[k : k + 1, :], out=m)
     return m
 
 
@@ -20,18 +23,40 @@ def random_graph(rng, n):
     return [(int(a), int(b), float(rng.uniform(0.5, 9))) for a, b in rng.integers(0, n, (2 * n, 2)) if a != b]
 
 
-def test_paths_do_not_depend_on_the_way_they_are_found(monkeypatch):
-    rng = np.random.default_rng(5)
-    for n in (2, 17, 60):
-        edges = random_graph(rng, n)
-        a, b, d = (np.array(x) for x in zip(*edges))
-        want = brute_paths(n, edges)
-        dense = graph.shortest_paths(n, a, b, d)
-        monkeypatch.setattr(graph, "DENSE", 1)
-        sparse = graph.shortest_paths(n, a, b, d)
-        monkeypatch.undo()
-        assert dense.dtype == sparse.dtype == np.float64
-        assert np.allclose(dense, want) and np.allclose(sparse, want)
+def tables(spark, n, edges, site):
+    """Two structures with one graph each (the second with distances doubled), and pairs at one site."""
+    key = lambda i: f"k{i:03d}"
+    rows = [(s, *sorted((key(a), key(b))), d * f) for s, f in (("s", 1), ("t", 2)) for a, b, d in edges]
+    pairs = spark.createDataFrame([tuple(sorted((key(a), key(b)))) for a, b in site], "key1 string, key2 string")
+    return spark.createDataFrame(rows, EDGES), pairs
+
+
+@pytest.mark.parametrize("n,bound,step", [(50, None, None), (120, 9.0, None), (120, 12.0, 3.0), (60, None, 4.0)])
+def test_paths_equal_the_matrix(spark, n, bound, step):
+    rng = np.random.default_rng(n)
+    edges = random_graph(rng, n)
+    site = [(int(a), int(b)) for a, b in rng.integers(0, n, (6, 2)) if a != b]
+    df, pairs = tables(spark, n, edges, site)
+    components = graph.super_clusters(df)
+    label = {(r["structure"], r["key"]): r["super_id"] for r in components.collect()}
+    linked = {k for e in edges for k in e[:2]}
+    inside = [(a, b, 0.0) for a, b in site if a in linked and b in linked and label["s", f"k{a:03d}"] == label["s", f"k{b:03d}"]]
+    want = {}
+    for s, f in (("s", 1), ("t", 2)):
+        m = brute_paths(n, [(a, b, d * f) for a, b, d in edges] + inside)
+        want |= {(s, f"k{i:03d}", f"k{j:03d}"): m[i, j] for i in linked for j in linked if np.isfinite(m[i, j]) and (bound is None or m[i, j] <= bound)}
+    got = {(r["structure"], r["key1"], r["key2"]): r["geodesic"] for r in graph.geodesics(df, pairs, components, bound, step).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_paths_of_an_empty_graph(spark):
+    none = spark.createDataFrame([], EDGES)
+    pairs = spark.createDataFrame([], "key1 string, key2 string")
+    components = graph.super_clusters(none)
+    assert graph.geodesics(none, pairs, components).count() == 0
+    scores = spark.createDataFrame([], "structure string, super_id int, key string, ref_alt string, score double")
+    assert graph.radius_clusters(scores, graph.geodesics(none, pairs, components)).count() == 0
 
 
 def brute_clusters(keys, score, dist, radius):
@@ -46,17 +71,39 @@ def brute_clusters(keys, score, dist, radius):
     return out
 
 
-def test_radius_clusters_stop_at_the_first_single_vertex():
-    rng = np.random.default_rng(8)
-    for n in (5, 50, 120):
-        edges = random_graph(rng, n)
-        m = graph.shortest_paths(n, *(np.array(x) for x in zip(*edges)))
-        keys = [f"k{i:03d}" for i in range(n)]
-        score = {k: float(rng.normal()) for k in keys}
-        dist = {(keys[i], keys[j]): m[i, j] for i in range(n) for j in range(n)}
-        geo = pd.DataFrame([(a, b, d) for (a, b), d in dist.items() if np.isfinite(d)], columns=["key1", "key2", "geodesic"])
-        scores = pd.DataFrame({"structure": "any", "super_id": 0, "key": keys, "ref_alt": "A:C", "score": [score[k] for k in keys]})
-        got = graph._greedy_radius(geo, scores, 4.0)
-        want = brute_clusters(keys, score, dist, 4.0)
-        assert [(c, set(g["key"])) for (_, c), g in got.groupby(["sub_id", "centroid"])] == want
-        assert list(got["sub_id"].unique()) == list(range(len(want)))
+@pytest.mark.parametrize("n", [5, 50, 120, 200])
+def test_radius_clusters_stop_at_the_first_single_vertex(spark, n):
+    rng = np.random.default_rng(n)
+    m = brute_paths(n, random_graph(rng, n))
+    keys = [f"k{i:03d}" for i in range(n)]
+    score = {k: float(np.round(rng.normal(), 1)) for k in keys}  # with ties
+    dist = {(keys[i], keys[j]): float(m[i, j]) for i in range(n) for j in range(n)}
+    geo = spark.createDataFrame([("any", s, a, b, d) for s in (0, 1) for (a, b), d in dist.items() if d <= 6], "structure string, super_id int, key1 string, key2 string, geodesic double")
+    scores = spark.createDataFrame([("any", s, k, r, x) for s in (0, 1) for k in keys for r, x in (("A:C", score[k]), ("A:G", score[k] / 2))], "structure string, super_id int, key string, ref_alt string, score double")
+    got = graph.radius_clusters(scores, geo, 4.0).collect()
+    want = brute_clusters(keys, score, dist, 4.0)
+    for s in (0, 1):
+        found = {}
+        for r in got:
+            if r["super_id"] == s:
+                found.setdefault((r["sub_id"], r["centroid"]), set()).add(r["key"])
+                assert r["geodesic"] == dist[r["centroid"], r["key"]]
+        assert [(c, found[k, c]) for k, c in sorted(found)] == want
+        assert [k for k, _ in sorted(found)] == list(range(len(want)))
+
+
+def test_running_sums_over_one_large_group(spark):
+    rng = random.Random(2)
+    rows = [("hot", k, float(rng.randrange(9))) for k in range(3000)] + [(None, k, 1.0) for k in range(40)] + [("b", 5, 2.0)]
+    rng.shuffle(rows)
+    from pyspark.sql import functions as F
+
+    got = running(spark.createDataFrame(rows, "g string, k int, w double").repartition(7), ["g"], [-F.col("k")], number="n", sums={"total": F.col("w")}).collect()
+    for g in ("hot", None, "b"):
+        total = 0.0
+        mine = sorted((r for r in got if r["g"] == g), key=lambda r: -r["k"])
+        for at, r in enumerate(mine):
+            total += r["w"]
+            assert (r["n"], r["total"]) == (at, total)
+        assert len(mine) == sum(x[0] == g for x in rows)
+    assert running(spark.createDataFrame([], "g string, k int"), ["g"], ["k"], number="n").count() == 0
