@@ -193,17 +193,19 @@ def fingerprint_links(distinct: DataFrame, most: int = 3, group_rows: int = 50_0
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
     """``(id, fingerprint, component_id)``: near-duplicate classes of all texts.
 
-    Nulls and texts without a word share fingerprint zero and link like any other; repeated ids with equal text are
-    one vertex; a null id is kept with a null component. An empty table gives an empty result.
+    Nulls and texts without a word share fingerprint zero and link like any other. Fingerprints link whatever their rows'
+    ids are: a row without an id joins others as any row does and gets the component of its class, which is the least id
+    that is not null (null where a class has none). Repeated ids and rows keep a row each. An empty table gives an empty
+    result.
     """
     own = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = own.filter("id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
-    classes = connected_components(fingerprint_links(distinct, most))
-    named = distinct.join(classes, distinct["rep"] == classes["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    distinct = cut(own.groupBy("fp").agg(F.min("id").alias("least")))
+    classes = connected_components(fingerprint_links(distinct.select("fp", F.col("fp").alias("rep")), most))
+    linked = cut(distinct.join(classes, distinct["fp"] == classes["node"]).select("fp", "least", "component"))
+    named = linked.select("fp", "component").join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
+    alone = distinct.join(linked, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return own.join(named, "fp", "left").select(
-        F.col("id").alias(id_col), hexed.alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")
-    )
+    return own.join(named.unionByName(alone), "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, most: int = 3) -> DataFrame:

@@ -80,7 +80,7 @@ def test_documents(spark):
     words = ["alpha", "Beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
     texts = [" ".join(rng.choice(words) for _ in range(300)) for _ in range(12)]
     near = [t + " tail" for t in texts[:6]]
-    all_texts = [*texts, *near, *texts[:3], None, "", " \n ", "one", "one two", "x" * 5000]
+    all_texts = [*texts, *near, *texts[:3], None, "", " \n ", "one", "one two", "x" * 5000, "Long tale of ÄB words " * 20_000]
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(all_texts)]
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in simhash.simhash_components(df).collect()}
@@ -96,4 +96,29 @@ def test_empty_table_and_null_ids(spark):
     assert simhash.simhash_components(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(None, "a b c", "en", "s", 1), (4, "a b c", "en", "s", 1), (4, "a b c", "en", "s", 1)], SCHEMA)
     got = sorted((r["doc_id"] is None, r["component_id"]) for r in simhash.simhash_components(df).collect())
-    assert got == [(False, 4), (False, 4), (True, None)]
+    assert got == [(False, 4), (False, 4), (True, 4)]  # a row without an id belongs to the class of its text
+    none = spark.createDataFrame([(None, "a b c", "en", "s", 1), (None, "x y z", "en", "s", 1), (None, None, "en", "s", 1)], SCHEMA)
+    assert [r["component_id"] for r in simhash.simhash_components(none).collect()] == [None] * 3
+
+
+def test_a_row_without_an_id_joins_its_neighbours(spark):
+    """Of a chain of three texts the middle one has no id; the ends are too far apart to link without it."""
+    rng = random.Random(4)
+    apart = lambda a, b: bin(simhash.fingerprint(a) ^ simhash.fingerprint(b)).count("1")
+
+    def moved(text):
+        while True:
+            words = text.split()
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+            if 2 <= apart(text, out := " ".join(words)) <= 3:
+                return out
+
+    first = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+    while True:
+        middle = moved(first)
+        last = moved(middle)
+        if apart(first, last) > 3:
+            break
+    rows = [(1, first, "en", "s", 1), (None, middle, "en", "s", 1), (2, last, "en", "s", 1), (3, "quite another text", "en", "s", 1)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 1, None: 1, 2: 1, 3: 3}
