@@ -39,8 +39,13 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to one or a little less: squares neither overflow nor vanish, and no bit changes."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None]) if vectors.size else vectors
+
+
 def rotated(vectors: np.ndarray) -> np.ndarray:
-    """Unit vectors, rotated. Element by element, so that a row gives the same bits in whatever company it comes."""
+    """Unit vectors, rotated; ``vectors`` are :func:`scaled`. Element by element, so that a row gives the same bits in whatever company it comes."""
     unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
     q, out = rotation(vectors.shape[1]), np.zeros_like(unit)
     for j in range(vectors.shape[1]):
@@ -65,7 +70,7 @@ def _slabs(batches, least: float, blocks: int):  # noqa: ANN001, ANN202
         out: list[list[int]] = [[]] * b.num_rows
         for dim in np.unique(sizes):
             at = np.flatnonzero(sizes == dim)
-            r = rotated(_matrix(b.column("vec").take(pa.array(at))))
+            r = rotated(scaled(_matrix(b.column("vec").take(pa.array(at)))))
             parts = axes(int(dim), blocks)
             width = np.sqrt((2 - 2 * least) / len(parts) + SLACK)
             found = np.stack([np.floor(r[:, p[0]] / width) for p in parts], axis=1).astype(np.int64)
@@ -78,7 +83,7 @@ def _tile_links(table: pa.Table, least: float, blocks: int) -> pa.Table:
     """Links of one pair of tiles: rows ``(h1, h2, a, null, links)`` and forest edges ``(h1, h2, a, b, 0)``; h1, h2 name the vector, a its id."""
     side, block = table.column("side").to_numpy(), table.column("block")[0].as_py()
     alone = table.column("kind")[0].as_py() == 0 and table.column("i")[0].as_py() == table.column("j")[0].as_py()
-    rep, weight, raw = table.column("rep").to_numpy(), table.column("cnt").to_numpy(), _matrix(table.column("vec"))
+    rep, weight, raw = table.column("rep").to_numpy(), table.column("cnt").to_numpy(), scaled(_matrix(table.column("vec")))
     keys = [table.column(c).to_numpy() for c in ("h1", "h2")]
     left = np.flatnonzero(side == 0)
     right = left if alone else np.flatnonzero(side == 1)

@@ -54,3 +54,23 @@ def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, [1.0, 1.0], 0, ""), (1, [1.0, 1.0], 0, ""), (None, [1.0, 1.0], 0, ""), (5, [2.0, 2.0], 0, "")], SCHEMA)
     got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in vectors.near_vectors(df).collect())
     assert got == [("1", 2, "1", True), ("1", 2, "1", True), ("5", 2, "1", False), ("None", 0, "None", True)]
+
+
+def test_vectors_of_extreme_length(spark):
+    """Squares of these overflow or vanish; their directions do not."""
+    rng = np.random.default_rng(9)
+    a, b = rng.standard_normal(8), rng.standard_normal(8)
+    sizes = [1.0, 1e200, 1e-200, 1e308 / 9, 1e-300]
+    rows = [(10 * k + j, (v * s).tolist(), 0) for k, s in enumerate(sizes) for j, v in ((0, a), (1, b))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df).collect()}
+    assert got == {i: (len(sizes) - 1, i % 10) for i, _, _ in rows}
+
+
+def test_scaling_changes_no_bit():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((50, 6)) * 10.0 ** rng.integers(-9, 9, (50, 1))
+    y = vectors.scaled(x)
+    assert (np.abs(y).max(axis=1) <= 1).all() and (np.abs(y).max(axis=1) >= 0.5).all()
+    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    assert (y / np.sqrt((y * y).sum(axis=1))[:, None] == unit).all()
