@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mutprox.session import cut, drop_cut, new_path, remove, ship
@@ -36,16 +37,42 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     )
 
 
+def _filed(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``file``: the range of their ids, or a number below zero for rows that a range cannot hold.
+
+    Rows without an id, and ranges of more than two files' worth (ids repeat), are dealt to files of their own by a hash of the
+    whole row; of rows that are alike in everything each block of half a file is dealt apart.
+    """
+    ranged = pages.select(F.floor(F.col("page_id") / FILE_IDS).cast("long").alias("range"), "page_id", "url", "html")
+    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).filter(F.col("range").isNull() | (F.col("n") > 2 * FILE_IDS))
+    parts = F.ceil(F.col("n") / FILE_IDS)
+    spread = cut(sizes.select("range", parts.alias("parts"), F.coalesce(F.sum(parts).over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start")))
+    if spread.isEmpty():
+        return ranged.select(F.col("range").alias("file"), "page_id", "url", "html")
+    wide = spread.withColumnRenamed("range", "wide")
+    met = ranged.join(wide, F.col("range").eqNullSafe(F.col("wide")))
+    alike = met.groupBy("range", "parts", "start", "page_id", "url", "html").agg(F.count(F.lit(1)).alias("n"))
+    block = FILE_IDS // 2
+    blocks = alike.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1) - F.pmod(F.col("n") - 1, F.lit(block)), F.lit(block).cast("long"))))
+    part = F.pmod(F.pmod(F.xxhash64("page_id", "url", "html"), F.col("parts")) + F.floor(F.col("k") / block), F.col("parts")).cast("long")
+    copies = F.sequence(F.lit(1).cast("long"), F.least(F.lit(block).cast("long"), F.col("n") - F.col("k")))
+    dealt = blocks.select((-1 - F.col("start") - part).alias("file"), "page_id", "url", "html", F.explode(copies).alias("copy")).drop("copy")
+    rest = ranged.join(wide, F.col("range").eqNullSafe(F.col("wide")), "left_anti").select(F.col("range").alias("file"), "page_id", "url", "html")
+    return rest.unionByName(dealt)
+
+
 def write_archive(pages: DataFrame, path: str) -> str:
     """Write ``pages`` (page_id, url, html) as gzip-compressed WARC files, one for each range of ids; ties go by url and html.
 
-    Pages without an id are dealt by a hash of their URL to files of their own, numbered -1, -2, ... of about as many
-    pages as a range has ids. An empty table makes no file.
+    No file has many more than two ranges' worth of records: pages without an id, and those of a range whose ids repeat, are
+    dealt to files -1, -2, ... of about as many pages as a range has ids, whether or not they are alike. An empty table
+    makes no file.
     """
-    nameless = -(-pages.filter("page_id is null").count() // FILE_IDS) or 1
-    file = F.coalesce(F.floor(F.col("page_id") / FILE_IDS), -1 - F.pmod(F.xxhash64("url"), F.lit(nameless))).cast("long")
-    rows = pages.select(file.alias("file"), "page_id", "url", "html")
-    n = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return _written(_filed(pages), path)
+
+
+def _written(rows: DataFrame, path: str) -> str:
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = rows.repartition(n, "file").sortWithinPartitions("file", "page_id", "url", "html")
     rows.select("file", record(F.col("page_id"), F.col("url"), F.col("html")).alias("value")).write.partitionBy("file").option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
     return path
@@ -81,7 +108,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _leaf(records: DataFrame) -> DataFrame:
-    """Leaves: file and place in it, both counted from 0 (files without ids lie between the others), with the range covered."""
+    """Leaves: file and place in it, both counted from 0 (files that are no range lie between the others), with the range covered."""
     number = F.when(F.col("file") >= 0, F.col("file") * 2).otherwise(F.col("file") * -2 - 1)
     spot = F.struct("file", "offset")
     return records.select(number.alias("f"), F.col("seq").alias("n"), spot.alias("first"), spot.alias("last"), "digest")
@@ -159,8 +186,9 @@ def drill(pages: DataFrame, every: int = 500, at: int = 7) -> DataFrame:
     spark = pages.sparkSession
     base = new_path(spark, "warc")
     worn = F.when(F.pmod("page_id", F.lit(every)) == at, F.concat(F.substring("html", F.lit(1), F.length("html") - 1), F.lit("~"))).otherwise(F.col("html"))
-    first = read_archive(spark, write_archive(pages.select("page_id", "url", "html"), f"{base}/a"))
-    second = read_archive(spark, write_archive(pages.select("page_id", "url", worn.alias("html")), f"{base}/b"))
+    filed = _filed(pages.select("page_id", "url", "html"))
+    first = read_archive(spark, _written(filed, f"{base}/a"))
+    second = read_archive(spark, _written(filed.withColumn("html", worn), f"{base}/b"))
     remove(spark, base)  # both were read to the end
     return audit(first, second).select("page_id", "file", "offset", "length", "digest", "status")
 

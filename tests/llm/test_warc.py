@@ -68,3 +68,20 @@ def test_drill(spark):
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], PAGES)
     assert warc.drill(df).count() == 0
+
+
+def test_no_file_takes_all_pages_without_a_name(spark, tmp_path):
+    """Pages without id and URL, pages under one id, and pages alike in everything are dealt to files of bounded size."""
+    out = [(None, None, f"page {i % 1500}", "") for i in range(3000)] + [(77, "http://a", f"text {i}", "") for i in range(3000)]
+    out += [(900, "http://b", "same", "")] * 2500 + [(i, f"http://h/{i}", f"p{i}", "") for i in range(5000, 5600)]
+    df = spark.createDataFrame(out, PAGES)
+    first = warc.read_archive(spark, warc.write_archive(df, f"{tmp_path}/a"))
+    sizes = {r["file"]: r["count"] for r in first.groupBy("file").count().collect()}
+    assert sum(sizes.values()) == len(out) and max(sizes.values()) < 1200
+    assert all(n > 0 for n in sizes.values()) and sum(f < 0 for f in sizes) >= 12 and {9, 10} <= set(sizes)
+    want = {r["digest"]: r["n"] for r in df.select(F.sha2(warc.record(F.col("page_id"), F.col("url"), F.col("html")), 256).alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).collect()}
+    assert {r["digest"]: r["n"] for r in first.groupBy("digest").agg(F.count("*").alias("n")).collect()} == want
+    second = warc.read_archive(spark, warc.write_archive(df.repartition(7), f"{tmp_path}/b"))
+    assert warc.audit(first, second).filter("status <> 'ok'").count() == 0
+    found = warc.drill(df).groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in found} == {"ok": len(out) - 2, "damaged": 2}  # pages 5007 and 5507
