@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mutprox.operators.ranges import join_ranges, top_stretches
 from mutprox.operators.search import map_to_protein
+from mutprox.session import cut
 
 
 def empirical_p_values(prox: DataFrame) -> DataFrame:
@@ -19,19 +21,34 @@ def empirical_p_values(prox: DataFrame) -> DataFrame:
     return prox.join(grid.select("uniprot1", "distance", p.alias("p_value")), ["uniprot1", "distance"])
 
 
+def feature_stretches(features: DataFrame) -> DataFrame:
+    """``uniprot, start_pos, end_pos, description``: disjoint stretches with the description that holds there.
+
+    Disulfide bonds hold at their two ends, all else over its range; later lines win. No row is made for a place.
+    """
+    ends = F.array(F.struct(F.col("start_pos").alias("a"), F.col("start_pos").alias("b")), F.struct(F.col("end_pos").alias("a"), F.col("end_pos").alias("b")))
+    whole = F.array(F.struct(F.col("start_pos").alias("a"), F.col("end_pos").alias("b")))
+    each = features.select("uniprot", F.explode(F.when(F.col("type") == "DISULFID", ends).otherwise(whole)).alias("x"), "description", "line_no")
+    each = each.select("uniprot", F.col("x.a").alias("start_pos"), F.col("x.b").alias("end_pos"), "description", "line_no")
+    return top_stretches(each, ["uniprot"], "start_pos", "end_pos", ["line_no"], ["description"])
+
+
 def feature_points(features: DataFrame) -> DataFrame:
-    """The description that holds at each protein place: disulfide bonds at their two ends, all else over its range; later lines win."""
-    spread = F.when(F.col("type") == "DISULFID", F.array_distinct(F.array("start_pos", "end_pos"))).when(F.col("start_pos") <= F.col("end_pos"), F.sequence("start_pos", "end_pos"))
-    each = features.select("uniprot", F.explode(spread).alias("at"), "description", "line_no")
-    return each.groupBy("uniprot", "at").agg(F.max_by("description", "line_no").alias("description"))
+    """``uniprot, at, description`` for every protein place that :func:`feature_stretches` covers; joins take the stretches themselves."""
+    return feature_stretches(features).select("uniprot", F.explode(F.sequence(F.col("start_pos").cast("int"), F.col("end_pos").cast("int"))).alias("at"), "description")
 
 
 def annotate_features(prox: DataFrame, features: DataFrame, partner_protein: bool = False) -> DataFrame:
-    """``feature1`` and ``feature2`` (``N/A`` without one). The second end is looked up under the first protein unless told otherwise."""
-    points = feature_points(features)
-    side = lambda n, key: points.select(F.col("uniprot").alias(key), F.col("at").alias(f"__at{n}"), F.col("description").alias(f"feature{n}"))
+    """``feature1`` and ``feature2`` (``N/A`` without one). The second end is looked up under the first protein unless told otherwise.
+
+    Each distinct place of the pairs is looked up once in the stretches.
+    """
     second = "uniprot2" if partner_protein else "uniprot1"
-    out = prox.withColumn("__at1", F.col("pos1") + F.col("off1")).withColumn("__at2", F.col("pos2") + F.col("off2"))
+    out = prox.withColumn("__at1", (F.col("pos1") + F.col("off1")).cast("long")).withColumn("__at2", (F.col("pos2") + F.col("off2")).cast("long"))
+    end = lambda key, n: out.select(F.col(key).alias("uniprot"), F.col(f"__at{n}").alias("__at"))
+    places = end("uniprot1", 1).unionByName(end(second, 2)).distinct()
+    points = cut(join_ranges(places, feature_stretches(features), ["uniprot"], "__at", "start_pos", "end_pos").select("uniprot", "__at", "description"))
+    side = lambda n, key: points.select(F.col("uniprot").alias(key), F.col("__at").alias(f"__at{n}"), F.col("description").alias(f"feature{n}"))
     out = out.join(side(1, "uniprot1"), ["uniprot1", "__at1"], "left").join(side(2, second), [second, "__at2"], "left")
     return out.fillna("N/A", ["feature1", "feature2"]).drop("__at1", "__at2")
 

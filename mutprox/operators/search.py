@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mutprox.functions import columns as C
 from mutprox.operators.filters import search_cutoff
+from mutprox.operators.ranges import join_ranges
 
 
 def map_to_protein(rows: DataFrame, segments: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def map_to_protein(rows: DataFrame, segments: DataFrame) -> DataFrame:
     """
     s = segments.select("transcript", "uniprot", "t_begin", "t_end", "u_begin")
     places = rows.select("transcript", "position").distinct()
-    hit = places.join(s, "transcript").filter(F.col("position").between(F.col("t_begin"), F.col("t_end")))
+    hit = join_ranges(places, s, ["transcript"], "position", "t_begin", "t_end")
     best = hit.groupBy("transcript", "position").agg(F.min(F.struct("t_begin", "uniprot", "u_begin")).alias("m"))
     best = best.select("transcript", "position", "m.uniprot", (F.col("position") - F.col("m.t_begin") + F.col("m.u_begin")).cast("long").alias("u_pos"))
     return rows.join(best, ["transcript", "position"])
@@ -65,6 +66,12 @@ def mutation_pairs(mutations: DataFrame, prox: DataFrame, **cutoff: float) -> Da
     return near
 
 
+def hits_at(mutations: DataFrame, near: DataFrame) -> DataFrame:
+    """Mutations with the pairs (as from :func:`ready`) whose first end is their place; pairs in buckets by (uniprot1, at1) are not dealt again."""
+    m = mutations.select("uniprot", "u_pos", *MUTATION).withColumnsRenamed({"uniprot": "uniprot1", "u_pos": "at1"})
+    return near.join(m, ["uniprot1", "at1"])
+
+
 def mutation_features(mutations: DataFrame, prox: DataFrame, what: str, **cutoff: float) -> DataFrame:
     """Exactly one end mutated, the other annotated: ``what`` is ``feature`` or ``cosmic``. The mutated end comes first."""
     near = ready(prox).filter(search_cutoff(F.col("info"), F.col("linear_distance"), **cutoff))

@@ -15,6 +15,8 @@ from mutprox.session import ship
 DRAWS = 2_000_000
 #: Exponent of Hoeffding's bound at which one simulated mean falls on the other side of the observed one with a chance under 1e-18.
 CERTAIN = 41.5
+#: Places of the grid on which the law of a sum is worked out.
+GRID = 1 << 23
 
 
 def best_structure(presence: DataFrame) -> DataFrame:
@@ -24,16 +26,16 @@ def best_structure(presence: DataFrame) -> DataFrame:
 
 
 def within_cluster_distance(members: DataFrame, pairs: DataFrame, best: DataFrame) -> DataFrame:
-    """``cluster, distance_sum, mass, n_pairs``: weighted distances inside each cluster in its best structure.
+    """``cluster, distance_sum, mass, n_pairs, pair_p``: weighted distances inside each cluster in its best structure, and the p-value of its nearest pair there.
 
     ``members``: cluster, gene, mutation, weight; ``pairs``: gene1, mutation1, gene2, mutation2, info.
     """
     m = lambda n: members.select("cluster", *[F.col(c).alias(f"{c}{n}") for c in ("gene", "mutation", "weight")])
     each = pairs.select("gene1", "mutation1", "gene2", "mutation2", F.explode("info").alias("x"))
     met = each.join(m(1), ["gene1", "mutation1"]).join(m(2), ["cluster", "gene2", "mutation2"]).join(best.select("cluster", "pdb"), "cluster").filter(F.col("x.pdb") == F.col("pdb"))
-    d = met.groupBy("cluster").agg(F.sum(F.col("weight1") * F.col("weight2") * F.col("x.distance")).alias("distance_sum"))
+    d = met.groupBy("cluster").agg(F.sum(F.col("weight1") * F.col("weight2") * F.col("x.distance")).alias("distance_sum"), F.min(F.struct("x.distance", "x.p_value"))["p_value"].alias("pair_p"))
     mass = members.groupBy("cluster").agg(F.sum(F.floor("weight")).alias("mass"))
-    return mass.join(d, "cluster", "left").select("cluster", F.coalesce("distance_sum", F.lit(0.0)).alias("distance_sum"), "mass", (F.col("mass") * (F.col("mass") - 1) / 2).alias("n_pairs"))
+    return mass.join(d, "cluster", "left").select("cluster", F.coalesce("distance_sum", F.lit(0.0)).alias("distance_sum"), "mass", (F.col("mass") * (F.col("mass") - 1) / 2).alias("n_pairs"), "pair_p")
 
 
 def background_distances(prox: DataFrame, proteins: DataFrame, best: DataFrame) -> DataFrame:
@@ -86,6 +88,7 @@ def hash_text(s: str) -> int:
 def cluster_significance(observed: DataFrame, background: DataFrame, n_sims: int = 1_000_000, batch: int = 20_000, seed: int = 1) -> DataFrame:
     """``cluster, p_value, n_sims``: share of simulated means of ``n_pairs`` draws below the observed mean; null for a cluster without a pair.
 
+    A cluster of mass 2 is one pair and has that pair's own p-value (``pair_p`` of ``observed``, where that is given), without simulations.
     Batches of simulations are spread over tasks; a cluster's background is one sorted array, bounded by its structure's residue pairs.
     Many draws with replacement are made as one multinomial draw over the distinct distances; where Hoeffding's bound leaves
     a chance under 1e-12 that any of a million simulations falls on the other side of the observed mean, none is drawn.
@@ -94,11 +97,42 @@ def cluster_significance(observed: DataFrame, background: DataFrame, n_sims: int
     arrays = background.groupBy("cluster").agg(F.sort_array(F.collect_list("distance")).alias("background"))
     n = max(1, -(-n_sims // batch))
     steps = spark.range(n).select(F.col("id").alias("batch"), F.least(F.lit(batch), F.lit(n_sims) - F.col("id") * batch).alias("sims"))
-    obs = observed.filter("n_pairs >= 1").select("cluster", "n_pairs", (F.col("distance_sum") / F.col("n_pairs")).alias("observed"))
+    own = observed.filter("mass = 2").select("cluster", F.col("pair_p").alias("p_value"), F.lit(0).cast("long").alias("n_sims")) if "pair_p" in observed.columns else None
+    obs = (observed if own is None else observed.filter("mass <> 2")).filter("n_pairs >= 1").select("cluster", "n_pairs", (F.col("distance_sum") / F.col("n_pairs")).alias("observed"))
     rows = obs.join(arrays, "cluster").crossJoin(F.broadcast(steps))
     found = rows.groupBy("cluster", "batch").applyInPandas(lambda x: _below(x, seed), f"cluster {observed.schema['cluster'].dataType.simpleString()}, below long, sims long")
     p = found.groupBy("cluster").agg((F.sum("below") / F.sum("sims")).alias("p_value"), F.sum("sims").alias("n_sims"))
-    return observed.select("cluster").distinct().join(p, "cluster", "left")
+    return observed.select("cluster").distinct().join(p if own is None else p.unionByName(own), "cluster", "left")
+
+
+def _exact(rows: pd.DataFrame) -> pd.DataFrame:
+    r = rows.iloc[0]
+    values, n = np.rint(np.asarray(r["background"], float) * 1000).astype(np.int64), int(r["n_pairs"])
+    low, width, p = int(values.min()), int(values.max() - values.min()), None
+    if n * width < GRID:
+        size = 1 << (n * width + 1).bit_length()
+        law = np.bincount(values - low, minlength=width + 1) / len(values)
+        # the law of a sum of n draws is the n-fold convolution of the law of one
+        total = np.fft.irfft(np.fft.rfft(law, size) ** n, size)[: n * width + 1]
+        below = int(np.ceil(r["distance_sum"] * 1000 - 1e-6)) - n * low
+        p = float(min(1.0, max(0.0, total[: max(0, below)].sum())))
+    return pd.DataFrame({"cluster": [r["cluster"]], "p_value": [p]})
+
+
+def exact_significance(observed: DataFrame, background: DataFrame) -> DataFrame:
+    """``cluster, p_value``: the chance that the mean of ``n_pairs`` draws lies below the observed mean, worked out instead of simulated.
+
+    Distances count in thousandths, as they are kept. Null for a cluster without a pair or a background, and where pairs times
+    the spread of the background exceed the grid of 2^23 places. Mass 2 has its pair's own p-value, as in :func:`cluster_significance`.
+    """
+    ship(observed.sparkSession)
+    arrays = background.groupBy("cluster").agg(F.collect_list("distance").alias("background"))
+    rows = observed.filter("n_pairs >= 1").select("cluster", "n_pairs", "distance_sum").join(arrays, "cluster")
+    p = rows.groupBy("cluster").applyInPandas(_exact, f"cluster {observed.schema['cluster'].dataType.simpleString()}, p_value double")
+    if "pair_p" not in observed.columns:
+        return observed.select("cluster").join(p, "cluster", "left")
+    met = observed.select("cluster", "mass", "pair_p").join(p, "cluster", "left")
+    return met.select("cluster", F.when(F.col("mass") == 2, F.col("pair_p")).otherwise(F.col("p_value")).alias("p_value"))
 
 
 def random_sites(sites: DataFrame, n_per_gene: DataFrame, n_shuffles: int, unique: bool = True, seed: int = 1) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mutprox.functions import columns as C
+from mutprox.operators.ranges import join_ranges
 
 AT = ["pdb", "chain", "residue_no"]
 
@@ -63,11 +64,12 @@ def longest_chain(ranges: DataFrame) -> DataFrame:
 def residue_offsets(residues: DataFrame, ranges: DataFrame) -> DataFrame:
     """The protein and offset of each residue, from the first range that holds it; null without one."""
     r = ranges.select("pdb", "chain", "uniprot", "p_start", "p_stop", "offset_no")
-    met = residues.join(r, (residues["pdb"] == r["pdb"]) & (residues["chain"] == r["chain"]) & F.col("residue_no").between(F.col("p_start"), F.col("p_stop")), "left")
-    return met.groupBy(*[residues[c] for c in residues.columns]).agg(F.min(F.struct("p_start", "p_stop", "uniprot", "offset_no")).alias("m")).select(*residues.columns, "m.uniprot", "m.offset_no")
+    places = residues.select(*AT).distinct()
+    first = join_ranges(places, r, ["pdb", "chain"], "residue_no", "p_start", "p_stop").groupBy(*AT).agg(F.min(F.struct("p_start", "p_stop", "uniprot", "offset_no")).alias("m"))
+    return residues.join(first, AT, "left").select(*residues.columns, "m.uniprot", "m.offset_no")
 
 
-def _near(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+def _near(left: DataFrame, right: DataFrame, reach: float | Column) -> DataFrame:
     """Pairs (columns suffixed 1 and 2) of one structure whose cells touch: the grid keeps work local in large structures.
 
     Only one side is repeated into its 27 neighbouring cells; the join is on (pdb, cell).
@@ -96,15 +98,44 @@ def residue_distances(residues: DataFrame, ranges: DataFrame, max_distance: floa
     return met.filter(apart).select(*side(1), *side(2), d.alias("distance"), F.col("pdb1").alias("pdb")).filter(F.col("distance") <= max_distance)
 
 
+def residue_boxes(atoms: DataFrame, width: float) -> DataFrame:
+    """Boxes around the atoms that a residue has in one cell of a grid: centre ``x, y, z``, half sides ``hx, hy, hz``, half diagonal ``r`` and the atoms, ``pts``.
+
+    A compact residue has a box or a few, a scattered one as many as it has atoms; no box is wider than a cell.
+    """
+    cell = [F.floor(F.col(k) / width).alias(f"__{k}") for k in "xyz"]
+    point = F.struct(*[F.col(k) for k in "xyz"])
+    ends = atoms.groupBy(*AT, *cell).agg(*[f(k).alias(f"{n}{k}") for k in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))], F.collect_list(point).alias("pts"))
+    half = lambda k: (F.col(f"hi{k}") - F.col(f"lo{k}")) / 2
+    diagonal = F.sqrt(sum((half(k) * half(k) for k in "xyz"), F.lit(0.0)))
+    return ends.select(*AT, *[((F.col(f"lo{k}") + F.col(f"hi{k}")) / 2).alias(k) for k in "xyz"], *[half(k).alias(f"h{k}") for k in "xyz"], diagonal.alias("r"), "pts")
+
+
+def near_boxes(atoms: DataFrame, max_distance: float, left: DataFrame | None = None) -> DataFrame:
+    """``pdb, chain1, residue_no1, pts1, chain2, residue_no2, pts2``: boxes of two residues within reach of each other, with their atoms.
+
+    Boxes meet in a grid as wide as the reach and the structure's longest diagonal.
+    """
+    boxes = residue_boxes(atoms, max_distance)
+    wide = boxes.groupBy("pdb").agg((F.max("r") * 2 + max_distance + 1e-6).alias("__reach"))
+    boxes = boxes.join(wide, "pdb")
+    one = boxes if left is None else boxes.join(left.select(*AT).distinct(), AT, "left_semi")
+    met = _near(one, boxes, F.col("__reach"))
+    gap = lambda k: F.greatest(F.lit(0.0), F.abs(F.col(f"{k}1") - F.col(f"{k}2")) - F.col(f"h{k}1") - F.col(f"h{k}2"))
+    end = lambda n: F.struct(F.col(f"chain{n}").alias("c"), F.col(f"residue_no{n}").alias("r"))
+    met = met.filter(end(1) < end(2) if left is None else end(1) != end(2)).filter(sum((gap(k) * gap(k) for k in "xyz"), F.lit(0.0)) <= (max_distance + 1e-3) ** 2)
+    return met.select(F.col("pdb1").alias("pdb"), "chain1", "residue_no1", "pts1", "chain2", "residue_no2", "pts2")
+
+
 def shortest_residue_distances(atoms: DataFrame, max_distance: float = 10.0, left: DataFrame | None = None) -> DataFrame:
-    """Smallest atom-to-atom distance of each pair of residues within reach, once for each unordered pair unless ``left`` names one side."""
-    cols = [*AT, "residue_name", "x", "y", "z"]
-    a = atoms.select(*cols) if left is None else atoms.join(left.select(*AT).distinct(), AT, "left_semi").select(*cols)
-    met = _near(a, atoms.select(*cols), max_distance)
-    one, two = (F.struct(f"chain{n}", f"residue_no{n}") for n in (1, 2))
-    met = met.filter(F.struct(F.col("chain1").alias("c"), F.col("residue_no1").alias("r")) < F.struct(F.col("chain2").alias("c"), F.col("residue_no2").alias("r"))) if left is None else met.filter(~((F.col("chain1") == F.col("chain2")) & (F.col("residue_no1") == F.col("residue_no2"))))
-    d = C.euclidean(*[F.col(f"{k}{n}") for n in (1, 2) for k in "xyz"])
-    return met.groupBy(F.col("pdb1").alias("pdb"), "chain1", "residue_no1", "chain2", "residue_no2").agg(F.min(d).alias("distance")).filter(F.col("distance") <= max_distance)
+    """Smallest atom-to-atom distance of each pair of residues within reach, once for each unordered pair unless ``left`` names one side.
+
+    Atoms are paired only where the boxes around them are within reach, inside the row of the two boxes.
+    """
+    d = lambda p, q: C.euclidean(*[p[k] for k in "xyz"], *[q[k] for k in "xyz"])
+    nearest = F.array_min(F.transform("pts1", lambda p: F.array_min(F.transform("pts2", lambda q: d(p, q)))))
+    met = near_boxes(atoms, max_distance, left).select("pdb", "chain1", "residue_no1", "chain2", "residue_no2", nearest.alias("d")).filter(F.col("d") <= max_distance)
+    return met.groupBy("pdb", "chain1", "residue_no1", "chain2", "residue_no2").agg(F.min("d").alias("distance"))
 
 
 def residues_near(wanted: DataFrame, atoms: DataFrame, distance: float) -> DataFrame:

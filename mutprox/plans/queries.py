@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mutprox.functions import columns as C
@@ -511,6 +512,59 @@ def membership_probability(spark: SparkSession, d: str) -> DataFrame:
     return density.membership_probability(n.order, density.density_clusters(n.order.filter("run = 0")))
 
 
+@job()
+def probable_clusters(spark: SparkSession, d: str) -> DataFrame:
+    n = Density(spark, d, runs=10)
+    found = density.membership_probability(n.order, density.density_clusters(n.order.filter("run = 0")))
+    return density.probable_clusters(found, graph.same_site_pairs(Steps(spark, d).weights()), 70.0)
+
+
+@job("""WITH p AS (SELECT gene AS component, CAST(position % 3 AS INT) AS super_id, CAST(position % 2 AS INT) AS level, CAST(1 AS INT) AS sub_id, gene || ':' || position AS key, count(*) AS hits, CAST(20 AS BIGINT) AS runs FROM sites GROUP BY gene, position),
+kept AS (SELECT * FROM p WHERE hits * 100 >= runs * 60), twin AS (SELECT DISTINCT gene || ':' || position AS key, gene || ':' || (position + 1) AS other FROM sites), pairs2 AS (SELECT key, other FROM twin UNION SELECT other, key FROM twin)
+SELECT component, super_id, level, sub_id, key FROM kept UNION SELECT component, super_id, level, sub_id, other FROM kept JOIN pairs2 USING (key)""", "sites")
+def probable_members(spark: SparkSession, d: str) -> DataFrame:
+    """The cut at a probability over counts that SQL can build: places listed often enough, and the place behind or before each."""
+    s = view(spark, d, "sites")
+    at = F.col("position")
+    p = s.groupBy("gene", "position").agg(F.count(F.lit(1)).alias("hits")).select(
+        F.col("gene").alias("component"), F.pmod(at, F.lit(3)).alias("super_id"), F.pmod(at, F.lit(2)).alias("level"), F.lit(1).alias("sub_id"),
+        F.concat_ws(":", "gene", "position").alias("key"), "hits", F.lit(20).cast("long").alias("runs"),
+    )
+    twin = s.select(F.concat_ws(":", "gene", "position").alias("key1"), F.concat_ws(":", F.col("gene"), at + 1).alias("key2")).distinct()
+    return density.probable_clusters(p, twin, 60.0)
+
+
+_BARS = """bars AS (SELECT structure, n - 1 AS ord, CASE WHEN n = 1 OR k % 23 = 0 THEN CAST(10 AS DOUBLE) ELSE 7 + CAST(CAST(floor(price) AS BIGINT) % 25 AS DOUBLE) / 10 END AS rd, CAST(CASE WHEN k % 5 = 0 THEN 4 ELSE 1 END AS DOUBLE) AS weight
+FROM (SELECT 's' || CAST(o_custkey % 40 AS STRING) AS structure, o_orderkey AS k, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS n FROM {orders}))"""
+
+
+@job(f"""WITH RECURSIVE {_BARS.format(orders="orders")}, parted AS (SELECT *, sum(CASE WHEN rd >= 10 THEN 1 ELSE 0 END) OVER (PARTITION BY structure ORDER BY ord) AS part FROM bars),
+sup AS (SELECT *, CAST(row_number() OVER (PARTITION BY structure ORDER BY s) - 1 AS INT) AS super_id FROM (SELECT structure, part, min(ord) AS s, max(ord) AS e, count(*) AS n, coalesce(min(rd) FILTER (rd < 10), 10) AS low,
+  arg_max(rd, ord) AS top, sum(weight) AS total, coalesce(sum(rd) FILTER (rd < 10), 0) AS total_rd FROM parted GROUP BY structure, part HAVING sum(weight) >= 4)),
+cuts AS (SELECT sup.*, i, low + i * CAST(0.1 AS DOUBLE) AS cut_at FROM sup, range(0, 60) r(i) WHERE low + i * CAST(0.1 AS DOUBLE) <= (CASE WHEN n >= 3 THEN top ELSE 10 END) + 0.5),
+below AS (SELECT structure, super_id, i, cut_at, ord, rd, weight, sum(CASE WHEN rd >= cut_at OR ord = s THEN 1 ELSE 0 END) OVER (PARTITION BY structure, super_id, i ORDER BY ord) AS k FROM cuts JOIN parted USING (structure, part)),
+t AS MATERIALIZED (SELECT structure, super_id, i, cut_at, min(ord) AS first, max(ord) AS last, CASE WHEN count(*) = 1 THEN 0.1 ELSE (sum(rd * weight) - arg_min(rd * weight, ord)) / (sum(weight) - arg_min(weight, ord)) END AS density
+  FROM below GROUP BY structure, super_id, i, cut_at, k HAVING sum(weight) >= 4 AND (count(*) > 1 OR i = 0)),
+n AS MATERIALIZED (SELECT structure, super_id, i, count(*) AS n, count(*) FILTER (last > first) AS wide FROM t GROUP BY ALL),
+held AS (SELECT x.structure, x.super_id, y.i AS cur, x.i AS nxt, x.first, any_value(x.last - x.first) AS len, min(y.last - y.first) AS inner_len FROM t x JOIN t y ON x.structure = y.structure AND x.super_id = y.super_id AND y.i < x.i
+  AND y.last > y.first AND x.last > x.first AND y.first >= x.first AND y.last <= x.last GROUP BY ALL),
+h AS (SELECT structure, super_id, cur, nxt, count(*) AS holding, bool_or(len >= 2 * inner_len) AS grown FROM held GROUP BY ALL),
+nxt AS MATERIALIZED (SELECT a.structure, a.super_id, a.i AS cur, min(b.i) AS i FROM n a JOIN n b ON a.structure = b.structure AND a.super_id = b.super_id AND b.i > a.i LEFT JOIN h ON h.structure = a.structure AND h.super_id = a.super_id AND h.cur = a.i AND h.nxt = b.i
+  WHERE a.n <> b.n OR (a.wide > 0 AND (coalesce(h.grown, false) OR b.wide > coalesce(h.holding, 0))) GROUP BY ALL),
+lev(structure, super_id, i, level) AS (SELECT structure, super_id, min(i), 1 FROM n GROUP BY 1, 2 UNION ALL SELECT lev.structure, lev.super_id, nxt.i, level + 1 FROM lev JOIN nxt ON nxt.structure = lev.structure AND nxt.super_id = lev.super_id AND nxt.cur = lev.i),
+found AS MATERIALIZED (SELECT t.*, level, CAST(row_number() OVER (PARTITION BY structure, super_id, level ORDER BY first) AS INT) AS sub_id FROM t JOIN lev USING (structure, super_id, i)),
+under AS (SELECT f.structure, f.super_id, f.level, f.sub_id, string_agg(g.super_id || '.' || g.level || '.' || g.sub_id, ':' ORDER BY g.sub_id) AS ids FROM found f JOIN found g ON g.structure = f.structure AND g.super_id = f.super_id AND g.level = f.level - 1
+  AND g.first >= f.first AND g.last <= f.last GROUP BY ALL)
+SELECT structure, super_id, level, sub_id, first, last, round(cut_at, 6) AS cut, round(density, 9) AS density, CASE WHEN level = 1 THEN '1' ELSE coalesce(ids, '2') END AS covering FROM found LEFT JOIN under USING (structure, super_id, level, sub_id)
+UNION ALL SELECT structure, super_id, 0, 0, s, e, 9.9, round(CASE WHEN total_rd = 0 THEN 0.1 ELSE total_rd / total END, 9), '0' FROM sup""")
+def density_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Nested levels of orders that SQL can build and cut: prices as bars."""
+    bars = spark.sql(f"WITH {_BARS} SELECT * FROM bars", orders=spark.read.parquet(f"{d}/orders.parquet"))
+    order = bars.select("structure", F.lit(0).alias("run"), F.lit("c").alias("component"), F.col("ord").cast("long").alias("ord"), F.col("ord").cast("string").alias("key"), "rd", F.col("rd").alias("cd"), "weight")
+    found = density.density_clusters(order)
+    return found.select("structure", "super_id", "level", "sub_id", "first", "last", F.round("cut", 6).alias("cut"), F.round("density", 9).alias("density"), "covering")
+
+
 # --- statistics --------------------------------------------------------------------------------------------------
 
 
@@ -527,14 +581,14 @@ _MEMBERS = "m AS (SELECT gene AS cluster, gene, aa_change AS mutation, CAST(coun
 
 
 @job(f"""WITH {_MEMBERS}, best AS (SELECT gene1 AS cluster, min(i.pdb) AS pdb FROM p GROUP BY 1), t AS (SELECT cluster, CAST(sum(floor(weight)) AS BIGINT) AS mass FROM m GROUP BY 1),
-s AS (SELECT m1.cluster, sum(m1.weight * m2.weight * i.distance) AS d FROM p JOIN m m1 ON m1.gene = gene1 AND m1.mutation = mutation1 JOIN m m2 ON m2.gene = gene2 AND m2.mutation = mutation2 AND m1.cluster = m2.cluster JOIN best b ON b.cluster = m1.cluster AND b.pdb = i.pdb GROUP BY 1)
-SELECT cluster, round(coalesce(d, 0), 4) AS distance_sum, mass, mass * (mass - 1) / 2 AS n_pairs FROM t LEFT JOIN s USING (cluster)""", "maf", "pairs")
+s AS (SELECT m1.cluster, sum(m1.weight * m2.weight * i.distance) AS d, round(min({{'d': i.distance, 'p': i.p_value}}).p, 6) AS pair_p FROM p JOIN m m1 ON m1.gene = gene1 AND m1.mutation = mutation1 JOIN m m2 ON m2.gene = gene2 AND m2.mutation = mutation2 AND m1.cluster = m2.cluster JOIN best b ON b.cluster = m1.cluster AND b.pdb = i.pdb GROUP BY 1)
+SELECT cluster, round(coalesce(d, 0), 4) AS distance_sum, mass, mass * (mass - 1) / 2 AS n_pairs, pair_p FROM t LEFT JOIN s USING (cluster)""", "maf", "pairs")
 def within_cluster_distance(spark: SparkSession, d: str) -> DataFrame:
     s = Steps(spark, d)
     m = _gene_clusters(s)
     pairs = cut(_pair_rows(s))
     best = pairs.select(F.col("gene1").alias("cluster"), F.explode("info.pdb").alias("pdb")).groupBy("cluster").agg(F.min("pdb").alias("pdb"))
-    return stats.within_cluster_distance(m, pairs, best).withColumn("distance_sum", F.round("distance_sum", 4))
+    return stats.within_cluster_distance(m, pairs, best).withColumn("distance_sum", F.round("distance_sum", 4)).withColumn("pair_p", F.round("pair_p", 6))
 
 
 @job("""WITH r AS (SELECT uniprot1 AS cluster, CASE WHEN (chain1, pos1) <= (chain2, pos2) THEN chain1 || ':' || pos1 || '/' || chain2 || ':' || pos2 ELSE chain2 || ':' || pos2 || '/' || chain1 || ':' || pos1 END AS k, chain1, pos1, distance FROM prox p WHERE uniprot1 = uniprot2 AND pdb = (SELECT min(pdb) FROM prox q WHERE q.uniprot1 = p.uniprot1))
@@ -546,13 +600,32 @@ def background_distances(spark: SparkSession, d: str) -> DataFrame:
     return stats.background_distances(prox, proteins, best).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("distance"), 4).alias("total"))
 
 
+def _tested(s: Steps) -> tuple[DataFrame, DataFrame]:
+    """Observed and background distances of genes as clusters."""
+    prox = s.once("prox", s.prox)
+    of = F.concat(F.lit("G"), F.substring("uniprot1", 2, 9)).alias("cluster")
+    proteins = prox.select(of, F.col("uniprot1").alias("uniprot"), F.lit(True).alias("is_first")).distinct()
+    best = prox.groupBy(of).agg(F.min("pdb").alias("pdb"))
+    return stats.within_cluster_distance(_gene_clusters(s), _pair_rows(s), best), stats.background_distances(prox, proteins, best)
+
+
 @job()
 def cluster_significance(spark: SparkSession, d: str) -> DataFrame:
+    return stats.cluster_significance(*_tested(Steps(spark, d)))
+
+
+@job()
+def site_significance(spark: SparkSession, d: str) -> DataFrame:
+    """Simulated and exact p-values of six pairs a gene against all pairs within their reach: none lies so far out that nothing is drawn."""
     s = Steps(spark, d)
-    prox = cut(s.prox())
-    proteins = prox.select(F.concat(F.lit("G"), F.substring("uniprot1", 2, 9)).alias("cluster"), F.col("uniprot1").alias("uniprot"), F.lit(True).alias("is_first")).distinct()
-    best = prox.groupBy(F.concat(F.lit("G"), F.substring("uniprot1", 2, 9)).alias("cluster")).agg(F.min("pdb").alias("pdb"))
-    return stats.cluster_significance(stats.within_cluster_distance(_gene_clusters(s), _pair_rows(s), best), stats.background_distances(prox, proteins, best))
+    _, background = _tested(s)
+    background = cut(background.filter("distance <= 20"))
+    pairs = _pair_rows(s).filter("gene1 = gene2").select(F.col("gene1").alias("cluster"), "mutation1", "mutation2", F.explode("info").alias("x"))
+    nth = F.row_number().over(W.partitionBy("cluster").orderBy("x.pdb", "mutation1", "mutation2", "x.distance"))
+    six = pairs.withColumn("k", nth).filter("k <= 6").groupBy("cluster").agg(F.sum("x.distance").alias("distance_sum"), F.count(F.lit(1)).cast("double").alias("n_pairs"))
+    observed = cut(six.withColumn("mass", F.lit(4)))
+    exact = stats.exact_significance(observed, background).withColumnRenamed("p_value", "exact_p")
+    return stats.cluster_significance(observed, background, 100_000).join(exact, "cluster").select("cluster", "n_sims", F.round("exact_p", 6).alias("exact_p"), F.abs(F.col("p_value") - F.col("exact_p")).alias("apart"))
 
 
 @job()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mutprox.functions import columns as C
-from mutprox.operators import annotate, density, filters, genes, graph, report, search, stats, structures
+from mutprox.operators import annotate, density, filters, genes, graph, refresh, report, search, stats, structures
 from mutprox.plans.queries import _MEMBERS, _PE, INFO, Steps, _gene_clusters, _located, info_text, job
 from mutprox.plans.views import thousandth, view
 from mutprox.session import new_path
@@ -362,3 +362,25 @@ def islands_along_chains(spark: SparkSession, d: str) -> DataFrame:
     at = (F.ascii("chain") - F.ascii(F.lit("A"))) * 25 + F.col("residue_no") - 1
     order = Steps(spark, d).residues().select(F.col("pdb").alias("structure"), F.lit(0).alias("run"), at.cast("long").alias("ord"), F.abs("x").alias("rd"), F.lit(1.0).alias("weight"))
     return density.reachability_islands(order, 15.0)
+
+
+@job("SELECT uniprot1, chain1, pos1, uniprot2, chain2, pos2, pdb, round(distance, 6) AS distance, round(p_value, 6) AS p_value FROM prox_p", "prox_p")
+def refreshed_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All structures but two are stored, the two are added, and only the proteins that have them are worked out again."""
+    s = Steps(spark, d)
+    chains, residues = s.view("chains"), s.residues()
+    late = F.col("pdb").isin("P0001", "P0003")
+    path = new_path(spark, "pairs")
+    refresh.store(refresh.pairs_of(residues.filter(~late), chains.filter(~late)), path)
+    current, previous = chains.select("uniprot", "pdb").distinct(), chains.filter(~late).select("uniprot", "pdb").distinct()
+    changed = genes.proteins_to_refresh(current, previous, previous.select("uniprot"))
+    found = refresh.refresh(path, residues, chains, changed)
+    return found.select("uniprot1", "chain1", "pos1", "uniprot2", "chain2", "pos2", "pdb", F.round("distance", 6).alias("distance"), F.round("p_value", 6).alias("p_value"))
+
+
+@job("SELECT gene, aa_change, start_pos, count(*) AS n_pairs, count(DISTINCT {'u': uniprot2, 'c': chain2, 'p': pos2}) AS n_others FROM near JOIN mut ON mut.uniprot = uniprot1 AND mut.u_pos = at1 GROUP BY ALL", "near", "mut")
+def bucketed_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Mutations joined to prioritised pairs that are stored in buckets by the place of their first end."""
+    s = Steps(spark, d)
+    stored = readers.write_bucketed(search.ready(s.prior()), ("uniprot1", "at1"))
+    return search.hits_at(s.mutations(), stored).groupBy("gene", "aa_change", "start_pos").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("uniprot2", "chain2", "pos2").alias("n_others"))

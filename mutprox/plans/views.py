@@ -143,6 +143,8 @@ def oracle(body: str, *names: str) -> str:
     for n in names:
         add(n)
     parts = [f"{n} AS {'MATERIALIZED ' if n in STEPS else ''}({STEPS[n] if n in STEPS else _element(VIEWS[n], False)})" for n in order]
+    if not parts:
+        return body
     inner = re.match(r"\s*WITH (RECURSIVE )?", body)
     if inner:
         return f"WITH {'RECURSIVE ' if inner[1] else ''}" + ",\n".join(parts) + ",\n" + body[inner.end() :]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mutprox.functions import columns as C
-from mutprox.session import cut
+from mutprox.session import cut, new_path
 
 #: Required headers of the text formats and the names used here.
 MAF = {
@@ -224,6 +226,20 @@ def write_table(df: DataFrame, path: str, format: str = "parquet", partition_by:
     df.select(*flat).write.partitionBy(*partition_by).options(sep="\t", header="true", nullValue="N/A", emptyValue="").csv(path)
 
 
+def write_bucketed(df: DataFrame, by: tuple[str, ...], name: str = "bucketed", buckets: int | None = None, path: str | None = None) -> DataFrame:
+    """``df`` as a table of its own in buckets by the hash of ``by``, sorted inside: joins and groups on ``by`` read it without a shuffle.
+
+    There are as many buckets as shuffle partitions unless told otherwise, with one file each. The table is external: its
+    files lie under ``path``, or in the shared folder.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = path or new_path(spark, name)
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def save_graph(vertices: DataFrame, edges: DataFrame, same_site: DataFrame, path: str) -> None:
     for name, df in (("vertices", vertices), ("edges", edges), ("same_site", same_site)):
         df.write.parquet(f"{path}/{name}")
