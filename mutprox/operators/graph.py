@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from mutprox.functions import columns as C
 from mutprox.operators.components import connected_components
 from mutprox.operators.filters import within_cutoff
 from mutprox.operators.scan import running
-from mutprox.session import cut, drop_cut, ship
+from mutprox.session import cut, drop_cut
 
 
 def mutation_weights(maf: DataFrame, vertex_type: str = "recurrence") -> DataFrame:
@@ -59,28 +58,36 @@ def same_site_pairs(weights: DataFrame) -> DataFrame:
     return at.withColumnRenamed("mutation_key", "key1").join(b, ["transcript", "pos"]).filter("key1 < key2").select("key1", "key2").distinct()
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    near: dict[str, set[str]] = {}
-    for a, b in zip(rows["key1"], rows["key2"]):
-        near.setdefault(a, set())
-        if b is not None:
-            near[a].add(b)
-            near.setdefault(b, set()).add(a)
-    onto: dict[str, str] = {}
-    for k in sorted(near):
-        if k not in onto:
-            onto[k] = k
-            for other in near[k]:
-                onto.setdefault(other, k)
-    return pd.DataFrame({"gene": rows["gene"].iloc[0], "mutation_key": list(onto), "survivor": list(onto.values())})
+def greedy_cover(ranks: DataFrame, near: DataFrame, by: list[str]) -> DataFrame:
+    """``*by, head, key``: in order of rank each vertex not yet taken is a head and takes all that are near it and left, itself too.
+
+    ``ranks``: by, key, rank (smallest first, no two alike in a group); ``near``: by, better, rank1, key, both ways or with the better
+    end first. The search is done in rounds: a vertex is a head once none of the better ones near it is left to decide and none
+    is a head; it is taken as soon as one of them is. The best of these has it, whatever the order of the rounds.
+    """
+    at = [*by, "key"]
+    mine = ranks.select(*at, F.col("rank").alias("rank2"))
+    near = cut(near.select(*by, "better", "rank1", "key").join(mine, at).filter("rank1 < rank2").drop("rank2"))
+    state = cut(ranks.select(*at, F.lit(None).cast("boolean").alias("head")))  # null: to be decided
+    while not state.filter("head is null").isEmpty():
+        seen = state.select(*by, F.col("key").alias("better"), F.col("head").alias("h"))
+        todo = near.join(state.filter("head is null").select(*at), at, "left_semi").join(seen, [*by, "better"])
+        told = todo.groupBy(*at).agg(F.bool_or(F.coalesce("h", F.lit(False))).alias("taken"), F.bool_or(F.col("h").isNull()).alias("waits"))
+        now = F.when(F.col("head").isNotNull(), F.col("head")).when(F.col("taken"), False).when(F.col("waits"), F.lit(None)).otherwise(True)
+        last, state = state, cut(state.join(told, at, "left").select(*at, now.alias("head")))
+        drop_cut(last)
+    heads = state.filter("head").select(*at)
+    taken = near.join(heads.withColumnRenamed("key", "better"), [*by, "better"]).groupBy(*at).agg(F.min_by("better", "rank1").alias("head"))
+    return cut(heads.select(*by, F.col("key").alias("head"), "key").unionByName(taken.select(*by, "head", "key")))
 
 
 def site_survivors(weights: DataFrame) -> DataFrame:
-    """``gene, mutation_key, survivor``: keys in order, each not yet taken takes all keys of its site. Same site is not transitive, so this runs gene by gene."""
-    ship(weights.sparkSession)
-    keys = weights.select("gene", F.col("mutation_key").alias("key1")).distinct()
-    links = keys.join(same_site_pairs(weights), "key1", "left").select("gene", "key1", "key2")
-    return links.groupBy("gene").applyInPandas(_greedy, "gene string, mutation_key string, survivor string")
+    """``gene, mutation_key, survivor``: keys of a gene in order, each not yet taken takes all keys of its site. Same site is not transitive."""
+    keys = cut(weights.select("gene", F.col("mutation_key").alias("key")).distinct())
+    pairs = same_site_pairs(weights)  # key1 < key2
+    near = pairs.join(keys.select("gene", F.col("key").alias("key1")), "key1").join(keys.select("gene", F.col("key").alias("key2")), ["gene", "key2"])
+    near = near.select("gene", F.col("key1").alias("better"), F.col("key1").alias("rank1"), F.col("key2").alias("key"))
+    return greedy_cover(keys.withColumn("rank", F.col("key")), near, ["gene"]).select("gene", F.col("key").alias("mutation_key"), F.col("head").alias("survivor"))
 
 
 def representative_sites(weights: DataFrame, vertex_type: str = "site") -> DataFrame:
@@ -160,34 +167,20 @@ def radius_clusters(scores: DataFrame, geo: DataFrame, max_radius: float = 10.0)
     Ties of score go to the smallest key. The first centroid that finds no other vertex is given out as a cluster of its
     own and ends the search: what is left behind it belongs to no cluster. ``geo`` needs the paths up to the radius.
 
-    The search is done in rounds. A vertex is a centroid once none of the better ones within its radius is left to decide
-    and none is a centroid; it is taken as soon as one of them is. The best of these has it, whatever the order of the rounds.
+    The search itself is :func:`greedy_cover`.
     """
-    at = ["structure", "super_id", "key"]
+    by = ["structure", "super_id"]
     # rank: best first, so the smallest
-    ranks = cut(scores.groupBy(*at).agg(F.struct((-F.round(F.max(F.abs("score")), 9)).alias("s"), F.col("key").alias("k")).alias("rank")))
-    other = lambda n: ranks.select("structure", "super_id", F.col("key").alias(f"key{n}"), F.col("rank").alias(f"rank{n}"))
-    near = geo.filter((F.col("geodesic") <= max_radius) & (F.col("key1") != F.col("key2"))).select("structure", "super_id", "key1", "key2", "geodesic")
-    near = near.join(other(1), ["structure", "super_id", "key1"]).join(other(2), ["structure", "super_id", "key2"]).filter("rank1 < rank2")
-    near = cut(near.select("structure", "super_id", F.col("key1").alias("better"), "rank1", F.col("key2").alias("key"), "geodesic"))
-    state = cut(ranks.select(*at, F.lit(None).cast("boolean").alias("centroid")))  # null: to be decided
-    while not state.filter("centroid is null").isEmpty():
-        seen = state.select("structure", "super_id", F.col("key").alias("better"), F.col("centroid").alias("c"))
-        todo = near.join(state.filter("centroid is null").select(*at), at, "left_semi").join(seen, ["structure", "super_id", "better"])
-        told = todo.groupBy(*at).agg(F.bool_or(F.coalesce("c", F.lit(False))).alias("taken"), F.bool_or(F.col("c").isNull()).alias("waits"))
-        now = F.when(F.col("centroid").isNotNull(), F.col("centroid")).when(F.col("taken"), False).when(F.col("waits"), F.lit(None)).otherwise(True)
-        last, state = state, cut(state.join(told, at, "left").select(*at, now.alias("centroid")))
-        drop_cut(last)
-    heads = state.filter("centroid").select(*at)
-    mine = near.join(heads.withColumnRenamed("key", "better"), ["structure", "super_id", "better"]).groupBy(*at).agg(F.min(F.struct("rank1", "better", "geodesic")).alias("m"))
-    members = mine.select("structure", "super_id", F.col("m.better").alias("centroid"), "key", "m.geodesic")
-    own = heads.select("structure", "super_id", F.col("key").alias("centroid"), "key", F.lit(0.0).alias("geodesic"))
-    members = cut(own.unionByName(members))
-    found = members.groupBy("structure", "super_id", "centroid").agg(F.count(F.lit(1)).alias("n")).join(ranks.withColumnRenamed("key", "centroid"), ["structure", "super_id", "centroid"])
-    ends = found.filter("n = 1").groupBy("structure", "super_id").agg(F.min("rank").alias("end"))
-    kept = found.join(ends, ["structure", "super_id"], "left").filter("end is null or rank <= end").select("structure", "super_id", "centroid", "rank")
-    numbered = running(kept, ["structure", "super_id"], ["rank"], number="sub_id").select("structure", "super_id", F.col("sub_id").cast("int").alias("sub_id"), "centroid")
-    return numbered.join(members, ["structure", "super_id", "centroid"]).select("structure", "super_id", "sub_id", "centroid", "key", "geodesic")
+    ranks = cut(scores.groupBy(*by, "key").agg(F.struct((-F.round(F.max(F.abs("score")), 9)).alias("s"), F.col("key").alias("k")).alias("rank")))
+    ball = cut(geo.filter((F.col("geodesic") <= max_radius) & (F.col("key1") != F.col("key2"))).select(*by, F.col("key1").alias("better"), F.col("key2").alias("key"), "geodesic"))
+    near = ball.join(ranks.select(*by, F.col("key").alias("better"), F.col("rank").alias("rank1")), [*by, "better"])
+    members = greedy_cover(ranks, near, by).withColumnRenamed("head", "centroid")
+    found = members.groupBy(*by, "centroid").agg(F.count(F.lit(1)).alias("n")).join(ranks.withColumnRenamed("key", "centroid"), [*by, "centroid"])
+    ends = found.filter("n = 1").groupBy(*by).agg(F.min("rank").alias("end"))
+    kept = found.join(ends, by, "left").filter("end is null or rank <= end").select(*by, "centroid", "rank")
+    numbered = running(kept, by, ["rank"], number="sub_id").select(*by, F.col("sub_id").cast("int").alias("sub_id"), "centroid")
+    far = members.join(ball.withColumnRenamed("better", "centroid"), [*by, "centroid", "key"], "left").select(*by, "centroid", "key", F.coalesce("geodesic", F.lit(0.0)).alias("geodesic"))
+    return numbered.join(far, [*by, "centroid"]).select(*by, "sub_id", "centroid", "key", "geodesic")
 
 
 def degree(geo: DataFrame, verts: DataFrame, cutoff: float = 10.0) -> DataFrame:

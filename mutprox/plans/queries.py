@@ -179,6 +179,14 @@ def longest_chain(spark: SparkSession, d: str) -> DataFrame:
     return structures.longest_chain(view(spark, d, "chains")).select("pdb", "uniprot", "chain", F.col("span").cast("int").alias("span"))
 
 
+@job("""WITH c AS (SELECT pdb, uniprot, chain, min(p_start) AS a, max(p_stop + (ascii(chain) * 7 + CAST(substr(pdb, 2, 4) AS INT)) % 5) AS b FROM chains GROUP BY 1, 2, 3)
+SELECT pdb, uniprot, arg_min(chain, {'s': -(b - a + 1), 'c': chain}) AS chain, max(b - a + 1) AS span FROM c GROUP BY 1, 2""", "chains")
+def longest_chain_of_many(spark: SparkSession, d: str) -> DataFrame:
+    """Chains whose spans differ, so that length decides before the name does."""
+    longer = F.col("p_stop") + F.pmod(F.ascii("chain") * 7 + F.substring("pdb", 2, 4).cast("int"), F.lit(5))
+    return structures.longest_chain(view(spark, d, "chains").withColumn("p_stop", longer))
+
+
 @job("SELECT pdb, chain, residue_no, uniprot, offset_no FROM placed", "placed")
 def residue_offsets(spark: SparkSession, d: str) -> DataFrame:
     s = Steps(spark, d)
@@ -251,6 +259,19 @@ def mutation_features(spark: SparkSession, d: str) -> DataFrame:
     return search.mutation_features(s.mutations(), s.prior(), "feature").withColumn("info", info_text())
 
 
+_OFTEN = """often AS (SELECT gene, chromosome, start_pos, stop_pos, aa_change, transcript FROM maf WHERE regexp_matches(classification, 'Missense|In_Frame') GROUP BY ALL HAVING count(*) >= 10),
+kept AS (SELECT mut.* FROM mut JOIN often USING (gene, chromosome, start_pos, stop_pos, aa_change, transcript))"""
+
+
+@job("WITH " + _OFTEN + ", " + "found AS (" + _one_end("feature").replace("JOIN mut m", "JOIN kept m").replace("FROM mut ", "FROM kept ") + ") SELECT * FROM found", "hits", "mut", "maf")
+def recurrent_mutation_features(spark: SparkSession, d: str) -> DataFrame:
+    """Calls that recur ten times, next to features at places without such calls."""
+    s = Steps(spark, d)
+    key = ["gene", "chromosome", "start_pos", "stop_pos", "aa_change", "transcript"]
+    often = filters.search_mutations(s.view("maf")).groupBy(*key).count().filter("count >= 10").select(*key)
+    return search.mutation_features(s.mutations().join(often, key, "left_semi"), s.prior(), "feature").withColumn("info", info_text())
+
+
 @job(_one_end("cosmic"), "hits", "mut")
 def mutation_cosmic(spark: SparkSession, d: str) -> DataFrame:
     s = Steps(spark, d)
@@ -336,12 +357,26 @@ def pair_shortest_distance(spark: SparkSession, d: str) -> DataFrame:
     return graph.pair_distance(Steps(spark, d).links(), "shortest", structure_dependent=True, max_distance=10.0, max_p=0.04).withColumn("distance", F.round("distance", 6))
 
 
+@job("SELECT 'any' AS structure, key1, key2, round(min(info[1].distance), 6) AS distance FROM links WHERE info[1].distance < 10 GROUP BY key1, key2", "links")
+def pair_first_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Shortest distances where structures do not matter: the first info of a row alone counts."""
+    return graph.pair_distance(Steps(spark, d).links(), "shortest", max_distance=10.0).withColumn("distance", F.round("distance", 6))
+
+
 @job("WITH p AS (SELECT DISTINCT mutation_key, split_part(protein_key, ':', 1) AS t, regexp_extract(protein_key, 'p\\.\\D\\D*(\\d+)', 1) AS pos FROM weights) SELECT DISTINCT a.mutation_key AS key1, b.mutation_key AS key2 FROM p a JOIN p b ON a.t = b.t AND a.pos = b.pos AND a.mutation_key < b.mutation_key", "weights")
 def same_site_pairs(spark: SparkSession, d: str) -> DataFrame:
     return graph.same_site_pairs(Steps(spark, d).weights())
 
 
-@job()
+@job("""WITH RECURSIVE place AS (SELECT DISTINCT gene, mutation_key AS key, split_part(protein_key, ':', 1) AS t, regexp_extract(protein_key, 'p\\.\\D\\D*(\\d+)', 1) AS pos FROM weights), site AS (SELECT DISTINCT gene, key FROM place),
+twin AS (SELECT DISTINCT p.gene, p.key, q.key AS other FROM place p JOIN place q ON p.gene = q.gene AND p.t = q.t AND p.pos = q.pos AND p.pos <> '' UNION SELECT gene, key, key FROM site),
+hold AS MATERIALIZED (SELECT gene, key, list(other) AS keys FROM twin GROUP BY 1, 2),
+walk(gene, step, head, members, rest) AS (SELECT gene, 0, CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]), list(key ORDER BY key) FROM site GROUP BY gene UNION ALL
+  SELECT walk.gene, step + 1, rest[1], list_filter(rest, lambda x: list_contains(keys, x)), list_filter(rest, lambda x: NOT list_contains(keys, x)) FROM walk JOIN hold ON hold.gene = walk.gene AND hold.key = rest[1]),
+onto AS (SELECT gene, head AS survivor, unnest(members) AS mutation_key FROM walk WHERE step > 0), met AS (SELECT * FROM weights JOIN onto USING (gene, mutation_key)),
+own AS (SELECT gene, survivor, max({'w': weight, 'r': ref_alt, 'p': protein_key}) AS m FROM met WHERE mutation_key = survivor GROUP BY 1, 2),
+one AS (SELECT gene, survivor, sum(w) AS weight FROM (SELECT gene, survivor, mutation_key, ref_alt, max(weight) AS w FROM met GROUP BY ALL) GROUP BY 1, 2)
+SELECT gene, survivor AS mutation_key, m.r AS ref_alt, m.p AS protein_key, weight FROM own JOIN one USING (gene, survivor)""", "weights")
 def representative_sites(spark: SparkSession, d: str) -> DataFrame:
     return graph.representative_sites(Steps(spark, d).weights(), "density")
 
@@ -644,6 +679,15 @@ def random_weights(spark: SparkSession, d: str) -> DataFrame:
     return stats.random_weights(view(spark, d, "maf")).agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("lo"), F.max("weight").alias("hi"))
 
 
+@job("""WITH p AS (SELECT DISTINCT uniprot, unnest(range(u_start, u_stop + 1)) AS position FROM chains), n AS (SELECT uniprot, count(*) AS n FROM p GROUP BY 1), l AS (SELECT uniprot, CAST(max(u_end) + 10 AS INT) AS length FROM segments GROUP BY 1)
+SELECT uniprot, length, coalesce(n, 0) AS n_covered, round(coalesce(n, 0) / length, 6) AS fraction FROM l LEFT JOIN n USING (uniprot)""", "chains", "segments")
+def protein_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each protein that structures cover."""
+    s = Steps(spark, d)
+    proteins = s.view("segments").groupBy("uniprot").agg((F.max("u_end") + 10).cast("int").alias("length"))
+    return stats.structure_coverage(s.view("chains"), proteins, s.mutations().select("uniprot", F.col("u_pos").alias("position")))[0].withColumn("fraction", F.round("fraction", 6))
+
+
 @job("WITH p AS (SELECT DISTINCT uniprot, pdb, unnest(range(u_start, u_stop + 1)) AS position FROM chains), n AS (SELECT uniprot, position, count(DISTINCT pdb) AS n FROM p GROUP BY 1, 2) SELECT DISTINCT m.uniprot, CAST(m.u_pos AS BIGINT) AS position, coalesce(n, 0) AS depth, coalesce(n, 0) > 0 AS covered FROM mut m LEFT JOIN n ON n.uniprot = m.uniprot AND n.position = m.u_pos", "chains", "mut")
 def variant_coverage(spark: SparkSession, d: str) -> DataFrame:
     s = Steps(spark, d)
