@@ -69,7 +69,9 @@ def render_turn(role: Column, text: Column) -> Column:
 def format_chats(conversations: DataFrame) -> DataFrame:
     """``conv_id, segment, n_turns, text``: the rendered maximal conversations, one row for each block of turn numbers.
 
-    Segments of a conversation are numbered from 0; their texts put together are its rendering. An empty table gives none.
+    Segments of a conversation are numbered from 0; their texts put together are its rendering. Null roles, null texts,
+    repeated turns and ties are as in :func:`placed`; turns without a conversation id are one conversation, turns without a number
+    are a block of their own. Equal conversations stay once, under the smallest id. An empty table gives none.
     """
     turns = placed(conversations)
     stay = maximal(turns).withColumnRenamed("conv_id", "__conv")

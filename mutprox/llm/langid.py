@@ -226,6 +226,8 @@ def identify(docs: DataFrame, how: Training = Training(), id_col: str = "doc_id"
     """``id, held_out, lang_pred, score`` for every row, learned from the rows outside the held-out fold.
 
     Null text and text without a letter give ``und`` with score 0, as does everything where nothing could be learned.
+    Repeated rows are predicted alike and each kept; a null id belongs to the fold that learns. Texts are read to their end,
+    however long. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     net = train(docs, ~held_out(id_col), how, id_col, text_col, lang_col)

@@ -52,7 +52,8 @@ def line_keys(lines: Column) -> Column:
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """``site, n_pages, common``: the keys of each site's boilerplate lines. ``pages``: site, keys as from :func:`line_keys`.
 
-    Without ``copies`` pages of a site with equal lines are one page, in the counts of lines and in the total.
+    Null sites have none; a page without a line counts in its site's total; pages that repeat an id or a text count each. An
+    empty table gives an empty result. Without ``copies`` pages of a site with equal lines are one page, in the counts of lines and in the total.
     """
     sound = pages.filter(F.col("site").isNotNull()).select("site", "keys")
     if not copies:

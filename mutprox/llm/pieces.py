@@ -257,7 +257,11 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
 
 
 def piece_digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256`` for every row: encoded, then decoded, without carrying the ids."""
+    """``id, n_tokens, ids_sha256, decoded_sha256`` for every row: encoded, then decoded, without carrying the ids.
+
+    A null text is empty; an empty text has no ids and decodes to nothing. Rows that repeat and null ids keep a row each; texts of
+    any length are encoded whole. An empty table gives an empty result.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     out = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return _map(docs, [F.col(id_col).alias("id"), F.col(text_col).alias("text")], _digests, model, out).withColumnRenamed("id", id_col)

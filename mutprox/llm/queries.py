@@ -30,36 +30,43 @@ def tokenizer_path(name: str) -> str:
 
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document; null and wordless texts, null ids and repeats as in :func:`simhash.simhash_components`."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
 @query
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document; nulls, ties and repeats as in :func:`suffix.repeat_digest`."""
     return suffix.repeat_digest(table(spark, sf_dir, "documents"))
 
 
 @query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document; see :func:`pieces.piece_digest`."""
     return pieces.piece_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a piece of a document; nulls, repeats and empty tables as in :func:`packing.pack`."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document; see :func:`langid.identify`."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 @query
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a segment of a maximal conversation; see :func:`chat.format_chats`."""
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document; nulls and repeats as in :func:`quality.verdicts`."""
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
@@ -71,6 +78,7 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a page; nulls and repeats as in :func:`lines.page_lines`."""
     return lines.page_lines(table(spark, sf_dir, "pages"))
 
 
@@ -80,11 +88,13 @@ ORACLE_SQL["quality_ablations"] = quality.ABLATIONS
 
 @query
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a vector; broken vectors, null labels and repeats as in :func:`vectors.near_vectors`."""
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 @query
 def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a page of the drill; see :func:`warc.drill`."""
     return warc.drill(table(spark, sf_dir, "pages"))
 
 

@@ -130,7 +130,8 @@ def _up(level: int, inside: int) -> list[Column]:
 def merkle_tree(records: DataFrame, high: tuple[int, int] | None = None) -> list[DataFrame]:
     """Levels of the tree, leaves first: ``f, n, first, last, digest``; first and last are the (file, offset) range covered.
 
-    A file may have any number of records, an archive any number of files. ``high``: as from :func:`heights`.
+    A file may have any number of records, an archive any number of files; records that repeat are leaves of their own, and an
+    empty archive has empty levels. ``high``: as from :func:`heights`.
     """
     inside, above = high or heights(records)
     levels = [_leaf(records)]

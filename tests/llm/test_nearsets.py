@@ -75,3 +75,17 @@ def test_copies_outlive_line_dedup(spark):
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     assert all(got[i] == text for i in range(30)) and all(got[100 + i] == f"own line {i}" for i in range(60))
     assert {r["text"] for r in nearsets.keep_one(out).collect() if r["doc_id"] < 100} == {text}
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    """Texts of 60,000 words, one a near copy of the other and one half as long; columns called like those of the joins."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    copy = list(base)
+    for _ in range(400):
+        copy[rng.randrange(60_000)] = "changed"
+    rows = [(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(base[:30_000])), (4, "x" * 200_000), (5, "x" * 200_000), (6, " " * 100_000)]
+    docs = spark.createDataFrame([(*r, "n", "k", "l", "b") for r in rows], "doc_id long, text string, node string, key string, label string, band string")
+    kept = nearsets.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 6]

@@ -56,3 +56,21 @@ def test_every_id_lies_in_one_place(spark):
     assert got.groupby(["doc_id", "doc_tokens"], dropna=False)["length"].sum().sum() == sum(map(len, want))
     assert 1 - got["length"].sum() / (got["sequence_id"].nunique() * 256) < 0.02
     assert packing.pack(df.limit(0), PATH, text_col="body").count() == 0
+
+
+def test_long_texts_and_clashing_names(spark):
+    """A text of 300,000 tokens fills windows of its own; columns called like those of the result play no part."""
+    rows = [(1, "word " * 300_000), (2, None), (3, ""), (3, "a few words"), (None, "no id")]
+    docs = spark.createDataFrame([(*r, 7, "s", 9, "p") for r in rows], "doc_id long, text string, start long, sequence_id string, length long, piece string")
+    got = packing.pack(docs, PATH).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["length"]))
+    assert sorted(n for _, n in by) == sorted([300_001, 1, 1, 4, 3])
+    for (_, n), parts in by.items():
+        parts = sorted(set(parts))
+        assert parts[0][0] == 0 and all(a + k == b for (a, k), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) == n
+    used = {}
+    for r in got:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sorted(x)[0][0] == 0 and sum(k for _, k in x) <= 4096 for x in used.values())
