@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mutprox.functions import columns as C
 from mutprox.operators import annotate, density, filters, genes, graph, refresh, report, search, stats, structures
-from mutprox.plans.queries import _MEMBERS, _PE, INFO, Steps, _gene_clusters, _located, info_text, job
+from mutprox.plans.queries import _MEMBERS, _PE, INFO, Steps, _drug, _gene_clusters, _located, info_text, job
 from mutprox.plans.views import thousandth, view
 from mutprox.session import new_path
 from mutprox.sources import readers
@@ -384,3 +384,87 @@ def bucketed_hits(spark: SparkSession, d: str) -> DataFrame:
     s = Steps(spark, d)
     stored = readers.write_bucketed(search.ready(s.prior()), ("uniprot1", "at1"))
     return search.hits_at(s.mutations(), stored).groupBy("gene", "aa_change", "start_pos").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("uniprot2", "chain2", "pos2").alias("n_others"))
+
+
+_HOLE = "CASE WHEN chain2 = 'A' AND pos1 < 6 THEN 'coordinate' WHEN chain2 = 'B' AND pos1 < 6 THEN 'protein' WHEN chain2 = 'C' AND pos1 < 6 THEN 'proximity' WHEN chain2 = 'D' AND pos1 < 6 THEN 'annotation' END"
+
+
+def _prioritised_text(spark: SparkSession, d: str) -> str:
+    """Prioritised pairs as text; those of the first five residues lack something, by the chain of their second end."""
+    keep = lambda c, chain: F.when((F.col("chain2") == chain) & (F.col("pos1") < 6), F.lit(None)).otherwise(F.col(c)).alias(c)
+    p = Steps(spark, d).prior()
+    rows = p.select(*[keep(c, {"off2": "A", "name1": "B", "cosmic2": "D"}[c]) if c in ("off2", "name1", "cosmic2") else F.col(c) for c in readers.PRIORITISED], F.when((F.col("chain2") == "C") & (F.col("pos1") < 6), F.lit(None)).otherwise(C.encode_info(F.col("info"))).alias("info"))
+    return _text(rows, "prioritised")
+
+
+@job(f"SELECT uniprot1, chain1, pos1, off1, name1, feature1, cosmic1, uniprot2, chain2, pos2, feature2, cosmic2, {INFO} AS info FROM prior WHERE {_HOLE} IS NULL", "prior")
+def prioritised_text(spark: SparkSession, d: str) -> DataFrame:
+    found = readers.read_prioritised(spark, _prioritised_text(spark, d))[0]
+    return found.select("uniprot1", "chain1", "pos1", "off1", "name1", "feature1", "cosmic1", "uniprot2", "chain2", "pos2", "feature2", "cosmic2", info_text().alias("info"))
+
+
+@job(f"SELECT uniprot1, pos1, uniprot2, chain2, pos2, {_HOLE} AS reason FROM prior WHERE {_HOLE} IS NOT NULL", "prior")
+def prioritised_rejects(spark: SparkSession, d: str) -> DataFrame:
+    bad = readers.read_prioritised(spark, _prioritised_text(spark, d))[1]
+    return bad.select("uniprot1", F.col("pos1").cast("int").alias("pos1"), "uniprot2", "chain2", F.col("pos2").cast("int").alias("pos2"), "reason")
+
+
+def _pair_text(df: DataFrame, kind: str, **cols: Column) -> DataFrame:
+    """Rows written with the given headers and read back as a kind of pairs."""
+    return readers.read_pairs(df.sparkSession, _named(df.select(*[c.alias(n) for n, c in cols.items()]), kind), kind)
+
+
+def _plain(n: int) -> dict[str, Column]:
+    return {f"{k}{n}": F.lit(v) for k, v in (("Chain", "[A]"), ("Position", "1"), ("Feature", "N/A"), ("COSMIC", "N/A"))}
+
+
+def _spot(n: int, gene: str, transcript: str, position: str, feature: str) -> dict[str, Column]:
+    return {f"Gene{n}": F.col(gene), f"Transcript{n}": F.col(transcript), f"TranscriptPosition{n}": F.col(position), f"Site{n}": F.col(feature), **_plain(n)}
+
+
+def _lists() -> dict[str, Column]:
+    return {"LinearDistance": F.col("linear_distance"), "DistanceInfo": F.col("info")}
+
+
+_MUSITE = f"m.gene AS gene1, m.chromosome AS chromosome1, m.start_pos AS start1, m.stop_pos AS stop1, m.aa_change AS mutation1, s.gene AS gene2, s.transcript AS transcript2, s.position AS position2, s.feature AS site2, linear_distance, {INFO} AS info"
+
+
+@job(f"""SELECT gene1, start1, mutation1, gene2, transcript2, position2, site2, linear_distance, info FROM (SELECT DISTINCT * FROM (
+ SELECT {_MUSITE} FROM near n JOIN spots s ON s.uniprot = uniprot1 AND s.u_pos = at1 JOIN mut m ON m.uniprot = uniprot2 AND m.u_pos = at2
+ UNION ALL SELECT {_MUSITE} FROM near n JOIN spots s ON s.uniprot = uniprot2 AND s.u_pos = at2 JOIN mut m ON m.uniprot = uniprot1 AND m.u_pos = at1 WHERE NOT EXISTS (SELECT 1 FROM spots x WHERE x.uniprot = n.uniprot1 AND x.u_pos = n.at1)))""", "near", "spots", "mut")
+def mutation_site_text(spark: SparkSession, d: str) -> DataFrame:
+    s = Steps(spark, d)
+    met = search.mutation_site_pairs(s.mutations(), s.placed_sites(), s.prior().drop("feature1", "feature2"))
+    one = {f"{k}1": F.col(f"mutation_{c}") for k, c in (("Gene", "gene"), ("Chromosome", "chromosome"), ("Start", "start_pos"), ("Stop", "stop_pos"), ("Mutation", "aa_change"))}
+    found = _pair_text(met, "musites", **one, **_plain(1), **_spot(2, "site_gene", "site_transcript", "site_position", "site_feature"), **_lists())
+    return found.select("gene1", F.col("start1").cast("long").alias("start1"), "mutation1", "gene2", "transcript2", F.col("transcript_position2").cast("int").alias("position2"), "site2", F.col("linear_distance").cast("long").alias("linear_distance"), info_text().alias("info"))
+
+
+@job(f"SELECT a.gene AS gene1, a.transcript AS transcript1, a.position AS position1, a.feature AS site1, b.gene AS gene2, b.position AS position2, b.feature AS site2, linear_distance, {INFO} AS info FROM (SELECT * RENAME (feature1 AS f1, feature2 AS f2) FROM near) n JOIN spots a ON a.uniprot = uniprot1 AND a.u_pos = at1 JOIN spots b ON b.uniprot = uniprot2 AND b.u_pos = at2", "near", "spots")
+def site_pair_text(spark: SparkSession, d: str) -> DataFrame:
+    s = Steps(spark, d)
+    met = search.site_pairs(s.placed_sites(), s.prior().drop("feature1", "feature2"))
+    found = _pair_text(met, "sites", **_spot(1, "gene1", "transcript1", "position1", "feature1"), **_spot(2, "gene2", "transcript2", "position2", "feature2"), **_lists())
+    return found.select("gene1", "transcript1", F.col("transcript_position1").cast("int").alias("position1"), "site1", "gene2", F.col("transcript_position2").cast("int").alias("position2"), "site2", F.col("linear_distance").cast("long").alias("linear_distance"), info_text().alias("info"))
+
+
+@job(_drug("true"), "near", "drugs", "mut")
+def drug_pair_text(spark: SparkSession, d: str) -> DataFrame:
+    s = Steps(spark, d)
+    met = search.drug_pairs(s.mutations(), s.prior(), s.view("drugs"), True)
+    names = {"Drug": "drug", "Drugport_ID": "drug_id", "PDB_ID": "pdb", "Compound_Location": "location", "Gene": "gene", "Chromosome": "chromosome", "Start": "start_pos", "Stop": "stop_pos", "Amino_Acid_Change": "aa_change", "Mutation_Location_In_PDB": "pos"}
+    chains = {k: F.concat(F.lit("["), c, F.lit("]")) for k, c in (("Drug_Chain", "drug_chain"), ("Res_Chain", "chain"))}
+    found = _pair_text(met, "drugs", **{k: F.col(c) for k, c in names.items()}, **chains, **{"3D_Distance_Information": F.array("info")})
+    number = lambda c, kind: F.col(c).cast(kind)
+    return found.filter("size(info) = 1").select(
+        "drug", "drug_id", "pdb", F.col("chain1").alias("drug_chain"), number("location", "int").alias("location"), "gene", "chromosome", number("start", "long").alias("start_pos"), number("stop", "long").alias("stop_pos"),
+        F.col("mutation").alias("aa_change"), F.col("chain2").alias("chain"), number("position", "int").alias("pos"),
+    ).distinct()
+
+
+@job("SELECT gene AS cluster, gene, aa_change AS mutation, 2.0 AS degree, 0.5 AS score, 0.0 AS geodesic, CAST(count(*) AS DOUBLE) AS weight, false AS weight_is_recurrence FROM maf WHERE classification <> 'Silent' GROUP BY gene, aa_change", "maf")
+def weighted_clusters_text(spark: SparkSession, d: str) -> DataFrame:
+    """Cluster rows under the other two headers: an exponential score and a weight."""
+    fixed = {"Degree_Connectivity": "2", "Geodesic_From_Centroid": "0", "Chromosome": "1", "Start": "1", "Stop": "1", "Reference": "A", "Alternate": "C", "Transcript": "T", "Alternative_Transcripts": "", "Exponentials_Score": "0.5"}
+    rows = _gene_clusters(Steps(spark, d)).select(F.col("cluster").alias("Cluster"), F.col("gene").alias("Gene/Drug"), F.col("mutation").alias("Mutation/Gene"), F.col("weight").alias("Weight"), *[F.lit(v).alias(k) for k, v in fixed.items()])
+    return readers.read_clusters(spark, _named(rows, "clusters")).select("cluster", "gene", "mutation", "degree", "score", "geodesic", "weight", "weight_is_recurrence")

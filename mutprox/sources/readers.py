@@ -127,6 +127,24 @@ def read_proximity(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return sound_proximity(checked), checked.filter("reason is not null")
 
 
+#: Columns of collapsed and annotated pairs.
+PRIORITISED = tuple(f"{c}{n}" for n in (1, 2) for c in ("uniprot", "chain", "pos", "off", "name", "feature", "cosmic"))
+
+
+def read_prioritised(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Collapsed pairs with features and known changes: sound rows, typed, and the rejected ones with their ``reason``.
+
+    A row lacks what is empty in it: coordinates first, then protein, proximity and annotation. Headers are neither.
+    """
+    raw = spark.read.options(sep="\t").csv(path)
+    raw = raw.select(*[F.col(c).alias(n) for c, n in zip(raw.columns, (*PRIORITISED, "info"))]).filter(~F.coalesce(F.col("uniprot1").rlike("^(WARNING:|UniProt_ID1)"), F.lit(False)))
+    lacks = lambda *names: F.greatest(*[F.col(f"{c}{n}").isNull() for c in names for n in (1, 2)])
+    reason = F.when(lacks("pos", "off", "chain"), "coordinate").when(lacks("uniprot", "name"), "protein").when(F.col("info").isNull(), "proximity").when(lacks("feature", "cosmic"), "annotation")
+    checked = raw.withColumn("reason", reason)
+    typed = [F.col(c).try_cast("int").alias(c) if c[:3] in ("pos", "off") else C.strip_chain(F.col(c)).alias(c) if c.startswith("chain") else F.col(c) for c in PRIORITISED]
+    return checked.filter("reason is null").select(*typed, C.decode_info(F.col("info")).alias("info")), checked.filter("reason is not null")
+
+
 def read_cosmic(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.options(sep="\t").csv(path).toDF("gene", "transcript", "type", "aa_change", "domain", "tissue")
     return df.filter(F.col("gene") != "gene_name")
