@@ -6,7 +6,8 @@ snapshot and goes (anti-join), of equal conversations the one with the smallest
 
 Turns are placed in blocks of neighbouring turn numbers: places and hashes are summed up inside blocks and carried over
 from block to block, so a conversation of any length never meets in one task as a whole, and rendering gives one row
-for each block. Built-in functions only.
+for each block. Texts are read twice: once to place and hash the turns of each block, which are written as 128 bits a turn, and
+once to render what stays; everything between works on the written hashes. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -15,49 +16,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Turn numbers of one block.
-BLOCK = 64
+from mutprox.session import cut
+
+#: Turn numbers of one block; the block of turns without a number, before all others.
+BLOCK, UNNUMBERED = 64, -(1 << 63)
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+_BLOCK = ["conv", "block"]
+
+
+def in_blocks(turns: DataFrame) -> DataFrame:
+    """``conv, block, turn, role, text``: turns with the block they are in.
+
+    ``conv`` holds the id in a struct, so that a null id is a key like any other. A null role is ``unknown``, a null text empty.
+    """
+    block = F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit(UNNUMBERED))
+    role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
+    return turns.select(F.struct("conv_id").alias("conv"), block.alias("block"), "turn", role.alias("role"), text.alias("text"))
 
 
-def placed(turns: DataFrame) -> DataFrame:
-    """``conv_id, block, place, role, text, a, b``: turns in order, with the two rolling 64-bit hashes of the prefix.
+def digests(blocks: DataFrame) -> DataFrame:
+    """``conv, block, k, g, h``: each turn's number in its block, from 1, and two 64-bit hashes of role and text, written.
 
-    A turn logged twice (same conversation, number, role and text) counts once. Ties of number go by role, then text,
-    nulls first; a null role is ``unknown``, a null text empty.
+    A turn logged twice (same conversation, number, role and text) counts once. Ties of number go by role, then text.
     """
-    own = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    own = own.withColumn("block", F.floor(F.col("turn") / BLOCK))
-    inside = W.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    own = own.withColumn("k", F.row_number().over(inside))
-    sizes = own.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
-    earlier = W.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first())
-    before = sizes.select("conv_id", "block", F.coalesce(F.sum("n").over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    own = _beside(own, before).withColumn("place", F.col("base") + F.col("k"))
-    # rolling hash: exclusive-or over hashes of (place, role, text); the place makes it one of the sequence
-    own = own.withColumn("ha", F.xxhash64("place", "role", "text")).withColumn("hb", F.xxhash64(F.lit("turn"), "text", "role", "place"))
-    sums = own.groupBy("conv_id", "block").agg(F.bit_xor("ha").alias("xa"), F.bit_xor("hb").alias("xb"))
-    carry = earlier.rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("conv_id", "block", *[F.coalesce(F.bit_xor(x).over(carry), F.lit(0).cast("long")).alias(c) for x, c in (("xa", "ca"), ("xb", "cb"))])
-    upto = inside.rowsBetween(W.unboundedPreceding, 0)
-    own = own.withColumn("ra", F.bit_xor("ha").over(upto)).withColumn("rb", F.bit_xor("hb").over(upto))
-    return _beside(own, sums).select("conv_id", "block", "place", "role", "text", F.col("ra").bitwiseXOR(F.col("ca")).alias("a"), F.col("rb").bitwiseXOR(F.col("cb")).alias("b"))
-
-
-def _beside(turns: DataFrame, blocks: DataFrame) -> DataFrame:
-    blocks = blocks.withColumnsRenamed({"conv_id": "__conv", "block": "__block"})
-    return turns.join(blocks, turns["conv_id"].eqNullSafe(blocks["__conv"]) & turns["block"].eqNullSafe(blocks["__block"])).drop("__conv", "__block")
-
-
-def maximal(turns: DataFrame) -> DataFrame:
-    """``conv_id, n_turns`` of the conversations that stay. ``turns``: as from :func:`placed`."""
-    whole = turns.groupBy("conv_id").agg(F.max(F.struct("place", "a", "b")).alias("x"))
-    whole = whole.select("conv_id", F.col("x.place").alias("n_turns"), "x.a", "x.b")
-    first = whole.groupBy("n_turns", "a", "b").agg(F.min("conv_id").alias("conv_id"), F.max(F.col("conv_id").isNull()).alias("only_null"))
+    inside = W.partitionBy(*_BLOCK).orderBy("turn", "role", "text")
+    here = F.struct("turn", "role", "text")
+    once = blocks.withColumn("again", F.lag(here).over(inside).eqNullSafe(here)).filter(~F.col("again"))
+    return cut(once.select(*_BLOCK, F.row_number().over(inside).alias("k"), F.xxhash64("role", "text").alias("g"), F.xxhash64(F.lit("turn"), "text", "role").alias("h")))
+
+
+def placed(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From :func:`digests`: turns ``conv, place, n_turns, a, b`` with the two rolling hashes of the prefix that ends there, and
+    blocks ``conv, block, last, a, b`` with the last place of each and the hashes up to it."""
+    order = W.partitionBy("conv").orderBy("block")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    base = own.groupBy(*_BLOCK).agg(F.count(F.lit(1)).alias("n")).select(*_BLOCK, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    at = own.join(base, _BLOCK).withColumn("place", F.col("base") + F.col("k"))
+    # rolling hash: exclusive-or over hashes of (place, turn); the place makes it one of the sequence
+    at = at.select(*_BLOCK, "place", F.xxhash64("place", "g", "h").alias("ha"), F.xxhash64("h", "place", "g").alias("hb"))
+    sums = at.groupBy(*_BLOCK).agg(F.max("place").alias("last"), F.bit_xor("ha").alias("xa"), F.bit_xor("hb").alias("xb"))
+    carry = [F.coalesce(F.bit_xor(x).over(before), F.lit(0).cast("long")).alias(c) for x, c in (("xa", "ca"), ("xb", "cb"))]
+    sums = sums.select(*_BLOCK, "last", "xa", "xb", *carry, F.max("last").over(W.partitionBy("conv")).alias("n_turns"))
+    upto = W.partitionBy(*_BLOCK).orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    rolled = at.select(*_BLOCK, "place", F.bit_xor("ha").over(upto).alias("ra"), F.bit_xor("hb").over(upto).alias("rb")).join(sums, _BLOCK)
+    turns = rolled.select("conv", "place", "n_turns", F.col("ra").bitwiseXOR(F.col("ca")).alias("a"), F.col("rb").bitwiseXOR(F.col("cb")).alias("b"))
+    return turns, sums.select(*_BLOCK, "last", F.col("xa").bitwiseXOR(F.col("ca")).alias("a"), F.col("xb").bitwiseXOR(F.col("cb")).alias("b"))
+
+
+def maximal(turns: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``conv, n_turns`` of the conversations that stay. Both as from :func:`placed`."""
+    whole = blocks.groupBy("conv").agg(F.max(F.struct("block", "last", "a", "b")).alias("x"))
+    first = whole.groupBy(F.col("x.last").alias("n_turns"), F.col("x.a").alias("a"), F.col("x.b").alias("b")).agg(F.struct(F.min("conv.conv_id").alias("conv_id")).alias("conv"))
     # one row for each prefix that goes on: all its conversations share it, so it is summed up before it is shuffled
-    going_on = turns.select("conv_id", "place", "a", "b").join(whole.select(F.col("conv_id").alias("__conv"), "n_turns"), F.col("conv_id").eqNullSafe(F.col("__conv")))
-    going_on = going_on.filter("place < n_turns").select(F.col("place").alias("n_turns"), "a", "b").distinct()
-    return first.join(going_on, ["n_turns", "a", "b"], "left_anti").select("conv_id", "n_turns")
+    going_on = turns.filter("place < n_turns").select(F.col("place").alias("n_turns"), "a", "b").distinct()
+    return first.join(going_on, ["n_turns", "a", "b"], "left_anti").select("conv", "n_turns")
 
 
 def render_turn(role: Column, text: Column) -> Column:
@@ -69,17 +81,18 @@ def render_turn(role: Column, text: Column) -> Column:
 def format_chats(conversations: DataFrame) -> DataFrame:
     """``conv_id, segment, n_turns, text``: the rendered maximal conversations, one row for each block of turn numbers.
 
-    Segments of a conversation are numbered from 0; their texts put together are its rendering. Null roles, null texts,
-    repeated turns and ties are as in :func:`placed`; turns without a conversation id are one conversation, turns without a number
-    are a block of their own. Equal conversations stay once, under the smallest id. An empty table gives none.
+    Segments of a conversation are numbered from 0; their texts put together are its rendering. Null roles and null texts are as in
+    :func:`in_blocks`, repeated turns and ties as in :func:`digests`; turns without a conversation id are one conversation, turns
+    without a number are a block of their own. Equal conversations stay once, under the smallest id. An empty table gives none.
     """
-    turns = placed(conversations)
-    stay = maximal(turns).withColumnRenamed("conv_id", "__conv")
-    met = turns.join(stay, turns["conv_id"].eqNullSafe(stay["__conv"]))
-    parts = met.groupBy("conv_id", "block", "n_turns").agg(F.array_sort(F.collect_list(F.struct("place", render_turn(F.col("role"), F.col("text")).alias("line")))).alias("lines"))
-    text = F.array_join(F.transform("lines", lambda x: x["line"]), "")
-    order = W.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first())
-    return parts.select("conv_id", (F.row_number().over(order) - 1).cast("long").alias("segment"), "n_turns", text.alias("text"))
+    own = in_blocks(conversations)
+    turns, blocks = placed(digests(own))
+    order = W.partitionBy("conv").orderBy("block")
+    numbered = blocks.select(*_BLOCK, (F.row_number().over(order) - 1).cast("long").alias("segment"))
+    kept = numbered.join(maximal(turns, blocks), "conv")
+    parts = own.join(kept, _BLOCK).groupBy(*_BLOCK, "segment", "n_turns").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: render_turn(x["role"], x["text"])), "")
+    return parts.select("conv.conv_id", "segment", "n_turns", text.alias("text"))
 
 
 ORACLE = """

@@ -143,3 +143,34 @@ def test_chats(spark):
 def test_chat_without_id(spark):
     df = spark.createDataFrame([(None, 0, "user", "a", "", ""), (None, 1, "user", "b", "", ""), (3, 0, "user", "a", "", "")], TURNS)
     assert [(r["conv_id"], r["n_turns"]) for r in chat.format_chats(df).collect()] == [(None, 2)]
+
+
+def test_random_chats(spark):
+    """Ties of number and role, turns without a number, shifted numbers and shared prefixes, against the SQL."""
+    rng = random.Random(5)
+    rows = []
+    for conv in range(120):
+        shift = rng.choice([0, 0, 3, 63, 64])
+        for t in range(rng.randint(1, 6)):
+            for _ in range(rng.choice([1, 1, 1, 2, 3])):
+                rows.append((conv, None if rng.random() < 0.03 else t + shift, rng.choice(["user", "user", None]), rng.choice(["a", "b", "", None])))
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], TURNS).repartition(5)
+    want = sql(chat.ORACLE, conversations=(rows, [("conv_id", "BIGINT"), ("turn", "BIGINT"), ("role", "VARCHAR"), ("text", "VARCHAR")]))
+    same(chat.format_chats(df), want)
+    assert 20 < want["conv_id"].nunique() < 120
+
+
+def test_long_chat(spark):
+    """A text of three million letters, a conversation of 20,000 turns, its prefix, and 5,000 turns without a number."""
+    long = [(1, t, "user", f"turn {t}") for t in range(20_000)] + [(2, t, "user", f"turn {t}") for t in range(19_999)]
+    rows = long + [(3, 0, "user", "y" * 3_000_000)] + [(4, None, "user", f"turn {t}") for t in range(5_000)]
+    got = chat.format_chats(spark.createDataFrame([(*r, "", "") for r in rows], TURNS)).collect()
+    assert {r["conv_id"]: r["n_turns"] for r in got} == {1: 20_000, 3: 1, 4: 5_000}
+    assert sorted(r["segment"] for r in got if r["conv_id"] == 1) == list(range(313))
+    assert next(len(r["text"]) for r in got if r["conv_id"] == 3) == 3_000_000 + len("<|im_start|>user\n<|im_end|>\n")
+
+
+def test_chat_texts_stay_out_of_the_hashes(spark):
+    """Behind the written hashes texts are read once, and what they are joined with holds no text."""
+    plan = chat.format_chats(spark.createDataFrame([(*r, "", "") for r in turn_rows()], TURNS))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and plan.count("lag(") == 0
