@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mutprox.functions import columns as C
 from mutprox.operators.ranges import join_ranges
+from mutprox.session import cut
 
 AT = ["pdb", "chain", "residue_no"]
 
@@ -72,13 +73,20 @@ def residue_offsets(residues: DataFrame, ranges: DataFrame) -> DataFrame:
 def _near(left: DataFrame, right: DataFrame, reach: float | Column) -> DataFrame:
     """Pairs (columns suffixed 1 and 2) of one structure whose cells touch: the grid keeps work local in large structures.
 
-    Only one side is repeated into its 27 neighbouring cells; the join is on (pdb, cell).
+    Cells are counted from the structure's own corner, and only one side is repeated, into those of its neighbouring cells that
+    the structure has: a structure no wider than the reach is one cell and repeats nothing. The join is on (pdb, cell). Rows without three finite coordinates pair with nothing.
     """
-    cell = lambda k: F.floor(F.col(k) / reach)
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = left.withColumn("__dx", F.explode(step)).withColumn("__dy", F.explode(step)).withColumn("__dz", F.explode(step))
-    a = a.select(*[F.col(c).alias(f"{c}1") for c in left.columns], *[(cell(k) + F.col(f"__d{k}")).alias(f"__{k}") for k in "xyz"])
-    b = right.select(*[F.col(c).alias(f"{c}2") for c in right.columns], *[cell(k).alias(f"__{k}r") for k in "xyz"])
+    finite = lambda k: F.when(F.abs(F.col(k)) < float("inf"), F.col(k))
+    ends = right.groupBy(F.col("pdb").alias("__pdb")).agg(*[f(finite(k)).alias(f"__{n}{k}") for k in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    width = F.lit(reach) * (1 + 1e-9)  # what is just within reach is never two cells away
+    cell = lambda c, k: F.floor((c - F.col(f"__lo{k}")) / width)
+    a = left.join(ends, F.col("pdb") == F.col("__pdb"))
+    for k in "xyz":
+        own, top = cell(finite(k), k), cell(F.col(f"__hi{k}"), k)
+        there = [F.when((own + step).between(0, top), own + step) for step in (-1, 0, 1)]
+        a = a.withColumn(f"__c{k}", F.explode(F.array_compact(F.array(*there))))
+    a = a.select(*[F.col(c).alias(f"{c}1") for c in left.columns], *[F.col(f"__c{k}").alias(f"__{k}") for k in "xyz"])
+    b = right.join(ends, F.col("pdb") == F.col("__pdb")).select(*[F.col(c).alias(f"{c}2") for c in right.columns], *[cell(finite(k), k).alias(f"__{k}r") for k in "xyz"])
     on = (F.col("pdb1") == F.col("pdb2")) & (F.col("__x") == F.col("__xr")) & (F.col("__y") == F.col("__yr")) & (F.col("__z") == F.col("__zr"))
     return a.join(b, on).drop(*[f"__{k}" for k in "xyz"], *[f"__{k}r" for k in "xyz"])
 
@@ -89,7 +97,7 @@ def residue_distances(residues: DataFrame, ranges: DataFrame, max_distance: floa
     ``uniprot1, chain1, pos1, off1, name1, uniprot2, chain2, pos2, off2, name2, distance, pdb``; water is left out, as
     are pairs on one chain whose numbers are ``min_separation`` or less apart.
     """
-    own = residue_offsets(residues.filter(~C.is_water(F.col("residue_name"))), ranges).filter("uniprot is not null")
+    own = cut(residue_offsets(residues.filter(~C.is_water(F.col("residue_name"))), ranges).filter("uniprot is not null"))  # read three times below
     base = own.join(longest_chain(ranges).select("pdb", "uniprot", "chain"), ["pdb", "uniprot", "chain"], "left_semi")
     met = _near(base, own, max_distance)
     d = C.euclidean(*[F.col(f"{k}{n}") for n in (1, 2) for k in "xyz"])
