@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mutprox.functions import columns as C
+from mutprox.operators.ranges import join_overlaps
 
 #: External id types that two gene records may share; one of them counts twice.
 IDS = ("entrez", "refseq", "vega", "omim", "uniprot", "ensembl", "ucsc")
@@ -56,16 +57,36 @@ def reconcile_symbols(invalid: DataFrame, current: DataFrame, max_mismatch: int
 
     Candidates share a previous symbol, an alias or an external id, and lie on the same chromosome with overlapping
     ranges. Both: symbol, chromosome, start, stop and the id columns; ``current`` also previous and aliases (arrays).
+    Records meet on chromosome, shared thing and cell of their ranges, so an id that very many share pairs only neighbours.
     """
-    names = current.select(F.col("symbol").alias("candidate"), F.explode(F.array_union("previous", "aliases")).alias("symbol"))
-    found = invalid.select("symbol").join(names, "symbol").select("symbol", "candidate")
-    for k in IDS:  # blocked joins: only records that share something are ever paired
-        found = found.unionByName(invalid.select("symbol", k).dropna().join(current.select(F.col("symbol").alias("candidate"), k).dropna(), k).select("symbol", "candidate"))
-    b = current.select(*[F.col(c).alias(f"c_{c}") for c in current.columns])
-    met = found.distinct().join(invalid, "symbol").join(b, F.col("candidate") == F.col("c_symbol"))
-    met = met.filter(C.same_chr(F.col("chromosome"), F.col("c_chromosome")) & F.coalesce(C.ranges_overlap(F.col("start"), F.col("stop"), F.col("c_start"), F.col("c_stop"), tolerance), F.lit(True)))
+    kind = dict(invalid.select(*IDS).union(current.select(*IDS)).dtypes)  # both sides' ids in one type
+    share = lambda k: F.col(k).cast(kind[k]).cast("string")
+
+    def keyed(rows: DataFrame, names: Column, p: str) -> DataFrame:
+        """A row for each name and id that a record may share, with its chromosome and the ends of its range; the record is kept whole."""
+        ids = F.array(*[F.struct(F.lit(n).alias("__kind"), share(k).alias("__share")) for n, k in enumerate(IDS, 1)])
+        all_ = F.concat(F.transform(names, lambda x: F.struct(F.lit(0).alias("__kind"), x.alias("__share"))), ids)
+        near = F.when(F.col("start").isNotNull() & F.col("stop").isNotNull(), F.struct(F.least("start", "stop").alias("lo"), F.greatest("start", "stop").alias("hi")))
+        own = rows.filter("symbol is not null").select(F.struct(*rows.columns).alias(p), C.normalize_chr(F.col("chromosome")).alias("__chr"), near.alias("__at"), F.explode(all_).alias("__k"))
+        return own.select("__chr", "__k.*", F.col("__at.lo").alias(f"{p}lo"), F.col("__at.hi").alias(f"{p}hi"), p).filter("__chr is not null and __share is not null")
+
+    on = ["__chr", "__kind", "__share"]
+    a = keyed(invalid, F.array("symbol"), "__i")
+    b = keyed(current, F.array_union(F.coalesce("previous", F.array().cast("array<string>")), F.coalesce("aliases", F.array().cast("array<string>"))), "__c")
+    b = b.withColumn("__clo", F.col("__clo") - tolerance).withColumn("__chi", F.col("__chi") + tolerance)
+    # only records that share something on one chromosome, near each other or of unknown place, are ever paired
+    near = join_overlaps(a.filter("__ilo is not null"), b.filter("__clo is not null"), on, ("__ilo", "__ihi"), ("__clo", "__chi"))
+    loose = lambda x, y: x.join(y.hint("merge"), on).select(*near.columns)
+    found = near.unionByName(loose(a.filter("__ilo is null"), b)).unionByName(loose(a.filter("__ilo is not null"), b.filter("__clo is null")))
+    met = found.select("__kind", "__i.*", *[F.col(f"__c.{c}").alias(f"c_{c}") for c in current.columns])
+    met = met.withColumn("candidate", F.col("c_symbol")).filter(F.coalesce(C.ranges_overlap(F.col("start"), F.col("stop"), F.col("c_start"), F.col("c_stop"), tolerance), F.lit(True)))
     count = lambda same: sum(F.when(F.col(k) == F.col(f"c_{k}"), 1 + (k == TWICE)).otherwise(0) if same else F.when(F.col(k) != F.col(f"c_{k}"), 1).otherwise(0) for k in IDS)
-    named = F.array_contains("c_previous", F.col("symbol")) | F.array_contains("c_aliases", F.col("symbol"))
+    named = F.coalesce(F.array_contains("c_previous", F.col("symbol")), F.lit(False)) | F.coalesce(F.array_contains("c_aliases", F.col("symbol")), F.lit(False))
+    # a pair that shares several things meets under each of them, and counts under the first
+    meets = F.when(named, 0)
+    for n, k in enumerate(IDS, 1):
+        meets = meets.when(F.col(k) == F.col(f"c_{k}"), n)
+    met = met.filter(F.col("__kind") == meets)
     scored = met.withColumn("n_match", count(True)).withColumn("n_mismatch", count(False)).withColumn("named", named)
     reason = (
         F.when(F.col("named") & ((F.col("n_mismatch") <= max_mismatch) | (F.col("n_match") > 0)), "name")
