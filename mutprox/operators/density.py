@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import random
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -114,20 +115,28 @@ def tree_of(rd: list[float]) -> tuple[list[int | None], list[int]]:
 ORDER = "structure string, run int, component string, ord long, key string, rd double, cd double, weight double, up long, until long"
 
 
-def with_tree(order: DataFrame) -> DataFrame:
-    """An order that lacks them gets ``up`` and ``until``, one stretch a structure, run and component."""
-    if {"up", "until"} <= set(order.columns):
-        return order
-    ship(order.sparkSession)
+#: Super clusters of one order that a group function gets at once: enough of them to make up for its call.
+BATCH = 256
+
+
+def with_tree(rows: DataFrame) -> DataFrame:
+    """An order numbered by ``part`` that lacks them gets ``up`` and ``until`` inside each part, a batch of parts a group."""
+    if {"up", "until"} <= set(rows.columns):
+        return rows
+    ship(rows.sparkSession)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord")
-        up, until = tree_of(rows["rd"].tolist())
-        at = rows["ord"].tolist()
-        return rows.assign(up=pd.array([None if u is None else at[u] for u in up], "Int64"), until=[at[u] for u in until])
+        at, rd = rows["ord"].to_numpy(), rows["rd"].to_numpy()
+        starts = np.flatnonzero(np.diff(rows["part"].to_numpy(), prepend=-1))
+        up, until = np.full(len(rows), -1), np.zeros(len(rows), np.int64)
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
+            u, z = tree_of(rd[a:b].tolist())
+            up[a:b], until[a:b] = [-1 if x is None else at[a + x] for x in u], at[a + np.array(z)]
+        return rows.assign(up=pd.Series(up, rows.index).astype("Int64").mask(up < 0), until=until)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in order.schema.fields)
-    return order.groupBy(*_parts(order)).applyInPandas(run, f"{schema}, up long, until long")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.groupBy(*_parts(rows), F.floor(F.col("part") / BATCH)).applyInPandas(run, f"{schema}, up long, until long")
 
 
 def neighbourhoods(edges: DataFrame) -> DataFrame:
@@ -197,30 +206,45 @@ def _first_above(low: Column, x: Column) -> Column:
     return F.filter(F.sequence(near, near + 3), lambda i: low + i * F.lit(STEP) > x)[0]
 
 
-def _levels(rows: pd.DataFrame) -> pd.DataFrame:
-    """Levels of one super cluster from its merge tree: ``lo`` to ``hi`` are the cuts at which a stretch stands."""
-    rows = rows.sort_values(["first", "last"])
-    first, last, lo, hi, density = (rows[c].to_numpy() for c in ("first", "last", "lo", "hi", "density"))
-    low, sup, out, known, before = rows["low"].iloc[0], int(rows["super_id"].iloc[0]), [], None, 0
-    level = 1
-    for i in range(int(hi.max()) + 1):
+def _levels(first: np.ndarray, last: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Levels of one super cluster from its merge tree: (cut, stretches that stand there, those of the level before, first and last place of what each holds among these).
+
+    ``lo`` to ``hi`` are the cuts at which a stretch stands; stretches come in order, and those of one cut lie apart. Between
+    cuts at which one begins or ends nothing changes.
+    """
+    known = np.zeros(0, np.int64)
+    for i in np.unique(np.r_[lo, hi + 1]).tolist():
         now = np.flatnonzero((lo <= i) & (i <= hi))
         if not len(now):
             continue
-        new = len(now) != before
+        new = len(now) != len(known)
         if not new:
-            old = known[last[known] > first[known]]
-            for x in now[last[now] > first[now]] if len(old) else ():
-                inside = old[(first[old] >= first[x]) & (last[old] <= last[x])]
-                new = new or not len(inside) or last[x] - first[x] >= 2 * (last[inside] - first[inside]).min()
+            old, wide = known[last[known] > first[known]], now[last[now] > first[now]]
+            if len(old) and len(wide):
+                a, z = np.searchsorted(first[old], first[wide]), np.searchsorted(last[old], last[wide], "right")
+                least = np.minimum.reduceat(np.r_[last[old] - first[old], 0], np.stack([a, np.maximum(a, z)], 1).ravel())[::2]
+                new = ((a >= z) | (last[wide] - first[wide] >= 2 * least)).any()
         if new:
-            for sub, x in enumerate(now, 1):
-                covers = "1" if level == 1 else ":".join(f"{sup}.{level - 1}.{k}" for k, p in enumerate(known, 1) if first[p] >= first[x] and last[p] <= last[x]) or "2"
-                out.append((level, sub, first[x], last[x], float(low + STEP * i), density[x], covers))
-            known, before, level = now, len(now), level + 1
-    cols = ["level", "sub_id", "first", "last", "cut", "density", "covering"]
-    found = pd.DataFrame(out, columns=cols)
-    return found.assign(**{c: rows[c].iloc[0] for c in ("structure", "run", "component", "super_id")})[["structure", "run", "component", "super_id", *cols]]
+            yield i, now, known, np.searchsorted(first[known], first[now]), np.searchsorted(last[known], last[now], "right")
+            known = now
+
+
+def _all_levels(rows: pd.DataFrame) -> pd.DataFrame:
+    """Levels of each super cluster of a batch."""
+    rows = rows.sort_values(["super_id", "first", "last"])
+    sups, first, last, lo, hi, density, low = (rows[c].to_numpy() for c in ("super_id", "first", "last", "lo", "hi", "density", "low"))
+    starts, out = np.flatnonzero(np.diff(sups, prepend=-1)), []
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
+        sup = int(sups[s])
+        for level, (i, now, known, a, z) in enumerate(_levels(first[s:e], last[s:e], lo[s:e], hi[s:e]), 1):
+            at = float(low[s] + STEP * i)
+            for sub, (x, p, q) in enumerate(zip((now + s).tolist(), a.tolist(), z.tolist()), 1):
+                covers = "1" if level == 1 else ":".join(f"{sup}.{level - 1}.{k}" for k in range(p + 1, q + 1)) or "2"
+                out.append((sup, level, sub, first[x], last[x], at, density[x], covers))
+    found = pd.DataFrame(out, columns=["super_id", "level", "sub_id", "first", "last", "cut", "density", "covering"])
+    for k, c in enumerate(PARTS):
+        found.insert(k, c, rows[c].iloc[0])
+    return found
 
 
 CLUSTERS = "structure string, run int, component string, super_id int, level int, sub_id int, first long, last long, cut double, density double, covering string"
@@ -239,13 +263,14 @@ def density_clusters(order: DataFrame, eps: float = 10.0, min_pts: float = 4.0)
     clusters, "1" on the first level, "2" for none). Cuts come from an integer index, so that steps do not drift. The
     last stretch of an order is closed like any other.
 
-    Stretches of all cuts are read from the merge tree that the order carries; what one task gets of a super
-    cluster are the heavy stretches that stand at some cut, never its vertices.
+    Stretches of all cuts are read from the merge tree that the order carries (one that does not gets it, super cluster by
+    super cluster); what one task gets of some super clusters are the heavy stretches that stand at some cut, never their vertices.
     """
     ship(order.sparkSession)
     by = [*PARTS, "part"]
-    rows = with_tree(order).select(*PARTS, "ord", "rd", "weight", "up", "until")
-    rows = cut(running(rows, PARTS, ["ord"], sums={"part": F.when(F.col("rd") >= eps, 1).otherwise(0), "ws": F.col("weight"), "rws": F.col("rd") * F.col("weight")}))
+    rows = order.select(*PARTS, "ord", "rd", "weight", *[c for c in ("up", "until") if c in order.columns])
+    rows = running(rows, PARTS, ["ord"], sums={"part": F.when(F.col("rd") >= eps, 1).otherwise(0), "ws": F.col("weight"), "rws": F.col("rd") * F.col("weight")})
+    rows = cut(with_tree(rows))
     head = F.col("rd") >= eps
     found = rows.groupBy(*by).agg(
         F.min("ord").alias("s"), F.max("ord").alias("e"), F.count(F.lit(1)).alias("n"), F.coalesce(F.min(F.when(~head, F.col("rd"))), F.lit(eps)).alias("low"), F.max_by("rd", "ord").alias("end_rd"),
@@ -270,7 +295,8 @@ def density_clusters(order: DataFrame, eps: float = 10.0, min_pts: float = 4.0)
     behind = F.col("last_ws") - F.col("first_ws")
     merges = merges.withColumn("hi", F.least("most", own, F.col("later") - 1)).filter((F.col("hi") >= F.col("lo")) & (behind + F.col("first_weight") >= min_pts))
     stretches = merges.select(*PARTS, "super_id", "low", "first", "last", "lo", "hi", ((F.col("last_rws") - F.col("first_rws")) / behind).alias("density"))
-    return supers.unionByName(singles.unionByName(stretches).groupBy(*PARTS, "super_id").applyInPandas(_levels, CLUSTERS))
+    batch = F.floor(F.col("super_id") / BATCH)
+    return supers.unionByName(singles.unionByName(stretches).groupBy(*PARTS, batch).applyInPandas(_all_levels, CLUSTERS))
 
 
 def _stretches(order: DataFrame, cuts: DataFrame, ids: list[str], min_pts: float) -> DataFrame:

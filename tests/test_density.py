@@ -296,3 +296,19 @@ def test_forest_order_has_the_islands_of_the_walk(spark, n):
             seen[s, run] = [r["key"] for c in sorted(tree) for r in tree[c]]
         assert seen[s, 0] != seen[s, 1]  # another shuffle
         assert len(cores) > n / 4 and dist
+
+
+def test_super_clusters_are_cut_in_batches(spark):
+    """One call takes a batch of super clusters, and an order of more than a batch has the levels of all its bars."""
+    rows = lambda k, at: [("s", 0, "c", k, at, at + 3, 0, 2, 1.5, 1.0), ("s", 0, "c", k, at + 1, at + 1, 0, 0, 0.1, 1.0), ("s", 0, "c", k, at, at + 9, 3, 5, 2.5, 1.0)]
+    cols = ["structure", "run", "component", "super_id", "first", "last", "lo", "hi", "density", "low"]
+    one, two = (density._all_levels(pd.DataFrame(x, columns=cols)) for x in (rows(0, 10), rows(1, 50)))
+    both = density._all_levels(pd.DataFrame(rows(1, 50) + rows(0, 10), columns=cols))
+    assert len(one) and both.equals(pd.concat([one, two], ignore_index=True))
+    rng = random.Random(2)
+    n = 3 * density.BATCH
+    rd = [x for _ in range(n) for x in (10.0, *(round(rng.uniform(1, 4), 1) for _ in range(rng.randrange(6))))]
+    weight = [float(rng.choice([1, 1, 2, 5])) for _ in rd]
+    got = [(r["super_id"], r["level"], r["sub_id"], r["first"], r["last"], round(r["cut"], 9), round(r["density"], 9), r["covering"]) for r in density.density_clusters(order_table(spark, [(rd, weight)])).collect()]
+    want = [(*x[:5], round(x[5], 9), round(x[6], 9), x[7]) for x in brute_levels(rd, weight)]
+    assert max(x[0] for x in want) > density.BATCH and sorted(got) == sorted(want)
