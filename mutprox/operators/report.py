@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mutprox.functions import columns as C
+from mutprox.session import cut
+
+#: Bytes of all lists of samples up to which they are broadcast.
+LISTS = 256 << 20
 
 
 def _names(c: Column) -> Column:
@@ -119,10 +123,15 @@ def best_pair_info(pairs: DataFrame) -> DataFrame:
 
 
 def cooccurring_samples(pairs: DataFrame, maf: DataFrame) -> DataFrame:
-    """Per pair the samples with their counts on either side, and those on both."""
+    """Per pair the samples with their counts on either side, and those on both.
+
+    Lists of samples up to a measured ``LISTS`` bytes are broadcast; beyond that pairs meet them by joins, one side after the other.
+    """
     n = maf.withColumn("s", C.sample_id(F.col("sample"))).filter("s is not null").groupBy("gene", F.col("aa_change").alias("mutation"), "s").agg(F.count(F.lit(1)).alias("n"))
-    lists = n.groupBy("gene", "mutation").agg(F.sort_array(F.collect_list("s")).alias("names"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "s", F.col("n").cast("string")))), "|").alias("samples"))
-    side = lambda k: lists.toDF(f"gene{k}", f"mutation{k}", f"names{k}", f"samples{k}")
+    lists = cut(n.groupBy("gene", "mutation").agg(F.sort_array(F.collect_list("s")).alias("names"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "s", F.col("n").cast("string")))), "|").alias("samples")))
+    # many pairs share a mutation: where the lists are small, these travel and not the pairs with a list in each
+    small = (lists.agg(F.sum(F.octet_length("samples") * 2)).head()[0] or 0) <= LISTS
+    side = lambda k: (F.broadcast(lists) if small else lists).toDF(f"gene{k}", f"mutation{k}", f"names{k}", f"samples{k}")
     met = pairs.select("gene1", "mutation1", "gene2", "mutation2").distinct().join(side(1), ["gene1", "mutation1"], "left").join(side(2), ["gene2", "mutation2"], "left")
     both = F.array_join(F.sort_array(F.array_intersect("names1", "names2")), "|")
     return met.select("gene1", "mutation1", "gene2", "mutation2", "samples1", "samples2", both.alias("both"))
