@@ -1,8 +1,10 @@
 """Near-duplicate classes by exact Jaccard similarity of word-shingle sets.
 
-A pair at similarity 0.8 differs in about ten of 64 SimHash bits, where the pigeonhole rule has no parts left that
-select anything. Here texts meet by min-hash bands instead (24 bands of 5: a pair at 0.8 shares one with probability
-0.99993), and every candidate pair is checked on its whole shingle sets. Texts with equal sets are one vertex from the start.
+Texts with equal sets are one vertex from the start. SimHash fingerprints of the sets are searched first, in the Gray-order
+index of :mod:`simhash`, at three differing bits. A pair at similarity 0.8 differs in about ten of 64 bits, though, where the
+pigeonhole rule has no parts left that select anything; so what is not one class by then also meets by min-hash bands (24
+bands of 5: a pair at 0.8 shares one with probability 0.99993). Every candidate pair of either search is checked on its whole
+shingle sets.
 
 Members of a band are first compared with one centre, the text that shares the most bands, so that a large group of near
 copies is linked by as many checks as it has members. What then still has different labels in a band is compared pair
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mutprox.llm.simhash import SEED, merge
+from mutprox.llm.simhash import SEED, fingerprint_links, merge
 from mutprox.operators.components import connected_components
 from mutprox.session import cut, drop_cut, ship
 
@@ -64,6 +66,14 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return keys.view(np.int64).tolist()
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set of shingles: a bit is 1 if it is set in over half of them; 0 for an empty set."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), STEP):
+        counts += np.unpackbits(hashes[at : at + STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
 def _digest(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
@@ -79,9 +89,9 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingle_set(t, shingle) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "node": [_digest(s) for s in sets], "n": [len(s) for s in sets], "keys": [band_keys(s) for s in sets]})
+            yield pd.DataFrame({"id": b["id"], "node": [_digest(s) for s in sets], "n": [len(s) for s in sets], "fp": [set_fingerprint(s) for s in sets], "keys": [band_keys(s) for s in sets]})
 
-    return docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, node binary, n long, keys array<long>")
+    return docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, node binary, n long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -105,6 +115,13 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(run, "a binary, b binary, l binary, m binary")
 
 
+def _close_prints(nodes: DataFrame) -> DataFrame:
+    """Candidate pairs ``(a, b)``: texts of one fingerprint with the first of them, and what the Gray-order index joins."""
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    same = nodes.select("node", "fp").join(prints, "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    return same.unionByName(fingerprint_links(prints))
+
+
 def _mixed(each: DataFrame) -> DataFrame:
     """``key, size, cross``: keys with more than one label and their pairs of different labels."""
     kinds = each.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
@@ -150,6 +167,14 @@ def _dense_links(each: DataFrame, mixed: DataFrame, sets: DataFrame, least: floa
     return dealt.groupBy("key", "i", "j").applyInArrow(lambda rows: _tile_links(rows, least), "a binary, b binary, l binary, m binary")
 
 
+def _relabelled(open_: DataFrame, found: DataFrame) -> DataFrame:
+    """Texts with the labels that the links found join; the table before goes."""
+    joined = connected_components(found, "l", "m").withColumnsRenamed({"node": "label", "component": "to"})
+    now = cut(open_.join(joined, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"))
+    drop_cut(open_)
+    return now
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = SIMILAR, tile: int = TILE) -> DataFrame:
     """``(id, keep)`` for every row with an id: the smallest id of its class, which links at ``least`` Jaccard join.
 
@@ -159,18 +184,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     rows = cut(_sketches(own, shingle))
-    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("bands")))
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("bands")))
+    close = cut(_close_prints(nodes))
     shared = nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # one row for each text that shares a band; ``label`` is one text of its class, as far as that is known
     met = nodes.select("node", F.explode("bands").alias("key")).join(shared, "key")
     open_ = met.groupBy("node").agg(F.sum("size").alias("score"), F.collect_list("key").alias("keys"))
-    open_ = cut(open_.join(nodes, "node").withColumn("label", F.col("node")))
-    wanted = open_.select(F.col("rep").alias("id")).distinct()
+    open_ = cut(open_.join(nodes.drop("fp"), "node").withColumn("label", F.col("node")))
+    ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+    wanted = open_.select(F.col("rep").alias("id")).unionByName(nodes.join(ends, "node").select(F.col("rep").alias("id"))).distinct()
     sets = cut(_sets(own.join(wanted, "id", "left_semi"), shingle).dropDuplicates(["node"]))
 
     # sizes alone may rule a pair out: the smaller set cannot be less than ``least`` of the larger one
     may = F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(least) - F.lit(1e-9)
-    links = None
+    links = cut(_alike(close.select("a", "b", F.col("a").alias("l"), F.col("b").alias("m")), sets, least))
+    open_ = _relabelled(open_, links)
     for star in range(STARS + 1):
         each = open_.select("node", "n", "score", "label", "bands", F.explode("keys").alias("key"))
         mixed = cut(_mixed(each))  # only bands with more than one label have pairs to compare
@@ -189,16 +217,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pairs = each.select("key", F.col("node").alias("v"), F.col("n").alias("n2"), F.col("label").alias("l2")).join(centre, "key").filter("l1 <> l2").filter(may)
             pairs = pairs.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.first(F.least("l1", "l2")).alias("l"), F.first(F.greatest("l1", "l2")).alias("m"))
             found = cut(_alike(pairs, sets, least))
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         if whole:
             break
-        joined = connected_components(found, "l", "m").withColumnsRenamed({"node": "label", "component": "to"})
-        now = cut(open_.join(joined, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"))
-        drop_cut(open_, mixed)
-        open_ = now
-    if links is None:
-        return rows.join(nodes.select("node", "rep"), "node").select("id", F.col("rep").alias("keep"))
-    drop_cut(sets, open_)
+        drop_cut(mixed)
+        open_ = _relabelled(open_, found)
+    drop_cut(sets, open_, close)
     classes = cut(connected_components(links))
     named = nodes.select("node", "rep").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keep = named.groupBy("component").agg(F.min("rep").alias("keep"))

@@ -89,3 +89,19 @@ def test_very_long_texts_and_clashing_names(spark):
     kept = nearsets.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 6]
+
+
+def test_fingerprints_are_searched_in_the_gray_order_index(spark, monkeypatch):
+    """The index meets near copies, bands what it cannot; a pair that only looks alike by its fingerprint is no link."""
+    rows = planted(seed=5, n=40)
+    words = rows[0][1].split()
+    assert nearsets.set_fingerprint(nearsets.shingle_set(rows[0][1])) & (1 << 64) - 1 == simhash.fingerprint(rows[0][1], 5)
+    rows += [(500, " ".join([*words[:-1], "other"])), (501, "one two"), (502, "")]
+    found = []
+    monkeypatch.setattr(nearsets, "fingerprint_links", lambda prints: found.append(simhash.fingerprint_links(prints)) or found[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["id"]: r["keep"] for r in nearsets.near_classes(docs).collect()} == brute(rows)
+    assert len(found) == 1 and found[0].count() > 0
+    # far apart in truth, one fingerprint: kept apart by the check on whole sets
+    monkeypatch.setattr(nearsets, "fingerprint_links", lambda prints: prints.crossJoin(prints.select(prints["rep"].alias("b"))).select(prints["rep"].alias("a"), "b").filter("a < b"))
+    assert {r["id"]: r["keep"] for r in nearsets.near_classes(docs).collect()} == brute(rows)
