@@ -54,11 +54,11 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         known = self.words
-        new = list(dict.fromkeys(w for words in split for w in words if w not in known))
+        found = [list(map(known.get, words)) for words in split]  # what is known is looked up once
+        new = list(dict.fromkeys(w for words, ids in zip(split, found) for w, x in zip(words, ids) if x is None))
         if len(known) + len(new) > MEMO_WORDS:
             known.clear()
             known[""] = b""
-            new = list(dict.fromkeys(w for words in split for w in words if w))
         parts = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else (w,) for w in new]
         ask = list(dict.fromkeys(p for word in parts for p in word if p not in known))
         for at in range(0, len(ask), 10_000):
@@ -67,7 +67,7 @@ class WordTokenizer:
                 known[p] = array.array("I", e.ids).tobytes()
         for w, word in zip(new, parts):
             known[w] = b"".join([known[p] for p in word])
-        out = [b"".join([known[w] for w in words]) for words in split]
+        out = [b"".join([known[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids) for words, ids in zip(split, found)]
         for w in (*new, *ask):
             if len(w) > WORD_CHARS:
                 known.pop(w, None)

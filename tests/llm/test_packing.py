@@ -74,3 +74,28 @@ def test_long_texts_and_clashing_names(spark):
     for r in got:
         used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     assert all(sorted(x)[0][0] == 0 and sum(k for _, k in x) <= 4096 for x in used.values())
+
+
+def test_known_words_are_looked_up_once():
+    from mutprox.llm.queries import tokenizer_path
+
+    class Counted(dict):
+        asked = 0
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    made = packing.WordTokenizer(tokenizer_path("word_bpe_49k.json"))
+    texts = ["one two  three\none", None, "", "two new words"]
+    want = made.encode(texts)
+    made.words = Counted(made.words)
+    assert made.encode(texts[:3]) == want[:3] and Counted.asked == 7  # five, one blank for the null and one for the empty text
