@@ -140,3 +140,14 @@ def test_refresh_touches_only_what_changed(spark, tmp_path):
     assert {re.search("uniprot1=(U.)", str(f))[1] for f in same} == {"U0", "U3", "U4"}
     assert {re.search("uniprot1=(U.)", str(f))[1] for f in set(files) - same} == {"U1", "U2"}
     assert refresh.refresh(path, residues, ranges, changed.limit(0)).count() == full.count()
+
+
+def test_ranges_with_the_same_bounds_are_cut_to_the_top_one(spark, monkeypatch):
+    """A table that repeats its ranges is read once and no row of it is taken apart into cells again and again."""
+    from mutprox.operators import ranges
+
+    df, sizes, cut = spark.range(4000).selectExpr("'u' AS u", "cast(id % 4 AS int) AS a", "cast(id % 4 + 2 AS int) AS b", "concat('d', id) AS name", "id AS line"), [], ranges.cut
+    monkeypatch.setattr(ranges, "cut", lambda d: (out := cut(d), sizes.append(out.count()))[0])
+    got = sorted(tuple(r) for r in ranges.top_stretches(df, ["u"], "a", "b", ["line"], ["name"]).collect())
+    assert got == [("u", 0, 0, "d3996"), ("u", 1, 1, "d3997"), ("u", 2, 2, "d3998"), ("u", 3, 5, "d3999")]
+    assert sizes == [4]

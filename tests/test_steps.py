@@ -1,5 +1,8 @@
-from mutprox.operators import annotate, search
+import pytest
+
+from mutprox.operators import annotate, filters, graph, search
 from mutprox.plans.queries import Steps
+from mutprox.session import cut
 
 
 def test_large_tables_are_read_once(spark, monkeypatch):
@@ -17,3 +20,39 @@ def test_large_tables_are_read_once(spark, monkeypatch):
     s, seen = Steps(spark, ""), []
     monkeypatch.setattr(s, "view", lambda name: (seen.append(name), segments)[1])
     assert s.segments() is s.segments() and seen == ["segments"]
+
+
+def _calls(spark, many):
+    """A call of each kind of ``many``, as often as it says, with samples, weights and lines of their own."""
+    cols = "gene string, chromosome string, start_pos long, stop_pos long, classification string, ref string, alt string, sample string, transcript string, aa_change string, weight double, line_no long"
+    rows = [("G", "1", s, s, kind, "A", "C", f"S{k}", "T1", change, float(k), k) for (s, kind, change), n in many.items() for k in range(n)]
+    return spark.createDataFrame(rows, cols)
+
+
+def test_calls_are_counted_in_one_scan(spark, monkeypatch):
+    """Mutations, weights and recurrence stand on one reading of the calls, and count what the calls themselves count."""
+    many = {(5, "Missense_Mutation", "p.A3C"): 7, (5, "In_Frame_Del", "p.A3C"): 4, (8, "Silent", "p.A4C"): 3, (9, None, "p.A5C"): 2, (11, "Missense_Mutation", None): 2}
+    maf, segments = _calls(spark, many), spark.createDataFrame([("T1", "U1", 1, 30, 11, 40)], "transcript string, uniprot string, t_begin long, t_end long, u_begin long, u_end long")
+    s, seen = Steps(spark, ""), []
+    monkeypatch.setattr(s, "view", lambda name: (seen.append(name), {"maf": maf, "segments": segments}[name])[1])
+    assert [tuple(r) for r in s.mutations().select("aa_change", "u_pos").collect()] == [("p.A3C", 13)]
+    got = sorted(tuple(r) for r in s.weights().select("mutation_key", "protein_key", "weight").collect())
+    assert got == sorted(tuple(r) for r in graph.mutation_weights(filters.cluster_mutations(maf)).select("mutation_key", "protein_key", "weight").collect())
+    assert got == [("G:1:11:11", "T1", 2.0), ("G:1:5:5", "T1:p.A3C", 11.0)]
+    assert seen.count("maf") == 1
+
+
+def test_no_call_is_parsed_before_calls_are_distinct(spark):
+    """The filters on positions stay behind the cut to distinct rows, so that the pattern is not run over every call."""
+    segments = spark.createDataFrame([("T1", "U1", 1, 30, 11, 40)], "transcript string, uniprot string, t_begin long, t_end long, u_begin long, u_end long")
+    cosmic = spark.createDataFrame([("T1", "p.A3C", "lung")] * 9, "transcript string, aa_change string, tissue string")
+    ran = []
+    for made in (lambda: search.place_mutations(_calls(spark, {(5, "Missense_Mutation", "p.A3C"): 9}), segments), lambda: annotate.cosmic_points(cosmic, segments)):
+        written = []
+        with pytest.MonkeyPatch.context() as m:
+            for module in (search, annotate):
+                m.setattr(module, "cut", lambda df: (written.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df))[1])
+            assert made().count() == 1
+        assert written and not any("regexp" in plan for plan in written)
+        ran.append(written)
+    assert len(ran) == 2
