@@ -107,3 +107,15 @@ def test_running_sums_over_one_large_group(spark):
             assert (r["n"], r["total"]) == (at, total)
         assert len(mine) == sum(x[0] == g for x in rows)
     assert running(spark.createDataFrame([], "g string, k int"), ["g"], ["k"], number="n").count() == 0
+
+
+def test_rounds_of_paths_are_dealt_and_added_up_by_hash(spark, monkeypatch):
+    """Few bytes make many rows in a round: they are dealt to tasks first, and no round sorts what it adds up."""
+    edges = [(a, a + 1, 1.0) for a in range(6)] + [(0, 6, 9.0)]
+    df, pairs = tables(spark, 7, edges, [])
+    components, rounds, cut = graph.super_clusters(df), [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda d: (rounds.append(d._jdf.queryExecution().executedPlan().toString()), cut(d))[1])
+    got = {(r["key1"], r["key2"]): r["geodesic"] for r in graph.geodesics(df, pairs, components).collect() if r["structure"] == "s"}
+    assert got["k000", "k006"] == 6.0 and len(got) == 49
+    rounds = rounds[2:]  # the first two are the arcs and the start
+    assert rounds and all("SortAggregate" not in p and "REPARTITION_BY_NUM" in p for p in rounds)
