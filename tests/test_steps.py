@@ -56,3 +56,13 @@ def test_no_call_is_parsed_before_calls_are_distinct(spark):
         assert written and not any("regexp" in plan for plan in written)
         ran.append(written)
     assert len(ran) == 2
+
+
+def test_residue_pairs_are_dealt_before_mutations_multiply_them(spark):
+    """A few pairs that many mutations share would be read, and multiplied out, by one task."""
+    mutations = spark.createDataFrame([("G", "1", p, p, f"p.A{p}{x}", "U", p) for p in (3, 9) for x in "CDEF"], "gene string, chromosome string, start_pos long, stop_pos long, aa_change string, uniprot string, u_pos long")
+    info = "info array<struct<distance:double,pdb:string,p_value:double>>"
+    prox = spark.createDataFrame([("U", "A", 3, 0, "ALA", "U", "A", 9, 0, "GLY", [(4.0, "P", 0.01)])], f"uniprot1 string, chain1 string, pos1 int, off1 int, name1 string, uniprot2 string, chain2 string, pos2 int, off2 int, name2 string, {info}")
+    met = search.mutation_pairs(mutations, prox)
+    assert met.count() == 16 and search.gather_pairwise(met).count() == 16
+    assert "REPARTITION_BY_NUM" in met._jdf.queryExecution().executedPlan().toString()
