@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from mutprox.operators import annotate, filters, graph, search
@@ -66,3 +68,36 @@ def test_residue_pairs_are_dealt_before_mutations_multiply_them(spark):
     met = search.mutation_pairs(mutations, prox)
     assert met.count() == 16 and search.gather_pairwise(met).count() == 16
     assert "REPARTITION_BY_NUM" in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_a_vertex_are_counted_and_not_multiplied_out(spark):
+    """Edges from counted pairs are the edges of all pairs: several places a mutation, several rows a place, both directions, ends that share a vertex."""
+    rng = random.Random(5)
+    mutations = [(f"G{p % 2}", "1", p + s, p + s, f"p.A{p}{x}", t, f"U{(p + t) % 2}", p + 3 * t) for p in (3, 4, 9) for s in (0, 1) for x in "CDEF"[: 1 + rng.randrange(4)] for t in range(1 + (x == "C"))]
+    mutations = spark.createDataFrame(mutations, "gene string, chromosome string, start_pos long, stop_pos long, aa_change string, transcript int, uniprot string, u_pos long")
+    spots = [(f"U{u}", p) for u in (0, 1) for p in range(3, 13)]
+    rows = []
+    for _ in range(300):
+        (u1, p1), (u2, p2) = rng.choice(spots), rng.choice(spots)
+        infos = sorted((float(rng.randrange(4, 14)), rng.choice("PQ"), 0.01) for _ in range(1 + rng.randrange(3)))
+        rows.append((u1, rng.choice("AB"), p1, 0, "ALA", u2, rng.choice("AB"), p2, 0, rng.choice(("GLY", "GLY", "HOH")), infos))
+    prox = spark.createDataFrame(rows, "uniprot1 string, chain1 string, pos1 int, off1 int, name1 string, uniprot2 string, chain2 string, pos2 int, off2 int, name2 string, info array<struct<distance:double,pdb:string,p_value:double>>")
+    s, got = Steps(spark, ""), search.vertex_pairs(mutations, prox)
+    edges = lambda df: {(r["key1"], r["key2"]): r["distance"] for r in df.collect()}
+    all_pairs = search.gather_pairwise(search.mutation_pairs(mutations, prox))
+    want = edges(graph.pair_distance(s.links(all_pairs), max_distance=10.0))
+    found = edges(graph.pair_distance(s.links(got, "n"), max_distance=10.0, n="n"))
+    assert want and found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
+    different = all_pairs.filter("not (gene1 <=> gene2 and start_pos1 <=> start_pos2)")
+    assert got.agg({"n": "sum"}).head()[0] == different.count() > got.count()
+
+
+def test_edges_do_not_read_all_pairs(spark, monkeypatch):
+    s = Steps(spark, "")
+    monkeypatch.setattr(s, "pairs", lambda: pytest.fail("pairs were multiplied out"))
+    mutations = spark.createDataFrame([("G", "1", p, p, f"p.A{p}{x}", "U", p) for p in (3, 9) for x in "CDEF"], "gene string, chromosome string, start_pos long, stop_pos long, aa_change string, uniprot string, u_pos long")
+    info = "info array<struct<distance:double,pdb:string,p_value:double>>"
+    prox = spark.createDataFrame([("U", "A", 3, 0, "ALA", "U", "A", 9, 0, "GLY", [(4.0, "P", 0.01)])], f"uniprot1 string, chain1 string, pos1 int, off1 int, name1 string, uniprot2 string, chain2 string, pos2 int, off2 int, name2 string, {info}")
+    monkeypatch.setattr(s, "mutations", lambda: mutations)
+    monkeypatch.setattr(s, "prior", lambda: prox)
+    assert [tuple(r) for r in s.edges().collect()] == [("any", "G:1:3:3", "G:1:9:9", 4.0)]
