@@ -1,4 +1,6 @@
 import random
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pytest
@@ -119,3 +121,37 @@ def test_rounds_of_paths_are_dealt_and_added_up_by_hash(spark, monkeypatch):
     assert got["k000", "k006"] == 6.0 and len(got) == 49
     rounds = rounds[2:]  # the first two are the arcs and the start
     assert rounds and all("SortAggregate" not in p and "REPARTITION_BY_NUM" in p for p in rounds)
+
+
+def test_rounds_of_paths_read_nothing_to_go_on(spark, monkeypatch):
+    """What the next round starts from is seen while a round is written, not by reading it again."""
+    df, pairs = tables(spark, 4, [(0, 1, 1.0), (1, 2, 2.0), (2, 3, 3.0)], [])
+    components = graph.super_clusters(df)
+    monkeypatch.setattr(type(df), "head", lambda *_: pytest.fail("a round was read"))
+    got = {(r["key1"], r["key2"]): r["geodesic"] for r in graph.geodesics(df, pairs, components, 5.0, 2.0).collect() if r["structure"] == "s"}
+    assert got["k000", "k002"] == 3.0 and got["k001", "k003"] == 5.0 and ("k000", "k003") not in got
+
+
+def test_exponential_scores_make_no_other_scores(spark, monkeypatch):
+    from mutprox.plans import queries
+
+    class Small:
+        def __init__(self, *_):
+            self.edges = lambda: spark.createDataFrame([("any", "a", "b", 2.0)], EDGES)
+            self.weights = lambda: spark.createDataFrame([(k, "A:C", f"T:p.A{n}C", "G", float(n)) for n, k in enumerate("ab", 1)], "mutation_key string, ref_alt string, protein_key string, gene string, weight double")
+
+    made, real = [], graph.vertex_scores
+    monkeypatch.setattr(queries, "Steps", Small)
+    monkeypatch.setattr(graph, "vertex_scores", lambda *a, **k: (made.append(k), real(*a, **k))[1])
+    got = {r["key"]: r["score"] for r in queries.exponential_scores(spark, "").collect()}
+    want = lambda d1, d2: round(np.exp(1 / 20 - d1 / 10) + 2 * np.exp(2 / 20 - d2 / 10), 6)
+    assert got == {"a": want(0, 2), "b": want(2, 0)} and made == [{"score": "exponentials"}]
+
+
+def test_counted_pairs_are_rounded_like_pairs(spark):
+    """Ten pairs at 0.1 have the mean of ten additions, not 0.1: a path that ends at a cutoff falls on the same side."""
+    cols = "key1 string, key2 string, chain1 string, chain2 string, info array<struct<distance:double,pdb:string,p_value:double>>"
+    row = ("a", "b", "A", "A", [(0.1, "P", 0.01)])
+    counted = graph.pair_distance(spark.createDataFrame([(*row, 10)], f"{cols}, n long").coalesce(1), max_distance=10.0, n="n")
+    singly = graph.pair_distance(spark.createDataFrame([row] * 10, cols).coalesce(1), max_distance=10.0)
+    assert counted.head()["distance"] == singly.head()["distance"] == reduce(add, [0.1] * 10) / 10 != 0.1
