@@ -8,17 +8,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mutprox.operators.components import connected_components
-from mutprox.operators.forest import forest_order
+from mutprox.operators.forest import walkable
 from mutprox.operators.scan import running
 from mutprox.session import cut, ship
 
 PARTS = ["structure", "run", "component"]
-#: Vertices of a component that one task may walk.
+#: Vertices of a component that are walked by their keys and all edges; more are numbered and their edges thinned out before.
 FITS = 20_000
 
 
@@ -39,65 +40,108 @@ def core_vertices(edges: DataFrame, weights: DataFrame, eps: float = 10.0, min_p
     return summed.filter(F.col("sum") >= min_pts).groupBy("structure", F.col("key1").alias("key")).agg(F.min("distance").alias("core_distance"))
 
 
-def _expand(start: str, near: dict, core: dict, site: dict, eps: float, done: dict[str, float]) -> None:
-    """Put all that ``start`` reaches into ``done`` in order. Of equal reachabilities a vertex at the last one's site comes first, then a core, then the smallest key."""
-    reach, heap, last = {start: eps}, [(eps, False, start)], None
-    while heap:
-        r, edge, k = heapq.heappop(heap)
-        if k in done or r > reach[k]:
-            continue
-        same = min(((o not in core, o) for o in site.get(last, ()) if o not in done and reach.get(o) == r), default=None)
-        if same is not None and same[1] != k:
-            heapq.heappush(heap, (r, edge, k))
-            k = same[1]
-        done[k], last = r, k
-        if k in core:
-            for b, d in near[k]:
-                far = max(core[k], d)
-                if b not in done and far < reach.get(b, np.inf):
-                    reach[b] = far
-                    heapq.heappush(heap, (far, b not in core, b))
-
+def _walk(a: np.ndarray, b: np.ndarray, d: np.ndarray, weight: list[float], site: dict[int, set[int]], eps: float, min_pts: float, rng: random.Random) -> tuple[list[int], list[float], list[float | None]]:
+    """Vertices of one component in order, their bars, and the core distance of every vertex that is a core.
 
-def _optics(rows: pd.DataFrame, eps: float, min_pts: float, seed: int) -> pd.DataFrame:
-    """One run over one component: cores in shuffled order are expanded by reachability, then what is left follows."""
-    run, structure, component = int(rows["run"].iloc[0]), rows["structure"].iloc[0], rows["component"].iloc[0]
-    near: dict[str, list[tuple[str, float]]] = {}
-    site: dict[str, set[str]] = {}
-    weight: dict[str, float] = {}
-    for kind, a, b, d, wa, wb in zip(rows["kind"], rows["key1"], rows["key2"], rows["distance"], rows["w1"], rows["w2"]):
-        if kind == "site":
-            site.setdefault(a, set()).add(b)
-            site.setdefault(b, set()).add(a)
-            continue
-        weight[a] = wa
-        near.setdefault(a, [])
-        if kind == "edge":
-            weight[b] = wb
-            near[a].append((b, d))
-            near.setdefault(b, []).append((a, d))
-    core: dict[str, float] = {}
-    for k, others in near.items():
+    Vertices are numbered as their keys are sorted; ``a``, ``b``, ``d``: edges. Cores in shuffled order are expanded by reachability,
+    then what is left follows. Of equal reachabilities a vertex at the last one's site comes first, then a core, then the smallest.
+    """
+    n = len(weight)
+    one, other, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+    by = np.lexsort((other, far, one))
+    at = np.searchsorted(one[by], np.arange(n + 1)).tolist()
+    other, far = other[by], far[by]
+    del one, by
+    near = lambda k: zip(other[at[k] : at[k + 1]].tolist(), far[at[k] : at[k + 1]].tolist())
+    core: list[float | None] = [None] * n
+    for k in range(n):
         total = weight[k]
         if total >= min_pts:
             core[k] = 0.0
-        for b, d in sorted(others, key=lambda x: (x[1], x[0])):
-            if k in core:
-                break
-            total += weight[b]
+            continue
+        for o, x in near(k):
+            total += weight[o]
             if total >= min_pts:
-                core[k] = d
-    rng = random.Random(f"{seed}/{structure}/{component}/{run}")
-    heads, rest = sorted(core), sorted(set(near) - set(core))
+                core[k] = x
+                break
+    heads, rest = [k for k in range(n) if core[k] is not None], [k for k in range(n) if core[k] is None]
     rng.shuffle(heads)
     rng.shuffle(rest)
-    done: dict[str, float] = {}
+    order: list[int] = []
+    bars: list[float] = []
+    done, reach = bytearray(n), [np.inf] * n
     for start in [*heads, *rest]:
-        if start not in done:
-            _expand(start, near, core, site, eps, done)
-    keys, rd = list(done), list(done.values())
+        if done[start]:
+            continue
+        reach[start], heap, last = eps, [(eps, False, start)], None
+        while heap:
+            r, edge, k = heapq.heappop(heap)
+            if done[k] or r > reach[k]:
+                continue
+            same = min(((core[o] is None, o) for o in site.get(last, ()) if not done[o] and reach[o] == r), default=None)
+            if same is not None and same[1] != k:
+                heapq.heappush(heap, (r, edge, k))
+                k = same[1]
+            done[k], last = 1, k
+            order.append(k)
+            bars.append(r)
+            if core[k] is not None:
+                for o, x in near(k):
+                    x = max(core[k], x)
+                    if not done[o] and x < reach[o]:
+                        reach[o] = x
+                        heapq.heappush(heap, (x, core[o] is None, o))
+    return order, bars, core
+
+
+def _order(key: tuple[str, str, int], a: np.ndarray, b: np.ndarray, d: np.ndarray, weight: np.ndarray, sites: Iterator[tuple[int, int]], eps: float, min_pts: float, seed: int) -> tuple[np.ndarray, dict]:
+    """The walk of one run over one component (``key``: structure, component, run), and its columns from ``ord`` on but for the key."""
+    site: dict[int, set[int]] = {}
+    for x, y in sites:
+        site.setdefault(x, set()).add(y)
+        site.setdefault(y, set()).add(x)
+    structure, component, run = key
+    order, rd, core = _walk(a, b, d, weight.tolist(), site, eps, min_pts, random.Random(f"{seed}/{structure}/{component}/{run}"))
     up, until = tree_of(rd)
-    return pd.DataFrame({"structure": structure, "run": run, "component": component, "ord": np.arange(len(keys)), "key": keys, "rd": rd, "cd": [core.get(k, eps) for k in keys], "weight": [weight[k] for k in keys], "up": pd.array(up, "Int64"), "until": until})
+    at = np.array(order, np.int64)
+    return at, {"ord": np.arange(len(at)), "rd": rd, "cd": [eps if core[k] is None else core[k] for k in order], "weight": weight[at], "up": pd.array(up, "Int64"), "until": until}
+
+
+def _optics(rows: pd.DataFrame, eps: float, min_pts: float, seed: int) -> pd.DataFrame:
+    """One run over one component, its vertices named by their keys."""
+    run, structure, component = int(rows["run"].iloc[0]), rows["structure"].iloc[0], rows["component"].iloc[0]
+    ends, edges, twins = (rows[f] for f in (rows["kind"] != "site", rows["kind"] == "edge", rows["kind"] == "site"))
+    keys = pd.Index(np.unique(np.concatenate([ends["key1"], edges["key2"]])))
+    weight = np.zeros(len(keys))
+    weight[keys.get_indexer(ends["key1"])] = ends["w1"]
+    a, b = keys.get_indexer(edges["key1"]), keys.get_indexer(edges["key2"])
+    weight[b] = edges["w2"]
+    sites = zip(keys.get_indexer(twins["key1"]).tolist(), keys.get_indexer(twins["key2"]).tolist())
+    at, cols = _order((structure, component, run), a, b, edges["distance"].to_numpy(np.float64), weight, ((x, y) for x, y in sites if x >= 0 and y >= 0), eps, min_pts, seed)
+    return pd.DataFrame({"structure": structure, "run": run, "component": component, "key": keys.to_numpy()[at], **cols})
+
+
+#: Kinds of the rows that a numbered component comes in.
+VERTEX, EDGE, SITE = 0, 1, 2
+
+
+def _numbered(key: tuple[str, str, int], batches: Iterator[pa.RecordBatch], eps: float, min_pts: float, seed: int) -> Iterator[pa.RecordBatch]:
+    """One run over one component, its vertices named by numbers in the order of their keys; only the numbers of its rows are held."""
+    held = [[x[c].to_numpy(zero_copy_only=False) for c in ("kind", "v1", "v2", "x")] for x in batches]
+    kind, v1, v2, x = (np.concatenate(c) for c in zip(*held))
+    del held
+    at = np.flatnonzero(kind == VERTEX)
+    at = at[np.argsort(v1[at])]
+    ids, weight = v1[at], x[at]
+    code = lambda of, v: np.searchsorted(ids, v[kind == of]).astype(np.int32)
+    a, b, d = code(EDGE, v1), code(EDGE, v2), x[kind == EDGE]
+    sites = zip(code(SITE, v1).tolist(), code(SITE, v2).tolist())
+    del kind, v1, v2, x
+    at, cols = _order(key, a, b, d, weight, sites, eps, min_pts, seed)
+    found = pa.Table.from_pandas(pd.DataFrame({"v": ids[at], **cols}), preserve_index=False)
+    for name, value in zip(("component", "run", "structure"), (key[1], key[2], key[0])):
+        found = found.add_column(0, name, pa.repeat(pa.scalar(value, pa.int32() if name == "run" else pa.string()), len(found)))
+    yield from found.to_batches(max_chunksize=50_000)
 
 
 def tree_of(rd: list[float]) -> tuple[list[int | None], list[int]]:
@@ -113,6 +157,7 @@ def tree_of(rd: list[float]) -> tuple[list[int | None], list[int]]:
 
 
 ORDER = "structure string, run int, component string, ord long, key string, rd double, cd double, weight double, up long, until long"
+NUMBERED = "structure string, run int, component string, v long, ord long, rd double, cd double, weight double, up long, until long"
 
 
 #: Super clusters of one order that a group function gets at once: enough of them to make up for its call.
@@ -153,8 +198,8 @@ def optics_order(edges: DataFrame, weights: DataFrame, eps: float = 10.0, min_pt
     order of all of them is any sequence of theirs. A vertex with longer edges only is a component of its own. Vertices
     without a weight are left out. ``same_site``: key1, key2 of vertices at one protein place, which decide ties.
 
-    Components of up to ``fits`` vertices are walked in one task each; larger ones get the order of :mod:`forest`, whose
-    islands of cores are the same at any cut but whose ties go by the shuffle.
+    Each component is walked in a task. Those of more than ``fits`` vertices go there as numbers, and without the edges that
+    no order goes along (:mod:`forest`); their order is the same as with all edges.
     """
     spark = ship(edges.sparkSession)
     w = lambda n: weights.select(F.col("key").alias(f"key{n}"), F.col("weight").alias(f"w{n}"))
@@ -164,6 +209,7 @@ def optics_order(edges: DataFrame, weights: DataFrame, eps: float = 10.0, min_pt
     sizes = every.groupBy("structure", "component").agg(F.count(F.lit(1)).alias("n"))
     every = cut(every.join(sizes, ["structure", "component"]).select("structure", "key", "component", (F.col("n") > fits).alias("large")))
     wide, own = every.filter("large").drop("large"), every.filter("not large").drop("large")
+    shuffles = F.broadcast(spark.range(runs).select(F.col("id").cast("int").alias("run")))
     one = own.withColumnRenamed("key", "key1")
     none = F.lit(None)
     cols = ["structure", "component", "kind", "key1", "key2", "distance", "w1", "w2"]
@@ -175,13 +221,29 @@ def optics_order(edges: DataFrame, weights: DataFrame, eps: float = 10.0, min_pt
         two = own.withColumnRenamed("key", "key2")
         pairs = same_site.select("key1", "key2").join(one, "key1").join(two, ["structure", "component", "key2"])
         rows = rows.unionByName(pairs.select("structure", "component", F.lit("site").alias("kind"), "key1", "key2", *[none.cast("double").alias(c) for c in ("distance", "w1", "w2")]))
-    rows = rows.crossJoin(F.broadcast(spark.range(runs).select(F.col("id").cast("int").alias("run"))))
-    walked = rows.groupBy("structure", "component", "run").applyInPandas(lambda rows: _optics(rows, eps, min_pts, seed), ORDER)
+    walked = rows.crossJoin(shuffles).groupBy("structure", "component", "run").applyInPandas(lambda rows: _optics(rows, eps, min_pts, seed), ORDER)
     if wide.isEmpty():
         return walked
-    inside = close.join(wide.select("structure", F.col("key").alias("key1")), ["structure", "key1"]).select("structure", "key1", "key2", "distance")
-    members = wide.join(weights.select("key", "weight"), "key").select("structure", "component", "key", "weight")
-    return walked.unionByName(forest_order(inside, members, cut(core_vertices(inside, weights, eps, min_pts)), runs, seed, eps))
+    ids = cut(running(wide.join(weights.select("key", "weight"), "key"), [], ["structure", "component", "key"], number="v"))
+    name = lambda n: ids.select("structure", "component", F.col("key").alias(f"key{n}"), F.col("v").alias(f"v{n}"))
+    inside = close.join(name(1), ["structure", "key1"]).join(name(2), ["structure", "component", "key2"])
+    inside = cut(inside.select("structure", "component", "key1", "key2", "v1", "v2", "distance"))
+    # sums are rounded as they are added up: a mark that is a trifle higher makes no core distance less than the walk's
+    cores = core_vertices(inside.select("structure", "key1", "key2", "distance"), weights, eps, min_pts * (1 + 1e-9)).join(ids, ["structure", "key"]).select("v", "core_distance")
+    paths = walkable(inside.select("structure", "component", "v1", "v2", "distance"), cut(cores))
+    row = lambda kind, v1, v2, x: [F.lit(kind).alias("kind"), v1.alias("v1"), v2.alias("v2"), x.cast("double").alias("x")]
+    v1, v2, nil = F.col("v1"), F.col("v2"), F.lit(0).cast("long")
+    rows = ids.select("structure", "component", *row(VERTEX, F.col("v"), nil, F.col("weight"))).unionByName(paths.select("structure", "component", *row(EDGE, v1, v2, F.col("distance"))))
+    if same_site is not None:
+        pairs = same_site.select("key1", "key2").join(name(1), "key1").join(name(2), ["structure", "component", "key2"])
+        rows = rows.unionByName(pairs.select("structure", "component", *row(SITE, v1, v2, F.lit(0.0))))
+
+    def walk(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _numbered(tuple(x.as_py() for x in key), batches, eps, min_pts, seed)
+
+    found = rows.crossJoin(shuffles).groupBy("structure", "component", "run").applyInArrow(walk, NUMBERED)
+    found = found.join(ids.select("v", "key"), "v").select(*walked.columns)
+    return walked.unionByName(found)
 
 
 def _parts(order: DataFrame) -> list[str]:

@@ -1,99 +1,78 @@
-"""Reachability orders of components of any size: a merge tree by rounds of joins, numbered by a prefix scan.
+"""Edges of components of any size that a reachability order may go along; an order over them is the order over all edges.
 
-Two cores are as near as the largest of their core distances and their own distance, a border is as near as its nearest core
-lets it be. Vertices are numbered at random, cores first, and every vertex but the first of its tree ends where its
-cluster first meets a smaller number: (vertex, elder, distance) are the rows of the merge tree. They come from the edges in
-rounds: the larger end keeps its nearest edge, and its other edges move on to the vertices behind it. The edges that
-are left are a minimum spanning forest, so further orders slide over these alone. A vertex stands behind its elder, and
-those of one elder stand by distance; so each cluster of any cut is one stretch of the order.
+The walk of ``density`` leaves a core p for its neighbour o at the larger of p's core distance and their own distance. Once p
+is done, all that p reaches by nearer steps is done before that step is looked at. So an edge longer than the core distances of both its ends is
+never taken where cores that are nearer join these ends, and it has no say in a core distance or a tie. All other
+edges stay: those within the core distance of an end, those to a vertex that is no core, and of the longer ones those of any
+minimum spanning tree.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mutprox.operators.scan import running
-from mutprox.session import cut, drop_cut
+from mutprox.session import cut, drop_cut, ship
 
-RUN = ["structure", "run"]
+#: Edges that one task looks through at once.
+BLOCK = 500_000
 
 
-def mutual_reachability(close: DataFrame, cores: DataFrame) -> DataFrame:
-    """``structure, key1, key2, w``: edges between cores, and the nearest core of every other vertex that has one.
+def _spanned(a: np.ndarray, b: np.ndarray, w: np.ndarray, loose: np.ndarray) -> np.ndarray:
+    """Which of the ``loose`` edges join ends that edges of less ``w`` join already."""
+    ids, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = list(range(len(ids)))
 
-    ``close``: structure, key1, key2, distance; ``cores``: structure, key, core_distance.
-    """
-    end = lambda n: cores.select("structure", F.col("key").alias(f"key{n}"), F.col("core_distance").alias(f"cd{n}"))
-    met = close.join(end(1), ["structure", "key1"], "left").join(end(2), ["structure", "key2"], "left")
-    inner = met.filter("cd1 is not null and cd2 is not null").select("structure", "key1", "key2", F.greatest("distance", "cd1", "cd2").alias("w"))
-    one = lambda a, b: met.filter(F.col(f"cd{a}").isNull() & F.col(f"cd{b}").isNotNull()).select("structure", F.col(f"key{a}").alias("key1"), F.struct(F.greatest("distance", f"cd{b}").alias("w"), F.col(f"key{b}").alias("key2")).alias("m"))
-    border = one(1, 2).unionByName(one(2, 1)).groupBy("structure", "key1").agg(F.min("m").alias("m")).select("structure", "key1", "m.key2", "m.w")
-    return inner.unionByName(border)
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
 
+    by = np.argsort(w, kind="stable")
+    ends, near, open_ = np.stack([code[: len(a)], code[len(a) :]], 1)[by].tolist(), w[by], loose[by].tolist()
+    starts = np.flatnonzero(np.diff(near, prepend=-np.inf)).tolist()
+    out = np.zeros(len(w), bool)
+    for s, e in zip(starts, [*starts[1:], len(by)]):
+        # edges of one length are judged before any of them joins its ends
+        for k in range(s, e):
+            out[by[k]] = open_[k] and find(ends[k][0]) == find(ends[k][1])
+        for k in range(s, e):
+            x, y = find(ends[k][0]), find(ends[k][1])
+            parent[max(x, y)] = min(x, y)
+    return out
 
-def _slide(edges: DataFrame) -> DataFrame:
-    """``structure, run, v, elder, w, key1, key2``: the merge tree of edges ``hi, lo, w`` between numbers; key1, key2 name the edge it came by."""
-    now = cut(edges)
-    while True:
-        # one order of all edges, whatever ends they have by now: an edge moves along smaller ones only
-        best = now.groupBy(*RUN, "hi").agg(F.min(F.struct("w", "key1", "key2", "lo")).alias("m"))
-        met = now.join(best, [*RUN, "hi"])
-        rest = met.filter(F.col("lo") != F.col("m.lo")).select(*RUN, F.greatest("lo", "m.lo").alias("hi"), F.least("lo", "m.lo").alias("lo"), F.struct("w", "key1", "key2").alias("e"), F.lit(True).alias("moved"))
-        kept = best.select(*RUN, "hi", "m.lo", F.struct("m.w", "m.key1", "m.key2").alias("e"), F.lit(False).alias("moved"))
-        step = kept.unionByName(rest).groupBy(*RUN, "hi", "lo").agg(F.min("e").alias("e"), F.bool_or("moved").alias("moved"))
-        last, now = now, cut(step.select(*RUN, "hi", "lo", "e.*", "moved"))
-        drop_cut(last)
-        if now.filter("moved").isEmpty():
-            break
-    # an elder that has ended by then hands on to its own
-    now = cut(now.select(*RUN, F.col("hi").alias("v"), F.col("lo").alias("elder"), "w", "key1", "key2", F.lit(True).alias("moved")))
-    while not now.filter("moved").isEmpty():
-        up = now.select(*RUN, F.col("v").alias("elder"), F.col("elder").alias("next"), F.col("w").alias("till"))
-        hands = F.coalesce(F.col("till") <= F.col("w"), F.lit(False))
-        step = now.join(up, [*RUN, "elder"], "left").select(*RUN, "v", F.when(hands, F.col("next")).otherwise(F.col("elder")).alias("elder"), "w", "key1", "key2", hands.alias("moved"))
-        last, now = now, cut(step)
-        drop_cut(last)
-    return now.drop("moved")
 
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = list(batches)
+    if held:
+        rows = pa.Table.from_batches(held)
+        gone = _spanned(*(rows[c].to_numpy() for c in ("v1", "v2", "w", "loose")))
+        yield from rows.filter(pa.array(~gone)).to_batches()
 
-def _paths(tree: DataFrame, roots: DataFrame, eps: float) -> DataFrame:
-    """``structure, run, v, w, elder, path``: each vertex's way down from the root as (distance, number); lengths double from round to round."""
-    rows = tree.select(*RUN, "v", "elder", "w").unionByName(roots.select(*RUN, "v", F.lit(None).cast("long").alias("elder"), F.lit(eps).alias("w")))
-    now = cut(rows.select(*RUN, "v", "elder", "w", F.col("elder").alias("top"), F.array(F.struct("w", "v")).alias("path")))
-    while not now.filter("top is not null").isEmpty():
-        up = now.select(*RUN, F.col("v").alias("top"), F.col("top").alias("next"), F.col("path").alias("ahead"))
-        step = now.join(up, [*RUN, "top"], "left").select(*RUN, "v", "elder", "w", F.col("next").alias("top"), F.concat(F.coalesce("ahead", F.array().cast(up.schema["ahead"].dataType)), "path").alias("path"))
-        last, now = now, cut(step)
-        drop_cut(last)
-    return now.drop("top")
 
+def walkable(edges: DataFrame, cores: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``edges`` (v1, v2, distance and others) without those that no order goes along.
 
-def forest_order(close: DataFrame, members: DataFrame, cores: DataFrame, runs: int, seed: int, eps: float) -> DataFrame:
-    """Orders as of ``density.optics_order`` for the components of ``members`` (structure, component, key, weight), with ``up`` and ``until``.
-
-    Every run numbers the vertices anew, so it begins with another core of each tree. Bars are mutual reachabilities, and islands of
-    cores at any cut are those of the sequential order.
+    ``cores``: v, core_distance, not less than what the walk finds; a vertex that lacks there keeps its edges. Edges are dealt to
+    tasks by ranges of their ends, and what is left to fewer tasks, as long as that thins them out. A task drops only what
+    its own edges span, so what is dropped may differ with the dealing, but no order does.
     """
-    spark = close.sparkSession
-    shuffles = spark.range(runs).select(F.col("id").cast("int").alias("run"))
-    known = members.join(cores, ["structure", "key"], "left").crossJoin(F.broadcast(shuffles))
-    border = F.col("core_distance").isNull()
-    ids = cut(running(known, RUN, [border, F.xxhash64(F.lit(seed), "structure", "run", "key"), "key"], number="v"))
-    name = lambda n: ids.select(*RUN, F.col("key").alias(f"key{n}"), F.col("v").alias(f"v{n}"))
-
-    def numbered(edges: DataFrame) -> DataFrame:
-        met = edges.join(name(1), [c for c in ("structure", "run", "key1") if c in edges.columns]).join(name(2), [*RUN, "key2"])
-        return met.groupBy(*RUN, F.greatest("v1", "v2").alias("hi"), F.least("v1", "v2").alias("lo")).agg(F.min(F.struct("w", "key1", "key2")).alias("m")).select(*RUN, "hi", "lo", "m.*")
-
-    graph = mutual_reachability(close, cores)
-    first = _slide(numbered(graph.withColumn("run", F.lit(0))))
-    tree = first if runs == 1 else _slide(numbered(first.select("structure", "key1", "key2", "w")))
-    roots = ids.join(tree.select(*RUN, "v"), [*RUN, "v"], "left_anti")
-    paths = _paths(tree, roots, eps)
-    rows = paths.join(ids.select(*RUN, "v", "key", "component", "weight", F.coalesce("core_distance", F.lit(eps)).alias("cd")), [*RUN, "v"])
-    order = cut(running(rows, [*RUN, "component"], ["path"], number="ord"))
-    sizes = order.select(*RUN, F.explode("path.v").alias("v")).groupBy(*RUN, "v").agg(F.count(F.lit(1)).alias("n"))
-    elders = order.select(*RUN, F.col("v").alias("elder"), F.col("ord").alias("up"))
-    found = order.join(sizes, [*RUN, "v"]).join(elders, [*RUN, "elder"], "left")
-    return found.select("structure", "run", "component", "ord", "key", F.col("w").alias("rd"), "cd", "weight", "up", (F.col("ord") + F.col("n") - 1).alias("until"))
+    ship(edges.sparkSession)
+    end = lambda n: cores.select(F.col("v").alias(f"v{n}"), F.col("core_distance").alias(f"cd{n}"))
+    met = cut(edges.join(end(1), "v1", "left").join(end(2), "v2", "left"))
+    inner = F.col("cd1").isNotNull() & F.col("cd2").isNotNull()
+    now = cut(met.filter(inner).select(*edges.columns, F.greatest("distance", "cd1", "cd2").alias("w"), (F.col("distance") > F.greatest("cd1", "cd2")).alias("loose")))
+    n, along = now.count(), ["v1", "v2"]
+    while True:
+        tasks = max(1, -(-n // block))
+        last, now = now, cut(now.repartitionByRange(tasks, *along).mapInArrow(_thin, now.schema))
+        drop_cut(last)
+        left = now.count()
+        if tasks == 1 or left > 0.9 * n:
+            break
+        n, along = left, along[::-1]
+    return met.filter(~inner).select(*edges.columns).unionByName(now.select(*edges.columns))

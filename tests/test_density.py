@@ -3,7 +3,7 @@ import random
 import pandas as pd
 import pytest
 
-from mutprox.operators import density
+from mutprox.operators import density, forest
 
 EDGES = "structure string, key1 string, key2 string, distance double"
 
@@ -312,3 +312,45 @@ def test_super_clusters_are_cut_in_batches(spark):
     got = [(r["super_id"], r["level"], r["sub_id"], r["first"], r["last"], round(r["cut"], 9), round(r["density"], 9), r["covering"]) for r in density.density_clusters(order_table(spark, [(rd, weight)])).collect()]
     want = [(*x[:5], round(x[5], 9), round(x[6], 9), x[7]) for x in brute_levels(rd, weight)]
     assert max(x[0] for x in want) > density.BATCH and sorted(got) == sorted(want)
+
+
+def near_places(n, seed):
+    """Edges of up to 10 between random places, of two structures: any distances, and many that are equal."""
+    rng = random.Random(seed)
+    rows = []
+    for s, step, wide in (("s", None, 25), ("t", 2, 30)):
+        at = [tuple(rng.uniform(0, wide) for _ in range(3)) for _ in range(n)]
+        for i in range(n):
+            for j in range(i):
+                d = sum((x - y) ** 2 for x, y in zip(at[i], at[j])) ** 0.5
+                d = d if step is None else max(1.0, round(d / step) * step)
+                if d <= 10:
+                    rows.append((s, f"k{j:03d}", f"k{i:03d}", float(d)))
+    return [*rows, ("s", "far1", "far2", 12.0), rows[0]]
+
+
+def test_order_and_clusters_do_not_depend_on_the_size(spark):
+    """Components on either side of ``fits`` get one order to the last bar, with equal distances, borders, sites and broken weights."""
+    n, rng = 80, random.Random(8)
+    edges = spark.createDataFrame(near_places(n, 8), EDGES)
+    weights = spark.createDataFrame([(f"k{i:03d}", rng.choice([0.1, 0.3, 0.7, 1.0])) for i in range(n)] + [("far1", 1.0), ("far2", 5.0)], "key string, weight double")
+    site = spark.createDataFrame([(f"k{i:03d}", f"k{rng.randrange(n):03d}") for i in range(n)], "key1 string, key2 string")
+    found = []
+    for fits in (10**6, 0):
+        order = density.optics_order(edges, weights, runs=2, same_site=site, fits=fits)
+        order = spark.createDataFrame(order.collect(), order.schema)
+        found.append((sorted(map(str, order.collect())), sorted(map(str, density.density_clusters(order).collect()))))
+    assert found[0] == found[1] and len(found[0][0]) == 2 * (2 * n + 2) and len(found[0][1]) > 10
+
+
+@pytest.mark.parametrize("block", [100, 10**6])
+def test_thinned_edges_have_the_order_of_all(spark, block):
+    n = 150
+    rows = [r[1:] for r in near_places(n, 3) if r[0] == "s" and not r[1].startswith("far")] + [("k001", "k001", 3.0)]
+    number = lambda k: int(k[1:])
+    edges = spark.createDataFrame([(number(a), number(b), d) for a, b, d in rows], "v1 long, v2 long, distance double")
+    _, core, _ = brute(rows, sorted({k for r in rows for k in r[:2]}), 10.0, 4.0, [])
+    cores = spark.createDataFrame([(number(k), d) for k, d in core.items()], "v long, core_distance double")
+    left = [(f"k{r['v1']:03d}", f"k{r['v2']:03d}", r["distance"]) for r in forest.walkable(edges, cores, block).collect()]
+    assert len(left) < len(rows) / 2 and set(left) < set(rows)
+    assert run(left, min_pts=4.0) == run(rows, min_pts=4.0)
